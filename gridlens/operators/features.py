@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from gridlens import constants as K
 from gridlens.functions import columns as C
-from gridlens.operators.holds import apply_holds, with_date
-from gridlens.operators.timeline import day_window, lag_across_days, rolling_sum_across_days
+from gridlens.operators.timeline import day_window, meter_timeline, with_date
 
 READING_COLUMNS = [
     "meter_id", "phase_type", "timestamp", "v1", "v2", "v3", "i1", "i2", "i3",
@@ -73,16 +72,14 @@ def scalar_features(df: DataFrame) -> DataFrame:
     return out
 
 
-def engineer(readings: DataFrame, holds: bool = True) -> DataFrame:
+def engineer(readings: DataFrame) -> DataFrame:
     """Fully engineered reading table (B4, C1-C12, D1-D10 on held readings)."""
-    df = apply_holds(readings) if holds else with_date(readings)
+    df = meter_timeline(readings)
     df = scalar_features(time_features(df))
     df = df.withColumn("raw_fault_type", F.col("fault_type"))
     df = df.withColumn("fault_type", C.fault_category(
         F.col("fault_flag"), F.col("signal_strength_dbm"), F.col("v_agg"),
         F.col("power_factor"), F.col("supply_voltage_flag"), F.col("energy_consumed_kwh")))
-    df = lag_across_days(df, ["power_factor", "meter_status", "fault_flag", "tamper_flag"], "__prev_")
-    df = rolling_sum_across_days(df, "fault_flag", K.ROLLING_READINGS, "unresolved_fault_days")
     wd = day_window(ordered=False)
     fault_edge = (F.col("fault_flag") == 1) & (F.coalesce(F.col("__prev_fault_flag"), F.lit(0)) == 0)
     tamper_edge = (F.col("tamper_flag") == 1) & (F.coalesce(F.col("__prev_tamper_flag"), F.lit(0)) == 0)
@@ -96,7 +93,6 @@ def engineer(readings: DataFrame, holds: bool = True) -> DataFrame:
         "tamper_timestamp": F.when(tamper_edge, F.col("timestamp")),
         "supply_hour_counter": F.sum("supply_voltage_flag").over(wd),
         "service_availability_ratio": F.sum("uptime_flag").over(wd) / 24,
-        "unresolved_fault_days": F.col("unresolved_fault_days").cast("double"),
     })
     df = df.withColumn("band_compliance", C.flag(
         F.col("supply_hour_counter") >= F.coalesce(C.sla_hours(F.col("band")), F.lit(0))))

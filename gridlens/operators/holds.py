@@ -1,55 +1,11 @@
 """Fault and tamper "holds" (the simulator's per-meter history rule).
 
-After a raw fault at t0 with duration d, later readings of the meter stay
-faulted (with that type and duration) while ``ts - t0 <= d`` hours; a newer
-raw fault replaces the record.  That is exactly "the last raw fault at or
-before this reading, if it is still within its duration", i.e. a
-last-non-null carry along the meter's timeline.  Tamper works the same way.
+The rule and its day-bucketed implementation live in ``timeline``; this
+module is the public entry point for the hold-only operator (D11, D12).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from gridlens.operators.timeline import apply_holds, with_date, within
 
-from gridlens.functions import columns as C
-from gridlens.operators.timeline import last_nonnull_across_days
-
-_US_PER_HOUR = 3_600_000_000
-
-
-def _within(rec: Column) -> Column:
-    elapsed_us = F.unix_micros(F.col("timestamp").cast("timestamp")) - \
-        F.unix_micros(rec["t"].cast("timestamp"))
-    return rec.isNotNull() & (elapsed_us <= rec["d"].cast("bigint") * _US_PER_HOUR)
-
-
-def with_date(readings: DataFrame) -> DataFrame:
-    if "date" in readings.columns:
-        return readings
-    return readings.withColumn("date", F.to_date("timestamp"))
-
-
-def apply_holds(readings: DataFrame) -> DataFrame:
-    """Readings with fault/tamper holds applied and meter_status recomputed."""
-    df = with_date(readings)
-    cols = df.columns
-    df = last_nonnull_across_days(df, {
-        "__fault_rec": F.when(F.col("fault_flag") == 1, F.struct(
-            F.col("timestamp").alias("t"), F.col("fault_duration_hours").alias("d"),
-            F.col("fault_type").alias("ty"))),
-        "__tamper_rec": F.when(F.col("tamper_flag") == 1, F.struct(
-            F.col("timestamp").alias("t"), F.col("tamper_duration_hours").alias("d"))),
-    })
-    fr, tr = F.col("__fault_rec"), F.col("__tamper_rec")
-    f_on, t_on = _within(fr), _within(tr)
-    replaced = {
-        "fault_flag": f_on.cast("int"),
-        "fault_type": F.when(f_on, fr["ty"]),
-        "fault_duration_hours": F.when(f_on, fr["d"]).otherwise(F.lit(0)).cast("int"),
-        "tamper_flag": t_on.cast("int"),
-        "tamper_duration_hours": F.when(t_on, tr["d"]).otherwise(F.lit(0)).cast("int"),
-    }
-    out = df.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in cols])
-    return out.withColumn("meter_status", C.meter_status(
-        F.col("fault_flag"), F.col("tamper_flag"), F.col("data_transmitted")))
+__all__ = ["apply_holds", "with_date", "within"]

@@ -1,22 +1,27 @@
-"""Per-meter sequential operators, split by day so no meter lands in one task.
-
-The reference computes lags, rolling sums and fault/tamper "holds" over a
-meter's whole time series.  Partitioning a window by ``meter_id`` alone puts
-a hot meter (assume one meter may hold a third of all rows) into one task.
-Here every row-level window is partitioned by ``(meter_id, date)`` and what
-crosses midnight travels through a small per-meter-day "carry" table:
-
-* ``lag_across_days``           previous reading's values (the first reading
-                                of a day takes the last reading of the
-                                previous non-empty day)
-* ``last_nonnull_across_days``  last non-null value at or before each row
-* ``rolling_sum_across_days``   sum over the current and n-1 earlier readings
-
-A carry table has one row per meter-day and is built by a grouped
-aggregation (partial aggregation map-side), so its windows over ``meter_id``
-see one row per day, never the raw readings.  The readings are shuffled once
-by ``(meter_id, date)``; carry tables join back on that key, so the big side
-keeps its partitioning (AQE broadcasts a carry table when it measures small).
+"""Per-meter sequential rules in one pass, split by day so no meter lands in
+one task.
+
+The reference computes fault/tamper holds, lags and a 24-reading rolling
+sum over each meter's whole time series.  A window partitioned by
+``meter_id`` alone would put a hot meter (assume one meter holds a third of
+all rows) into a single task.  Here:
+
+1. readings are hash-partitioned once by ``(meter_id, date)`` and sorted by
+   time inside each meter-day; all row windows run inside that layout;
+2. a per-meter-day *carry table* (one row per meter-day, aggregated without
+   another exchange) holds what crosses midnight: the last raw fault/tamper
+   record, the day's last reading, and the day's last n-1 readings;
+3. a window over the carry table (partitioned by meter, one row per day)
+   turns those into carry-ins for the next day;
+4. the carry table joins back on ``(meter_id, date)``.
+
+The big shuffle happens once (the second consumer reads the same shuffle
+output as a ReusedExchange); only the small carry table moves again.
+
+Hold rule: after a raw fault at t0 with duration d, later readings stay
+faulted (same type/duration) while ``ts - t0 <= d`` hours; a newer raw
+fault replaces the record.  That is "the last raw fault at or before the
+reading, if still within its duration".  Tamper works the same way.
 """
 
 from __future__ import annotations
@@ -24,9 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlens import constants as K
+from gridlens.functions import columns as C
+
 METER = "meter_id"
 DAY = "date"
 ORDER = ["timestamp", "event_id"]
+_US_PER_HOUR = 3_600_000_000
 
 
 def day_window(ordered: bool = True):
@@ -34,78 +43,119 @@ def day_window(ordered: bool = True):
     return w.orderBy(*ORDER) if ordered else w
 
 
-def _carry_window():
-    return Window.partitionBy(METER).orderBy(DAY)
+def with_date(readings: DataFrame) -> DataFrame:
+    if DAY in readings.columns:
+        return readings
+    return readings.withColumn(DAY, F.to_date("timestamp"))
 
 
-def _order_struct() -> Column:
-    return F.struct(*[F.col(c) for c in ORDER])
+def _micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
 
 
-def lag_across_days(df: DataFrame, cols: list[str], prefix: str = "prev_") -> DataFrame:
-    """Add ``prefix + c`` = value of ``c`` on the meter's previous reading."""
-    w = day_window()
-    last_of_day = df.groupBy(METER, DAY).agg(
-        F.max_by(F.struct(*[F.col(c) for c in cols]), _order_struct()).alias("__last"))
-    carry = last_of_day.select(METER, DAY, F.lag("__last").over(_carry_window()).alias("__carry"))
-    out = df.withColumn("__rn", F.row_number().over(w))
-    for c in cols:
-        out = out.withColumn("__l_" + c, F.lag(c).over(w))
-    out = out.join(carry, [METER, DAY], "left")
-    for c in cols:
-        out = out.withColumn(prefix + c, F.when(F.col("__rn") == 1, F.col("__carry")[c])
-                             .otherwise(F.col("__l_" + c)))
-    out = out.drop(*["__l_" + c for c in cols])
-    return out.drop("__rn", "__carry")
-
-
-def last_nonnull_across_days(df: DataFrame, values: dict[str, Column]) -> DataFrame:
-    """Add each ``name`` = last non-null ``values[name]`` at or before the row."""
-    w = day_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cw = _carry_window().rowsBetween(Window.unboundedPreceding, -1)
-    staged = df
-    for name, expr in values.items():
-        staged = staged.withColumn("__v_" + name, expr)
-    # max_by ignores rows whose ordering is NULL, so rows without a value
-    # never win; days without any value still get a (NULL) summary row.
-    day_last = staged.groupBy(METER, DAY).agg(*[
-        F.max_by(F.col("__v_" + n), F.when(F.col("__v_" + n).isNotNull(), _order_struct()))
-         .alias("__d_" + n) for n in values])
-    carry = day_last.select(METER, DAY, *[
-        F.last("__d_" + n, ignorenulls=True).over(cw).alias("__c_" + n) for n in values])
-    out = staged
-    for n in values:
-        out = out.withColumn("__i_" + n, F.last("__v_" + n, ignorenulls=True).over(w))
-    out = out.join(carry, [METER, DAY], "left")
-    for n in values:
-        out = out.withColumn(n, F.coalesce(F.col("__i_" + n), F.col("__c_" + n)))
-    return out.drop(*[p + n for n in values for p in ("__v_", "__i_", "__c_")])
-
-
-def rolling_sum_across_days(df: DataFrame, col: str, n: int, name: str) -> DataFrame:
-    """Add ``name`` = sum of ``col`` over the row and the n-1 readings before it
-    (fewer at the start of the meter's history, like ``min_periods=1``)."""
+def within(ts: Column, rec: Column) -> Column:
+    """True when a hold record exists and ``ts`` is within its duration."""
+    elapsed = _micros(ts) - _micros(rec["t"])
+    return F.coalesce(rec.isNotNull() & (elapsed <= rec["d"].cast("bigint") * _US_PER_HOUR), F.lit(False))
+
+
+def meter_timeline(readings: DataFrame, rolling_n: int = K.ROLLING_READINGS) -> DataFrame:
+    """Readings (+ ``date``) with holds applied, ``meter_status`` recomputed,
+    ``__prev_{power_factor,meter_status,fault_flag,tamper_flag}`` (previous
+    reading of the meter) and ``unresolved_fault_days`` (rolling sum of the
+    held fault flag over ``rolling_n`` readings, min_periods=1)."""
+    cols = with_date(readings).columns
+    base = with_date(readings).repartition(METER, DAY)
     w = day_window()
-    w_desc = Window.partitionBy(METER, DAY).orderBy(*[F.col(c).desc() for c in ORDER])
-    staged = df.withColumn("__rn", F.row_number().over(w)) \
-        .withColumn("__rn_desc", F.row_number().over(w_desc)) \
-        .withColumn("__in_day", F.sum(col).over(w.rowsBetween(-(n - 1), 0)))
-    item = F.struct(*[F.col(c) for c in ORDER], F.col(col).cast("bigint").alias("v"))
-    # Each day's last n-1 values (bounded), then the last n-1 values of the
-    # n-1 previous non-empty days: enough to finish any frame that starts
-    # before midnight.
-    tails = staged.groupBy(METER, DAY).agg(
-        F.array_sort(F.collect_list(F.when(F.col("__rn_desc") < n, item))).alias("__tail"))
-    hist = F.array_sort(F.flatten(F.collect_list("__tail").over(
-        _carry_window().rowsBetween(-(n - 1), -1))))
-    carry = tails.select(METER, DAY, hist.alias("__hist"))
-    need = F.lit(n) - F.col("__rn")
-    h = F.col("__hist")
-    start = F.greatest(F.size(h) - need + 1, F.lit(1))
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    f_raw = F.when(F.col("fault_flag") == 1, F.struct(
+        F.col("timestamp").alias("t"), F.col("fault_duration_hours").alias("d"),
+        F.col("fault_type").alias("ty")))
+    t_raw = F.when(F.col("tamper_flag") == 1, F.struct(
+        F.col("timestamp").alias("t"), F.col("tamper_duration_hours").alias("d")))
+    w1 = base.withColumns({
+        "__rn": F.row_number().over(w),
+        "__f_in": F.last(f_raw, ignorenulls=True).over(run),
+        "__t_in": F.last(t_raw, ignorenulls=True).over(run),
+        "__n_day": F.count(F.lit(1)).over(day_window(ordered=False)),
+    })
+
+    # ---- carry table: one row per meter-day --------------------------------
+    order = F.struct(*[F.col(c) for c in ORDER])
+    tail_item = F.struct(*[F.col(c) for c in ORDER], F.col("__f_in").alias("rec"))
+    day = w1.groupBy(METER, DAY).agg(
+        F.max_by(F.struct(F.col("timestamp").alias("t"), F.col("power_factor").alias("pf"),
+                          F.col("data_transmitted").alias("tx"), F.col("__f_in").alias("f"),
+                          F.col("__t_in").alias("tm")), order).alias("__last"),
+        F.collect_list(F.when(F.col("__n_day") - F.col("__rn") < rolling_n - 1, tail_item)).alias("__tail"))
+    cw = Window.partitionBy(METER).orderBy(DAY)
+    before = cw.rowsBetween(Window.unboundedPreceding, -1)
+    c1 = day.select(
+        METER, DAY, "__tail",
+        F.last(F.col("__last")["f"], ignorenulls=True).over(before).alias("__f_carry"),
+        F.last(F.col("__last")["tm"], ignorenulls=True).over(before).alias("__t_carry"),
+        F.lag("__last").over(cw).alias("__prev_last"))
+    # The record in force at the previous day's last reading is exactly this
+    # day's carry-in, so the previous reading's held values follow directly.
+    prev = F.col("__prev_last")
+    prev_fault = within(prev["t"], F.col("__f_carry")).cast("int")
+    prev_tamper = within(prev["t"], F.col("__t_carry")).cast("int")
+    held_tail = F.array_sort(F.transform(F.col("__tail"), lambda x: F.struct(
+        x["timestamp"].alias("timestamp"), x["event_id"].alias("event_id"),
+        within(x["timestamp"], F.coalesce(x["rec"], F.col("__f_carry"))).cast("bigint").alias("v"))))
+    c2 = c1.select(
+        METER, DAY, "__f_carry", "__t_carry",
+        F.when(prev.isNotNull(), prev["pf"]).alias("__c_pf"),
+        F.when(prev.isNotNull(), prev_fault).alias("__c_fault"),
+        F.when(prev.isNotNull(), prev_tamper).alias("__c_tamper"),
+        F.when(prev.isNotNull(), C.meter_status(prev_fault, prev_tamper, prev["tx"])).alias("__c_status"),
+        held_tail.alias("__held_tail"))
+    carry = c2.select(
+        METER, DAY, "__f_carry", "__t_carry", "__c_pf", "__c_fault", "__c_tamper", "__c_status",
+        F.array_sort(F.flatten(F.collect_list("__held_tail").over(
+            cw.rowsBetween(-(rolling_n - 1), -1)))).alias("__hist"))
+
+    # ---- back to readings ---------------------------------------------------
+    j = w1.join(carry, [METER, DAY], "left")
+    f_rec = F.coalesce(F.col("__f_in"), F.col("__f_carry"))
+    t_rec = F.coalesce(F.col("__t_in"), F.col("__t_carry"))
+    f_on, t_on = within(F.col("timestamp"), f_rec), within(F.col("timestamp"), t_rec)
+    replaced = {
+        "fault_flag": f_on.cast("int"),
+        "fault_type": F.when(f_on, f_rec["ty"]),
+        "fault_duration_hours": F.when(f_on, f_rec["d"]).otherwise(F.lit(0)).cast("int"),
+        "tamper_flag": t_on.cast("int"),
+        "tamper_duration_hours": F.when(t_on, t_rec["d"]).otherwise(F.lit(0)).cast("int"),
+    }
+    keep = ["__rn", "__c_pf", "__c_fault", "__c_tamper", "__c_status", "__hist"]
+    h = j.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in cols], *keep)
+    h = h.withColumn("meter_status", C.meter_status(
+        F.col("fault_flag"), F.col("tamper_flag"), F.col("data_transmitted")))
+
+    first = F.col("__rn") == 1
+    need = F.lit(rolling_n) - F.col("__rn")
+    hist = F.col("__hist")
+    start = F.greatest(F.size(hist) - need + 1, F.lit(1))
     from_before = F.when(
-        (F.col("__rn") < n) & h.isNotNull(),
-        F.aggregate(F.slice(h, start, need), F.lit(0).cast("bigint"), lambda acc, x: acc + x["v"]),
+        (F.col("__rn") < rolling_n) & hist.isNotNull(),
+        F.aggregate(F.slice(hist, start, need), F.lit(0).cast("bigint"), lambda acc, x: acc + x["v"]),
     ).otherwise(F.lit(0).cast("bigint"))
-    out = staged.join(carry, [METER, DAY], "left")
-    out = out.withColumn(name, F.col("__in_day") + from_before)
-    return out.drop("__rn", "__rn_desc", "__in_day", "__hist")
+    out = h.withColumns({
+        "__prev_power_factor": F.when(first, F.col("__c_pf")).otherwise(F.lag("power_factor").over(w)),
+        "__prev_meter_status": F.when(first, F.col("__c_status")).otherwise(F.lag("meter_status").over(w)),
+        "__prev_fault_flag": F.when(first, F.col("__c_fault")).otherwise(F.lag("fault_flag").over(w)),
+        "__prev_tamper_flag": F.when(first, F.col("__c_tamper")).otherwise(F.lag("tamper_flag").over(w)),
+        "unresolved_fault_days": (F.sum("fault_flag").over(w.rowsBetween(-(rolling_n - 1), 0))
+                                  + from_before).cast("double"),
+    })
+    return out.drop(*keep)
+
+
+HOLD_OUTPUT = ["fault_flag", "fault_type", "fault_duration_hours", "tamper_flag",
+               "tamper_duration_hours", "meter_status"]
+
+
+def apply_holds(readings: DataFrame) -> DataFrame:
+    """Readings (+ date) with fault/tamper holds and recomputed meter_status."""
+    cols = with_date(readings).columns
+    return meter_timeline(readings).select(*cols)
