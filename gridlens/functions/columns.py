@@ -96,10 +96,10 @@ def daily_note(category: Column, score: Column) -> Column:
 
 
 def format_metric(value: Column) -> Column:
-    """12.34M / 5.67K / 1,234 style display string."""
-    return (F.when(value >= 1_000_000, F.concat(F.format_number(value / 1_000_000, 2), F.lit("M")))
-            .when(value >= 1_000, F.concat(F.format_number(value / 1_000, 2), F.lit("K")))
-            .otherwise(F.format_number(value, 0)))
+    """"12.34M" / "5.67K" / "1,234" display string (round half to even)."""
+    return (F.when(value >= 1_000_000, F.format_string("%.2fM", F.bround(value / 1_000_000, 2)))
+            .when(value >= 1_000, F.format_string("%.2fK", F.bround(value / 1_000, 2)))
+            .otherwise(F.format_string("%,.0f", F.bround(value, 0))))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:

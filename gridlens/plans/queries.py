@@ -55,3 +55,422 @@ SELECT band_, avg(band_compliance_max) AS band_compliance_max,
 FROM daily GROUP BY band_""")
 def sla_by_band(spark, sf):
     return I.sla_by_band(P.daily(spark, sf))
+
+
+def _proj(base: str, table: str, cols: list[str]) -> str:
+    return base + f"\nSELECT {', '.join(cols)} FROM {table}"
+
+
+def _eng_query(name: str, cols: list[str]):
+    full = ["meter_id", "event_id"] + cols
+
+    @query(name, _proj(S.BASE_ENG, "eng", full))
+    def fn(spark, sf):
+        return P.engineered(spark, sf).select(*full)
+    return fn
+
+
+def _daily_query(name: str, cols: list[str]):
+    full = [k + "_" for k in K.DAILY_KEYS] + cols
+
+    @query(name, _proj(S.BASE_DAILY, "daily", full))
+    def fn(spark, sf):
+        return P.daily(spark, sf).select(*full)
+    return fn
+
+
+# ---- B: cleaning on raw readings ------------------------------------------
+
+from gridlens.operators import clean as CL  # noqa: E402
+from gridlens.operators import profile as PR  # noqa: E402
+
+RAW_NO_ID = [c for c in S.READING_COLS.replace("\n", " ").replace('"', "").split(", ")]
+RAW_NO_ID = [c.strip() for c in RAW_NO_ID if c.strip() != "event_id"]
+
+
+@query("clean_dedup", S.BASE_READINGS + "\nSELECT DISTINCT " +
+       ", ".join('"timestamp"' if c == "timestamp" else c for c in RAW_NO_ID) + " FROM readings")
+def clean_dedup(spark, sf):
+    return CL.drop_exact_duplicates(P.readings(spark, sf).drop("event_id"))
+
+
+@query("clean_fill_phases", S.BASE_READINGS + "\nSELECT meter_id, event_id, " +
+       ", ".join(f"COALESCE({c}, CAST(0 AS DOUBLE)) AS {c}" for c in CL.PHASE_COLUMNS) + " FROM readings")
+def clean_fill_phases(spark, sf):
+    return CL.fill_phases(P.readings(spark, sf)).select("meter_id", "event_id", *CL.PHASE_COLUMNS)
+
+
+@query("time_features", S.BASE_READINGS + """
+SELECT meter_id, event_id, "timestamp", hour("timestamp") AS hour, day("timestamp") AS day,
+       month("timestamp") AS month, isodow("timestamp") - 1 AS weekday,
+       CAST("timestamp" AS DATE) AS date, isodow("timestamp") - 1 AS day_of_week
+FROM readings""")
+def time_features_q(spark, sf):
+    from gridlens.operators.features import time_features
+    df = CL.preprocess_time(time_features(P.readings(spark, sf)))
+    return df.select("meter_id", "event_id", "timestamp", "hour", "day", "month", "weekday", "date", "day_of_week")
+
+
+@query("early_loss_flag", S.BASE_READINGS + """
+SELECT meter_id, event_id,
+       CAST(COALESCE(energy_consumed_kwh < expected_energy_kwh, false) AS INTEGER) AS energy_loss_flag
+FROM readings""")
+def early_loss_flag(spark, sf):
+    return CL.early_loss_flag(P.readings(spark, sf)).select("meter_id", "event_id", "energy_loss_flag")
+
+
+@query("phase_agg", S.BASE_READINGS + """
+SELECT meter_id, event_id,
+       CASE WHEN phase_type = 'three' THEN (v1 + v2 + v3) / 3 ELSE v_agg END AS v_agg_calc,
+       CASE WHEN phase_type = 'three' THEN (i1 + i2 + i3) / 3 ELSE i_agg END AS i_agg_calc
+FROM readings""")
+def phase_agg(spark, sf):
+    return CL.phase_aggregates(P.readings(spark, sf)).select("meter_id", "event_id", "v_agg_calc", "i_agg_calc")
+
+
+_BANDS_VALUES = "(VALUES " + ", ".join(
+    f"('{b}', CAST({K.TARIFF_BY_BAND[b]} AS DOUBLE), {K.SLA_HOURS_BY_BAND[b]})" for b in K.BANDS) + \
+    ") AS bd(band, band_tariff, sla_hours)"
+
+
+@query("tariff_lookup", S.BASE_READINGS + f"""
+SELECT r.meter_id, r.event_id, r.band, bd.band_tariff, bd.sla_hours
+FROM readings r LEFT JOIN {_BANDS_VALUES} ON r.band = bd.band""")
+def tariff_lookup(spark, sf):
+    return CL.tariff_lookup(P.readings(spark, sf)).select("meter_id", "event_id", "band", "band_tariff", "sla_hours")
+
+
+@query("energy_from_vend", S.BASE_READINGS + f"""
+SELECT meter_id, event_id,
+       round(total_vended_amount / NULLIF({S._case('band', K.TARIFF_BY_BAND, 'DOUBLE')}, 0), 2) AS energy_from_vend
+FROM readings""")
+def energy_from_vend(spark, sf):
+    return CL.energy_from_vend(P.readings(spark, sf)).select("meter_id", "event_id", "energy_from_vend")
+
+
+# ---- C / D: reading-level rules and windows (engineered readings) ----------
+
+_eng_query("reading_flags", ["supply_voltage_flag", "uptime_flag", "expected_energy_pf_calc"])
+_eng_query("fault_category", ["raw_fault_type", "fault_type"])
+_eng_query("loss_features", ["energy_loss_kwh", "revenue_loss", "energy_loss_flag", "tamper_cost_estimate"])
+_eng_query("zone_flags", ["high_vend_zone", "is_industrial", "supply_outage_flag"])
+_eng_query("load_gap", ["load_generation_gap", "load_gap_flag"])
+_eng_query("reading_tag", ["meter_anomaly_tag"])
+_eng_query("reading_risk", ["customer_risk_score"])
+_eng_query("pf_delta", ["power_factor", "pf_delta"])
+_eng_query("status_change", ["meter_status", "prev_status", "status_change"])
+_eng_query("episode_starts", ["fault_start", "tamper_start", "fault_timestamp", "tamper_timestamp"])
+_eng_query("band_compliance", ["supply_hour_counter", "band_compliance", "band_compliance_max"])
+_eng_query("service_availability", ["service_availability_ratio"])
+_eng_query("rolling_faults", ["fault_flag", "unresolved_fault_days"])
+
+
+@query("raw_fault", S.BASE_READINGS + f"""
+SELECT meter_id, event_id,
+       CAST(COALESCE(v_agg < {K.SUPPLY_VOLTAGE} OR signal_strength_dbm < {K.MODEM_DBM}, false) AS INTEGER) AS raw_fault_flag,
+       CASE WHEN v_agg < {K.SUPPLY_VOLTAGE} AND signal_strength_dbm < {K.MODEM_DBM} THEN 'voltage + modem'
+            WHEN v_agg < {K.SUPPLY_VOLTAGE} THEN 'low_voltage'
+            WHEN signal_strength_dbm < {K.MODEM_DBM} THEN 'modem_disconnect' END AS raw_fault_type
+FROM readings""")
+def raw_fault(spark, sf):
+    return CL.raw_fault(P.readings(spark, sf)).select("meter_id", "event_id", "raw_fault_flag", "raw_fault_type")
+
+
+@query("meter_status", _proj(S.BASE_HELD, "held",
+                             ["meter_id", "event_id", "fault_flag", "tamper_flag", "data_transmitted", "meter_status"]))
+def meter_status_q(spark, sf):
+    return P.held(spark, sf).select("meter_id", "event_id", "fault_flag", "tamper_flag",
+                                    "data_transmitted", "meter_status")
+
+
+@query("topology_violations", S.BASE_READINGS + """
+SELECT 'feeder_multiple_bands' AS rule, feeder_id AS entity_id, count(DISTINCT band) AS n_distinct
+FROM readings GROUP BY feeder_id HAVING count(DISTINCT band) > 1
+UNION ALL
+SELECT 'meter_multiple_topology', meter_id, count(DISTINCT concat_ws('|', location_id, feeder_id, transformer_id))
+FROM readings GROUP BY meter_id HAVING count(DISTINCT concat_ws('|', location_id, feeder_id, transformer_id)) > 1
+UNION ALL
+SELECT 'meter_multiple_phase_types', meter_id, count(DISTINCT phase_type)
+FROM readings GROUP BY meter_id HAVING count(DISTINCT phase_type) > 1""")
+def topology_violations(spark, sf):
+    return CL.topology_violations(P.readings(spark, sf))
+
+
+# ---- E: daily summary pieces -----------------------------------------------
+
+_daily_query("daily_electrical", ["power_factor_mean", "power_factor_min", "v_agg_mean", "v_agg_min",
+                                  "v_agg_max", "i_agg_mean", "i_agg_min", "i_agg_max"])
+_daily_query("daily_kpis", ["fault_detected", "tamper_detected", "energy_loss_ratio", "supply_hours",
+                            "uptime_hours", "energy_efficiency_ratio"])
+_daily_query("daily_anomalies", ["anomaly_category", "anomaly_severity_score", "anomaly_summary_note"])
+
+DAILY_SPLIT = "2024-01-16"
+
+
+@query("daily_union", S.BASE_DAILY + "\nSELECT * FROM daily")
+def daily_union(spark, sf):
+    """Rollups of two date ranges combined with unionByName (each group lies
+    in one range because the date is a key) = the single global rollup."""
+    from gridlens.operators.daily import rollup, with_kpis
+    eng = P.engineered(spark, sf)
+    early = rollup(eng.where(F.col("date") < F.lit(DAILY_SPLIT).cast("date")))
+    late = rollup(eng.where(F.col("date") >= F.lit(DAILY_SPLIT).cast("date")))
+    return with_kpis(early.unionByName(late))
+
+
+# ---- F: dashboard queries over the daily summary ---------------------------
+
+@query("filter_daily", S.BASE_DAILY + """
+SELECT * FROM daily
+WHERE date_ BETWEEN DATE '2024-01-05' AND DATE '2024-01-25' AND band_ IN ('A', 'C')""")
+def filter_daily(spark, sf):
+    return I.filter_daily(P.daily(spark, sf), dates=("2024-01-05", "2024-01-25"), bands=["A", "C"])
+
+
+@query("filter_options", S.BASE_DAILY + """
+SELECT DISTINCT 'band_' AS field, CAST(band_ AS VARCHAR) AS value FROM daily WHERE band_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'location_id_', location_id_ FROM daily WHERE location_id_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'meter_id_', meter_id_ FROM daily WHERE meter_id_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'anomaly_category', anomaly_category FROM daily WHERE anomaly_category IS NOT NULL""")
+def filter_options(spark, sf):
+    return I.filter_options(P.daily(spark, sf))
+
+
+KPI_SQL = """
+SELECT COALESCE(sum(total_vended_amount_sum), 0) AS total_vended,
+       COALESCE(sum(revenue_loss_sum), 0) AS revenue_loss,
+       COALESCE(sum(energy_loss_kwh_sum), 0) AS energy_loss_kwh,
+       COALESCE(round(avg(energy_efficiency_ratio) * 100, 6), 0) AS efficiency_pct
+FROM daily"""
+
+
+@query("kpi_summary", S.BASE_DAILY + KPI_SQL)
+def kpi_summary(spark, sf):
+    return I.kpi_summary(P.daily(spark, sf))
+
+
+def _fmt_sql(c: str) -> str:
+    return (f"CASE WHEN {c} >= 1000000 THEN format('{{:.2f}}M', round_even({c} / 1000000, 2)) "
+            f"WHEN {c} >= 1000 THEN format('{{:.2f}}K', round_even({c} / 1000, 2)) "
+            f"ELSE format('{{:,.0f}}', round_even({c}, 0)) END AS {c}_fmt")
+
+
+@query("kpi_formatted", S.BASE_DAILY + ", k AS (" + KPI_SQL + ")\nSELECT " +
+       ", ".join(_fmt_sql(c) for c in ("total_vended", "revenue_loss", "energy_loss_kwh")) +
+       ", format('{:.2f}%', round_even(efficiency_pct, 2)) AS efficiency_fmt FROM k")
+def kpi_formatted(spark, sf):
+    return I.kpi_formatted(P.daily(spark, sf))
+
+
+TOP_EFF_SQL = """
+SELECT meter_id_, round(avg(energy_efficiency_ratio), 9) AS energy_efficiency_ratio
+FROM daily GROUP BY meter_id_ HAVING avg(energy_efficiency_ratio) IS NOT NULL
+ORDER BY energy_efficiency_ratio DESC, meter_id_ LIMIT 20"""
+
+
+@query("top_efficiency", S.BASE_DAILY + TOP_EFF_SQL)
+def top_efficiency(spark, sf):
+    return I.top_efficiency(P.daily(spark, sf))
+
+
+@query("top_efficiency_trend", S.BASE_DAILY + ", t AS (" + TOP_EFF_SQL + """)
+SELECT meter_id_, date_, fault_type_, energy_efficiency_ratio FROM daily
+WHERE meter_id_ IN (SELECT meter_id_ FROM t)""")
+def top_efficiency_trend(spark, sf):
+    return I.top_efficiency_trend(P.daily(spark, sf))
+
+
+@query("location_kpis", S.BASE_DAILY + """
+SELECT location_id_, avg(total_vended_amount_sum) AS total_vended_amount_sum,
+       avg(revenue_loss_sum) AS revenue_loss_sum, avg(energy_loss_kwh_sum) AS energy_loss_kwh_sum,
+       round(avg(energy_efficiency_ratio), 9) AS energy_efficiency_ratio,
+       avg(anomaly_severity_score) AS anomaly_severity_score
+FROM daily GROUP BY location_id_""")
+def location_kpis(spark, sf):
+    return I.location_kpis(P.daily(spark, sf))
+
+
+def _top_sql(key: str) -> str:
+    return S.BASE_DAILY + f"""
+SELECT {key}, avg(total_vended_amount_sum) AS total_vended_amount_sum,
+       avg(revenue_loss_sum) AS revenue_loss_sum,
+       round(avg(energy_efficiency_ratio), 9) AS energy_efficiency_ratio
+FROM daily GROUP BY {key} ORDER BY total_vended_amount_sum DESC, {key} LIMIT 15"""
+
+
+@query("top_feeders", _top_sql("feeder_id_"))
+def top_feeders(spark, sf):
+    return I.top_by_vended(P.daily(spark, sf), "feeder_id_")
+
+
+@query("top_transformers", _top_sql("transformer_id_"))
+def top_transformers(spark, sf):
+    return I.top_by_vended(P.daily(spark, sf), "transformer_id_")
+
+
+@query("anomaly_drilldown", _proj(S.BASE_DAILY, "daily", I.DRILL_COLUMNS))
+def anomaly_drilldown(spark, sf):
+    return I.anomaly_drilldown(P.daily(spark, sf))
+
+
+HIGH_LOSS_SQL = f"revenue_loss_sum > {K.HIGH_LOSS_REVENUE} AND is_industrial_ = 1"
+SLA_FAIL_SQL = "band_compliance_max = 0"
+BURNT_SQL = "fault_type_ = 'burnt_meter'"
+
+
+@query("alert_high_loss", S.BASE_DAILY + f"\nSELECT * FROM daily WHERE {HIGH_LOSS_SQL}")
+def alert_high_loss(spark, sf):
+    return P.daily(spark, sf).where(I.high_loss_cond())
+
+
+@query("alert_sla_fail", S.BASE_DAILY + f"\nSELECT * FROM daily WHERE {SLA_FAIL_SQL}")
+def alert_sla_fail(spark, sf):
+    return P.daily(spark, sf).where(I.sla_fail_cond())
+
+
+@query("alert_burnt", S.BASE_DAILY + f"\nSELECT * FROM daily WHERE {BURNT_SQL}")
+def alert_burnt(spark, sf):
+    return P.daily(spark, sf).where(I.burnt_cond())
+
+
+@query("alert_summary", S.BASE_DAILY + "\nSELECT " + ", ".join(
+    f"count(DISTINCT CASE WHEN {cond} THEN meter_id_ END) AS {n}_meters, "
+    f"COALESCE(sum(CASE WHEN {cond} THEN revenue_loss_sum END), 0) AS {n}_loss"
+    for n, cond in (("high_loss", HIGH_LOSS_SQL), ("sla_fail", SLA_FAIL_SQL), ("burnt", BURNT_SQL)))
+       + " FROM daily")
+def alert_summary(spark, sf):
+    return I.alert_summary(P.daily(spark, sf))
+
+
+@query("sla_delivery", S.BASE_DAILY + f"""
+, j AS (SELECT d.band_, d.supply_hours, CAST(bd.sla_hours AS DOUBLE) AS expected_sla_hours
+        FROM daily d LEFT JOIN {_BANDS_VALUES} ON d.band_ = bd.band)
+SELECT band_, avg(supply_hours) AS supply_hours, avg(expected_sla_hours) AS expected_sla_hours,
+       avg(supply_hours) / NULLIF(avg(expected_sla_hours), 0) * 100 AS actual_vs_expected_pct
+FROM j GROUP BY band_""")
+def sla_delivery(spark, sf):
+    return I.sla_delivery(P.daily(spark, sf))
+
+
+@query("sla_trend", S.BASE_DAILY + """
+SELECT date_, band_, avg(band_compliance_max) AS band_compliance_max,
+       avg(band_compliance_max) * 100 AS compliance_rate_pct
+FROM daily GROUP BY date_, band_""")
+def sla_trend(spark, sf):
+    return I.sla_trend(P.daily(spark, sf))
+
+
+_LOC_VALUES = "(VALUES " + ", ".join(
+    f"('{loc}', CAST(6.4 AS DOUBLE) + CAST(0.025 AS DOUBLE) * {i}, CAST(3.2 AS DOUBLE) + CAST(0.025 AS DOUBLE) * {i})"
+    for i, loc in enumerate(K.LOCATIONS)) + ") AS ld(location_id_, lat, lon)"
+
+
+@query("location_map", S.BASE_DAILY + f"""
+SELECT d.meter_id_, d.date_, d.fault_type_, d.location_id_, ld.lat, ld.lon, d.anomaly_severity_score,
+       d.energy_efficiency_ratio, d.anomaly_category, abs(d.revenue_loss_sum) + 1 AS marker_size
+FROM daily d LEFT JOIN {_LOC_VALUES} ON d.location_id_ = ld.location_id_""")
+def location_map(spark, sf):
+    return I.location_map(P.daily(spark, sf))
+
+
+@query("meter_series", S.BASE_DAILY + """
+SELECT meter_id_, date_, fault_type_, energy_efficiency_ratio, energy_loss_ratio, revenue_loss_sum
+FROM daily WHERE meter_id_ = (SELECT min(meter_id_) FROM daily) ORDER BY date_, fault_type_""")
+def meter_series(spark, sf):
+    return I.meter_series(P.daily(spark, sf))
+
+
+@query("latest_run", S.BASE_DAILY + "\nSELECT * FROM daily WHERE date_ = (SELECT max(date_) FROM daily)")
+def latest_run(spark, sf):
+    return I.latest_partition(P.daily(spark, sf))
+
+
+# ---- A: profiling -----------------------------------------------------------
+
+READING_TYPES = {
+    "meter_id": "s", "event_id": "i", "phase_type": "s", "timestamp": "t",
+    "v1": "d", "v2": "d", "v3": "d", "i1": "d", "i2": "d", "i3": "d", "v_agg": "d", "i_agg": "d",
+    "power_factor": "d", "energy_consumed_kwh": "d", "expected_energy_kwh": "d",
+    "signal_strength_dbm": "d", "data_transmitted": "i", "tamper_flag": "i",
+    "tamper_duration_hours": "i", "fault_flag": "i", "fault_type": "s", "fault_duration_hours": "i",
+    "meter_status": "s", "reading_gap_minutes": "i", "location_id": "s", "feeder_id": "s",
+    "transformer_id": "s", "band": "s", "tariff_per_kwh": "d", "total_vended_amount": "d",
+    "expected_energy_from_vend": "d",
+}
+DAILY_NUMERIC = ["is_industrial_", "energy_consumed_kwh_sum", "expected_energy_kwh_sum",
+                 "expected_energy_pf_calc_sum", "total_vended_amount_sum", "revenue_loss_sum",
+                 "tamper_cost_estimate_sum", "energy_loss_kwh_sum", "energy_loss_flag_sum",
+                 "fault_flag_sum", "tamper_flag_sum", "uptime_flag_sum", "supply_voltage_flag_sum",
+                 "pf_delta_mean", "load_generation_gap_mean", "load_gap_flag_sum",
+                 "service_availability_ratio_mean", "unresolved_fault_days_mean",
+                 "customer_risk_score_mean", "power_factor_mean", "power_factor_min", "v_agg_mean",
+                 "v_agg_min", "v_agg_max", "i_agg_mean", "i_agg_min", "i_agg_max",
+                 "tariff_per_kwh_mean", "band_compliance_max", "fault_detected", "tamper_detected",
+                 "energy_loss_ratio", "supply_hours", "uptime_hours", "energy_efficiency_ratio",
+                 "anomaly_severity_score"]
+
+
+def _q(c: str) -> str:
+    return f'"{c}"'
+
+
+def _type_plan_sql() -> str:
+    parts = []
+    for c, t in READING_TYPES.items():
+        if t == "i":
+            parts.append(f"""SELECT '{c}' AS "column", 'integer' AS kind, CAST(min({_q(c)}) AS DOUBLE) AS min_value,
+  CAST(max({_q(c)}) AS DOUBLE) AS max_value, CAST(NULL AS BIGINT) AS n_distinct, count(*) AS n_rows,
+  CASE WHEN min({_q(c)}) >= -128 AND max({_q(c)}) <= 127 THEN 'int8'
+       WHEN min({_q(c)}) >= -32768 AND max({_q(c)}) <= 32767 THEN 'int16'
+       WHEN min({_q(c)}) >= -2147483648 AND max({_q(c)}) <= 2147483647 THEN 'int32' ELSE 'int64' END AS planned_type
+FROM readings""")
+        elif t == "d":
+            parts.append(f"""SELECT '{c}' AS "column", 'float' AS kind, min({_q(c)}) AS min_value,
+  max({_q(c)}) AS max_value, CAST(NULL AS BIGINT) AS n_distinct, count(*) AS n_rows,
+  CASE WHEN count(*) FILTER (WHERE CAST(CAST({_q(c)} AS FLOAT) AS DOUBLE) <> {_q(c)}) = 0 THEN 'float32'
+       ELSE 'float64' END AS planned_type
+FROM readings""")
+        elif t == "s":
+            parts.append(f"""SELECT '{c}' AS "column", 'string' AS kind, CAST(NULL AS DOUBLE) AS min_value,
+  CAST(NULL AS DOUBLE) AS max_value, count(DISTINCT {_q(c)}) AS n_distinct, count(*) AS n_rows,
+  CASE WHEN count(DISTINCT {_q(c)}) / count(*) < 0.5 THEN 'category' ELSE 'string' END AS planned_type
+FROM readings""")
+    return S.BASE_READINGS + "\n" + "\nUNION ALL\n".join(parts)
+
+
+@query("type_plan", _type_plan_sql())
+def type_plan(spark, sf):
+    return PR.type_plan(P.readings(spark, sf))
+
+
+@query("profile_counts", S.BASE_READINGS + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS \"column\", count({_q(c)}) AS non_null, count(*) AS n_rows FROM readings"
+    for c in READING_TYPES))
+def profile_counts(spark, sf):
+    return PR.profile_counts(P.readings(spark, sf))
+
+
+@query("profile_describe", S.BASE_DAILY + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 6) AS mean,
+  round(stddev_samp(CAST({c} AS DOUBLE)), 4) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max
+FROM daily""" for c in DAILY_NUMERIC))
+def profile_describe(spark, sf):
+    return PR.profile_describe(P.daily(spark, sf))
+
+
+@query("profile_quartiles")
+def profile_quartiles(spark, sf):
+    return PR.profile_quartiles(P.daily(spark, sf))
+
+
+@query("column_stats", S.BASE_DAILY + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+  round(avg(CAST({c} AS DOUBLE)), 6) AS mean FROM daily""" for c in DAILY_NUMERIC))
+def column_stats(spark, sf):
+    return PR.column_stats(P.daily(spark, sf))
+
+
+@query("preview_daily", S.BASE_DAILY + "\nSELECT * FROM daily ORDER BY " +
+       ", ".join(k + "_" for k in K.DAILY_KEYS) + " LIMIT 10")
+def preview_daily(spark, sf):
+    return P.daily(spark, sf).orderBy(*[k + "_" for k in K.DAILY_KEYS]).limit(10)
