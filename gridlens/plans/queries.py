@@ -474,3 +474,354 @@ def column_stats(spark, sf):
        ", ".join(k + "_" for k in K.DAILY_KEYS) + " LIMIT 10")
 def preview_daily(spark, sf):
     return P.daily(spark, sf).orderBy(*[k + "_" for k in K.DAILY_KEYS]).limit(10)
+
+
+# ---- G: feature preparation ---------------------------------------------------
+
+from gridlens.operators import evaluate as EV  # noqa: E402
+from gridlens.operators import mlprep as MP  # noqa: E402
+from gridlens.operators import score as SC  # noqa: E402
+
+TARGET = "tamper_detected"
+FEATURES = [c for c in DAILY_NUMERIC if c != TARGET]
+IMPUTE_COLS = ["energy_loss_ratio", "energy_efficiency_ratio", "pf_delta_mean", "load_generation_gap_mean"]
+SCALE_COLS = IMPUTE_COLS + ["revenue_loss_sum", "supply_hours"]
+EVAL_FEATURES = ["energy_loss_ratio", "energy_efficiency_ratio", "revenue_loss_sum", "supply_hours",
+                 "pf_delta_mean", "customer_risk_score_mean"]
+SK = MP.SPLIT_KEYS
+
+
+@query("ml_matrix", _proj(S.BASE_DAILY, "daily", FEATURES + [TARGET]))
+def ml_matrix(spark, sf):
+    return MP.ml_matrix(P.daily(spark, sf), TARGET)
+
+
+IMPUTE_SQL = (", im AS (SELECT " + ", ".join(SK) + ", " +
+              ", ".join(f"COALESCE(CAST({c} AS DOUBLE), (SELECT round(avg({c}), 9) FROM daily)) AS {c}"
+                        for c in IMPUTE_COLS) + ", revenue_loss_sum, supply_hours FROM daily)")
+
+
+@query("impute_mean", S.BASE_DAILY + IMPUTE_SQL + "\nSELECT " + ", ".join(SK + IMPUTE_COLS) + " FROM im")
+def impute_mean(spark, sf):
+    return MP.impute_mean(P.daily(spark, sf).select(*SK, *IMPUTE_COLS), IMPUTE_COLS)
+
+
+@query("standardize", S.BASE_DAILY + IMPUTE_SQL + ", st AS (SELECT " + ", ".join(
+    f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in SCALE_COLS) + " FROM im)\nSELECT " +
+    ", ".join(SK) + ", " + ", ".join(
+        f"round(CASE WHEN s_{c} = 0 THEN CAST(0 AS DOUBLE) ELSE ({c} - m_{c}) / s_{c} END, 6) AS {c}"
+        for c in SCALE_COLS) + " FROM im, st")
+def standardize(spark, sf):
+    d = P.daily(spark, sf).select(*SK, *SCALE_COLS)
+    return MP.standardize(MP.impute_mean(d, IMPUTE_COLS), SCALE_COLS).select(*SK, *SCALE_COLS)
+
+
+@query("stratified_split", S.BASE_DAILY + f"""
+, r AS (SELECT {", ".join(SK)}, {TARGET},
+          row_number() OVER (PARTITION BY {TARGET} ORDER BY {", ".join(SK)}) AS pos,
+          count(*) OVER (PARTITION BY {TARGET}) AS n
+        FROM daily)
+SELECT {", ".join(SK)}, {TARGET},
+       CASE WHEN pos <= n - ceil(n * CAST(0.2 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
+FROM r""")
+def stratified_split(spark, sf):
+    d = P.daily(spark, sf).select(*SK, TARGET)
+    return MP.stratified_split(d, TARGET)
+
+
+@query("eval_rows", S.BASE_DAILY + "\nSELECT " + ", ".join(SK + EVAL_FEATURES + [TARGET]) +
+       " FROM daily WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in EVAL_FEATURES + [TARGET]))
+def eval_rows(spark, sf):
+    return P.daily(spark, sf).select(*SK, *EVAL_FEATURES, TARGET).dropna(subset=EVAL_FEATURES + [TARGET])
+
+
+@query("sample_rows")
+def sample_rows(spark, sf):
+    return MP.sample_rows(P.daily(spark, sf), 1000, SK)
+
+
+CORR_SQL = S.BASE_DAILY + ", corr AS (\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS feature, round(covar_pop(CAST({c} AS DOUBLE), CAST({TARGET} AS DOUBLE))
+   / NULLIF(stddev_pop(CAST({c} AS DOUBLE)) * stddev_pop(CAST({TARGET} AS DOUBLE)), 0), 6) AS correlation FROM daily"""
+    for c in FEATURES) + ")"
+
+
+@query("target_correlation", CORR_SQL + "\nSELECT * FROM corr")
+def target_correlation(spark, sf):
+    return MP.target_correlation(P.daily(spark, sf), TARGET, FEATURES)
+
+
+@query("top_features", CORR_SQL + "\nSELECT * FROM corr WHERE correlation IS NOT NULL "
+       "ORDER BY abs(correlation) DESC, feature LIMIT 6")
+def top_features(spark, sf):
+    return MP.top_features(MP.target_correlation(P.daily(spark, sf), TARGET, FEATURES))
+
+
+# ---- I: evaluation on rule scores --------------------------------------------
+
+SCORED = S.BASE_DAILY + f""",
+scored AS (
+  SELECT *, CAST({TARGET} AS INTEGER) AS label,
+         least(greatest(customer_risk_score_mean / CAST({SC.MAX_RISK} AS DOUBLE), CAST(0 AS DOUBLE)),
+               CAST(1 AS DOUBLE)) AS probability
+  FROM daily),
+pred AS (SELECT *, CAST(probability > CAST(0.5 AS DOUBLE) AS INTEGER) AS prediction FROM scored)"""
+
+
+def _scored(spark, sf):
+    return SC.rule_scores(P.daily(spark, sf), TARGET)
+
+
+@query("confusion_matrix", SCORED + """
+, g AS (SELECT a.actual, p.predicted FROM (VALUES (0), (1)) a(actual), (VALUES (0), (1)) p(predicted)),
+c AS (SELECT label AS actual, prediction AS predicted, count(*) AS n FROM pred GROUP BY ALL)
+SELECT g.actual, g.predicted, CAST(COALESCE(c.n, 0) AS BIGINT) AS n
+FROM g LEFT JOIN c ON g.actual = c.actual AND g.predicted = c.predicted""")
+def confusion_matrix(spark, sf):
+    return EV.confusion_matrix(_scored(spark, sf))
+
+
+CLASS_REPORT_SQL = SCORED + """
+, cr0 AS (
+  SELECT c.class,
+         count(*) FILTER (WHERE label = c.class AND prediction = c.class) AS tp,
+         count(*) FILTER (WHERE prediction = c.class) AS pred_n,
+         count(*) FILTER (WHERE label = c.class) AS support
+  FROM (VALUES (0), (1)) c(class), pred GROUP BY c.class),
+cr1 AS (SELECT class, COALESCE(tp / NULLIF(pred_n, 0), 0) AS precision,
+               COALESCE(tp / NULLIF(support, 0), 0) AS recall, support FROM cr0),
+cr AS (SELECT class, precision, recall,
+              COALESCE(2 * precision * recall / NULLIF(precision + recall, 0), 0) AS f1_score, support FROM cr1)"""
+
+
+@query("class_report", CLASS_REPORT_SQL + "\nSELECT * FROM cr")
+def class_report(spark, sf):
+    return EV.class_report(_scored(spark, sf))
+
+
+@query("weighted_metrics", CLASS_REPORT_SQL + """
+SELECT round((SELECT count(*) FILTER (WHERE label = prediction) / count(*) FROM pred), 9) AS accuracy,
+       round(sum(precision * support) / sum(support), 9) AS precision,
+       round(sum(recall * support) / sum(support), 9) AS recall,
+       round(sum(f1_score * support) / sum(support), 9) AS f1_score
+FROM cr""")
+def weighted_metrics(spark, sf):
+    return EV.weighted_metrics(_scored(spark, sf))
+
+
+SCORE_COUNTS_SQL = """
+, sc AS (SELECT probability AS score, CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS pos,
+                CAST(count(*) FILTER (WHERE label <> 1) AS BIGINT) AS neg FROM scored GROUP BY probability)"""
+
+
+@query("roc_points", SCORED + SCORE_COUNTS_SQL + """
+SELECT score AS threshold,
+       sum(neg) OVER (ORDER BY score DESC) / (SELECT sum(neg) FROM sc) AS fpr,
+       sum(pos) OVER (ORDER BY score DESC) / (SELECT sum(pos) FROM sc) AS tpr
+FROM sc""")
+def roc_points(spark, sf):
+    return EV.roc_points(_scored(spark, sf))
+
+
+AUC_SQL = SCORED + SCORE_COUNTS_SQL + """
+, mr AS (SELECT pos, neg, sum(pos + neg) OVER (ORDER BY score) - (pos + neg) + (pos + neg + 1) / 2 AS midrank FROM sc)
+SELECT (sum(pos * midrank) - sum(pos) * (sum(pos) + 1) / 2) / NULLIF(sum(pos) * sum(neg), 0) AS auc FROM mr"""
+
+
+@query("roc_auc", AUC_SQL)
+def roc_auc(spark, sf):
+    return EV.roc_auc(_scored(spark, sf))
+
+
+@query("model_score", SCORED + SCORE_COUNTS_SQL + f"""
+, mr AS (SELECT pos, neg, sum(pos + neg) OVER (ORDER BY score) - (pos + neg) + (pos + neg + 1) / 2 AS midrank FROM sc),
+a AS (SELECT (sum(pos * midrank) - sum(pos) * (sum(pos) + 1) / 2) / NULLIF(sum(pos) * sum(neg), 0) AS auc FROM mr),
+acc AS (SELECT count(*) FILTER (WHERE label = prediction) / count(*) AS accuracy FROM pred)
+SELECT '{TARGET}' AS target, 'classification' AS task, round(COALESCE(a.auc, acc.accuracy), 9) AS score FROM a, acc""")
+def model_score(spark, sf):
+    sc = _scored(spark, sf)
+    auc = EV.roc_auc(sc)
+    acc = sc.agg(F.try_divide(F.count_if(F.col("label") == F.col("prediction")), F.count(F.lit(1))).alias("accuracy"))
+    return auc.crossJoin(acc).select(F.lit(TARGET).alias("target"), F.lit("classification").alias("task"),
+                                     F.round(F.coalesce("auc", "accuracy"), 9).alias("score"))
+
+
+@query("regression_metrics", S.BASE_DAILY + """
+, rp AS (SELECT energy_loss_kwh_sum AS y, expected_energy_kwh_sum * CAST(0.25 AS DOUBLE) AS p FROM daily)
+SELECT round(avg(abs(y - p)), 9) AS mae, round(avg((y - p) * (y - p)), 9) AS mse,
+       round(sqrt(avg((y - p) * (y - p))), 9) AS rmse,
+       round(1 - sum((y - p) * (y - p)) / NULLIF(sum((y - (SELECT avg(y) FROM rp)) * (y - (SELECT avg(y) FROM rp))), 0), 9)
+         AS r2_score
+FROM rp""")
+def regression_metrics(spark, sf):
+    d = P.daily(spark, sf).select(F.col("energy_loss_kwh_sum").alias("label"),
+                                  (F.col("expected_energy_kwh_sum") * 0.25).alias("prediction"))
+    return EV.regression_metrics(d)
+
+
+@query("risk_histogram", SCORED + """
+, rg AS (SELECT min(probability) AS lo, max(probability) AS hi FROM scored),
+b AS (SELECT probability, CASE WHEN hi - lo = 0 THEN 1
+             ELSE least(CAST(floor((probability - lo) * 30 / (hi - lo)) AS INTEGER) + 1, 30) END AS bin
+      FROM scored, rg)
+SELECT bin, count(*) AS n, min(probability) AS min_score, max(probability) AS max_score,
+       count(*) FILTER (WHERE probability > CAST(0.8 AS DOUBLE)) AS n_above_marker
+FROM b GROUP BY bin""")
+def risk_histogram(spark, sf):
+    return EV.risk_histogram(_scored(spark, sf))
+
+
+@query("actual_vs_pred", SCORED + "\nSELECT " + ", ".join(SK) + ", label, probability, prediction FROM pred")
+def actual_vs_pred(spark, sf):
+    return _scored(spark, sf).select(*SK, "label", "probability", "prediction")
+
+
+# ---- J: derivation, validation, risk, forecasts --------------------------------
+
+BATCH_SQL = """
+, batch AS (
+  SELECT meter_id_, date_, fault_type_,
+    v_agg_mean * i_agg_mean AS base__total_watt, CAST(supply_hours AS DOUBLE) AS base__time_usage,
+    v_agg_mean AS base__v_agg_mean, i_agg_mean AS base__i_agg_mean, power_factor_mean AS base__power_factor_mean,
+    expected_energy_kwh_sum AS base__expected, energy_consumed_kwh_sum AS base__consumed,
+    energy_loss_kwh_sum AS base__energy_loss, supply_voltage_flag_sum AS base__supply_voltage_flag_sum,
+    uptime_flag_sum AS base__uptime_flag_sum, anomaly_summary_note AS direct__anomaly_summary_note
+  FROM daily)"""
+
+
+@query("derive_features", S.BASE_DAILY + BATCH_SQL + f"""
+SELECT meter_id_, date_, fault_type_, direct__anomaly_summary_note,
+  (base__total_watt * base__time_usage) / 1000 AS expected_energy_kwh_sum,
+  (base__v_agg_mean * base__i_agg_mean * base__power_factor_mean) / 1000 AS expected_energy_pf_calc_sum,
+  base__expected - base__consumed AS energy_loss_kwh_sum,
+  base__energy_loss * CAST({K.TARIFF_BY_BAND['C']} AS DOUBLE) AS revenue_loss_sum,
+  COALESCE(base__energy_loss / NULLIF(base__expected, 0), 0) AS energy_loss_ratio,
+  COALESCE(base__consumed / NULLIF(base__expected, 0), 0) AS energy_efficiency_ratio,
+  CAST(base__supply_voltage_flag_sum AS DOUBLE) AS supply_hours,
+  CAST(base__uptime_flag_sum AS DOUBLE) AS uptime_hours
+FROM batch""")
+def derive_features(spark, sf):
+    return SC.derive_features(SC.batch_from_daily(P.daily(spark, sf)), band="C")
+
+
+@query("appliance_features", S.BASE_DAILY + """
+, ap AS (SELECT meter_id_, date_, fault_type_, ((v_agg_mean * i_agg_mean) * supply_hours) / 1000 AS e,
+                tariff_per_kwh_mean AS t FROM daily),
+ap2 AS (SELECT *, e * CAST(0.9 AS DOUBLE) AS c FROM ap),
+ap3 AS (SELECT *, e - c AS l FROM ap2)
+SELECT meter_id_, date_, fault_type_, e AS a_expected_energy_kwh_sum, c AS a_energy_consumed_kwh_sum,
+  l AS a_energy_loss_kwh_sum, l * t AS a_revenue_loss_sum,
+  COALESCE(l / NULLIF(e, 0), 0) AS a_energy_loss_ratio, COALESCE(c / NULLIF(e, 0), 0) AS a_energy_efficiency_ratio,
+  (l * t) * CAST(1.1 AS DOUBLE) AS a_tamper_cost_estimate_sum
+FROM ap3""")
+def appliance_features(spark, sf):
+    d = P.daily(spark, sf).select(*SK, "v_agg_mean", "i_agg_mean", "supply_hours", "tariff_per_kwh_mean")
+    out = SC.appliance_features(d, F.col("v_agg_mean") * F.col("i_agg_mean"), F.col("supply_hours"),
+                                F.col("tariff_per_kwh_mean"))
+    return out.drop("v_agg_mean", "i_agg_mean", "supply_hours", "tariff_per_kwh_mean")
+
+
+BATCH_TEMPLATE = SC.required_inputs(SC.DERIVED + ["anomaly_summary_note"])
+_BATCH_VALUE_COLS = ["base__total_watt", "base__time_usage", "base__v_agg_mean", "base__i_agg_mean",
+                     "base__power_factor_mean", "base__expected", "base__consumed", "base__energy_loss",
+                     "base__supply_voltage_flag_sum", "base__uptime_flag_sum", "direct__anomaly_summary_note"]
+
+
+@query("batch_validation", S.BASE_DAILY + BATCH_SQL + "\n" + "\nUNION ALL\n".join(
+    ["SELECT 'row_limit' AS error, CAST(NULL AS VARCHAR) AS \"column\", count(*) AS count FROM batch "
+     "HAVING count(*) > 10000"] +
+    [f"SELECT 'missing_column', '{m}', CAST(0 AS BIGINT)" for m in sorted(set(BATCH_TEMPLATE) - set(_BATCH_VALUE_COLS))] +
+    [f"SELECT 'non_numeric', '{c}', count(*) FROM batch WHERE {c} IS NOT NULL AND "
+     f"TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL HAVING count(*) > 0" for c in _BATCH_VALUE_COLS]))
+def batch_validation(spark, sf):
+    return SC.batch_validation(SC.batch_from_daily(P.daily(spark, sf)), BATCH_TEMPLATE)
+
+
+RISK_SQL = SCORED + """
+, risk AS (
+  SELECT *, least(greatest(probability * 100, CAST(0 AS DOUBLE)), CAST(100 AS DOUBLE)) AS risk_score_pct FROM pred),
+risk2 AS (
+  SELECT *, 100 - risk_score_pct AS confidence_score_pct,
+         CASE WHEN prediction = 1 THEN 'Anomaly Detected: Possible Tamper/Fault!'
+              ELSE 'No Anomaly Detected: Operation Healthy.' END AS risk_text,
+         CAST(risk_score_pct > 80 AS INTEGER) AS risk_alert
+  FROM risk)"""
+RISK_COLS = SK + ["probability", "risk_score_pct", "confidence_score_pct", "prediction", "risk_text", "risk_alert"]
+
+
+def _risk(spark, sf):
+    return SC.risk_scores(_scored(spark, sf))
+
+
+@query("risk_scores", RISK_SQL + "\nSELECT " + ", ".join(RISK_COLS) + " FROM risk2")
+def risk_scores(spark, sf):
+    return _risk(spark, sf).select(*RISK_COLS)
+
+
+@query("risk_bands", RISK_SQL + """
+SELECT CASE WHEN risk_score_pct > 80 THEN 'High Risk (>80%)' ELSE 'Low/Moderate Risk (<=80%)' END AS risk_category,
+       count(*) AS count
+FROM risk2 GROUP BY 1""")
+def risk_bands(spark, sf):
+    return SC.risk_bands(_risk(spark, sf))
+
+
+TOP_RISK_SQL = RISK_SQL + ", top AS (SELECT * FROM risk2 ORDER BY risk_score_pct DESC, " + ", ".join(SK) + " LIMIT 20)"
+
+
+@query("top_risk", TOP_RISK_SQL + "\nSELECT " + ", ".join(SK) + ", risk_score_pct FROM top")
+def top_risk(spark, sf):
+    return SC.top_risk(_risk(spark, sf)).select(*SK, "risk_score_pct")
+
+
+@query("high_risk", SCORED + "\nSELECT " + ", ".join(SK) + ", probability FROM scored WHERE probability > CAST(0.8 AS DOUBLE)")
+def high_risk(spark, sf):
+    return _scored(spark, sf).where(F.col("probability") > K.HIGH_RISK_PROB).select(*SK, "probability")
+
+
+@query("fleet_risk_status", SCORED + """
+, fr AS (SELECT avg(CAST(probability > CAST(0.8 AS DOUBLE) AS INTEGER)) * 100 AS high_risk_pct FROM scored)
+SELECT high_risk_pct, CASE WHEN high_risk_pct > 50 THEN 'high' WHEN high_risk_pct > 20 THEN 'moderate'
+                           ELSE 'low' END AS status FROM fr""")
+def fleet_risk_status(spark, sf):
+    return SC.fleet_status(_scored(spark, sf))
+
+
+FORECAST_SQL = TOP_RISK_SQL + """
+, fc0 AS (SELECT meter_id_, date_, fault_type_, prediction,
+                 CASE WHEN prediction = 1 THEN revenue_loss_sum ELSE expected_energy_kwh_sum * tariff_per_kwh_mean END
+                   AS projected_value, r.i
+          FROM top CROSS JOIN range(0, 72) r(i)),
+fc AS (SELECT meter_id_, date_, fault_type_, prediction, CAST(i + 1 AS INTEGER) AS hour_no,
+              CAST(date_ AS TIMESTAMP) + to_hours(i) AS hour, projected_value,
+              projected_value * CAST(0.8 AS DOUBLE) AS lower_bound, projected_value * CAST(1.2 AS DOUBLE) AS upper_bound
+       FROM fc0)"""
+
+
+def _forecast(spark, sf):
+    return SC.impact_forecast(SC.top_risk(_risk(spark, sf)))
+
+
+@query("impact_forecast", FORECAST_SQL + "\nSELECT * FROM fc")
+def impact_forecast(spark, sf):
+    return _forecast(spark, sf)
+
+
+@query("risk_forecast")
+def risk_forecast(spark, sf):
+    return SC.risk_forecast(SC.top_risk(_risk(spark, sf)))
+
+
+@query("forecast_melt", FORECAST_SQL + """
+SELECT meter_id_, date_, fault_type_, hour_no, series, value
+FROM fc UNPIVOT (value FOR series IN (projected_value, lower_bound, upper_bound))""")
+def forecast_melt(spark, sf):
+    return SC.forecast_melt(_forecast(spark, sf))
+
+
+@query("forecast_summary", FORECAST_SQL + """
+SELECT meter_id_, date_, fault_type_, prediction, round(avg(projected_value), 6) AS mean_projected,
+       max(CASE WHEN prediction = 1 AND hour_no = 13 THEN hour END) AS recovery_mark
+FROM fc GROUP BY meter_id_, date_, fault_type_, prediction""")
+def forecast_summary(spark, sf):
+    return SC.forecast_summary(_forecast(spark, sf))
