@@ -61,8 +61,9 @@ def stratified_split(daily: DataFrame, label: str, test_size: float = 0.2,
     """Exact per-class split: within each class the first
     ``n_c - ceil(test_size * n_c)`` rows in ``order`` go to train."""
     order = order or SPLIT_KEYS
-    counts = daily.groupBy(label).agg(F.count(F.lit(1)).alias("__n_class"))
     ranked = positions(daily, order, [label], name="__pos")
+    # counted from the checkpointed ranking, not by re-deriving the input
+    counts = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("__n_class"))
     out = ranked.join(F.broadcast(counts), label)  # one row per class
     n_train = F.col("__n_class") - F.ceil(F.col("__n_class") * test_size)
     return out.withColumn("split", F.when(F.col("__pos") <= n_train, "train").otherwise("test")) \

@@ -825,3 +825,152 @@ SELECT meter_id_, date_, fault_type_, prediction, round(avg(projected_value), 6)
 FROM fc GROUP BY meter_id_, date_, fault_type_, prediction""")
 def forecast_summary(spark, sf):
     return SC.forecast_summary(_forecast(spark, sf))
+
+
+# ---- H: MLlib training (rows-only checks; seeded, reproducible) ---------------
+
+import functools  # noqa: E402
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from gridlens.operators import train as TR  # noqa: E402
+
+REG_TARGET = "energy_loss_kwh_sum"
+
+
+def _train_query(name: str, target: str, algorithm: str):
+    @query(name)
+    def fn(spark, sf):
+        _, pred, _ = TR.train_and_predict(P.daily(spark, sf), target, algorithm)
+        return pred
+    return fn
+
+
+_train_query("train_logistic", TARGET, "logistic")
+_train_query("train_rf_cls", TARGET, "randomforest")
+_train_query("train_gbt_cls", TARGET, "xgboost")
+_train_query("train_vote_cls", TARGET, "ensemble")
+_train_query("train_mlp_cls", TARGET, "mlp")
+_train_query("train_rf_reg", REG_TARGET, "randomforest")
+_train_query("train_gbt_reg", REG_TARGET, "xgboost")
+_train_query("train_linear", REG_TARGET, "linear")
+_train_query("train_vote_reg", REG_TARGET, "ensemble")
+
+
+@query("linear_1d", S.BASE_DAILY + """
+SELECT round(regr_slope(energy_loss_kwh_sum, expected_energy_kwh_sum), 6) AS slope,
+       round(regr_intercept(energy_loss_kwh_sum, expected_energy_kwh_sum), 6) AS intercept
+FROM daily""")
+def linear_1d(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    d = P.daily(spark, sf).select(F.col("expected_energy_kwh_sum").alias("x"), F.col(REG_TARGET).alias("label"))
+    va = VectorAssembler(inputCols=["x"], outputCol="features")
+    m = LinearRegression(regParam=0.0, solver="normal").fit(va.transform(d))
+    return spark.createDataFrame([(float(m.coefficients[0]), float(m.intercept))], "slope double, intercept double") \
+        .select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+
+
+@query("grid_search")
+def grid_search(spark, sf):
+    return TR.grid_search(P.daily(spark, sf), TARGET, algorithm="logistic")
+
+
+@functools.lru_cache(maxsize=4)
+def _store_with_runs(sf: str) -> str:
+    """A fresh model store with two trained models, one batch score and their logs."""
+    from pyspark.sql import SparkSession
+    spark = SparkSession.getActiveSession()
+    store = os.path.join(TR.store_dir(spark), f"runs-{uuid.uuid4().hex[:8]}")
+    daily = P.daily(spark, sf)
+    TR.train_pipeline(daily, TARGET, "logistic", store=store)
+    TR.train_pipeline(daily, REG_TARGET, "linear", store=store)
+    TR.train_pipeline(daily, TARGET, "mlp", category="rl", store=store)  # logged as skipped
+    return store
+
+
+def _registry(spark, sf):
+    return spark.read.parquet(os.path.join(_store_with_runs(sf), "registry"))
+
+
+@query("train_pipeline")
+def train_pipeline_q(spark, sf):
+    store = _store_with_runs(sf)
+    return spark.read.parquet(os.path.join(store, "train_log"))
+
+
+def _batch_scores(spark, sf):
+    reg = TR.registry_latest(_registry(spark, sf)).where(F.col("target") == TARGET).first()
+    models = TR.load_models(reg["path"], reg["members"])
+    daily = P.daily(spark, sf)
+    rows = daily.select(*MP.SPLIT_KEYS, *[F.col(c).cast("double").alias(c) for c in reg["features"]],
+                        F.col(TARGET).cast("double").alias("label"))
+    return TR.batch_score(models, rows, "classification"), reg["path"]
+
+
+@query("batch_score")
+def batch_score(spark, sf):
+    scored, path = _batch_scores(spark, sf)
+    out = SC.risk_scores(scored)
+    return out
+
+
+def _metrics_table(spark, sf):
+    """Evaluate every registered model on its test split -> metrics table."""
+    daily = P.daily(spark, sf)
+    tables = []
+    for r in _registry(spark, sf).orderBy("run_ts", "path").collect():  # one row per trained model
+        task = K.TASKS[r["target"]]
+        sp = TR.split(daily, r["target"], task, list(r["features"]))
+        pred = TR.predict(TR.load_models(r["path"], r["members"]), sp.where(F.col("split") == "test"), task)
+        tables.append(TR.metrics_row(pred, r["target"], task, os.path.basename(r["path"])))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+@query("evaluate_all")
+def evaluate_all(spark, sf):
+    return _metrics_table(spark, sf)
+
+
+@query("compare_models")
+def compare_models(spark, sf):
+    from pyspark.sql import Window
+    m = _metrics_table(spark, sf)
+    m = m.withColumn("display_name", F.concat_ws(" | ", "target", "model_type", "model_file")) \
+        .dropDuplicates(["display_name"])
+    metric_cols = ["accuracy", "precision", "recall", "f1_score", "mae", "mse", "rmse", "r2_score"]
+    w = Window.partitionBy(F.lit(1))  # the metrics table has one row per model
+    return m.select("display_name", "task", *[
+        F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)).alias(c)
+        for c in metric_cols])
+
+
+@query("recent_trainings")
+def recent_trainings(spark, sf):
+    log = spark.read.parquet(os.path.join(_store_with_runs(sf), "train_log"))
+    return log.orderBy(F.col("timestamp").desc(), "target", "algorithm").limit(5) \
+        .select("timestamp", "target", "algorithm", "model_type", "status", "score")
+
+
+@query("recent_predictions")
+def recent_predictions(spark, sf):
+    scored, path = _batch_scores(spark, sf)
+    store = _store_with_runs(sf)
+    TR.log_prediction(spark, os.path.basename(path), scored.count(), "daily_summary", store)
+    log = spark.read.parquet(os.path.join(store, "predict_log"))
+    return log.orderBy(F.col("timestamp").desc(), "model_used").limit(5)
+
+
+@query("registry_latest")
+def registry_latest(spark, sf):
+    return TR.registry_latest(_registry(spark, sf)).select("target", "algorithm", "category", "tuned", "run_ts", "path")
+
+
+@query("metrics_for_model")
+def metrics_for_model(spark, sf):
+    m = _metrics_table(spark, sf)
+    first = TR.registry_latest(_registry(spark, sf)).where(F.col("target") == TARGET).first()
+    return m.where(F.col("model_file").contains(os.path.basename(first["path"])))
