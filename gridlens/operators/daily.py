@@ -36,30 +36,35 @@ def measure_columns():
 
 
 def rollup(engineered: DataFrame) -> DataFrame:
-    """Aggregate only (E1-E6): keys flattened with a trailing underscore."""
-    keyed = engineered.dropna(subset=K.DAILY_KEYS)
-    out = keyed.groupBy(*K.DAILY_KEYS).agg(*measure_columns())
-    return out.withColumnsRenamed({k: k + "_" for k in K.DAILY_KEYS})
+    """Aggregate only (E1-E6): keys flattened with a trailing underscore;
+    rows with a NULL key are dropped (pandas groupby semantics)."""
+    keyed = engineered.where(F.greatest(*[F.col(k).isNull() for k in K.DAILY_KEYS]) == F.lit(False))
+    out = keyed.groupBy(*[F.col(k).alias(k + "_") for k in K.DAILY_KEYS]).agg(*measure_columns())
+    return out
 
 
-def with_kpis(agg: DataFrame) -> DataFrame:
-    """E7-E11 derived columns."""
-    out = agg.withColumns({
-        "fault_detected": C.flag(F.col("fault_flag_sum") > 0),
-        "tamper_detected": C.flag(F.col("tamper_flag_sum") > 0),
+def kpi_exprs() -> dict:
+    """E7-E11 derived columns as composed expressions."""
+    fault_d = C.flag(F.col("fault_flag_sum") > 0)
+    tamper_d = C.flag(F.col("tamper_flag_sum") > 0)
+    cat = C.daily_anomaly_category(fault_d, tamper_d, F.col("energy_loss_flag_sum"), F.col("load_gap_flag_sum"))
+    score = C.daily_severity(fault_d, tamper_d, F.col("energy_loss_flag_sum"), F.col("load_gap_flag_sum"),
+                             F.col("service_availability_ratio_mean"))
+    return {
+        "fault_detected": fault_d,
+        "tamper_detected": tamper_d,
         "energy_loss_ratio": C.safe_ratio(F.col("energy_loss_kwh_sum"), F.col("expected_energy_kwh_sum")),
         "supply_hours": F.col("supply_voltage_flag_sum"),
         "uptime_hours": F.col("uptime_flag_sum"),
         "energy_efficiency_ratio": C.safe_ratio(F.col("energy_consumed_kwh_sum"), F.col("expected_energy_kwh_sum")),
-    })
-    out = out.withColumn("anomaly_category", C.daily_anomaly_category(
-        F.col("fault_detected"), F.col("tamper_detected"),
-        F.col("energy_loss_flag_sum"), F.col("load_gap_flag_sum")))
-    out = out.withColumn("anomaly_severity_score", C.daily_severity(
-        F.col("fault_detected"), F.col("tamper_detected"), F.col("energy_loss_flag_sum"),
-        F.col("load_gap_flag_sum"), F.col("service_availability_ratio_mean")))
-    return out.withColumn("anomaly_summary_note", C.daily_note(
-        F.col("anomaly_category"), F.col("anomaly_severity_score")))
+        "anomaly_category": cat,
+        "anomaly_severity_score": score,
+        "anomaly_summary_note": C.daily_note(cat, score),
+    }
+
+
+def with_kpis(agg: DataFrame) -> DataFrame:
+    return agg.select("*", *[v.alias(k) for k, v in kpi_exprs().items()])
 
 
 def daily_summary(engineered: DataFrame) -> DataFrame:

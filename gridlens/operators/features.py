@@ -35,55 +35,63 @@ ENGINEERED_EXTRA = [
 ]
 
 
-def time_features(df: DataFrame) -> DataFrame:
+def time_exprs() -> dict:
     ts = F.col("timestamp")
-    return df.withColumns({
-        "hour": F.hour(ts), "day": F.dayofmonth(ts), "month": F.month(ts),
-        "weekday": F.weekday(ts), "date": F.to_date(ts),
-    })
+    return {"hour": F.hour(ts), "day": F.dayofmonth(ts), "month": F.month(ts),
+            "weekday": F.weekday(ts), "date": F.to_date(ts)}
 
 
-def scalar_features(df: DataFrame) -> DataFrame:
-    """Row-local rules C1-C3, C5-C10, C12 (no windows)."""
+def time_features(df: DataFrame) -> DataFrame:
+    return df.withColumns(time_exprs())
+
+
+def scalar_exprs() -> dict:
+    """Row-local rules C1-C3, C5-C10 as composed Column expressions (one
+    ``select`` instead of a chain of ``withColumn`` calls)."""
     v, i, pf = F.col("v_agg"), F.col("i_agg"), F.col("power_factor")
+    tx = F.col("data_transmitted")
     supply = C.flag(v > K.SUPPLY_VOLTAGE)
-    out = df.withColumn("supply_voltage_flag", supply)
-    out = out.withColumns({
-        "uptime_flag": C.flag((F.col("supply_voltage_flag") == 1) & (F.col("data_transmitted") == 1)),
-        "expected_energy_pf_calc": (v * i * pf) / 1000,
-        "energy_loss_kwh": F.col("expected_energy_kwh") - F.col("energy_consumed_kwh"),
-        "high_vend_zone": C.flag(F.col("location_id").isin(*K.INDUSTRIAL_LOCATIONS) & (F.col("band") == "A")),
-        "supply_outage_flag": C.flag((F.col("supply_voltage_flag") == 0) & (F.col("data_transmitted") == 0)),
-    })
-    out = out.withColumns({
-        "revenue_loss": F.col("energy_loss_kwh") * F.col("tariff_per_kwh"),
-        "energy_loss_flag": C.flag(F.col("energy_loss_kwh") > K.LOSS_KWH),
-        "is_industrial": F.col("high_vend_zone"),
-        "load_generation_gap": F.col("expected_energy_pf_calc") - F.col("energy_consumed_kwh"),
-    })
-    out = out.withColumns({
+    pf_calc = (v * i * pf) / 1000
+    loss = F.col("expected_energy_kwh") - F.col("energy_consumed_kwh")
+    revenue = loss * F.col("tariff_per_kwh")
+    gap = pf_calc - F.col("energy_consumed_kwh")
+    zone = C.flag(F.col("location_id").isin(*K.INDUSTRIAL_LOCATIONS) & (F.col("band") == "A"))
+    return {
+        "supply_voltage_flag": supply,
+        "uptime_flag": C.flag((supply == 1) & (tx == 1)),
+        "expected_energy_pf_calc": pf_calc,
+        "energy_loss_kwh": loss,
+        "revenue_loss": revenue,
+        "energy_loss_flag": C.flag(loss > K.LOSS_KWH),
         # revenue_loss * tamper_flag for 0/1 flags, without a signed zero
-        "tamper_cost_estimate": F.when(F.col("tamper_flag") == 1, F.col("revenue_loss"))
+        "tamper_cost_estimate": F.when(F.col("tamper_flag") == 1, revenue)
                                  .when(F.col("tamper_flag") == 0, F.lit(0.0))
-                                 .otherwise(F.col("revenue_loss") * F.col("tamper_flag")),
-        "load_gap_flag": C.flag(F.abs(F.col("load_generation_gap"))
-                                > K.LOAD_GAP_SHARE * F.col("expected_energy_pf_calc")),
-    })
-    return out
+                                 .otherwise(revenue * F.col("tamper_flag")),
+        "high_vend_zone": zone,
+        "is_industrial": zone,
+        "supply_outage_flag": C.flag((supply == 0) & (tx == 0)),
+        "load_generation_gap": gap,
+        "load_gap_flag": C.flag(F.abs(gap) > K.LOAD_GAP_SHARE * pf_calc),
+    }
+
+
+def scalar_features(df: DataFrame) -> DataFrame:
+    return df.withColumns(scalar_exprs())
 
 
-def engineer(readings: DataFrame) -> DataFrame:
+def engineer(readings: DataFrame, prepartitioned: bool = False) -> DataFrame:
     """Fully engineered reading table (B4, C1-C12, D1-D10 on held readings)."""
-    df = meter_timeline(readings)
-    df = scalar_features(time_features(df))
-    df = df.withColumn("raw_fault_type", F.col("fault_type"))
-    df = df.withColumn("fault_type", C.fault_category(
-        F.col("fault_flag"), F.col("signal_strength_dbm"), F.col("v_agg"),
-        F.col("power_factor"), F.col("supply_voltage_flag"), F.col("energy_consumed_kwh")))
+    df = meter_timeline(readings, prepartitioned=prepartitioned)
+    t, x = time_exprs(), scalar_exprs()
     wd = day_window(ordered=False)
     fault_edge = (F.col("fault_flag") == 1) & (F.coalesce(F.col("__prev_fault_flag"), F.lit(0)) == 0)
     tamper_edge = (F.col("tamper_flag") == 1) & (F.coalesce(F.col("__prev_tamper_flag"), F.lit(0)) == 0)
-    df = df.withColumns({
+    fault, tamper = F.col("fault_flag"), F.col("tamper_flag")
+    outage, gapf = x["supply_outage_flag"], x["load_gap_flag"]
+    derived = {
+        **{k: v for k, v in t.items() if k != "date"},
+        **x,
+        "raw_fault_type": F.col("fault_type"),
         "pf_delta": F.coalesce(F.col("power_factor") - F.col("__prev_power_factor"), F.lit(0.0)),
         "prev_status": F.col("__prev_meter_status"),
         "status_change": ~F.col("meter_status").eqNullSafe(F.col("__prev_meter_status")),
@@ -91,16 +99,16 @@ def engineer(readings: DataFrame) -> DataFrame:
         "tamper_start": tamper_edge.cast("int"),
         "fault_timestamp": F.when(fault_edge, F.col("timestamp")),
         "tamper_timestamp": F.when(tamper_edge, F.col("timestamp")),
-        "supply_hour_counter": F.sum("supply_voltage_flag").over(wd),
-        "service_availability_ratio": F.sum("uptime_flag").over(wd) / 24,
-    })
-    df = df.withColumn("band_compliance", C.flag(
-        F.col("supply_hour_counter") >= F.coalesce(C.sla_hours(F.col("band")), F.lit(0))))
-    df = df.withColumn("band_compliance_max", F.max("band_compliance").over(wd))
-    df = df.withColumns({
-        "meter_anomaly_tag": C.reading_anomaly_tag(F.col("fault_flag"), F.col("tamper_flag"),
-                                                   F.col("supply_outage_flag"), F.col("load_gap_flag")),
-        "customer_risk_score": C.reading_risk_score(F.col("fault_flag"), F.col("tamper_flag"),
-                                                    F.col("supply_outage_flag"), F.col("load_gap_flag")),
-    })
-    return df.select(*READING_COLUMNS, "event_id", *ENGINEERED_EXTRA)
+        "supply_hour_counter": F.sum(x["supply_voltage_flag"]).over(wd),
+        "service_availability_ratio": F.sum(x["uptime_flag"]).over(wd) / 24,
+        "meter_anomaly_tag": C.reading_anomaly_tag(fault, tamper, outage, gapf),
+        "customer_risk_score": C.reading_risk_score(fault, tamper, outage, gapf),
+    }
+    fault_type = C.fault_category(fault, F.col("signal_strength_dbm"), F.col("v_agg"), F.col("power_factor"),
+                                  x["supply_voltage_flag"], F.col("energy_consumed_kwh"))
+    base_cols = [c for c in READING_COLUMNS if c != "fault_type"] + ["event_id", "date", "unresolved_fault_days"]
+    df = df.select(*base_cols, fault_type.alias("fault_type"), *[v.alias(k) for k, v in derived.items()])
+    compliance = C.flag(F.col("supply_hour_counter") >= F.coalesce(C.sla_hours(F.col("band")), F.lit(0)))
+    out = {"band_compliance": compliance, "band_compliance_max": F.max(compliance).over(wd)}
+    return df.select(*[out[c].alias(c) if c in out else F.col(c)
+                       for c in READING_COLUMNS + ["event_id"] + ENGINEERED_EXTRA])

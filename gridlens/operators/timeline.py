@@ -59,13 +59,15 @@ def within(ts: Column, rec: Column) -> Column:
     return F.coalesce(rec.isNotNull() & (elapsed <= rec["d"].cast("bigint") * _US_PER_HOUR), F.lit(False))
 
 
-def meter_timeline(readings: DataFrame, rolling_n: int = K.ROLLING_READINGS) -> DataFrame:
+def meter_timeline(readings: DataFrame, rolling_n: int = K.ROLLING_READINGS,
+                   prepartitioned: bool = False) -> DataFrame:
     """Readings (+ ``date``) with holds applied, ``meter_status`` recomputed,
     ``__prev_{power_factor,meter_status,fault_flag,tamper_flag}`` (previous
     reading of the meter) and ``unresolved_fault_days`` (rolling sum of the
     held fault flag over ``rolling_n`` readings, min_periods=1)."""
     cols = with_date(readings).columns
-    base = with_date(readings).repartition(METER, DAY)
+    # ``prepartitioned``: the caller already hash-partitioned by (meter_id, date)
+    base = with_date(readings) if prepartitioned else with_date(readings).repartition(METER, DAY)
     w = day_window()
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     f_raw = F.when(F.col("fault_flag") == 1, F.struct(
@@ -155,7 +157,7 @@ HOLD_OUTPUT = ["fault_flag", "fault_type", "fault_duration_hours", "tamper_flag"
                "tamper_duration_hours", "meter_status"]
 
 
-def apply_holds(readings: DataFrame) -> DataFrame:
+def apply_holds(readings: DataFrame, prepartitioned: bool = False) -> DataFrame:
     """Readings (+ date) with fault/tamper holds and recomputed meter_status."""
     cols = with_date(readings).columns
-    return meter_timeline(readings).select(*cols)
+    return meter_timeline(readings, prepartitioned=prepartitioned).select(*cols)

@@ -15,11 +15,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_holds(readings(spark, sf_dir))
+    return apply_holds(fixtures.readings(spark, sf_dir, partition_by_meter_day=True), prepartitioned=True)
 
 
 def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engineer(readings(spark, sf_dir))
+    return engineer(fixtures.readings(spark, sf_dir, partition_by_meter_day=True), prepartitioned=True)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
