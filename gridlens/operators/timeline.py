@@ -59,6 +59,26 @@ def within(ts: Column, rec: Column) -> Column:
     return F.coalesce(rec.isNotNull() & (elapsed <= rec["d"].cast("bigint") * _US_PER_HOUR), F.lit(False))
 
 
+def _within_sql(ts: str, rec: str) -> str:
+    return (f"coalesce(({rec}) IS NOT NULL AND unix_micros(CAST({ts} AS TIMESTAMP)) - "
+            f"unix_micros(CAST(({rec}).t AS TIMESTAMP)) <= CAST(({rec}).d AS BIGINT) * {_US_PER_HOUR}, false)")
+
+
+def _status_sql(fault: str, tamper: str, tx: str) -> str:
+    """faulty > tampered > inactive > healthy."""
+    return (f"CASE WHEN {fault} THEN 'faulty' WHEN {tamper} THEN 'tampered' "
+            f"WHEN {tx} = 0 THEN 'inactive' ELSE 'healthy' END")
+
+
+# The plan is written as SQL expression strings: a handful of selectExpr
+# calls instead of thousands of Column-builder calls from Python.
+_WD = "PARTITION BY meter_id, date"
+_W = _WD + " ORDER BY timestamp, event_id"
+_RUN = _W + " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_CW = "PARTITION BY meter_id ORDER BY date"
+_BEFORE = _CW + " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+
 def meter_timeline(readings: DataFrame, rolling_n: int = K.ROLLING_READINGS,
                    prepartitioned: bool = False) -> DataFrame:
     """Readings (+ ``date``) with holds applied, ``meter_status`` recomputed,
@@ -68,89 +88,70 @@ def meter_timeline(readings: DataFrame, rolling_n: int = K.ROLLING_READINGS,
     cols = with_date(readings).columns
     # ``prepartitioned``: the caller already hash-partitioned by (meter_id, date)
     base = with_date(readings) if prepartitioned else with_date(readings).repartition(METER, DAY)
-    w = day_window()
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f_raw = F.when(F.col("fault_flag") == 1, F.struct(
-        F.col("timestamp").alias("t"), F.col("fault_duration_hours").alias("d"),
-        F.col("fault_type").alias("ty")))
-    t_raw = F.when(F.col("tamper_flag") == 1, F.struct(
-        F.col("timestamp").alias("t"), F.col("tamper_duration_hours").alias("d")))
-    w1 = base.withColumns({
-        "__rn": F.row_number().over(w),
-        "__f_in": F.last(f_raw, ignorenulls=True).over(run),
-        "__t_in": F.last(t_raw, ignorenulls=True).over(run),
-        "__n_day": F.count(F.lit(1)).over(day_window(ordered=False)),
-    })
+    w1 = base.selectExpr(
+        "*", f"row_number() OVER ({_W}) AS __rn",
+        "last(CASE WHEN fault_flag = 1 THEN named_struct('t', timestamp, 'd', fault_duration_hours, "
+        f"'ty', fault_type) END, true) OVER ({_RUN}) AS __f_in",
+        "last(CASE WHEN tamper_flag = 1 THEN named_struct('t', timestamp, 'd', tamper_duration_hours) END, true) "
+        f"OVER ({_RUN}) AS __t_in",
+        f"count(1) OVER ({_WD}) AS __n_day")
 
     # ---- carry table: one row per meter-day --------------------------------
-    order = F.struct(*[F.col(c) for c in ORDER])
-    tail_item = F.struct(*[F.col(c) for c in ORDER], F.col("__f_in").alias("rec"))
     day = w1.groupBy(METER, DAY).agg(
-        F.max_by(F.struct(F.col("timestamp").alias("t"), F.col("power_factor").alias("pf"),
-                          F.col("data_transmitted").alias("tx"), F.col("__f_in").alias("f"),
-                          F.col("__t_in").alias("tm")), order).alias("__last"),
-        F.collect_list(F.when(F.col("__n_day") - F.col("__rn") < rolling_n - 1, tail_item)).alias("__tail"))
-    cw = Window.partitionBy(METER).orderBy(DAY)
-    before = cw.rowsBetween(Window.unboundedPreceding, -1)
-    c1 = day.select(
-        METER, DAY, "__tail",
-        F.last(F.col("__last")["f"], ignorenulls=True).over(before).alias("__f_carry"),
-        F.last(F.col("__last")["tm"], ignorenulls=True).over(before).alias("__t_carry"),
-        F.lag("__last").over(cw).alias("__prev_last"))
+        F.expr("max_by(named_struct('t', timestamp, 'pf', power_factor, 'tx', data_transmitted, "
+               "'f', __f_in, 'tm', __t_in), named_struct('ts', timestamp, 'id', event_id)) AS __last"),
+        F.expr(f"collect_list(CASE WHEN __n_day - __rn < {rolling_n - 1} THEN named_struct("
+               "'timestamp', timestamp, 'event_id', event_id, 'rec', __f_in) END) AS __tail"))
+    c1 = day.selectExpr(
+        "meter_id", "date", "__tail",
+        f"last(__last.f, true) OVER ({_BEFORE}) AS __f_carry",
+        f"last(__last.tm, true) OVER ({_BEFORE}) AS __t_carry",
+        f"lag(__last) OVER ({_CW}) AS __prev_last")
     # The record in force at the previous day's last reading is exactly this
     # day's carry-in, so the previous reading's held values follow directly.
-    prev = F.col("__prev_last")
-    prev_fault = within(prev["t"], F.col("__f_carry")).cast("int")
-    prev_tamper = within(prev["t"], F.col("__t_carry")).cast("int")
-    held_tail = F.array_sort(F.transform(F.col("__tail"), lambda x: F.struct(
-        x["timestamp"].alias("timestamp"), x["event_id"].alias("event_id"),
-        within(x["timestamp"], F.coalesce(x["rec"], F.col("__f_carry"))).cast("bigint").alias("v"))))
-    c2 = c1.select(
-        METER, DAY, "__f_carry", "__t_carry",
-        F.when(prev.isNotNull(), prev["pf"]).alias("__c_pf"),
-        F.when(prev.isNotNull(), prev_fault).alias("__c_fault"),
-        F.when(prev.isNotNull(), prev_tamper).alias("__c_tamper"),
-        F.when(prev.isNotNull(), C.meter_status(prev_fault, prev_tamper, prev["tx"])).alias("__c_status"),
-        held_tail.alias("__held_tail"))
-    carry = c2.select(
-        METER, DAY, "__f_carry", "__t_carry", "__c_pf", "__c_fault", "__c_tamper", "__c_status",
-        F.array_sort(F.flatten(F.collect_list("__held_tail").over(
-            cw.rowsBetween(-(rolling_n - 1), -1)))).alias("__hist"))
+    pf_on = _within_sql("__prev_last.t", "__f_carry")
+    pt_on = _within_sql("__prev_last.t", "__t_carry")
+    held_tail = ("array_sort(transform(__tail, x -> named_struct('timestamp', x.timestamp, 'event_id', x.event_id, "
+                 f"'v', CAST({_within_sql('x.timestamp', 'coalesce(x.rec, __f_carry)')} AS BIGINT))))")
+    c2 = c1.selectExpr(
+        "meter_id", "date", "__f_carry", "__t_carry",
+        "CASE WHEN __prev_last IS NOT NULL THEN __prev_last.pf END AS __c_pf",
+        f"CASE WHEN __prev_last IS NOT NULL THEN CAST({pf_on} AS INT) END AS __c_fault",
+        f"CASE WHEN __prev_last IS NOT NULL THEN CAST({pt_on} AS INT) END AS __c_tamper",
+        f"CASE WHEN __prev_last IS NOT NULL THEN {_status_sql(pf_on, pt_on, '__prev_last.tx')} END AS __c_status",
+        f"{held_tail} AS __held_tail")
+    hist = (f"array_sort(flatten(collect_list(__held_tail) OVER ({_CW} ROWS BETWEEN {rolling_n - 1} PRECEDING "
+            "AND 1 PRECEDING)))" if rolling_n > 1 else "CAST(NULL AS ARRAY<STRUCT<v: BIGINT>>)")
+    carry = c2.selectExpr(
+        "meter_id", "date", "__f_carry", "__t_carry", "__c_pf", "__c_fault", "__c_tamper", "__c_status",
+        f"{hist} AS __hist")
 
     # ---- back to readings ---------------------------------------------------
     j = w1.join(carry, [METER, DAY], "left")
-    f_rec = F.coalesce(F.col("__f_in"), F.col("__f_carry"))
-    t_rec = F.coalesce(F.col("__t_in"), F.col("__t_carry"))
-    f_on, t_on = within(F.col("timestamp"), f_rec), within(F.col("timestamp"), t_rec)
+    f_rec, t_rec = "coalesce(__f_in, __f_carry)", "coalesce(__t_in, __t_carry)"
+    f_on, t_on = _within_sql("timestamp", f_rec), _within_sql("timestamp", t_rec)
     replaced = {
-        "fault_flag": f_on.cast("int"),
-        "fault_type": F.when(f_on, f_rec["ty"]),
-        "fault_duration_hours": F.when(f_on, f_rec["d"]).otherwise(F.lit(0)).cast("int"),
-        "tamper_flag": t_on.cast("int"),
-        "tamper_duration_hours": F.when(t_on, t_rec["d"]).otherwise(F.lit(0)).cast("int"),
+        "fault_flag": f"CAST({f_on} AS INT)",
+        "fault_type": f"CASE WHEN {f_on} THEN ({f_rec}).ty END",
+        "fault_duration_hours": f"CAST(CASE WHEN {f_on} THEN ({f_rec}).d ELSE 0 END AS INT)",
+        "tamper_flag": f"CAST({t_on} AS INT)",
+        "tamper_duration_hours": f"CAST(CASE WHEN {t_on} THEN ({t_rec}).d ELSE 0 END AS INT)",
+        "meter_status": _status_sql(f_on, t_on, "data_transmitted"),
     }
     keep = ["__rn", "__c_pf", "__c_fault", "__c_tamper", "__c_status", "__hist"]
-    h = j.select(*[replaced[c].alias(c) if c in replaced else F.col(c) for c in cols], *keep)
-    h = h.withColumn("meter_status", C.meter_status(
-        F.col("fault_flag"), F.col("tamper_flag"), F.col("data_transmitted")))
-
-    first = F.col("__rn") == 1
-    need = F.lit(rolling_n) - F.col("__rn")
-    hist = F.col("__hist")
-    start = F.greatest(F.size(hist) - need + 1, F.lit(1))
-    from_before = F.when(
-        (F.col("__rn") < rolling_n) & hist.isNotNull(),
-        F.aggregate(F.slice(hist, start, need), F.lit(0).cast("bigint"), lambda acc, x: acc + x["v"]),
-    ).otherwise(F.lit(0).cast("bigint"))
-    out = h.withColumns({
-        "__prev_power_factor": F.when(first, F.col("__c_pf")).otherwise(F.lag("power_factor").over(w)),
-        "__prev_meter_status": F.when(first, F.col("__c_status")).otherwise(F.lag("meter_status").over(w)),
-        "__prev_fault_flag": F.when(first, F.col("__c_fault")).otherwise(F.lag("fault_flag").over(w)),
-        "__prev_tamper_flag": F.when(first, F.col("__c_tamper")).otherwise(F.lag("tamper_flag").over(w)),
-        "unresolved_fault_days": (F.sum("fault_flag").over(w.rowsBetween(-(rolling_n - 1), 0))
-                                  + from_before).cast("double"),
-    })
-    return out.drop(*keep)
+    h = j.selectExpr(*[f"{replaced[c]} AS {c}" if c in replaced else f"`{c}`" for c in cols], *keep)
+    n = rolling_n
+    from_before = (f"CASE WHEN __rn < {n} AND __hist IS NOT NULL THEN aggregate(slice(__hist, "
+                   f"greatest(size(__hist) - ({n} - __rn) + 1, 1), {n} - __rn), CAST(0 AS BIGINT), "
+                   "(acc, x) -> acc + x.v) ELSE CAST(0 AS BIGINT) END")
+    return h.selectExpr(
+        *[f"`{c}`" for c in cols],
+        f"CASE WHEN __rn = 1 THEN __c_pf ELSE lag(power_factor) OVER ({_W}) END AS __prev_power_factor",
+        f"CASE WHEN __rn = 1 THEN __c_status ELSE lag(meter_status) OVER ({_W}) END AS __prev_meter_status",
+        f"CASE WHEN __rn = 1 THEN __c_fault ELSE lag(fault_flag) OVER ({_W}) END AS __prev_fault_flag",
+        f"CASE WHEN __rn = 1 THEN __c_tamper ELSE lag(tamper_flag) OVER ({_W}) END AS __prev_tamper_flag",
+        f"CAST(sum(fault_flag) OVER ({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) + {from_before} "
+        "AS DOUBLE) AS unresolved_fault_days")
 
 
 HOLD_OUTPUT = ["fault_flag", "fault_type", "fault_duration_hours", "tamper_flag",
