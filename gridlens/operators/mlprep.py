@@ -1,8 +1,8 @@
 """Feature preparation on the daily summary.
 
 Statistics (means, std, correlations) are one aggregation pass producing a
-single row; that row is broadcast back (a 1-row bound) instead of using an
-``over ()`` window, which would put every row into one task.
+single row, used as a scalar subquery (no ``over ()`` window, which would
+put every row into one task, and no cross join).
 """
 
 from __future__ import annotations
@@ -40,20 +40,18 @@ def ml_matrix(daily: DataFrame, target: str, selected: list[str] | None = None)
 
 
 def impute_mean(daily: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
-    means = daily.agg(*[F.round(F.avg(c), digits).alias(f"__m_{c}") for c in cols])
-    out = daily.crossJoin(F.broadcast(means))  # one row
-    return out.select(*[c for c in daily.columns if c not in cols],
-                      *[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c) for c in cols])
+    means = daily.agg(F.struct(*[F.round(F.avg(c), digits).alias(c) for c in cols]).alias("m")).scalar()
+    return daily.select(*[c for c in daily.columns if c not in cols],
+                        *[F.coalesce(F.col(c).cast("double"), means[c]).alias(c) for c in cols])
 
 
 def standardize(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
     """(x - mean) / population std; a zero-variance column maps to 0."""
-    stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"__s_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(stats))  # one row
-    z = {c: F.round(F.when(F.col(f"__s_{c}") == 0, F.lit(0.0))
-                    .otherwise((F.col(c) - F.col(f"__m_{c}")) / F.col(f"__s_{c}")), digits) for c in cols}
-    return out.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
+    st = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                         *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).alias("st")).scalar()
+    z = {c: F.round(F.when(st[f"s_{c}"] == 0, F.lit(0.0))
+                    .otherwise((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]), digits) for c in cols}
+    return df.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 
 def stratified_split(daily: DataFrame, label: str, test_size: float = 0.2,

@@ -641,9 +641,9 @@ SELECT '{TARGET}' AS target, 'classification' AS task, round(COALESCE(a.auc, acc
 def model_score(spark, sf):
     sc = _scored(spark, sf)
     auc = EV.roc_auc(sc)
-    acc = sc.agg(F.try_divide(F.count_if(F.col("label") == F.col("prediction")), F.count(F.lit(1))).alias("accuracy"))
-    return auc.crossJoin(acc).select(F.lit(TARGET).alias("target"), F.lit("classification").alias("task"),
-                                     F.round(F.coalesce("auc", "accuracy"), 9).alias("score"))
+    acc = sc.agg(F.try_divide(F.count_if(F.col("label") == F.col("prediction")), F.count(F.lit(1)))).scalar()
+    return auc.select(F.lit(TARGET).alias("target"), F.lit("classification").alias("task"),
+                      F.round(F.coalesce(F.col("auc"), acc), 9).alias("score"))
 
 
 @query("regression_metrics", S.BASE_DAILY + """
