@@ -283,3 +283,24 @@ def registry_latest(registry: DataFrame) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy("target", "algorithm").orderBy(F.col("run_ts").desc(), F.col("path").desc())
     return registry.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+
+
+def train_sweep(daily: DataFrame, tasks: dict[str, str] | None = None, ml_algorithms: list[str] | None = None,
+                dl_algorithms: list[str] | None = None, tune: bool = True,
+                store: str | None = None) -> DataFrame:
+    """Task x algorithm sweep (H11): every target with every ML algorithm
+    (tuned) and the DL algorithm; pairs that do not apply to a task (e.g.
+    logistic on a regression target) are logged as failed runs.  Each fit is
+    a distributed MLlib job; the loop runs over models only.  Returns the
+    training log rows written by this sweep."""
+    spark = daily.sparkSession
+    store = store or store_dir(spark)
+    tasks = tasks or K.TASKS
+    ml_algorithms = ml_algorithms if ml_algorithms is not None else ["logistic", "randomforest", "xgboost", "ensemble"]
+    dl_algorithms = dl_algorithms if dl_algorithms is not None else ["mlp"]
+    for target in tasks:
+        for algo in ml_algorithms:
+            train_pipeline(daily, target, algo, "ml", tune=tune, store=store)
+        for algo in dl_algorithms:
+            train_pipeline(daily, target, algo, "dl", tune=False, store=store)
+    return spark.read.parquet(os.path.join(store, "train_log"))

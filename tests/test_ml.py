@@ -43,3 +43,17 @@ def test_invalid_pairs_are_logged(spark, tmpdir_path):
     assert not ok and msg == "Training skipped."
     statuses = sorted(r["status"] for r in spark.read.parquet(os.path.join(tmpdir_path, "train_log")).collect())
     assert statuses == ["failed", "skipped"]
+
+
+def test_train_sweep_logs_every_pair(spark, tmpdir_path):
+    daily = P.daily(spark, SF_SMALL)
+    log = TR.train_sweep(daily, {"tamper_detected": "classification", "energy_loss_kwh_sum": "regression"},
+                         ml_algorithms=["logistic", "linear"], dl_algorithms=["mlp"], tune=False,
+                         store=tmpdir_path)
+    rows = {(r["target"], r["algorithm"]): r["status"] for r in log.collect()}
+    assert rows[("tamper_detected", "logistic")] == "completed"
+    assert rows[("tamper_detected", "mlp")] == "completed"
+    assert rows[("energy_loss_kwh_sum", "linear")] == "completed"
+    assert rows[("tamper_detected", "linear")] == "failed"       # invalid pair
+    assert rows[("energy_loss_kwh_sum", "logistic")] == "failed"
+    assert rows[("energy_loss_kwh_sum", "mlp")] == "failed"
