@@ -49,19 +49,17 @@ def with_date(readings: DataFrame) -> DataFrame:
     return readings.withColumn(DAY, F.to_date("timestamp"))
 
 
-def _micros(ts: Column) -> Column:
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def within(ts: Column, rec: Column) -> Column:
-    """True when a hold record exists and ``ts`` is within its duration."""
-    elapsed = _micros(ts) - _micros(rec["t"])
+    """True when a hold record exists and ``ts`` is within its duration.
+    Elapsed time is measured on the naive timestamps (no time-zone or DST
+    shift from the session zone)."""
+    elapsed = F.timestamp_diff("MICROSECOND", rec["t"], ts)
     return F.coalesce(rec.isNotNull() & (elapsed <= rec["d"].cast("bigint") * _US_PER_HOUR), F.lit(False))
 
 
 def _within_sql(ts: str, rec: str) -> str:
-    return (f"coalesce(({rec}) IS NOT NULL AND unix_micros(CAST({ts} AS TIMESTAMP)) - "
-            f"unix_micros(CAST(({rec}).t AS TIMESTAMP)) <= CAST(({rec}).d AS BIGINT) * {_US_PER_HOUR}, false)")
+    return (f"coalesce(({rec}) IS NOT NULL AND timestampdiff(MICROSECOND, ({rec}).t, {ts}) "
+            f"<= CAST(({rec}).d AS BIGINT) * {_US_PER_HOUR}, false)")
 
 
 def _status_sql(fault: str, tamper: str, tx: str) -> str:

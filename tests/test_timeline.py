@@ -107,3 +107,27 @@ def test_engineered_has_reference_columns(spark):
               "load_generation_gap", "load_gap_flag", "service_availability_ratio",
               "unresolved_fault_days", "meter_anomaly_tag", "customer_risk_score"):
         assert c in df.columns
+
+
+def test_holds_ignore_session_time_zone(spark):
+    """Elapsed hours are measured on naive timestamps: a DST change in the
+    session zone must not move a hold boundary."""
+    t0 = dt.datetime(2024, 3, 10, 1, 30)
+    from gridlens.sources.io import READING_SCHEMA
+    base = dict(phase_type="three", v1=None, v2=None, v3=None, i1=None, i2=None, i3=None, v_agg=230.0,
+                i_agg=10.0, power_factor=0.9, energy_consumed_kwh=1.0, expected_energy_kwh=1.0,
+                signal_strength_dbm=-50.0, data_transmitted=1, tamper_flag=0, tamper_duration_hours=0,
+                meter_status="healthy", reading_gap_minutes=60, location_id="Ojo", feeder_id="F",
+                transformer_id="T", band="B", tariff_per_kwh=61.0, total_vended_amount=500.0,
+                expected_energy_from_vend=8.2, meter_id="M1")
+    rows = [dict(base, event_id=1, timestamp=t0, fault_flag=1, fault_duration_hours=1, fault_type="low_voltage"),
+            dict(base, event_id=2, timestamp=t0 + dt.timedelta(hours=2), fault_flag=0, fault_duration_hours=0,
+                 fault_type=None)]
+    df = spark.createDataFrame([tuple(r[f.name] for f in READING_SCHEMA.fields) for r in rows], READING_SCHEMA)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = {r["event_id"]: r["fault_flag"] for r in meter_timeline(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert got == {1: 1, 2: 0}
