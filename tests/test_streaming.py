@@ -72,3 +72,32 @@ def test_hold_stream_equals_batch_holds(spark, tmpdir_path):
     exp = sorted(map(tuple, apply_holds(batch).select(
         "event_id", "fault_flag", "fault_type", "tamper_flag", "meter_status").collect()))
     assert got == exp
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark, tmpdir_path):
+    """Day 2 is emitted in run 1; re-sending day 2 in run 2 (behind the
+    watermark) must not change it, while day 11 still flows."""
+    src = os.path.join(tmpdir_path, "src")
+    r = fixtures.readings(spark, SF_SMALL).withColumn("d", F.to_date("timestamp"))
+    r.where(F.col("d") <= F.lit("2024-01-10").cast("date")).drop("d").coalesce(1).write.parquet(src, mode="append")
+    out = os.path.join(tmpdir_path, "daily")
+
+    def run():
+        q = (J.daily_stream(J.tag_stream(J.read_stream(spark, src, max_files=1))).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", os.path.join(tmpdir_path, "ckpt"))
+             .outputMode("append").trigger(availableNow=True).start())
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    run()
+    day2 = F.col("date_") == F.lit("2024-01-02").cast("date")
+    first = sorted(map(tuple, spark.read.parquet(out).where(day2).collect()))
+    assert first
+    late = r.where(F.col("d").isin(F.lit("2024-01-02").cast("date"), F.lit("2024-01-11").cast("date"))).drop("d")
+    late.coalesce(1).write.parquet(src, mode="append")
+    run()
+    after = spark.read.parquet(out)
+    assert sorted(map(tuple, after.where(day2).collect())) == first
+    # day 11 is still open (its window closes only when later data arrives)
+    assert after.where(F.col("date_") == F.lit("2024-01-11").cast("date")).count() == 0
+    assert after.where(F.col("date_") == F.lit("2024-01-10").cast("date")).count() > 0
