@@ -123,8 +123,18 @@ def predict(models: list[PipelineModel], df: DataFrame, task: str) -> DataFrame:
     return out.drop(*[f"__s{i}" for i in range(len(models))])
 
 
+def training_input(daily: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
+    """Keys, candidate features and target, checkpointed to the shared
+    checkpoint folder: feature ranking, the split and every MLlib pass read
+    it instead of re-deriving the daily summary from raw readings."""
+    ensure_checkpoint_dir(daily.sparkSession)
+    cols = list(features) if features else mlprep.feature_columns(daily, target)
+    return daily.select(*KEYS, *[c for c in cols if c not in KEYS], target).checkpoint(eager=True)
+
+
 def train_and_predict(daily: DataFrame, target: str, algorithm: str, features: list[str] | None = None):
     task = K.TASKS[target]
+    daily = training_input(daily, target, features)
     feats = features or default_features(daily, target)
     sp = split(daily, target, task, feats)
     models = fit(sp.where(F.col("split") == "train"), task, algorithm, feats)
@@ -136,6 +146,7 @@ def grid_search(daily: DataFrame, target: str = "tamper_detected", features: lis
     """3-fold CrossValidator; returns one row per grid point with its mean
     CV metric (accuracy for classifiers, R2 for regressors) and the winner."""
     task = K.TASKS[target]
+    daily = training_input(daily, target, features)
     feats = features or default_features(daily, target)
     sp = split(daily, target, task, feats)
     train = sp.where(F.col("split") == "train")

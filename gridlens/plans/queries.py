@@ -101,9 +101,10 @@ def clean_fill_phases(spark, sf):
 
 
 @query("time_features", S.BASE_READINGS + """
-SELECT meter_id, event_id, "timestamp", hour("timestamp") AS hour, day("timestamp") AS day,
-       month("timestamp") AS month, isodow("timestamp") - 1 AS weekday,
-       CAST("timestamp" AS DATE) AS date, isodow("timestamp") - 1 AS day_of_week
+SELECT meter_id, event_id, "timestamp", CAST(hour("timestamp") AS INTEGER) AS hour,
+       CAST(day("timestamp") AS INTEGER) AS day, CAST(month("timestamp") AS INTEGER) AS month,
+       CAST(isodow("timestamp") - 1 AS INTEGER) AS weekday, CAST("timestamp" AS DATE) AS date,
+       CAST(isodow("timestamp") - 1 AS INTEGER) AS day_of_week
 FROM readings""")
 def time_features_q(spark, sf):
     from gridlens.operators.features import time_features

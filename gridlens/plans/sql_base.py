@@ -152,8 +152,8 @@ def engineered_sql(source: str = "held") -> str:
     return f"""
 en1 AS (
   SELECT *,
-    hour("timestamp") AS hour, day("timestamp") AS day, month("timestamp") AS month,
-    isodow("timestamp") - 1 AS weekday,
+    CAST(hour("timestamp") AS INTEGER) AS hour, CAST(day("timestamp") AS INTEGER) AS day,
+    CAST(month("timestamp") AS INTEGER) AS month, CAST(isodow("timestamp") - 1 AS INTEGER) AS weekday,
     CAST(COALESCE(v_agg > {K.SUPPLY_VOLTAGE}, false) AS INTEGER) AS supply_voltage_flag,
     (v_agg * i_agg * power_factor) / 1000 AS expected_energy_pf_calc,
     expected_energy_kwh - energy_consumed_kwh AS energy_loss_kwh,
