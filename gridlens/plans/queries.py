@@ -975,3 +975,11 @@ def metrics_for_model(spark, sf):
     m = _metrics_table(spark, sf)
     first = TR.registry_latest(_registry(spark, sf)).where(F.col("target") == TARGET).first()
     return m.where(F.col("model_file").contains(os.path.basename(first["path"])))
+
+
+@query("profile_quartiles_exact", S.BASE_DAILY + "\n" + "\nUNION ALL\n".join(
+    f"""SELECT '{c}' AS "column", round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 9) AS p25,
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 9) AS p50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 9) AS p75
+FROM daily""" for c in DAILY_NUMERIC))
+def profile_quartiles_exact(spark, sf):
+    return PR.exact_quartiles(P.daily(spark, sf), DAILY_NUMERIC, MP.SPLIT_KEYS)
