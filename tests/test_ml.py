@@ -31,6 +31,8 @@ def test_pipeline_save_load_round_trip(spark, tmpdir_path):
     pred = TR.predict(models, sp.where(F.col("split") == "test"), "regression")
     r2 = TR.score_predictions(pred, "regression")
     assert r2 > 0.99  # loss = expected - consumed is linear in the features
+    m = TR.metrics_row(pred, "energy_loss_kwh_sum", "regression", "m1").collect()
+    assert len(m) == 1 and m[0]["r2_score"] > 0.99
     log = spark.read.parquet(os.path.join(tmpdir_path, "train_log")).first()
     assert log["status"] == "completed"
 
