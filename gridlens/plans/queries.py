@@ -878,10 +878,9 @@ def grid_search(spark, sf):
 
 
 @functools.lru_cache(maxsize=4)
-def _store_with_runs(sf: str) -> str:
-    """A fresh model store with two trained models, one batch score and their logs."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def _store_with_runs(spark, sf: str) -> str:
+    """A fresh model store (under the shared checkpoint folder) with two
+    trained models and their training log; cached per session and data dir."""
     store = os.path.join(TR.store_dir(spark), f"runs-{uuid.uuid4().hex[:8]}")
     daily = P.daily(spark, sf)
     TR.train_pipeline(daily, TARGET, "logistic", store=store)
@@ -891,12 +890,12 @@ def _store_with_runs(sf: str) -> str:
 
 
 def _registry(spark, sf):
-    return spark.read.parquet(os.path.join(_store_with_runs(sf), "registry"))
+    return spark.read.parquet(os.path.join(_store_with_runs(spark, sf), "registry"))
 
 
 @query("train_pipeline")
 def train_pipeline_q(spark, sf):
-    store = _store_with_runs(sf)
+    store = _store_with_runs(spark, sf)
     return spark.read.parquet(os.path.join(store, "train_log"))
 
 
@@ -951,7 +950,7 @@ def compare_models(spark, sf):
 
 @query("recent_trainings")
 def recent_trainings(spark, sf):
-    log = spark.read.parquet(os.path.join(_store_with_runs(sf), "train_log"))
+    log = spark.read.parquet(os.path.join(_store_with_runs(spark, sf), "train_log"))
     return log.orderBy(F.col("timestamp").desc(), "target", "algorithm").limit(5) \
         .select("timestamp", "target", "algorithm", "model_type", "status", "score")
 
@@ -959,7 +958,7 @@ def recent_trainings(spark, sf):
 @query("recent_predictions")
 def recent_predictions(spark, sf):
     scored, path = _batch_scores(spark, sf)
-    store = _store_with_runs(sf)
+    store = _store_with_runs(spark, sf)
     TR.log_prediction(spark, os.path.basename(path), scored.count(), "daily_summary", store)
     log = spark.read.parquet(os.path.join(store, "predict_log"))
     return log.orderBy(F.col("timestamp").desc(), "model_used").limit(5)
