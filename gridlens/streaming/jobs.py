@@ -8,7 +8,8 @@ S4  keyed state per meter: fault/tamper holds and status edges with
     ``applyInPandasWithState`` (rows sorted by event time inside each call)
 
 Streams need a TIMESTAMP (with time zone) event-time column for watermarks;
-``event_time`` is the NTZ timestamp cast under the session's UTC zone.
+``event_time`` reads the naive reading time as UTC, so day windows and dates
+do not depend on the session time zone.
 """
 
 from __future__ import annotations
@@ -30,7 +31,10 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     r = spark.readStream.schema(READING_SCHEMA)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(path).withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    # event time = the naive reading time read as UTC, independent of the
+    # session time zone (window boundaries then fall on the reading's midnight)
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("timestamp"))
+    return r.parquet(path).withColumn("event_time", F.timestamp_micros(micros))
 
 
 # ---- S1 ----------------------------------------------------------------------
@@ -65,7 +69,8 @@ def daily_stream(tagged: DataFrame, watermark: str = "2 hours") -> DataFrame:
                                                               "uptime_flag", "supply_voltage_flag", "load_gap_flag")],
         F.avg("power_factor").alias("power_factor_mean"), F.min("power_factor").alias("power_factor_min"),
         F.avg("v_agg").alias("v_agg_mean"), F.count(F.lit(1)).alias("n_readings"))
-    out = out.select(F.to_date(F.col("w.start")).alias("date_"),
+    day = F.date_from_unix_date(F.floor(F.unix_micros(F.col("w.start")) / 86_400_000_000).cast("int"))
+    out = out.select(day.alias("date_"),
                      *[F.col(k).alias(k + "_") for k in STREAM_KEYS], *[c for c in out.columns
                                                                       if c not in STREAM_KEYS and c != "w"])
     return out.withColumns({
