@@ -24,3 +24,17 @@ def engineered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily_summary(engineered(spark, sf_dir))
+
+
+def write_daily(spark: SparkSession, sf_dir: str, path: str, mode: str = "overwrite") -> None:
+    """Run the pipeline once and store the daily summary partitioned by
+    ``date_`` (dashboards then read it with partition pruning instead of
+    re-deriving it from raw readings).  With ``mode="overwrite"`` and dynamic
+    partition overwrite only the days present in the input are replaced."""
+    (daily(spark, sf_dir).write.mode(mode)
+     .option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date_").parquet(path))
+
+
+def read_daily(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
