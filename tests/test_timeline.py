@@ -131,3 +131,19 @@ def test_holds_ignore_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert got == {1: 1, 2: 0}
+
+
+def test_hot_meter_is_split_across_tasks_and_exact(spark):
+    """One meter holding a third of all readings: results still equal the
+    row loop, and its rows are spread over many partitions (by day)."""
+    r = fixtures.readings(spark, SF_SMALL)
+    hot = r.withColumn("meter_id", F.when(F.col("event_id") % 3 == 0, F.lit("MTR_HOT")).otherwise(F.col("meter_id")))
+    _check(spark, hot)
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        parts = (meter_timeline(hot).where(F.col("meter_id") == "MTR_HOT")
+                 .select(F.spark_partition_id().alias("p")).distinct().count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert parts >= 4  # 8 shuffle partitions, ~30 days of the hot meter
