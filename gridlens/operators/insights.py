@@ -37,11 +37,20 @@ def filter_daily(daily: DataFrame, dates: tuple | None = None, bands: list | Non
     return out
 
 
-def filter_options(daily: DataFrame) -> DataFrame:
-    """Sorted distinct non-null values offered by each filter (long form)."""
-    parts = [daily.select(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"))
-             .where(F.col(c).isNotNull()).distinct()
-             for c in ("band_", "location_id_", "meter_id_", "anomaly_category")]
+def filter_options(daily: DataFrame, dates: tuple | None = None, bands: list | None = None,
+                   locations: list | None = None, meters: list | None = None) -> DataFrame:
+    """Distinct non-null values offered by each filter (long form).  Options
+    cascade: each list reflects the selections made in the filters before it
+    (dates -> band -> location -> meter -> anomaly)."""
+    base = filter_daily(daily, dates=dates)
+    parts = []
+    # (offered field, the selection applied after offering it)
+    for field, selected in (("band_", bands), ("location_id_", locations),
+                            ("meter_id_", meters), ("anomaly_category", None)):
+        parts.append(base.select(F.lit(field).alias("field"), F.col(field).cast("string").alias("value"))
+                     .where(F.col(field).isNotNull()).distinct())
+        if selected is not None:
+            base = base.where(F.col(field).isin(*selected))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

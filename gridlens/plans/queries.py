@@ -982,3 +982,30 @@ def metrics_for_model(spark, sf):
 FROM daily""" for c in DAILY_NUMERIC))
 def profile_quartiles_exact(spark, sf):
     return PR.exact_quartiles(P.daily(spark, sf), DAILY_NUMERIC, MP.SPLIT_KEYS)
+
+
+FILTER_METERS = ["MTR_000001", "MTR_000002", "MTR_000007", "MTR_000012"]
+
+
+@query("filter_daily_all", S.BASE_DAILY + f"""
+SELECT * FROM daily
+WHERE date_ BETWEEN DATE '2024-01-03' AND DATE '2024-01-28' AND band_ IN ('A', 'B', 'E')
+  AND location_id_ IN ('Lekki', 'Ojo', 'Ajah', 'Orile') AND meter_id_ IN ({", ".join(f"'{m}'" for m in FILTER_METERS)})
+  AND anomaly_category IN ('fault', 'loss', 'fault,loss', 'fault,mismatch', 'normal')""")
+def filter_daily_all(spark, sf):
+    return I.filter_daily(P.daily(spark, sf), dates=("2024-01-03", "2024-01-28"), bands=["A", "B", "E"],
+                          locations=["Lekki", "Ojo", "Ajah", "Orile"], meters=FILTER_METERS,
+                          anomalies=["fault", "loss", "fault,loss", "fault,mismatch", "normal"])
+
+
+@query("filter_options_cascade", S.BASE_DAILY + """
+, f0 AS (SELECT * FROM daily WHERE date_ BETWEEN DATE '2024-01-03' AND DATE '2024-01-28'),
+f1 AS (SELECT * FROM f0 WHERE band_ IN ('A', 'B')),
+f2 AS (SELECT * FROM f1 WHERE location_id_ IN ('Lekki', 'Ojo', 'Island'))
+SELECT DISTINCT 'band_' AS field, band_ AS value FROM f0 WHERE band_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'location_id_', location_id_ FROM f1 WHERE location_id_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'meter_id_', meter_id_ FROM f2 WHERE meter_id_ IS NOT NULL
+UNION ALL SELECT DISTINCT 'anomaly_category', anomaly_category FROM f2 WHERE anomaly_category IS NOT NULL""")
+def filter_options_cascade(spark, sf):
+    return I.filter_options(P.daily(spark, sf), dates=("2024-01-03", "2024-01-28"), bands=["A", "B"],
+                            locations=["Lekki", "Ojo", "Island"])
