@@ -8,8 +8,8 @@ a linear layer and a softmax give language probabilities.
 Training is stochastic gradient descent in numpy on a bounded sample of
 labelled rows (``max_train``, the rows with the smallest hash of their id), the only bounded
 part.  One tenth of the sample is held back to calibrate: a temperature
-is fitted there, and the rejection threshold is the largest one that still
-accepts ``accept`` of its texts.  Prediction covers every whole text: since
+is fitted there, and the rejection threshold is the largest one up to
+``strictest`` that still accepts ``accept`` of its texts.  Prediction covers every whole text: since
 the layers are linear, a word's summed embedding times the layer is one small vector, kept
 per worker for words seen before.
 
@@ -70,9 +70,13 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 3, rate: float = 0.5,
-          accept: float = 0.99, seed: int = 1) -> Model | None:
-    """Fit on (text, label) pairs; None if no text has letters."""
+def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 2, rate: float = 2.0,
+          span: int = 25, accept: float = 0.99,
+          strictest: float = 0.9, seed: int = 1) -> Model | None:
+    """Fit on (text, label) pairs; None if no text has letters.
+
+    Every text is cut into spans of ``span`` words, one gradient step each, so that
+    short texts are learnt as well as long ones."""
     labels = sorted({y for _, y in rows})
     number = {y: k for k, y in enumerate(labels)}
     memo: dict[str, np.ndarray] = {}
@@ -83,19 +87,21 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, ep
             for w in words:
                 if w not in memo:
                     memo[w] = np.array(subwords(w, buckets), np.int32)
-            data.append((np.concatenate([memo[w] for w in words]), number[y]))
+            spans = [words[k:k + span] for k in range(0, len(words), span)]
+            data.append(([np.concatenate([memo[w] for w in part]) for part in spans], number[y]))
     if not data:
         return None
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(data))
     held = [data[i] for i in order[: len(data) // 10]] if len(data) >= 50 else data
     fit = [data[i] for i in order[len(data) // 10:]] if len(data) >= 50 else data
-    table = rng.uniform(-1 / dim, 1 / dim, (buckets, dim))
+    table = rng.normal(0, 1 / np.sqrt(dim), (buckets, dim))
     layer, bias = np.zeros((dim, len(labels))), np.zeros(len(labels))
-    step, total = 0, epochs * len(fit)
+    steps = [(ids, y) for parts, y in fit for ids in parts]
+    step, total = 0, epochs * len(steps)
     for _ in range(epochs):
-        for i in rng.permutation(len(fit)):
-            ids, y = fit[i]
+        for i in rng.permutation(len(steps)):
+            ids, y = steps[i]
             lr = rate * (1 - step / total)
             step += 1
             mean = table[ids].mean(0)
@@ -103,17 +109,16 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, ep
             g[y] -= 1
             back = layer @ g
             layer -= lr * np.outer(mean, g)
-            bias -= lr * 0.1 * g
-            uniq, n = np.unique(ids, return_counts=True)
-            table[uniq] -= (lr * n / len(ids))[:, None] * back
+            bias -= 0.01 * lr * g
+            np.subtract.at(table, ids, lr / len(ids) * back)
     model = Model(labels, table, layer, bias)
-    z = np.array([table[ids].mean(0) @ layer + bias for ids, _ in held])
+    z = np.array([table[np.concatenate(parts)].mean(0) @ layer + bias for parts, _ in held])
     y = np.array([k for _, k in held])
-    grid = np.geomspace(0.2, 20, 41)  # logits are divided by it
+    grid = np.geomspace(1, 20, 41)  # logits are divided by it
     loss = [-np.log(np.maximum(_softmax(z / t)[np.arange(len(y)), y], 1e-12)).mean() for t in grid]
     model.temperature = float(grid[int(np.argmin(loss))])
     top = np.sort(_softmax(z / model.temperature).max(1))
-    model.reject_below = float(top[min(len(top) - 1, int((1 - accept) * len(top)))])
+    model.reject_below = min(strictest, float(top[min(len(top) - 1, int((1 - accept) * len(top)))]))
     return model
 
 

@@ -47,7 +47,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
     held = F.coalesce(held, F.lit(False))
-    rows = langid.sample(docs.where(~held), "doc_id", "text", "lang", max_train=2000, per_text=20_000)
+    rows = langid.sample(docs.where(~held), "doc_id", "text", "lang", max_train=1000, per_text=20_000)
     found = langid.predict(docs, "doc_id", "text", langid.train(rows))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 

@@ -8,9 +8,9 @@ Groups are as many as the data, so they are not placed one by one on the
 driver.  A group larger than ``1 / heavy`` of the whole in any measure is an
 item by itself (there are at most 3 x ``heavy`` such groups); all others
 are hashed into ``bins`` bins, and a bin is an item.  The list of items is bounded by
-these two parameters whatever the input.  A group larger than ``1 / (8 x shards)``
-of the whole is dealt into pieces of at most that size, since keeping it whole would
-break the balance; its pieces may share a shard.
+these two parameters whatever the input.  A group larger than ``1 / shards`` of
+the whole in any measure can't fit a shard: it is dealt by id hash into as few
+pieces as fit.
 
 Slots number a shard's rows from 0 in (id, size, checksum) order through a range partition
 and per-partition counts, not a one-task window.
@@ -69,8 +69,7 @@ def assign(df: DataFrame, id_col: str, text_col: str, shards: int = 16, bins: in
     whole = [max(1, total[c]) for c in "btn"]
     big = groups.where(" or ".join(f"{c} * {float(heavy)} > {w}" for c, w in zip("btn", whole)))
     big = {r["g"]: (r["b"], r["t"], r["n"]) for r in big.collect()}  # at most 3 x heavy
-    most = 8 * shards  # a piece holds at most 1 / most of the whole
-    pieces = {g: max(1, math.ceil(max(x / w for x, w in zip(v, whole)) * most)) for g, v in big.items()}
+    pieces = {g: max(1, math.ceil(max(x / w for x, w in zip(v, whole)) * shards)) for g, v in big.items()}
     spark = df.sparkSession
     table = spark.createDataFrame([(g, pieces[g]) for g in big], "g long, pieces int")
     placed = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces"))).otherwise(0)

@@ -38,6 +38,7 @@ BLOCK_SEEDS = {w: 4 for w in (
         "ad bet bonus cheap click deal farm free loan loans lottery track win").split()}
 LONGEST_RUN, LONGEST_WORD = 63, 24
 SALTS = 8
+UNSEEN = 10_000
 _TAGS = re.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -100,7 +101,7 @@ def viterbi(run: str, counts: dict[str, float], total: float) -> list[str]:
 def log_ratio(word: str, counts: dict[str, float], total: float, seeds: dict[str, int], strength: float) -> float:
     """log P(word | block) / P(word | allow)."""
     mass = sum(seeds.values())
-    p = (counts.get(word, 0) + 1) / (total + 1)
+    p = (counts.get(word, 0) + 0.5) / (total + UNSEEN)  # words never seen share a little mass
     alpha = strength * mass
     return math.log((seeds.get(word, 0) + alpha * p) / (mass + alpha)) - math.log(p)
 
