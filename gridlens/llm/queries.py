@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, quality, sharding, simhash, tokenbin, urlfilter
+from . import bpe, decontam, langid, linededup, quality, sharding, simhash, suffix, tokenbin, urlfilter
 from .common import table
 
 QUERIES = {}
@@ -42,6 +42,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("near_items").cast("long").alias("n_near_items"))
 
 
+@query
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), "doc_id", "text").select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
