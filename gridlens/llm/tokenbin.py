@@ -11,8 +11,8 @@ lengths, n_ids, control, data), documents in ascending id order; the Spark
 committer makes a lost task harmless.  ``id_of_rank`` is a small table beside the
 blocks, bounded by the vocabulary.
 
-Two passes over the texts: the first counts ids (one row per id and task),
-the second writes.  Order comes from a range partition on the id, so a hot source
+Texts are tokenised once; the ids are stored, counted (one row per id and
+task), then coded and written.  Order comes from a range partition on the id, so a hot source
 or text plays no part.  Null texts are empty; a null id sorts first; rows with
 equal ids keep no particular order among themselves beyond their coded bytes.
 """
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import map_rows, shared_path
+from .common import map_rows, shared_path, store
 
 BLOCK_IDS = 1 << 20
 
@@ -92,21 +92,38 @@ def _encoded(rows, path: str, end_id: int | None):
     yield from ((k, lib.chunks.encode(t) + tail) for k, t in group)
 
 
-def count_ids(df: DataFrame, text_col: str, path: str, end_id: int | None) -> DataFrame:
+def encode(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
+    """(doc, n, ids): ids packed in two bytes each where the vocabulary allows it, else four."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    kind = _kind(path, end_id)
+
+    def run(rows):
+        for i, ids in _encoded(rows, path, end_id):
+            v = np.frombuffer(ids, "<u4")
+            yield i, len(v), v.astype(kind).tobytes()
+
+    return map_rows(df.select(id_col, text_col), run, schema)
+
+
+def _kind(path: str, end_id: int | None) -> str:
+    return "<u2" if max(Library.of(path).size, end_id or 0) < 1 << 16 else "<u4"
+
+
+def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all texts; ids that never occur are not listed."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(rows):
-        total = np.zeros(Library.of(path).size, np.int64)
-        for _, ids in _encoded(((None, t) for t, in rows), path, end_id):
-            got = np.bincount(np.frombuffer(ids, "<u4"))
+        total = np.zeros(0, np.int64)
+        for raw, in rows:
+            got = np.bincount(np.frombuffer(raw, kind))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[:len(got)] += got
         for i in np.flatnonzero(total).tolist():
             yield i, int(total[i])
 
-    return map_rows(df.select(text_col), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
+    return map_rows(encoded.select("ids"), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -154,21 +171,16 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
     """Encode all rows and write the files; returns their folder."""
     spark = df.sparkSession
     out = out or shared_path(spark, "tokens")
-    counts = count_ids(df, text_col, path, end_id).collect()  # at most one row per vocabulary entry
+    kind = _kind(path, end_id)
+    encoded = store(encode(df, id_col, text_col, path, end_id), "token-ids")  # texts are tokenised once
+    counts = count_ids(encoded, kind).collect()  # at most one row per vocabulary entry
     ranked = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{out}/id_of_rank")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[np.array(ranked, np.int64)] = np.arange(len(ranked), dtype=np.uint32)
 
-    coded = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("control", pa.binary()), ("data", pa.binary())])
-
-    def code(rows):
-        for i, ids in _encoded(rows, path, end_id):
-            yield i, len(ids) // 4, *pack(rank_of[np.frombuffer(ids, "<u4")])
-
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (map_rows(df.select(id_col, text_col), code, coded).repartitionByRange(n, "doc")
-               .sortWithinPartitions("doc").withColumn("part", F.spark_partition_id()))
+    ordered = encoded.repartitionByRange(n, "doc").sortWithinPartitions("doc").withColumn("part", F.spark_partition_id())
     blocks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
                         ("control", pa.binary()), ("data", pa.binary())])
@@ -180,13 +192,15 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
             control, data = pack(np.concatenate(vals)) if vals else (b"", b"")
             return part, k, docs, lens, sum(lens), control, data
 
-        for doc, n, control, data, part in rows:
+        size = 0
+        for doc, n, ids, part in rows:
             docs.append(doc)
             lens.append(n)
-            vals.append(unpack(control, data, n))
-            if sum(lens) >= BLOCK_IDS or len(lens) >= 1 << 16:
+            vals.append(rank_of[np.frombuffer(ids, kind)])
+            size += n
+            if size >= BLOCK_IDS or len(lens) >= 1 << 16:
                 yield done()
-                k, docs, lens, vals = k + 1, [], [], []
+                k, docs, lens, vals, size = k + 1, [], [], [], 0
         if docs:
             yield done()
 
