@@ -15,7 +15,7 @@ Steps:
    become postings.  Two lines that match share a prefix word.
 4. Lines that share a prefix word are compared by length, by the position of the
    word, and by the parity bits of their sets (a bound on the symmetric difference);
-   the earliest candidates before each line are verified exactly on the
+   the first candidates before each line are verified exactly on the
    words.  A line none of whose first candidates holds, but which has more,
    gets all the rest in a second round.  Hot prefix words are split into blocks, and
    each pair of blocks is a unit of work.
@@ -29,7 +29,6 @@ Only the named columns are read; ``apply`` keeps all columns of its input.
 
 from __future__ import annotations
 
-import math
 from fractions import Fraction
 
 import numpy as np
@@ -44,6 +43,7 @@ COUNTERS = 1 << 18
 FLAGS = 1 << 22
 HOT = 100_000
 FIRST = 2
+SMALL = 64
 _NO_ID = -(1 << 63)
 
 
@@ -71,8 +71,10 @@ class _Hashes(dict):
 _hash = _Hashes()
 
 
-def _hashes(words: set[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash.__getitem__, words), np.uint64, len(words))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
 
 
 def _add_up(rows: DataFrame, size: int, dtype: str) -> np.ndarray:
@@ -102,22 +104,40 @@ def _chunks(total: np.ndarray):
             yield k, piece.tobytes()
 
 
+def _line_batches(rows, size: int = 1 << 18):
+    """(keys, hashes, starts) of many lines at once: one word set after the other."""
+    keys, flat, starts = [], [], []
+    for doc, text in rows:
+        for k, words in word_sets(text):
+            keys.append((_NO_ID if doc is None else doc, k))
+            starts.append(len(flat))
+            flat.extend(map(_hash.__getitem__, words))
+            if len(flat) >= size:
+                yield keys, np.array(flat, np.uint64), np.array(starts)
+                keys, flat, starts = [], [], []
+    if keys:
+        yield keys, np.array(flat, np.uint64), np.array(starts)
+
+
 def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Hashed word counts over all lines."""
+    """Hashed word counts over all texts."""
     def run(rows):
         total = np.zeros(COUNTERS, np.int64)
+        held: list[int] = []
         for text, in rows:
-            got = [_hashes(w) for _, w in word_sets(text)]
-            if got:
-                total += np.bincount((np.concatenate(got) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
-        yield from _chunks(total)
+            if text:
+                held.extend(map(_hash.__getitem__, text.encode().lower().split()))
+            if len(held) >= 1 << 18:
+                total += _counted(held)
+                held = []
+        yield from _chunks(total + _counted(held))
 
     schema = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
     return _add_up(map_rows(docs.select(text_col), run, schema), COUNTERS, "<i8")
 
 
-def prefix_length(n: int, threshold: Fraction) -> int:
-    return n - math.ceil(threshold * n) + 1
+def _counted(hashes: list[int]) -> np.ndarray:
+    return np.bincount((np.array(hashes, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: Fraction) -> DataFrame:
@@ -128,21 +148,30 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
     schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
                         ("size", pa.int32()), ("parity", pa.int64()), ("prefix", pa.binary())])
 
+    num, den = threshold.numerator, threshold.denominator
+
     def run(rows):
         count = shared.value
-        for doc, text in rows:
-            for k, words in word_sets(text):
-                h = np.sort(_hashes(words))
-                both = xxhash.xxh3_128_digest(h.tobytes())
-                hi, lo = np.frombuffer(both, "<i8").tolist()
-                bits = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64) & 1
-                parity = int(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")[0])
-                c = count[(h % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((h, c))[:prefix_length(len(h), threshold)]
-                blocks = np.maximum(1, np.ceil(c[order] / HOT)).astype("<i4")
-                yield (_NO_ID if doc is None else doc, k, hi, lo, len(h), parity,
-                       np.stack([h[order].astype("<i8"), blocks.astype("<i8")], 1).tobytes()
-                       if blocks.max() > 1 else h[order].astype("<i8").tobytes() + b"\0")
+        for keys, h, starts in _line_batches(rows):
+            size = np.diff(np.append(starts, len(h)))
+            line = np.repeat(np.arange(len(starts)), size)
+            # order does not matter to these sums, so equal sets get equal pairs
+            hi = np.add.reduceat(_mix(h), starts).view(np.int64)
+            lo = np.add.reduceat(_mix(h ^ np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
+            bits = np.bincount(line * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(starts)) & 1
+            parity = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+            c = count[(h % np.uint64(COUNTERS)).astype(np.int64)]
+            order = np.lexsort((h, c, line))
+            prefix = size - -(-num * size // den) + 1          # n - ceil(t n) + 1
+            take = order[np.arange(len(h)) - np.repeat(starts, size) < np.repeat(prefix, size)]
+            words = h[take].astype("<i8")
+            blocks = np.maximum(1, np.ceil(c[take] / HOT)).astype("<i8")
+            ends = np.cumsum(prefix)
+            hot = np.maximum.reduceat(blocks, ends - prefix) > 1
+            both = np.stack([words, blocks], 1)
+            for k, ((doc, no), a, b) in enumerate(zip(keys, (ends - prefix).tolist(), ends.tolist())):
+                yield (doc, no, int(hi[k]), int(lo[k]), int(size[k]), int(parity[k]),
+                       both[a:b].tobytes() if hot[k] else words[a:b].tobytes() + b"\0")
 
     return map_rows(docs.select(id_col, text_col), run, schema)
 
@@ -178,6 +207,18 @@ def postings(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("doc", "line", "size", "parity", "prefix"), run, POSTING)
 
 
+def _with_words(posts: DataFrame, table: np.ndarray) -> DataFrame:
+    """The postings whose word is in a bit table (and some others)."""
+    flags = posts.sparkSession.sparkContext.broadcast(table)
+
+    def run(it):
+        for b in it:
+            k = b.column("word").to_numpy() % FLAGS
+            yield b.filter(pa.array((flags.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)))
+
+    return map_batches(posts, run, POSTING)
+
+
 def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), POSTING)], schema=POSTING)
 
@@ -196,8 +237,8 @@ def _passes(s1, a1, p1, s2, a2, p2, num: int, den: int) -> np.ndarray:
 
 def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> DataFrame:
     """(doc, line, e_doc, e_line, more): for each line, candidates before it that
-    pass the filters; at most ``first`` for each shared word (None: all), the
-    earliest ones; more: there were others."""
+    pass the filters; at most ``first`` for each shared word (None: all);
+    more: there were others."""
     num, den = threshold.numerator, threshold.denominator
 
     def compare(x, left, right, same: bool):
@@ -259,16 +300,28 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
             later.clear(), earlier.clear(), more.clear()
             return batch
 
-        # groups of two are most: one comparison for all of them
-        two = starts[(wide == 2) & ((unit[starts] >> 31) == (unit[starts] & 0x7FFFFFFF))]
-        if len(two):
-            ok = _passes(*(x[c][two + d] for d in (0, 1) for c in ("size", "at", "parity")), num, den)
-            ok &= (x["doc"][two] != x["doc"][two + 1]) | (x["line"][two] != x["line"][two + 1])
-            if ok.any():
-                earlier.append(two[ok])
-                later.append(two[ok] + 1)
-                more.append(np.zeros(int(ok.sum()), bool))
-        for k in np.flatnonzero((wide > 2) | ((unit[starts] >> 31) != (unit[starts] & 0x7FFFFFFF))).tolist():
+        inside = (unit[starts] >> 31) == (unit[starts] & 0x7FFFFFFF)
+        small = inside & (wide <= SMALL)
+        # small groups, all at once: each row against the one ``lag`` places before it
+        at = np.flatnonzero(np.repeat(small & (wide > 1), wide))
+        group = np.repeat(np.arange(len(starts)), wide)
+        got, lag = np.zeros(n, np.int64), 1
+        at = at[at >= lag]
+        while len(at := at[(at >= lag)][group[at[at >= lag]] == group[at[at >= lag] - lag]]):
+            ok = _passes(*(x[c][at - d] for d in (0, lag) for c in ("size", "at", "parity")), num, den)
+            ok &= (x["doc"][at] != x["doc"][at - lag]) | (x["line"][at] != x["line"][at - lag])
+            hit = at[ok]
+            if first is not None:
+                hit = hit[got[hit] <= first]
+            if len(hit):
+                later.append(hit)
+                earlier.append(hit - lag)
+                more.append(got[hit] == first if first is not None else np.zeros(len(hit), bool))
+                got[hit] += 1
+            lag += 1
+        if sum(map(len, later)) >= 1 << 16:
+            yield out()
+        for k in np.flatnonzero((~small & (wide > 1)) | ~inside).tolist():
             rows = np.arange(starts[k], ends[k])
             u = int(unit[starts[k]])
             if u >> 31 == u & 0x7FFFFFFF:
@@ -293,7 +346,7 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
 
 
 def _flags(keys: DataFrame) -> np.ndarray:
-    """A bit table of fixed size over (doc, line) keys: no false negatives."""
+    """A bit table of fixed size over a column h of hashes: no false negatives."""
     schema = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
 
     def run(it):
@@ -302,7 +355,7 @@ def _flags(keys: DataFrame) -> np.ndarray:
             seen[b.column("h").to_numpy()] = 1
         yield from batches(schema, _chunks(seen))
 
-    rows = map_batches(keys.select(F.pmod(F.xxhash64("doc", "line"), F.lit(FLAGS)).alias("h")), run, schema)
+    rows = map_batches(keys.select(F.pmod("h", F.lit(FLAGS)).alias("h")), run, schema)
     return np.packbits(_add_up(rows, FLAGS, "u1") > 0)
 
 
@@ -310,7 +363,8 @@ def verify(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, thresh
     """Distinct (doc, line) of pairs whose word sets reach the threshold."""
     ends = pairs.select("doc", "line").union(pairs.select("e_doc", "e_line")).distinct()
     wanted = store(ends, "line-ends")
-    flags = docs.sparkSession.sparkContext.broadcast(_flags(wanted))  # 512 KB, fixed
+    flags = docs.sparkSession.sparkContext.broadcast(
+        _flags(wanted.select(F.xxhash64("doc", "line").alias("h"))))  # 512 KB, fixed
     schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("text", pa.binary())])
 
     def texts(rows):
@@ -353,8 +407,9 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     dup = store(verify(docs, id_col, text_col, pairs.where("not beyond"), t), "line-dups")
     open_ = store(pairs.where("more").select("doc", "line").distinct().join(dup, ["doc", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
-        # the open lines against everything that shares a prefix word
-        all_pairs = candidates(posts, t, None).join(open_, ["doc", "line"], "left_semi").select(
+        # the open lines against everything that shares a prefix word with one of them
+        words = postings(classes.join(open_, ["doc", "line"], "left_semi")).select(F.col("word").alias("h"))
+        all_pairs = candidates(_with_words(posts, _flags(words)), t, None).join(open_, ["doc", "line"], "left_semi").select(
             "doc", "line", "e_doc", "e_line").distinct()
         dup = dup.union(verify(docs, id_col, text_col, store(all_pairs, "line-pairs"), t))
     fate = classes.join(dup.withColumn("dup", F.lit(True)), ["doc", "line"], "left").select(
