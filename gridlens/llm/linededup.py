@@ -207,16 +207,23 @@ def postings(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("doc", "line", "size", "parity", "prefix"), run, POSTING)
 
 
-def _with_words(posts: DataFrame, table: np.ndarray) -> DataFrame:
-    """The postings whose word is in a bit table (and some others)."""
-    flags = posts.sparkSession.sparkContext.broadcast(table)
+def _with_words(posts: DataFrame, words: np.ndarray, open_lines: np.ndarray) -> DataFrame:
+    """The postings whose word is in a bit table (and some others); bit 1 of the
+    unit marks those whose line is in the other table."""
+    flags = posts.sparkSession.sparkContext.broadcast((words, open_lines))  # 1 MB, fixed
+
+    def has(table, k):
+        return (table[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
 
     def run(it):
+        words, lines_ = flags.value
         for b in it:
-            k = b.column("word").to_numpy() % FLAGS
-            yield b.filter(pa.array((flags.value[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)))
+            probe = has(lines_, b.column("h").to_numpy() % FLAGS)
+            unit = b.column("unit").to_numpy() | (probe.astype(np.int64) << 1)
+            cols = [pa.array(unit) if f.name == "unit" else b.column(f.name) for f in POSTING]
+            yield pa.RecordBatch.from_arrays(cols, schema=POSTING).filter(pa.array(has(words, b.column("word").to_numpy() % FLAGS)))
 
-    return map_batches(posts, run, POSTING)
+    return map_batches(posts.withColumn("h", F.xxhash64("doc", "line")), run, POSTING)
 
 
 def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -237,8 +244,8 @@ def _passes(s1, a1, p1, s2, a2, p2, num: int, den: int) -> np.ndarray:
 
 def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> DataFrame:
     """(doc, line, e_doc, e_line, more): for each line, candidates before it that
-    pass the filters; at most ``first`` for each shared word (None: all);
-    more: there were others."""
+    pass the filters; at most ``first`` for each shared word; more: there were
+    others.  None: all candidates of the marked lines, and of no others."""
     num, den = threshold.numerator, threshold.denominator
 
     def compare(x, left, right, same: bool):
@@ -247,7 +254,7 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
             mine = right[k:k + 512]
             got = np.zeros(len(mine), np.int64)
             for m in range(0, len(left), 4096):
-                if same and m > k + 512:
+                if same and left[m] > mine[-1]:
                     break
                 theirs = left[m:m + 4096]
                 todo = np.arange(len(mine)) if first is None else np.flatnonzero(got <= first)
@@ -306,7 +313,8 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
         at = np.flatnonzero(np.repeat(small & (wide > 1), wide))
         group = np.repeat(np.arange(len(starts)), wide)
         got, lag = np.zeros(n, np.int64), 1
-        at = at[at >= lag]
+        marked = np.ones(n, bool) if first is not None else (x["unit"] & 2).astype(bool)
+        at = at[marked[at]]
         while len(at := at[(at >= lag)][group[at[at >= lag]] == group[at[at >= lag] - lag]]):
             ok = _passes(*(x[c][at - d] for d in (0, lag) for c in ("size", "at", "parity")), num, den)
             ok &= (x["doc"][at] != x["doc"][at - lag]) | (x["line"][at] != x["line"][at - lag])
@@ -325,10 +333,10 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
             rows = np.arange(starts[k], ends[k])
             u = int(unit[starts[k]])
             if u >> 31 == u & 0x7FFFFFFF:
-                work = [(rows, rows, True)]
+                work = [(rows, rows[marked[rows]], True)]
             else:
                 side = (x["unit"][rows] & 1).astype(bool)
-                work = [(rows[~side], rows[side], False), (rows[side], rows[~side], False)]
+                work = [(a, b[marked[b]], False) for a, b in ((rows[~side], rows[side]), (rows[side], rows[~side]))]
             for left, right, same in work:
                 for a, b, m in compare(x, left, right, same):
                     later.append(a)
@@ -409,7 +417,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     if open_.limit(1).count():
         # the open lines against everything that shares a prefix word with one of them
         words = postings(classes.join(open_, ["doc", "line"], "left_semi")).select(F.col("word").alias("h"))
-        all_pairs = candidates(_with_words(posts, _flags(words)), t, None).join(open_, ["doc", "line"], "left_semi").select(
+        all_pairs = candidates(_with_words(posts, _flags(words), _flags(open_.select(F.xxhash64("doc", "line").alias("h")))), t, None).join(open_, ["doc", "line"], "left_semi").select(
             "doc", "line", "e_doc", "e_line").distinct()
         dup = dup.union(verify(docs, id_col, text_col, store(all_pairs, "line-pairs"), t))
     fate = classes.join(dup.withColumn("dup", F.lit(True)), ["doc", "line"], "left").select(

@@ -23,6 +23,7 @@ named are not read.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,13 +64,13 @@ class Fertility:
 
     _made: dict[tuple, Fertility] = {}
 
-    def __init__(self, ranks_path: str, pieces_path: str, pattern: str, limit: int = 300_000):
+    def __init__(self, ranks_path: str, pieces_path: str, pattern: str, limit: int = 500_000):
         import sentencepiece
         import tiktoken
         ranks = load_ranks(ranks_path)
         self.bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
+        self.byte_ids = frozenset(i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i))
         self.limit = limit
         self.seen: dict[bytes, tuple] = {}
 
@@ -82,10 +83,10 @@ class Fertility:
     def word(self, word: bytes) -> tuple[bytes, int, int, str]:
         """(packed BPE ids, letters and digits, pieces, byte pieces, script) of a word after a space."""
         text = word.decode()
-        ids = np.array(self.bpe.encode_ordinary(" " + text), "<u4").tobytes()
+        ids = array("I", self.bpe.encode_ordinary(" " + text)).tobytes()
         got = self.pieces.encode(text)
         script = next((_script(c) for c in text if c.isalpha()), "NONE")
-        out = ids, sum(map(str.isalnum, text)), len(got), int(self.is_byte[got].sum()) if got else 0, script
+        out = ids, sum(map(str.isalnum, text)), len(got), 0 if self.byte_ids.isdisjoint(got) else sum(map(self.byte_ids.__contains__, got)), script
         if len(word) <= 64:
             if len(self.seen) >= self.limit:
                 self.seen.clear()
