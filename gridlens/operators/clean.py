@@ -66,7 +66,7 @@ def topology_violations(df: DataFrame) -> DataFrame:
         .where(F.col("n_distinct") > 1) \
         .select(F.lit("feeder_multiple_bands").alias("rule"), F.col("feeder_id").alias("entity_id"), "n_distinct")
     meters = df.groupBy("meter_id").agg(
-        F.count_distinct(F.concat_ws("|", "location_id", "feeder_id", "transformer_id")).alias("n_topo"),
+        F.count_distinct(F.struct("location_id", "feeder_id", "transformer_id")).alias("n_topo"),
         F.count_distinct("phase_type").alias("n_phase"))
     topo = meters.where(F.col("n_topo") > 1).select(
         F.lit("meter_multiple_topology").alias("rule"), F.col("meter_id").alias("entity_id"),

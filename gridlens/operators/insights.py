@@ -54,7 +54,7 @@ def filter_options(daily: DataFrame, dates: tuple | None = None, bands: list | N
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.orderBy("field", "value")
 
 
 # ---- F4-F10 KPIs and rankings -----------------------------------------------

@@ -62,9 +62,11 @@ def stratified_split(daily: DataFrame, label: str, test_size: float = 0.2,
     ranked = positions(daily, order, [label], name="__pos")
     # counted from the checkpointed ranking, not by re-deriving the input
     counts = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("__n_class"))
-    out = ranked.join(F.broadcast(counts), label)  # one row per class
+    # one row per class; rows without a label keep a NULL split
+    out = ranked.join(counts, ranked[label].eqNullSafe(counts[label])).drop(counts[label])
     n_train = F.col("__n_class") - F.ceil(F.col("__n_class") * test_size)
-    return out.withColumn("split", F.when(F.col("__pos") <= n_train, "train").otherwise("test")) \
+    return out.withColumn("split", F.when(F.col(label).isNull(), F.lit(None).cast("string"))
+                          .when(F.col("__pos") <= n_train, "train").otherwise("test")) \
         .drop("__pos", "__n_class")
 
 
@@ -74,7 +76,7 @@ def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataF
 
 
 def target_correlation(df: DataFrame, target: str, cols: list[str], digits: int = 6) -> DataFrame:
-    """Pearson correlation of each column with the target, NULL for constant
+    """Pearson correlation of each column with the target, strongest first, NULL for constant
     columns (covar_pop / (std_pop * std_pop) under try_divide)."""
     y = F.col(target).cast("double")
     aggs = [F.round(F.try_divide(F.covar_pop(F.col(c).cast("double"), y),
@@ -83,7 +85,7 @@ def target_correlation(df: DataFrame, target: str, cols: list[str], digits: int
     wide = df.agg(*aggs)
     return wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("correlation")) for c in cols])).alias("s")) \
-        .select("s.*")
+        .select("s.*").orderBy(F.col("correlation").desc_nulls_last(), "feature")
 
 
 def top_features(corr: DataFrame, k: int = 6) -> DataFrame:

@@ -111,16 +111,17 @@ def fit(train: DataFrame, task: str, algorithm: str, features: list[str]) -> lis
 
 def predict(models: list[PipelineModel], df: DataFrame, task: str) -> DataFrame:
     """Soft vote (classification) / mean (regression) over the member models."""
-    scored = None
+    # chained transforms on the same rows: one pass, no join, one row out per row in
+    out = df
     for i, m in enumerate(models):
-        s = m.transform(df).select(*KEYS, _score_col(task).alias(f"__s{i}"))
-        scored = s if scored is None else scored.join(s, KEYS)
+        scored = m.transform(out)
+        added = [c for c in scored.columns if c not in out.columns]
+        out = scored.withColumn(f"__s{i}", _score_col(task)).drop(*added)
     avg = sum(F.col(f"__s{i}") for i in range(len(models))) / len(models)
-    base = df.select(*KEYS, "label")
-    out = base.join(scored, KEYS).withColumn("probability" if task == "classification" else "prediction", avg)
+    out = out.select(*KEYS, "label", avg.alias("probability" if task == "classification" else "prediction"))
     if task == "classification":
         out = out.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
-    return out.drop(*[f"__s{i}" for i in range(len(models))])
+    return out
 
 
 def training_input(daily: DataFrame, target: str, features: list[str] | None = None) -> DataFrame:
@@ -145,6 +146,17 @@ def grid_search(daily: DataFrame, target: str = "tamper_detected", features: lis
                 algorithm: str = "logistic", parallelism: int = 4) -> DataFrame:
     """3-fold CrossValidator; returns one row per grid point with its mean
     CV metric (accuracy for classifiers, R2 for regressors) and the winner."""
+    rows, _, _, _ = tune_model(daily, target, features, algorithm, parallelism)
+    return daily.sparkSession.createDataFrame(
+        rows, "target string, algorithm string, params string, cv_metric double, best boolean")
+
+
+def has_grid(task: str, algorithm: str) -> bool:
+    return algorithm in ("randomforest", "xgboost") or (task == "classification" and algorithm == "logistic")
+
+
+def tune_model(daily: DataFrame, target: str, features: list[str] | None, algorithm: str, parallelism: int = 4):
+    """Run the grid; returns (grid rows, best model refitted on the train split, features, split rows)."""
     task = K.TASKS[target]
     daily = training_input(daily, target, features)
     feats = features or default_features(daily, target)
@@ -182,8 +194,7 @@ def grid_search(daily: DataFrame, target: str = "tamper_detected", features: lis
     metrics = list(model.avgMetrics)
     best = max(range(len(metrics)), key=lambda i: metrics[i])
     rows = [(target, algorithm, labels[i], float(metrics[i]), i == best) for i in range(len(metrics))]
-    return daily.sparkSession.createDataFrame(
-        rows, "target string, algorithm string, params string, cv_metric double, best boolean")
+    return rows, model.bestModel, feats, sp
 
 
 # ---- metrics ------------------------------------------------------------------
@@ -247,6 +258,7 @@ def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str
     spark = daily.sparkSession
     store = store or store_dir(spark)
     task = K.TASKS.get(target)
+    tune = tune and has_grid(task, algorithm)  # others have no grid: trained and registered as default
     stamp = dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
     name = f"{target}_{algorithm}_{category}_{'tuned' if tune else 'default'}_{stamp}"
     status, score, err = "failed", None, None
@@ -259,7 +271,12 @@ def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str
             raise ValueError(f"unsupported dl algorithm {algorithm}")
         if category == "dl" and task != "classification":
             raise ValueError("mlp regression is not supported")
-        models, pred, feats = train_and_predict(daily, target, algorithm, features)
+        if tune:
+            _, best, feats, sp = tune_model(daily, target, features, algorithm)
+            models = [best]
+            pred = predict(models, sp.where(F.col("split") == "test"), task)
+        else:
+            models, pred, feats = train_and_predict(daily, target, algorithm, features)
         score = score_predictions(pred, task)
         paths = []
         for i, m in enumerate(models):
@@ -274,7 +291,7 @@ def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str
         status, err = "skipped", str(ex)
         return False, "Training skipped."
     except Exception as ex:  # noqa: BLE001 - reported as a failed run, like the reference
-        err = str(ex)[:500]
+        err = str(ex)
         return False, err
     finally:
         log_training(spark, target, algorithm, category.upper(), status, score, err, store)

@@ -188,8 +188,8 @@ def meter_status_q(spark, sf):
 SELECT 'feeder_multiple_bands' AS rule, feeder_id AS entity_id, count(DISTINCT band) AS n_distinct
 FROM readings GROUP BY feeder_id HAVING count(DISTINCT band) > 1
 UNION ALL
-SELECT 'meter_multiple_topology', meter_id, count(DISTINCT concat_ws('|', location_id, feeder_id, transformer_id))
-FROM readings GROUP BY meter_id HAVING count(DISTINCT concat_ws('|', location_id, feeder_id, transformer_id)) > 1
+SELECT 'meter_multiple_topology', meter_id, count(DISTINCT row(location_id, feeder_id, transformer_id))
+FROM readings GROUP BY meter_id HAVING count(DISTINCT row(location_id, feeder_id, transformer_id)) > 1
 UNION ALL
 SELECT 'meter_multiple_phase_types', meter_id, count(DISTINCT phase_type)
 FROM readings GROUP BY meter_id HAVING count(DISTINCT phase_type) > 1""")
@@ -459,11 +459,6 @@ def profile_describe(spark, sf):
     return PR.profile_describe(P.daily(spark, sf))
 
 
-@query("profile_quartiles")
-def profile_quartiles(spark, sf):
-    return PR.profile_quartiles(P.daily(spark, sf))
-
-
 @query("column_stats", S.BASE_DAILY + "\n" + "\nUNION ALL\n".join(
     f"""SELECT '{c}' AS "column", CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
   round(avg(CAST({c} AS DOUBLE)), 6) AS mean FROM daily""" for c in DAILY_NUMERIC))
@@ -743,8 +738,8 @@ RISK_SQL = SCORED + """
   SELECT *, least(greatest(probability * 100, CAST(0 AS DOUBLE)), CAST(100 AS DOUBLE)) AS risk_score_pct FROM pred),
 risk2 AS (
   SELECT *, 100 - risk_score_pct AS confidence_score_pct,
-         CASE WHEN prediction = 1 THEN 'Anomaly Detected: Possible Tamper/Fault!'
-              ELSE 'No Anomaly Detected: Operation Healthy.' END AS risk_text,
+         CASE WHEN prediction = 1 THEN 'anomaly'
+              ELSE 'normal' END AS risk_text,
          CAST(risk_score_pct > 80 AS INTEGER) AS risk_alert
   FROM risk)"""
 RISK_COLS = SK + ["probability", "risk_score_pct", "confidence_score_pct", "prediction", "risk_text", "risk_alert"]
@@ -788,11 +783,11 @@ def fleet_risk_status(spark, sf):
     return SC.fleet_status(_scored(spark, sf))
 
 
-FORECAST_SQL = TOP_RISK_SQL + """
+FORECAST_SQL = RISK_SQL + """
 , fc0 AS (SELECT meter_id_, date_, fault_type_, prediction,
                  CASE WHEN prediction = 1 THEN revenue_loss_sum ELSE expected_energy_kwh_sum * tariff_per_kwh_mean END
                    AS projected_value, r.i
-          FROM top CROSS JOIN range(0, 72) r(i)),
+          FROM risk2 CROSS JOIN range(0, 72) r(i)),
 fc AS (SELECT meter_id_, date_, fault_type_, prediction, CAST(i + 1 AS INTEGER) AS hour_no,
               CAST(date_ AS TIMESTAMP) + to_hours(i) AS hour, projected_value,
               projected_value * CAST(0.8 AS DOUBLE) AS lower_bound, projected_value * CAST(1.2 AS DOUBLE) AS upper_bound
@@ -800,7 +795,7 @@ fc AS (SELECT meter_id_, date_, fault_type_, prediction, CAST(i + 1 AS INTEGER)
 
 
 def _forecast(spark, sf):
-    return SC.impact_forecast(SC.top_risk(_risk(spark, sf)))
+    return SC.impact_forecast(_risk(spark, sf))
 
 
 @query("impact_forecast", FORECAST_SQL + "\nSELECT * FROM fc")
@@ -808,11 +803,6 @@ def impact_forecast(spark, sf):
     return _forecast(spark, sf)
 
 
-@query("risk_forecast")
-def risk_forecast(spark, sf):
-    return SC.risk_forecast(SC.top_risk(_risk(spark, sf)))
-
-
 @query("forecast_melt", FORECAST_SQL + """
 SELECT meter_id_, date_, fault_type_, hour_no, series, value
 FROM fc UNPIVOT (value FOR series IN (projected_value, lower_bound, upper_bound))""")
@@ -877,7 +867,7 @@ def grid_search(spark, sf):
     return TR.grid_search(P.daily(spark, sf), TARGET, algorithm="logistic")
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=None)
 def _store_with_runs(spark, sf: str) -> str:
     """A fresh model store (under the shared checkpoint folder) with two
     trained models and their training log; cached per session and data dir."""
