@@ -173,7 +173,7 @@ class Codec:
                 if ids is None:
                     ids = self.piece(p)
                     if len(p) <= 64:
-                        if len(pieces) >= 250_000:
+                        if len(pieces) >= 150_000:
                             pieces.clear()
                         pieces[p] = ids
                 got.append(ids)

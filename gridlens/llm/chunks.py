@@ -23,7 +23,7 @@ class ChunkEncoder(dict):
     ``encode_units(list[str]) -> list[bytes]`` does the real work.
     """
 
-    def __init__(self, encode_units, limit: int = 250_000, longest: int = 64):
+    def __init__(self, encode_units, limit: int = 150_000, longest: int = 64):
         super().__init__()
         self.encode_units, self.limit, self.longest = encode_units, limit, longest
 

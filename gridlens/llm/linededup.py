@@ -60,7 +60,7 @@ class _Hashes(dict):
     """word -> 64-bit hash, kept within bounds."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:

@@ -64,7 +64,7 @@ class Fertility:
 
     _made: dict[tuple, Fertility] = {}
 
-    def __init__(self, ranks_path: str, pieces_path: str, pattern: str, limit: int = 500_000):
+    def __init__(self, ranks_path: str, pieces_path: str, pattern: str, limit: int = 200_000):
         import sentencepiece
         import tiktoken
         ranks = load_ranks(ranks_path)
