@@ -42,6 +42,18 @@ def ship(spark: SparkSession) -> None:
     sc._gridlens_shipped = True
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a Python worker keeps between tasks (a vocabulary, a cache).  Only
+    the latest one stays, so that the stages of a pipeline don't add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: pa.Schema | StructType) -> DataFrame:
     """``mapInArrow`` with the package at hand."""
     ship(df.sparkSession)

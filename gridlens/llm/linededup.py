@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, map_batches, map_rows, store
+from .common import batches, kept, map_batches, map_rows, store
 
 COUNTERS = 1 << 18
 FLAGS = 1 << 22
@@ -57,20 +57,17 @@ def word_sets(text: str | None):
 
 
 class _Hashes(dict):
-    """word -> 64-bit hash, kept within bounds."""
+    """word -> 64-bit hash as little-endian bytes, kept within bounds."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= 100_000:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
         if len(word) <= 64:
             self[word] = h
         return h
 
 
-_hash = _Hashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -105,28 +102,38 @@ def _chunks(total: np.ndarray):
 
 
 def _line_batches(rows, size: int = 1 << 18):
-    """(keys, hashes, starts) of many lines at once: one word set after the other."""
-    keys, flat, starts = [], [], []
+    """(documents, line numbers, hashes, starts) of many lines at once: one word set after the other."""
+    docs, nos, flat, starts = [], [], [], []
+    get = kept(_Hashes, _Hashes).__getitem__
+
+    def out():
+        got = np.array(docs, np.int64), np.array(nos, np.int32), np.frombuffer(b"".join(flat), "<u8"), np.array(starts)
+        for x in (docs, nos, flat, starts):
+            x.clear()
+        return got
+
     for doc, text in rows:
+        doc = _NO_ID if doc is None else doc
         for k, words in word_sets(text):
-            keys.append((_NO_ID if doc is None else doc, k))
+            docs.append(doc)
+            nos.append(k)
             starts.append(len(flat))
-            flat.extend(map(_hash.__getitem__, words))
+            flat.extend(map(get, words))
             if len(flat) >= size:
-                yield keys, np.array(flat, np.uint64), np.array(starts)
-                keys, flat, starts = [], [], []
-    if keys:
-        yield keys, np.array(flat, np.uint64), np.array(starts)
+                yield out()
+    if docs:
+        yield out()
 
 
 def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed word counts over all texts."""
     def run(rows):
         total = np.zeros(COUNTERS, np.int64)
-        held: list[int] = []
+        held: list[bytes] = []
+        get = kept(_Hashes, _Hashes).__getitem__
         for text, in rows:
             if text:
-                held.extend(map(_hash.__getitem__, text.encode().lower().split()))
+                held.extend(map(get, text.encode().lower().split()))
             if len(held) >= 1 << 18:
                 total += _counted(held)
                 held = []
@@ -136,23 +143,41 @@ def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
     return _add_up(map_rows(docs.select(text_col), run, schema), COUNTERS, "<i8")
 
 
-def _counted(hashes: list[int]) -> np.ndarray:
-    return np.bincount((np.array(hashes, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+def _counted(hashes: list[bytes]) -> np.ndarray:
+    return np.bincount((np.frombuffer(b"".join(hashes), "<u8") % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+
+
+def _pack(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column of runs of 64-bit integers."""
+    offsets = np.append(0, np.cumsum(lengths) * 8).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, lengths): the inverse of ``_pack``."""
+    if not len(column):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i4")[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0]:at[-1]].tobytes() if data is not None else b""
+    return np.frombuffer(raw, "<i8"), np.diff(at) // 8
 
 
 def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: Fraction) -> DataFrame:
-    """(doc, line, hi, lo, size, parity, prefix): one row per line with words.
+    """(doc, line, hi, lo, size, parity, prefix, blocks): one row per line with words.
 
-    hi, lo: 128-bit hash of the set; prefix: (word hash, block count) pairs, packed."""
+    hi, lo: 128-bit hash of the set; prefix: word hashes, packed; blocks: their
+    block counts, packed, empty where all are 1."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float64))  # 2 MB, fixed
     schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
-                        ("size", pa.int32()), ("parity", pa.int64()), ("prefix", pa.binary())])
+                        ("size", pa.int32()), ("parity", pa.int64()), ("prefix", pa.binary()), ("blocks", pa.binary())])
 
     num, den = threshold.numerator, threshold.denominator
 
-    def run(rows):
+    def run(it):
         count = shared.value
-        for keys, h, starts in _line_batches(rows):
+        rows = (r for b in it for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for doc, no, h, starts in _line_batches(rows):
             size = np.diff(np.append(starts, len(h)))
             line = np.repeat(np.arange(len(starts)), size)
             # order does not matter to these sums, so equal sets get equal pairs
@@ -164,16 +189,13 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
             order = np.lexsort((h, c, line))
             prefix = size - -(-num * size // den) + 1          # n - ceil(t n) + 1
             take = order[np.arange(len(h)) - np.repeat(starts, size) < np.repeat(prefix, size)]
-            words = h[take].astype("<i8")
             blocks = np.maximum(1, np.ceil(c[take] / HOT)).astype("<i8")
-            ends = np.cumsum(prefix)
-            hot = np.maximum.reduceat(blocks, ends - prefix) > 1
-            both = np.stack([words, blocks], 1)
-            for k, ((doc, no), a, b) in enumerate(zip(keys, (ends - prefix).tolist(), ends.tolist())):
-                yield (doc, no, int(hi[k]), int(lo[k]), int(size[k]), int(parity[k]),
-                       both[a:b].tobytes() if hot[k] else words[a:b].tobytes() + b"\0")
+            hot = np.maximum.reduceat(blocks, np.cumsum(prefix) - prefix) > 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc), pa.array(no), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(parity),
+                 _pack(h[take], prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
 
-    return map_rows(docs.select(id_col, text_col), run, schema)
+    return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 POSTING = pa.schema([("word", pa.int64()), ("unit", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()),
@@ -186,25 +208,29 @@ def postings(classes: DataFrame) -> DataFrame:
     unit: block pair (lo << 33 | hi << 2) and which of the two the row is in."""
     def run(it):
         for b in it:
-            cols = [b.column(c).to_pylist() for c in ("doc", "line", "size", "parity", "prefix")]
-            out: list[tuple] = []
-            for doc, line, size, parity, raw in zip(*cols):
-                if len(raw) % 8:
-                    for at, w in enumerate(np.frombuffer(raw[:-1], "<i8").tolist()):
-                        out.append((w, 0, doc, line, size, at, parity))
-                else:
-                    for at, (w, s) in enumerate(np.frombuffer(raw, "<i8").reshape(-1, 2).tolist()):
-                        me = (doc * 1_000_003 + line) % s
-                        for other in range(s):
-                            lo, hi = min(me, other), max(me, other)
-                            out.append((w, lo << 33 | hi << 2 | (me == hi and lo != hi), doc, line, size, at, parity))
-                if len(out) >= 8192:
-                    yield _posting_batch(out)
-                    out = []
-            if out:
-                yield _posting_batch(out)
-
-    return map_batches(classes.select("doc", "line", "size", "parity", "prefix"), run, POSTING)
+            doc, line, size, parity = (b.column(c).to_numpy() for c in ("doc", "line", "size", "parity"))
+            words, length = _unpack(b.column("prefix"))
+            blocks, hot = _unpack(b.column("blocks"))
+            row = np.repeat(np.arange(len(doc)), length)
+            at = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
+            split = np.ones(len(words), np.int64)
+            split[np.repeat(hot > 0, length)] = blocks
+            ends = np.cumsum(split)
+            k = 0
+            while k < len(words):  # a bounded number of output rows at a time
+                m = max(k + 1, int(np.searchsorted(ends, ends[k] + (1 << 16))))
+                s = split[k:m]
+                i = np.repeat(np.arange(k, m), s)
+                r = row[i]
+                other = np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
+                me = (doc[r] * 1_000_003 + line[r]) % split[i]
+                lo, hi = np.minimum(me, other), np.maximum(me, other)
+                unit = lo << 33 | hi << 2 | ((me == hi) & (lo != hi))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
+                    words[i], unit, doc[r], line[r], size[r], at[i].astype(np.int32), parity[r])], schema=POSTING)
+                k = m
+
+    return map_batches(classes.select("doc", "line", "size", "parity", "prefix", "blocks"), run, POSTING)
 
 
 def _with_words(posts: DataFrame, words: np.ndarray, open_lines: np.ndarray) -> DataFrame:
@@ -226,10 +252,6 @@ def _with_words(posts: DataFrame, words: np.ndarray, open_lines: np.ndarray) ->
     return map_batches(posts.withColumn("h", F.xxhash64("doc", "line")), run, POSTING)
 
 
-def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), POSTING)], schema=POSTING)
-
-
 PAIR = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("e_doc", pa.int64()), ("e_line", pa.int32()), ("more", pa.bool_())])
 
 
@@ -407,7 +429,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     t = Fraction(threshold)
     every = store(lines(docs, id_col, text_col, rarity(docs, text_col), t), "lines")
     # the first line of each class carries on; equal lines are merged before the shuffle
-    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "prefix")).alias("f"))
+    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "prefix", "blocks")).alias("f"))
                     .select("hi", "lo", "f.*"), "line-classes")
     posts = postings(classes)
     pairs = store(candidates(posts, t, FIRST).groupBy("doc", "line", "e_doc", "e_line").agg(
