@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .chunks import ChunkEncoder
-from .common import map_rows
+from .common import kept, map_rows
 
 _INF = 1 << 60
 
@@ -130,8 +130,6 @@ def _newer_letters() -> regex.Pattern | None:
 class Codec:
     """Encoder and decoder of one vocabulary, kept once per Python worker."""
 
-    _made: dict[tuple[str, str], Codec] = {}
-
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
@@ -145,9 +143,7 @@ class Codec:
 
     @classmethod
     def of(cls, path: str, pattern: str) -> Codec:
-        if (path, pattern) not in cls._made:
-            cls._made[path, pattern] = cls(path, pattern)
-        return cls._made[path, pattern]
+        return kept((cls, path, pattern), lambda: cls(path, pattern))
 
     def piece(self, piece: str) -> bytes:
         """ids of one match, packed; a piece that is itself a token is that token."""
@@ -207,3 +203,16 @@ def decode(df: DataFrame, id_col: str, path: str, pattern: str) -> DataFrame:
             yield i, n, ids, codec.decode(ids)
 
     return map_rows(df.select(id_col, "n_tokens", "ids"), run, schema)
+
+
+def round_trip(df: DataFrame, id_col: str, text_col: str, path: str, pattern: str) -> DataFrame:
+    """``decode`` of ``encode``, in one pass with one codec in memory."""
+    schema = pa.schema([(id_col, pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+
+    def run(rows):
+        codec = Codec.of(path, pattern)
+        for i, text in rows:
+            ids = codec.encode(text)
+            yield i, len(ids) // 4, ids, codec.decode(ids)
+
+    return map_rows(df.select(id_col, text_col), run, schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import load_ranks
-from .common import map_batches, map_rows
+from .common import kept, map_batches, map_rows
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -62,8 +62,6 @@ BANDS = {
 class Fertility:
     """Per-word measures under both vocabularies, kept once per Python worker."""
 
-    _made: dict[tuple, Fertility] = {}
-
     def __init__(self, ranks_path: str, pieces_path: str, pattern: str, limit: int = 200_000):
         import sentencepiece
         import tiktoken
@@ -76,9 +74,7 @@ class Fertility:
 
     @classmethod
     def of(cls, *key: str) -> Fertility:
-        if key not in cls._made:
-            cls._made[key] = cls(*key)
-        return cls._made[key]
+        return kept((cls, *key), lambda: cls(*key))
 
     def word(self, word: bytes) -> tuple[bytes, int, int, str]:
         """(packed BPE ids, letters and digits, pieces, byte pieces, script) of a word after a space."""

@@ -28,8 +28,7 @@ def query(fn):
 @query
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path, pattern)
-    return bpe.decode(ids, "doc_id", path, pattern).select(
+    return bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", path, pattern).select(
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

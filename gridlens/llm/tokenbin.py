@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import map_rows, shared_path, store
+from .common import kept, map_rows, shared_path, store
 
 BLOCK_IDS = 1 << 20
 
@@ -36,8 +36,6 @@ BLOCK_IDS = 1 << 20
 class Library:
     """The tokenizers library behind a cache of white-space delimited units."""
 
-    _made: dict[str, Library] = {}
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,9 +50,7 @@ class Library:
 
     @classmethod
     def of(cls, path: str) -> Library:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+        return kept((cls, path), lambda: cls(path))
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Units are encoded together, then cut where their bytes end.
