@@ -38,8 +38,7 @@ def measure_columns():
 def rollup(engineered: DataFrame) -> DataFrame:
     """Aggregate only (E1-E6): keys flattened with a trailing underscore;
     rows with a NULL key are dropped (pandas groupby semantics)."""
-    keyed = engineered.where(F.greatest(*[F.col(k).isNull() for k in K.DAILY_KEYS]) == F.lit(False))
-    out = keyed.groupBy(*[F.col(k).alias(k + "_") for k in K.DAILY_KEYS]).agg(*measure_columns())
+    out = engineered.dropna(subset=K.DAILY_KEYS).groupBy(*[F.col(k).alias(k + "_") for k in K.DAILY_KEYS]).agg(*measure_columns())
     return out
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,8 +59,9 @@ STREAM_KEYS = ["meter_id", "location_id", "feeder_id", "transformer_id", "band",
 
 
 def daily_stream(tagged: DataFrame, watermark: str = "2 hours") -> DataFrame:
-    """Tumbling 1-day rollup of stateless measures, append mode."""
-    g = tagged.withWatermark("event_time", watermark).groupBy(
+    """Tumbling 1-day rollup of stateless measures, append mode; rows with a
+    NULL key are dropped, as in the batch rollup."""
+    g = tagged.dropna(subset=STREAM_KEYS).withWatermark("event_time", watermark).groupBy(
         F.window("event_time", "1 day").alias("w"), *STREAM_KEYS)
     out = g.agg(
         *[F.sum(c).alias(f"{c}_sum") for c in ("energy_consumed_kwh", "expected_energy_kwh",
@@ -83,16 +84,23 @@ def daily_stream(tagged: DataFrame, watermark: str = "2 hours") -> DataFrame:
 # ---- S3 ----------------------------------------------------------------------
 
 def alert_rows(batch: DataFrame) -> DataFrame:
-    """Alert rows of one micro-batch of closed days (high loss / burnt meter)."""
+    """Alert rows of one micro-batch of closed days (high loss, burnt meter, SLA
+    failure).  All rows of a meter's day close in the same batch."""
     high = batch.where((F.col("revenue_loss_sum") > K.HIGH_LOSS_REVENUE) & (F.col("is_industrial_") == 1)) \
         .withColumn("alert", F.lit("high_loss"))
     burnt = batch.where(F.col("fault_type_") == "burnt_meter").withColumn("alert", F.lit("burnt_meter"))
-    return high.unionByName(burnt).select("alert", "meter_id_", "date_", "fault_type_", "revenue_loss_sum")
+    day = Window.partitionBy("meter_id_", "date_")
+    met = F.col("hours") >= F.coalesce(C.sla_hours(F.col("band_")), F.lit(0))
+    sla = (batch.withColumn("hours", F.sum("supply_voltage_flag_sum").over(day))
+           .withColumn("met", F.max(C.flag(met)).over(day)).where("met = 0").withColumn("alert", F.lit("sla_fail")))
+    return high.unionByName(burnt).unionByName(sla, allowMissingColumns=True).select("alert", "meter_id_", "date_", "fault_type_", "revenue_loss_sum")
 
 
 def alert_sink(path: str):
+    """Each batch has its own partition folder, so a retried batch replaces
+    its alerts instead of adding them again."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        alert_rows(batch).write.mode("append").parquet(path)
+        alert_rows(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
     return write
 
 
@@ -102,33 +110,43 @@ HOLD_OUT_SCHEMA = ("meter_id string, event_id bigint, timestamp timestamp_ntz, f
                    "fault_type string, tamper_flag int, meter_status string, status_change boolean, "
                    "fault_start int, tamper_start int")
 HOLD_STATE_SCHEMA = ("f_t timestamp_ntz, f_d int, f_ty string, t_t timestamp_ntz, t_d int, "
-                     "last_status string, last_fault int, last_tamper int")
+                     "last_status string, last_fault int, last_tamper int, last_t timestamp_ntz")
 
 
 def _hold_fn(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One meter's rows of a micro-batch, in event-time order, continuing the
-    meter's stored history (last fault / tamper record, last status)."""
+    meter's stored history (last fault / tamper record, last status).
+
+    A row older than one of an earlier batch never replaces the stored history
+    and is not held by a record that comes after it; its own record counts for
+    it, and it has no edges."""
     pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["timestamp", "event_id"], kind="stable")
     if state.exists:
-        f_t, f_d, f_ty, t_t, t_d, last_status, last_fault, last_tamper = state.get
+        f_t, f_d, f_ty, t_t, t_d, last_status, last_fault, last_tamper, last_t = state.get
     else:
-        f_t = f_d = f_ty = t_t = t_d = last_status = last_fault = last_tamper = None
+        f_t = f_d = f_ty = t_t = t_d = last_status = last_fault = last_tamper = last_t = None
     out = []
     hour = pd.Timedelta(hours=1)
     for r in pdf.itertuples(index=False):
         ts = r.timestamp
-        if r.fault_flag == 1:
-            f_t, f_d, f_ty = ts, int(r.fault_duration_hours), r.fault_type
-        if r.tamper_flag == 1:
-            t_t, t_d = ts, int(r.tamper_duration_hours)
-        f_on = f_t is not None and (ts - pd.Timestamp(f_t)) <= f_d * hour
-        t_on = t_t is not None and (ts - pd.Timestamp(t_t)) <= t_d * hour
+        late = last_t is not None and ts < pd.Timestamp(last_t)
+        fault = (ts, int(r.fault_duration_hours), r.fault_type) if r.fault_flag == 1 else (f_t, f_d, f_ty)
+        tamper = (ts, int(r.tamper_duration_hours)) if r.tamper_flag == 1 else (t_t, t_d)
+        f_on, t_on = (x[0] is not None and 0 * hour <= ts - pd.Timestamp(x[0]) <= x[1] * hour for x in (fault, tamper))
         status = "faulty" if f_on else "tampered" if t_on else "inactive" if r.data_transmitted == 0 else "healthy"
-        out.append((r.meter_id, r.event_id, ts, int(f_on), f_ty if f_on else None, int(t_on), status,
-                    status != last_status, int(f_on and not (last_fault or 0)),
-                    int(t_on and not (last_tamper or 0))))
-        last_status, last_fault, last_tamper = status, int(f_on), int(t_on)
-    state.update((f_t, f_d, f_ty, t_t, t_d, last_status, last_fault, last_tamper))
+        out.append((r.meter_id, r.event_id, ts, int(f_on), fault[2] if f_on else None, int(t_on), status,
+                    not late and status != last_status, int(not late and f_on and not (last_fault or 0)),
+                    int(not late and t_on and not (last_tamper or 0))))
+        if late:
+            # a late record still holds from its own time, unless a newer one is stored
+            if fault[0] is not None and (f_t is None or fault[0] > pd.Timestamp(f_t)):
+                f_t, f_d, f_ty = fault
+            if tamper[0] is not None and (t_t is None or tamper[0] > pd.Timestamp(t_t)):
+                t_t, t_d = tamper
+            continue
+        (f_t, f_d, f_ty), (t_t, t_d) = fault, tamper
+        last_status, last_fault, last_tamper, last_t = status, int(f_on), int(t_on), ts
+    state.update((f_t, f_d, f_ty, t_t, t_d, last_status, last_fault, last_tamper, last_t))
     yield pd.DataFrame(out, columns=["meter_id", "event_id", "timestamp", "fault_flag", "fault_type",
                                      "tamper_flag", "meter_status", "status_change", "fault_start",
                                      "tamper_start"])

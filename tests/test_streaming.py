@@ -101,3 +101,52 @@ def test_late_rows_beyond_watermark_are_dropped(spark, tmpdir_path):
     # day 11 is still open (its window closes only when later data arrives)
     assert after.where(F.col("date_") == F.lit("2024-01-11").cast("date")).count() == 0
     assert after.where(F.col("date_") == F.lit("2024-01-10").cast("date")).count() > 0
+
+
+def test_retried_alert_batch_replaces_its_rows(spark, tmpdir_path):
+    daily = spark.sql("""SELECT 'm1' AS meter_id_, DATE '2024-01-02' AS date_, 'burnt_meter' AS fault_type_,
+                                2e5 AS revenue_loss_sum, 1 AS is_industrial_, 'E' AS band_, 4L AS supply_voltage_flag_sum""")
+    write = J.alert_sink(os.path.join(tmpdir_path, "alerts"))
+    for batch_id in (0, 0, 1):
+        write(daily, batch_id)
+    got = spark.read.parquet(os.path.join(tmpdir_path, "alerts")).groupBy("batch_id").count().collect()
+    assert sorted(map(tuple, got)) == [(0, 2), (1, 2)]
+
+
+def test_sla_alerts_count_the_hours_of_the_whole_day(spark):
+    daily = spark.sql("""SELECT *, DATE '2024-01-02' AS date_, 0D AS revenue_loss_sum, 0 AS is_industrial_ FROM VALUES
+                         ('m1', 'E', 'none', 2L), ('m1', 'E', 'cable', 2L), ('m2', 'E', 'none', 3L), ('m3', 'A', 'none', 19L)
+                         AS t(meter_id_, band_, fault_type_, supply_voltage_flag_sum)""")
+    got = J.alert_rows(daily).select("alert", "meter_id_").collect()
+    assert sorted(map(tuple, got)) == [("sla_fail", "m2"), ("sla_fail", "m3")]
+
+
+def test_daily_stream_drops_null_keys(spark):
+    rows = J.tag_stream(fixtures.readings(spark, SF_SMALL).withColumn("event_time", F.col("timestamp").cast("timestamp")))
+    hole = rows.withColumn("band", F.when(F.col("event_id") % 2 == 0, F.col("band")))
+    got = J.daily_stream(hole).agg(F.sum("n_readings"), F.count_if(F.col("band_").isNull())).first()
+    assert tuple(got) == (rows.where("event_id % 2 = 0").dropna(subset=J.STREAM_KEYS).count(), 0)
+
+
+def test_late_row_neither_takes_nor_replaces_a_newer_record(spark, tmpdir_path):
+    """A fault on day 2, then a healthy and a faulty row of day 1, then day 2 again."""
+    cols = "event_id, timestamp, fault_flag, fault_type, fault_duration_hours"
+    batches = [[(1, "2024-01-02 10:00:00", 1, "burnt_meter", 5)],
+               [(2, "2024-01-01 10:00:00", 0, None, 0), (3, "2024-01-01 12:00:00", 1, "broken_seal", 500)],
+               [(4, "2024-01-02 14:00:00", 0, None, 0), (5, "2024-01-02 16:00:00", 0, None, 0)]]
+    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "out")
+    names = [c.strip() for c in cols.split(",")]
+    kinds = "event_id bigint, timestamp string, fault_flag int, fault_type string, fault_duration_hours int"
+    template = fixtures.readings(spark, SF_SMALL)
+    for rows in batches:
+        part = spark.createDataFrame(rows, kinds)
+        full = part.select(*[F.col(f.name).cast(f.dataType) if f.name in names else
+                             F.lit("m1" if f.name == "meter_id" else 1 if f.name == "data_transmitted" else
+                                   0 if f.name.startswith("tamper") else None).cast(f.dataType).alias(f.name)
+                             for f in template.schema])
+        full.coalesce(1).write.mode("append").parquet(src)
+        held = J.hold_stream(J.read_stream(spark, src))
+        _run(held.writeStream.format("parquet").option("path", out).outputMode("append"), tmpdir_path, "late")
+    got = {r.event_id: (r.fault_flag, r.fault_type, r.fault_start) for r in spark.read.parquet(out).collect()}
+    assert got == {1: (1, "burnt_meter", 1), 2: (0, None, 0), 3: (1, "broken_seal", 0),
+                   4: (1, "burnt_meter", 0), 5: (0, None, 0)}
