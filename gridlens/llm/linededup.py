@@ -8,13 +8,13 @@ input, so a removed line still removes later ones.  Lines without words stay.
 
 Steps:
 1. Rarity: lines' words are counted in a table of 2^18 hashed counters, a fixed
-   size for any corpus; words are ordered by (count, hash).  Any fixed order
-   gives the same result, a good one gives short candidate lists.
+   size for any corpus; words are ordered by (count in steps of 2^(1/16), hash).  Any
+   fixed order gives the same result, a good one gives short candidate lists.
 2. Lines with equal sets form a class; only its first line goes on.
 3. The first ``n - ceil(t n) + 1`` words of a line in that order (its prefix)
    become postings.  Two lines that match share a prefix word.
 4. Lines that share a prefix word are compared by length, by the position of the
-   word, and by the parity bits of their sets (a bound on the symmetric difference);
+   word, and by the 128 parity bits of their sets (a bound on the symmetric difference);
    the first candidates before each line are verified exactly on the
    words.  A line none of whose first candidates holds, but which has more,
    gets all the rest in a second round.  Hot prefix words are split into blocks, and
@@ -44,30 +44,14 @@ FLAGS = 1 << 22
 HOT = 100_000
 FIRST = 2
 SMALL = 64
+BLOCK = 1 << 18
+BASE = 0x9FB21C651E98DF25
+_SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
+#: byte -> A-Z lower-cased, plus one
+_VALUE = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1)
 _NO_ID = -(1 << 63)
 
 
-def word_sets(text: str | None):
-    """(line number, set of words) of each line that has words."""
-    if text:
-        for k, line in enumerate(text.encode().lower().split(b"\n")):
-            words = set(line.split())
-            if words:
-                yield k, words
-
-
-class _Hashes(dict):
-    """word -> 64-bit hash as little-endian bytes, kept within bounds."""
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= 100_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word).to_bytes(8, "little")
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -101,50 +85,136 @@ def _chunks(total: np.ndarray):
             yield k, piece.tobytes()
 
 
-def _line_batches(rows, size: int = 1 << 18):
-    """(documents, line numbers, hashes, starts) of many lines at once: one word set after the other."""
-    docs, nos, flat, starts = [], [], [], []
-    get = kept(_Hashes, _Hashes).__getitem__
-
-    def out():
-        got = np.array(docs, np.int64), np.array(nos, np.int32), np.frombuffer(b"".join(flat), "<u8"), np.array(starts)
-        for x in (docs, nos, flat, starts):
-            x.clear()
-        return got
-
-    for doc, text in rows:
-        doc = _NO_ID if doc is None else doc
-        for k, words in word_sets(text):
-            docs.append(doc)
-            nos.append(k)
-            starts.append(len(flat))
-            flat.extend(map(get, words))
-            if len(flat) >= size:
-                yield out()
-    if docs:
-        yield out()
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the polynomial's base and of its inverse, modulo 2^64."""
+    out = []
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
+        x = np.full(BLOCK, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return tuple(out)
+
+
+def _block_words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line, hash) of each word in a block of bytes; rows: where each row starts.
+
+    A word's hash is a polynomial of its bytes: differences of one running sum."""
+    power, inverse = kept(_powers, _powers)
+    space = _SPACE[data]
+    first, last = ~space, ~space
+    first[1:] &= space[:-1]
+    last[:-1] &= space[1:]
+    cuts = rows[(rows > 0) & (rows < len(data))]  # words end at a row's end
+    first[cuts] = ~space[cuts]
+    last[cuts - 1] = ~space[cuts - 1]
+    start, end = np.flatnonzero(first), np.flatnonzero(last)
+    run = np.append(np.uint64(0), np.cumsum(_VALUE[data] * power[:len(data)]))
+    h = _mix((run[end + 1] - run[start]) * inverse[start])
+    newlines = np.flatnonzero(data == 10)
+    row = np.searchsorted(rows, start, "right") - 1
+    return row, np.searchsorted(newlines, start) - np.searchsorted(newlines, rows)[row], h
+
+
+def _words(column: pa.Array):
+    """(row, line number, hash, whether the last row is complete) of a text column's words,
+    a bounded block at a time, however long a row."""
+    column = column.fill_null("").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, "<i8")[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    k, n = 0, len(column)
+    while k < n:
+        m = int(np.searchsorted(at, at[k] + BLOCK, "right")) - 1
+        if m > k:
+            row, line, h = _block_words(data[at[k]:at[m]], at[k:m] - at[k])
+            yield row + k, line, h, True
+            k = m
+            continue
+        a, b, line = int(at[k]), int(at[k + 1]), 0
+        while a < b:
+            c = min(b, a + BLOCK)
+            spaces = np.flatnonzero(_SPACE[data[a:c]]) if c < b else None
+            if c == b or len(spaces):
+                c = c if c == b else a + int(spaces[-1]) + 1
+                got, no, h = _block_words(data[a:c], np.zeros(1, np.int64))
+                yield got + k, no + line, h, c == b
+                line += int((data[a:c] == 10).sum())
+            else:
+                c, h = _long_word(data, a, b)
+                yield np.array([k]), np.array([line]), h, c == b
+            a = c
+        k += 1
+
+
+def _long_word(data: np.ndarray, a: int, b: int) -> tuple[int, np.ndarray]:
+    """(end, hash) of the word from a, longer than a block: the same polynomial, block by block."""
+    power, total, c, more = kept(_powers, _powers)[0], 0, a, True
+    while more and c < b:
+        part = data[c:min(b, c + BLOCK)]
+        spaces = np.flatnonzero(_SPACE[part])
+        if len(spaces):
+            part, more = part[:spaces[0]], False
+        total += int((_VALUE[part] * power[:len(part)]).sum()) * pow(BASE, c - a, 1 << 64)
+        c += len(part)
+    return c, _mix(np.array([total % (1 << 64)], np.uint64))
+
+
+def _line_batches(batches_, size: int = 1 << 18):
+    """(document, line number, line of each word counted from 0, hash) of many whole lines at once."""
+    for b in batches_:
+        ids = b.column(0).cast(pa.int64()).fill_null(_NO_ID).to_numpy()
+        held, n = [], 0
+        for row, line, h, whole in _words(b.column(1)):
+            held.append((row, line, h))
+            n += len(h)
+            if n < size:
+                continue
+            row, line, h = (np.concatenate(x) for x in zip(*held))
+            cut = n if whole else int(np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])))[-1])
+            if cut:
+                yield _grouped(ids, row[:cut], line[:cut], h[:cut])
+            held, n = [(row[cut:], line[cut:], h[cut:])], n - cut
+        if n:
+            yield _grouped(ids, *(np.concatenate(x) for x in zip(*held)))
+
+
+def _grouped(ids, row, line, h):
+    new = np.append(True, (row[1:] != row[:-1]) | (line[1:] != line[:-1]))
+    return ids[row[new]], line[new].astype(np.int32), np.cumsum(new) - 1, h
+
+
+def _sorted_sets(line: np.ndarray, h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of each line's distinct words in the order (rarity class, hash)."""
+    q = rare[(h % np.uint64(COUNTERS)).astype(np.int64)]
+    # line, class and leading hash bits in one key; lines in a batch number below 2^20
+    key = line.astype(np.uint64) << np.uint64(44) | q << np.uint64(34) | h >> np.uint64(30)
+    order = np.argsort(key)
+    k, g, w = key[order], line[order], h[order]
+    same = k[1:] == k[:-1]
+    if (same & (w[1:] != w[:-1])).any():
+        order = np.lexsort((h, q, line))
+        g, w = line[order], h[order]
+        same = (g[1:] == g[:-1]) & (w[1:] == w[:-1])
+    keep = np.append(True, ~same)
+    return g[keep], w[keep]
 
 
 def rarity(docs: DataFrame, text_col: str) -> np.ndarray:
     """Hashed word counts over all texts."""
-    def run(rows):
-        total = np.zeros(COUNTERS, np.int64)
-        held: list[bytes] = []
-        get = kept(_Hashes, _Hashes).__getitem__
-        for text, in rows:
-            if text:
-                held.extend(map(get, text.encode().lower().split()))
-            if len(held) >= 1 << 18:
-                total += _counted(held)
-                held = []
-        yield from _chunks(total + _counted(held))
+    def run(it):
+        total, held = np.zeros(COUNTERS, np.int64), []
+        for b in it:
+            for _, _, h, _ in _words(b.column(0)):
+                held.append((h % np.uint64(COUNTERS)).astype(np.int64))
+                if sum(map(len, held)) >= 1 << 18:
+                    total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held = []
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=COUNTERS)
+        yield from batches(schema, _chunks(total))
 
     schema = pa.schema([("chunk", pa.int64()), ("counts", pa.binary())])
-    return _add_up(map_rows(docs.select(text_col), run, schema), COUNTERS, "<i8")
-
-
-def _counted(hashes: list[bytes]) -> np.ndarray:
-    return np.bincount((np.frombuffer(b"".join(hashes), "<u8") % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+    return _add_up(map_batches(docs.select(text_col), run, schema), COUNTERS, "<i8")
 
 
 def _pack(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -163,43 +233,52 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8"), np.diff(at) // 8
 
 
+def _parity(bit: np.ndarray, n: int) -> np.ndarray:
+    """n 64-bit integers: whether each bit was named an odd number of times."""
+    odd = np.bincount(bit, minlength=64 * n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: Fraction) -> DataFrame:
-    """(doc, line, hi, lo, size, parity, prefix, blocks): one row per line with words.
+    """(doc, line, hi, lo, size, parity, half, prefix, blocks): one row per line with words.
 
+    parity: of the set's words by 64 hashed places; half: of one half of the words;
     hi, lo: 128-bit hash of the set; prefix: word hashes, packed; blocks: their
     block counts, packed, empty where all are 1."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float64))  # 2 MB, fixed
     schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
-                        ("size", pa.int32()), ("parity", pa.int64()), ("prefix", pa.binary()), ("blocks", pa.binary())])
+                        ("size", pa.int32()), ("parity", pa.int64()), ("half", pa.int64()),
+                        ("prefix", pa.binary()), ("blocks", pa.binary())])
 
     num, den = threshold.numerator, threshold.denominator
 
     def run(it):
         count = shared.value
-        rows = (r for b in it for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for doc, no, h, starts in _line_batches(rows):
+        rare = np.minimum(1023, np.log2(count + 1) * 16).astype(np.uint64)
+        for doc, no, line, h in _line_batches(it):
+            line, h = _sorted_sets(line, h, rare)
+            starts = np.flatnonzero(np.append(True, line[1:] != line[:-1]))
             size = np.diff(np.append(starts, len(h)))
-            line = np.repeat(np.arange(len(starts)), size)
             # order does not matter to these sums, so equal sets get equal pairs
             hi = np.add.reduceat(_mix(h), starts).view(np.int64)
             lo = np.add.reduceat(_mix(h ^ np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
-            bits = np.bincount(line * 64 + (h >> np.uint64(58)).astype(np.int64), minlength=64 * len(starts)) & 1
-            parity = np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
-            c = count[(h % np.uint64(COUNTERS)).astype(np.int64)]
-            order = np.lexsort((h, c, line))
+            bit = line * 64 + (h >> np.uint64(58)).astype(np.int64)
+            some = (h >> np.uint64(57) & np.uint64(1)).astype(bool)
+            parity, half = _parity(bit, len(starts)), _parity(bit[some], len(starts))
             prefix = size - -(-num * size // den) + 1          # n - ceil(t n) + 1
-            take = order[np.arange(len(h)) - np.repeat(starts, size) < np.repeat(prefix, size)]
-            blocks = np.maximum(1, np.ceil(c[take] / HOT)).astype("<i8")
+            first = np.arange(len(h)) - np.repeat(starts, size) < np.repeat(prefix, size)
+            take = h[first]
+            blocks = np.maximum(1, np.ceil(count[(take % np.uint64(COUNTERS)).astype(np.int64)] / HOT)).astype("<i8")
             hot = np.maximum.reduceat(blocks, np.cumsum(prefix) - prefix) > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc), pa.array(no), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(parity),
-                 _pack(h[take], prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
+                 pa.array(half), _pack(take, prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
 
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
 POSTING = pa.schema([("word", pa.int64()), ("unit", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()),
-                     ("size", pa.int32()), ("at", pa.int32()), ("parity", pa.int64())])
+                     ("size", pa.int32()), ("at", pa.int32()), ("parity", pa.int64()), ("half", pa.int64())])
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -208,7 +287,7 @@ def postings(classes: DataFrame) -> DataFrame:
     unit: block pair (lo << 33 | hi << 2) and which of the two the row is in."""
     def run(it):
         for b in it:
-            doc, line, size, parity = (b.column(c).to_numpy() for c in ("doc", "line", "size", "parity"))
+            doc, line, size, parity, half = (b.column(c).to_numpy() for c in ("doc", "line", "size", "parity", "half"))
             words, length = _unpack(b.column("prefix"))
             blocks, hot = _unpack(b.column("blocks"))
             row = np.repeat(np.arange(len(doc)), length)
@@ -227,10 +306,10 @@ def postings(classes: DataFrame) -> DataFrame:
                 lo, hi = np.minimum(me, other), np.maximum(me, other)
                 unit = lo << 33 | hi << 2 | ((me == hi) & (lo != hi))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    words[i], unit, doc[r], line[r], size[r], at[i].astype(np.int32), parity[r])], schema=POSTING)
+                    words[i], unit, doc[r], line[r], size[r], at[i].astype(np.int32), parity[r], half[r])], schema=POSTING)
                 k = m
 
-    return map_batches(classes.select("doc", "line", "size", "parity", "prefix", "blocks"), run, POSTING)
+    return map_batches(classes.select("doc", "line", "size", "parity", "half", "prefix", "blocks"), run, POSTING)
 
 
 def _with_words(posts: DataFrame, words: np.ndarray, open_lines: np.ndarray) -> DataFrame:
@@ -264,6 +343,14 @@ def _passes(s1, a1, p1, s2, a2, p2, num: int, den: int) -> np.ndarray:
     return ok
 
 
+def _agrees(x, a, b, num: int, den: int) -> np.ndarray:
+    """The parity filter on both halves of the words apart, twice as many places."""
+    half = x["half"][a] ^ x["half"][b]
+    rest = x["parity"][a] ^ x["parity"][b] ^ half
+    sizes = x["size"][a] + x["size"][b]
+    return np.bitwise_count(half) + np.bitwise_count(rest) <= sizes - 2 * -(-(num * sizes) // (num + den))
+
+
 def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> DataFrame:
     """(doc, line, e_doc, e_line, more): for each line, candidates before it that
     pass the filters; at most ``first`` for each shared word; more: there were
@@ -286,6 +373,8 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
                 ok = _passes(x["size"][a], x["at"][a], x["parity"][a], x["size"][b], x["at"][b], x["parity"][b], num, den)
                 earlier = (x["doc"][b] < x["doc"][a]) | ((x["doc"][b] == x["doc"][a]) & (x["line"][b] < x["line"][a]))
                 i, j = np.nonzero(ok & earlier)
+                near = _agrees(x, mine[todo][i], theirs[j], num, den)
+                i, j = i[near], j[near]
                 if not len(i):
                     continue
                 rank = np.arange(len(i)) - np.searchsorted(i, i) + got[todo][i]
@@ -314,7 +403,7 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
         n = len(x["word"])
         if n < 2:
             return
-        x = dict(x, parity=x["parity"].view(np.uint64), size=x["size"].astype(np.int64), at=x["at"].astype(np.int64))
+        x = dict(x, parity=x["parity"].view(np.uint64), half=x["half"].view(np.uint64), size=x["size"].astype(np.int64), at=x["at"].astype(np.int64))
         unit = x["unit"] >> 2
         starts = np.flatnonzero(np.concatenate([[True], (x["word"][1:] != x["word"][:-1]) | (unit[1:] != unit[:-1])]))
         ends = np.append(starts[1:], n)
@@ -341,6 +430,7 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
             ok = _passes(*(x[c][at - d] for d in (0, lag) for c in ("size", "at", "parity")), num, den)
             ok &= (x["doc"][at] != x["doc"][at - lag]) | (x["line"][at] != x["line"][at - lag])
             hit = at[ok]
+            hit = hit[_agrees(x, hit, hit - lag, num, den)]
             if first is not None:
                 hit = hit[got[hit] <= first]
             if len(hit):
@@ -429,7 +519,7 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     t = Fraction(threshold)
     every = store(lines(docs, id_col, text_col, rarity(docs, text_col), t), "lines")
     # the first line of each class carries on; equal lines are merged before the shuffle
-    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "prefix", "blocks")).alias("f"))
+    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "half", "prefix", "blocks")).alias("f"))
                     .select("hi", "lo", "f.*"), "line-classes")
     posts = postings(classes)
     pairs = store(candidates(posts, t, FIRST).groupBy("doc", "line", "e_doc", "e_line").agg(
