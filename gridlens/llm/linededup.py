@@ -46,6 +46,8 @@ FIRST = 2
 SMALL = 64
 BLOCK = 1 << 18
 BASE = 0x9FB21C651E98DF25
+#: prefix words keep the upper 40 bits of their hash: words that meet there only add candidates
+WORD = ~np.uint64((1 << 24) - 1)
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 #: byte -> A-Z lower-cased, plus one
 _VALUE = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1)
@@ -272,28 +274,45 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
             hot = np.maximum.reduceat(blocks, np.cumsum(prefix) - prefix) > 1
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc), pa.array(no), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(parity),
-                 pa.array(half), _pack(take, prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
+                 pa.array(half), _pack(take & WORD, prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
 
     return map_batches(docs.select(id_col, text_col), run, schema)
 
 
-POSTING = pa.schema([("word", pa.int64()), ("unit", pa.int64()), ("doc", pa.int64()), ("line", pa.int32()),
-                     ("size", pa.int32()), ("at", pa.int32()), ("parity", pa.int64()), ("half", pa.int64())])
+#: shape: size << 16 | position of the word, at most 2^16 - 1 (less only weakens the positional filter)
+POSTING = pa.schema([("unit", pa.int64()), ("word", pa.int64()), ("parity", pa.int64()), ("half", pa.int64()),
+                     ("doc", pa.int64()), ("line", pa.int32()), ("shape", pa.int64())])
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, words: np.ndarray | None = None, open_lines: np.ndarray | None = None) -> DataFrame:
     """One row per prefix word of each class's first line, and per unit of a hot word.
 
-    unit: block pair (lo << 33 | hi << 2) and which of the two the row is in."""
+    unit: block pair (lo << 33 | hi << 2) and which of the two the row is in.
+    With bit tables: only the words that one has (and some others); bit 1 of the
+    unit marks rows whose line is in the other."""
+    flags = None
+    if words is not None:
+        flags = classes.sparkSession.sparkContext.broadcast((words, open_lines))  # 1 MB, fixed
+
+    def has(table, k):
+        return (table[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
+
     def run(it):
         for b in it:
-            doc, line, size, parity, half = (b.column(c).to_numpy() for c in ("doc", "line", "size", "parity", "half"))
+            doc, line, size, parity, half, h = (b.column(c).to_numpy() for c in ("doc", "line", "size", "parity", "half", "h"))
             words, length = _unpack(b.column("prefix"))
             blocks, hot = _unpack(b.column("blocks"))
             row = np.repeat(np.arange(len(doc)), length)
             at = np.arange(len(words)) - np.repeat(np.cumsum(length) - length, length)
             split = np.ones(len(words), np.int64)
             split[np.repeat(hot > 0, length)] = blocks
+            mark = np.zeros(len(doc), np.int64)
+            if flags is not None:
+                some, open_ = flags.value
+                mark = has(open_, h % FLAGS).astype(np.int64) << 1
+                wanted = has(some, _place(words))
+                words, row, at, split = words[wanted], row[wanted], at[wanted], split[wanted]
+            shape = size[row].astype(np.int64) << 16 | np.minimum(at, 0xFFFF)
             ends = np.cumsum(split)
             k = 0
             while k < len(words):  # a bounded number of output rows at a time
@@ -304,31 +323,18 @@ def postings(classes: DataFrame) -> DataFrame:
                 other = np.arange(len(i)) - np.repeat(np.cumsum(s) - s, s)
                 me = (doc[r] * 1_000_003 + line[r]) % split[i]
                 lo, hi = np.minimum(me, other), np.maximum(me, other)
-                unit = lo << 33 | hi << 2 | ((me == hi) & (lo != hi))
+                unit = lo << 33 | hi << 2 | ((me == hi) & (lo != hi)) | mark[r]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (
-                    words[i], unit, doc[r], line[r], size[r], at[i].astype(np.int32), parity[r], half[r])], schema=POSTING)
+                    unit, words[i], parity[r], half[r], doc[r], line[r], shape[i])], schema=POSTING)
                 k = m
 
-    return map_batches(classes.select("doc", "line", "size", "parity", "half", "prefix", "blocks"), run, POSTING)
-
-
-def _with_words(posts: DataFrame, words: np.ndarray, open_lines: np.ndarray) -> DataFrame:
-    """The postings whose word is in a bit table (and some others); bit 1 of the
-    unit marks those whose line is in the other table."""
-    flags = posts.sparkSession.sparkContext.broadcast((words, open_lines))  # 1 MB, fixed
+    columns = ["doc", "line", "size", "parity", "half", "prefix", "blocks"]
+    return map_batches(classes.select(*columns, F.xxhash64("doc", "line").alias("h")), run, POSTING)
 
-    def has(table, k):
-        return (table[k >> 3] >> (7 - (k & 7)).astype(np.uint8) & 1).astype(bool)
-
-    def run(it):
-        words, lines_ = flags.value
-        for b in it:
-            probe = has(lines_, b.column("h").to_numpy() % FLAGS)
-            unit = b.column("unit").to_numpy() | (probe.astype(np.int64) << 1)
-            cols = [pa.array(unit) if f.name == "unit" else b.column(f.name) for f in POSTING]
-            yield pa.RecordBatch.from_arrays(cols, schema=POSTING).filter(pa.array(has(words, b.column("word").to_numpy() % FLAGS)))
 
-    return map_batches(posts.withColumn("h", F.xxhash64("doc", "line")), run, POSTING)
+def _place(words: np.ndarray) -> np.ndarray:
+    """A word's place in a bit table (the lower bits of its hash are cut off)."""
+    return (words >> 24) % FLAGS
 
 
 PAIR = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("e_doc", pa.int64()), ("e_line", pa.int32()), ("more", pa.bool_())])
@@ -387,7 +393,9 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
     def run(it):
         held, size = [], 0
         for b in it:
-            held.append({f.name: b.column(f.name).to_numpy(zero_copy_only=False) for f in POSTING})
+            x = {f.name: b.column(f.name).to_numpy(zero_copy_only=False) for f in POSTING}
+            shape = x.pop("shape")
+            held.append(dict(x, size=shape >> 16, at=shape & 0xFFFF))
             size += b.num_rows
             if size >= 1 << 16:
                 x = {n: np.concatenate([h[n] for h in held]) for n in held[0]}
@@ -403,7 +411,7 @@ def candidates(posts: DataFrame, threshold: Fraction, first: int | None) -> Data
         n = len(x["word"])
         if n < 2:
             return
-        x = dict(x, parity=x["parity"].view(np.uint64), half=x["half"].view(np.uint64), size=x["size"].astype(np.int64), at=x["at"].astype(np.int64))
+        x = dict(x, parity=x["parity"].view(np.uint64), half=x["half"].view(np.uint64))
         unit = x["unit"] >> 2
         starts = np.flatnonzero(np.concatenate([[True], (x["word"][1:] != x["word"][:-1]) | (unit[1:] != unit[:-1])]))
         ends = np.append(starts[1:], n)
@@ -519,8 +527,8 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     t = Fraction(threshold)
     every = store(lines(docs, id_col, text_col, rarity(docs, text_col), t), "lines")
     # the first line of each class carries on; equal lines are merged before the shuffle
-    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "half", "prefix", "blocks")).alias("f"))
-                    .select("hi", "lo", "f.*"), "line-classes")
+    classes = store(every.groupBy("hi", "lo").agg(F.min(F.struct("doc", "line", "size", "parity", "half", "prefix", "blocks")).alias("f"), F.count("*").alias("n"))
+                    .select("hi", "lo", "f.*", "n"), "line-classes")
     posts = postings(classes)
     pairs = store(candidates(posts, t, FIRST).groupBy("doc", "line", "e_doc", "e_line").agg(
         F.min("more").alias("beyond"), F.max("more").alias("more")), "line-pairs")
@@ -528,12 +536,13 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     open_ = store(pairs.where("more").select("doc", "line").distinct().join(dup, ["doc", "line"], "left_anti"), "line-open")
     if open_.limit(1).count():
         # the open lines against everything that shares a prefix word with one of them
-        words = postings(classes.join(open_, ["doc", "line"], "left_semi")).select(F.col("word").alias("h"))
-        all_pairs = candidates(_with_words(posts, _flags(words), _flags(open_.select(F.xxhash64("doc", "line").alias("h")))), t, None).join(open_, ["doc", "line"], "left_semi").select(
+        words = postings(classes.join(open_, ["doc", "line"], "left_semi")).select(F.shiftright("word", 24).alias("h"))
+        again = postings(classes, _flags(words), _flags(open_.select(F.xxhash64("doc", "line").alias("h"))))
+        all_pairs = candidates(again, t, None).join(open_, ["doc", "line"], "left_semi").select(
             "doc", "line", "e_doc", "e_line").distinct()
         dup = dup.union(verify(docs, id_col, text_col, store(all_pairs, "line-pairs"), t))
     fate = classes.join(dup.withColumn("dup", F.lit(True)), ["doc", "line"], "left").select(
-        "hi", "lo", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), "dup")
+        "hi", "lo", F.col("doc").alias("f_doc"), F.col("line").alias("f_line"), "dup", "n").where("dup or n > 1")
     removed = every.select("doc", "line", "hi", "lo").join(fate, ["hi", "lo"]).where(
         "dup or doc <> f_doc or line <> f_line").select("doc", "line").distinct()
     return every.select("doc", "line").distinct(), removed
