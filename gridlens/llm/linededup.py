@@ -120,9 +120,13 @@ def _block_words(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.nda
 def _words(column: pa.Array):
     """(row, line number, hash, whether the last row is complete) of a text column's words,
     a bounded block at a time, however long a row."""
-    column = column.fill_null("").cast(pa.large_string())
+    if not len(column):
+        return
+    if column.null_count:
+        column = column.fill_null("")
     _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, "<i8")[column.offset:column.offset + len(column) + 1]
+    width = "<i8" if pa.types.is_large_string(column.type) else "<i4"
+    at = np.frombuffer(offsets, width)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     k, n = 0, len(column)
     while k < n:
@@ -235,12 +239,6 @@ def _unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, "<i8"), np.diff(at) // 8
 
 
-def _parity(bit: np.ndarray, n: int) -> np.ndarray:
-    """n 64-bit integers: whether each bit was named an odd number of times."""
-    odd = np.bincount(bit, minlength=64 * n) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
-
-
 def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, threshold: Fraction) -> DataFrame:
     """(doc, line, hi, lo, size, parity, half, prefix, blocks): one row per line with words.
 
@@ -264,9 +262,9 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
             # order does not matter to these sums, so equal sets get equal pairs
             hi = np.add.reduceat(_mix(h), starts).view(np.int64)
             lo = np.add.reduceat(_mix(h ^ np.uint64(0x9E3779B97F4A7C15)), starts).view(np.int64)
-            bit = line * 64 + (h >> np.uint64(58)).astype(np.int64)
-            some = (h >> np.uint64(57) & np.uint64(1)).astype(bool)
-            parity, half = _parity(bit, len(starts)), _parity(bit[some], len(starts))
+            bit = np.uint64(1) << (h >> np.uint64(58))
+            parity = np.bitwise_xor.reduceat(bit, starts).view(np.int64)
+            half = np.bitwise_xor.reduceat(bit * (h >> np.uint64(57) & np.uint64(1)), starts).view(np.int64)
             prefix = size - -(-num * size // den) + 1          # n - ceil(t n) + 1
             first = np.arange(len(h)) - np.repeat(starts, size) < np.repeat(prefix, size)
             take = h[first]
