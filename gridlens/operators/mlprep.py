@@ -71,8 +71,11 @@ def stratified_split(daily: DataFrame, label: str, test_size: float = 0.2,
 
 
 def sample_rows(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
-    """Reproducible n-row sample: smallest seeded hashes (a bounded TakeOrdered)."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """Reproducible n-row sample: smallest seeded hashes of the keys (a bounded TakeOrdered),
+    rows with equal keys in the order of the full grain."""
+    order = [*keys, *[k for k in KEYS if k in df.columns and k not in keys]]
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
+    return df.orderBy(mark, *order).limit(n)
 
 
 def target_correlation(df: DataFrame, target: str, cols: list[str], digits: int = 6) -> DataFrame:

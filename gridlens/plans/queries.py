@@ -531,7 +531,9 @@ def eval_rows(spark, sf):
     return P.daily(spark, sf).select(*SK, *EVAL_FEATURES, TARGET).dropna(subset=EVAL_FEATURES + [TARGET])
 
 
-@query("sample_rows")
+@query("sample_rows", S.BASE_DAILY + "\nSELECT * FROM daily ORDER BY md5(concat_ws('|', '42', " +
+       ", ".join(f"CAST({k} AS VARCHAR)" for k in SK) + ")), " + ", ".join(
+           f"{k} NULLS FIRST" for k in [*SK, *[k for k in MP.KEYS if k not in SK]]) + " LIMIT 1000")
 def sample_rows(spark, sf):
     return MP.sample_rows(P.daily(spark, sf), 1000, SK)
 

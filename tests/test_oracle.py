@@ -16,7 +16,7 @@ SLICE = ["fault_hold", "tamper_hold", "engineered_readings", "daily_rollup", "da
          "clean_dedup", "phase_agg", "tariff_lookup", "topology_violations", "rolling_faults",
          "status_change", "episode_starts", "kpi_formatted", "top_efficiency_trend", "alert_summary",
          "sla_delivery", "location_map", "meter_series", "type_plan", "profile_describe",
-         "stratified_split", "target_correlation", "roc_points", "roc_auc", "class_report",
+         "stratified_split", "target_correlation", "roc_points", "roc_auc", "class_report", "weighted_metrics", "sample_rows",
          "batch_validation", "impact_forecast", "forecast_melt", "linear_1d", "profile_quartiles_exact", "filter_daily_all", "filter_options_cascade"]
 
 
