@@ -15,11 +15,14 @@ Texts are tokenised once; the ids are stored, counted (one row per id and
 task), then coded and written.  Order comes from a range partition on the id, so a hot source
 or text plays no part.  Null texts are empty; a null id sorts first; rows with
 equal ids keep no particular order among themselves beyond their coded bytes.
+The tokenizer's added tokens (``<|endoftext|>``) become their ids where they stand
+in a text, as in the library's own ``encode``.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -40,8 +43,14 @@ class Library:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tok.get_vocab_size()
+        added = list(self.tok.get_added_tokens_decoder().values())
+        # added tokens are found first, the longest where several begin; the text between them is encoded apart
+        names = sorted((re.escape(a.content) for a in added), key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(names) + ")") if names else None
+        self.added = {a.content: array("I", (i,)).tobytes() for i, a in self.tok.get_added_tokens_decoder().items()}
+        # such tokens depend on what stands around them, so cutting would not do
+        self.whole = self.tok.normalizer is not None or any(a.lstrip or a.rstrip or a.single_word or any(map(str.isspace, a.content)) for a in added)
         lengths = np.zeros(self.size, np.int64)
         for t, i in self.tok.get_vocab().items():
             lengths[i] = len(t)  # the byte alphabet has one character a byte
@@ -52,11 +61,25 @@ class Library:
     def of(cls, path: str) -> Library:
         return kept((cls, path), lambda: cls(path))
 
+    def parts(self, text: str) -> list[str]:
+        """Plain text and added tokens by turns, plain text first and last."""
+        return self.cut.split(text) if self.cut else [text]
+
+    def warm(self, texts: list[str]) -> None:
+        if not self.whole:
+            self.chunks.warm([p for t in texts for p in self.parts(t)[::2]])
+
+    def encode(self, text: str) -> bytes:
+        if self.whole:
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[p] if k % 2 else self.chunks.encode(p) for k, p in enumerate(self.parts(text)))
+
     def encode_units(self, units: list[str]) -> list[bytes]:
         """Units are encoded together, then cut where their bytes end.
 
         Each unit must begin where the one before ends a pre-token: with white
-        space, after a non-space character."""
+        space, after a non-space character.  No unit holds an added token, and a joint
+        can't make one: it has no white space."""
         if len(units) == 1 or not all(u[0] == " " and not u[-1].isspace() for u in units):
             return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(units, add_special_tokens=False)]
         out: list[bytes] = []
@@ -81,11 +104,11 @@ def _encoded(rows, path: str, end_id: int | None):
         group.append((key, text or ""))
         size += len(text or "")
         if size > 1 << 20:
-            lib.chunks.warm([t for _, t in group])
-            yield from ((k, lib.chunks.encode(t) + tail) for k, t in group)
+            lib.warm([t for _, t in group])
+            yield from ((k, lib.encode(t) + tail) for k, t in group)
             group, size = [], 0
-    lib.chunks.warm([t for _, t in group])
-    yield from ((k, lib.chunks.encode(t) + tail) for k, t in group)
+    lib.warm([t for _, t in group])
+    yield from ((k, lib.encode(t) + tail) for k, t in group)
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
