@@ -108,6 +108,34 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+NO_ID = -(1 << 63)
+
+
+def own_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows whose id is theirs alone, all others with a number of their own in ``__row``).
+
+    Null ids and ids of several rows do not tell rows apart.  Such rows, None if there
+    are none, are written once, numbered densely from 0 by (id, text hash)."""
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    many = store(df.groupBy(key.alias("__many")).agg(F.count("*").alias("n")).where(
+        (F.col("n") > 1) | (F.col("__many") == NO_ID)).select("__many"), "shared-ids")
+    if not many.limit(1).count():
+        return df, None
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.join(many, key == F.col("__many"), "left_semi").withColumns({"__id": key, "__hash": F.md5(text_col)})
+    rows = rows.repartitionByRange(n, "__id", "__hash").sortWithinPartitions("__id", "__hash").drop("__id", "__hash")
+    rows = store(rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "shared-id-rows")
+    before, offsets = 0, []
+    for r in sorted(rows.groupBy("__part").count().collect()):  # one row per partition
+        offsets.append((r["__part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(offsets, "__part int, __before long")
+    # the lower 33 bits of __at count the rows of a partition
+    number = F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.join(F.broadcast(offsets), "__part").select(*df.columns, number.alias("__row"))
+    return df.join(many, key == F.col("__many"), "left_anti"), rows
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph of long vertices.
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, map_batches, map_rows, store
+from .common import batches, map_batches, map_rows, own_rows, store
 
 SHARD_BYTES = 4 << 20
 #: unused places between documents of a shard; windows and slop must stay below it
@@ -248,9 +248,12 @@ def merge(found: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
                       window: int = 10) -> DataFrame:
-    """The rows of documents without any benchmark window, all columns unchanged.
-
-    A null id can't be looked up afterwards, so it stands for all rows without one."""
-    found = find(docs, id_col, text_col, benchmark, item_col, item_text, window, slop=0)
-    bad = found.where("n_hit > 0").select(F.col("doc").alias("__doc")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
+    """The rows without any benchmark window, all columns unchanged; each row is judged by its own text."""
+    def clean(rows, key):
+        found = find(rows, key, text_col, benchmark, item_col, item_text, window, slop=0)
+        bad = found.where("n_hit > 0").select(F.col("doc").alias("__doc")).distinct()
+        return rows.join(bad, F.col(key) == F.col("__doc"), "left_anti")
+
+    single, many = own_rows(docs, id_col, text_col)
+    out = clean(single, id_col)
+    return out if many is None else out.unionByName(clean(many, "__row").drop("__row"))

@@ -22,8 +22,9 @@ Steps:
 5. Every line of a class that matched an earlier class, and every line but the first
    of any class, is a later match.
 
-Null texts have no lines.  Rows with equal ids count as one document: a line
-number matches if any of their lines there does.  A null id sorts before all others.
+Null texts have no lines.  A null id sorts before all others.  Rows that share an id, or
+have none, are documents of their own, in the order of their texts' hashes: each has a
+number (``common.own_rows``) that the line numbers inside carry in their upper bits.
 Only the named columns are read; ``apply`` keeps all columns of its input.
 """
 
@@ -34,10 +35,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, kept, map_batches, map_rows, store
+from .common import NO_ID, batches, kept, map_batches, map_rows, own_rows, store
 
 COUNTERS = 1 << 18
 FLAGS = 1 << 22
@@ -51,7 +52,8 @@ WORD = ~np.uint64((1 << 24) - 1)
 _SPACE = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\x0c\r", np.uint8))
 #: byte -> A-Z lower-cased, plus one
 _VALUE = np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1)
-_NO_ID = -(1 << 63)
+#: lower bits of a line column: the line's number in its row; upper bits: the row's among those that share ids
+LINE_BITS = 31
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -166,9 +168,11 @@ def _long_word(data: np.ndarray, a: int, b: int) -> tuple[int, np.ndarray]:
 
 
 def _line_batches(batches_, size: int = 1 << 18):
-    """(document, line number, line of each word counted from 0, hash) of many whole lines at once."""
+    """(document, line number, line of each word counted from 0, hash) of many whole lines at once;
+    a third column numbers the rows."""
     for b in batches_:
-        ids = b.column(0).cast(pa.int64()).fill_null(_NO_ID).to_numpy()
+        ids = b.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy()
+        rows = b.column(2).to_numpy() << LINE_BITS if b.num_columns > 2 else np.zeros(len(ids), np.int64)
         held, n = [], 0
         for row, line, h, whole in _words(b.column(1)):
             held.append((row, line, h))
@@ -178,15 +182,15 @@ def _line_batches(batches_, size: int = 1 << 18):
             row, line, h = (np.concatenate(x) for x in zip(*held))
             cut = n if whole else int(np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (line[1:] != line[:-1])))[-1])
             if cut:
-                yield _grouped(ids, row[:cut], line[:cut], h[:cut])
+                yield _grouped(ids, rows, row[:cut], line[:cut], h[:cut])
             held, n = [(row[cut:], line[cut:], h[cut:])], n - cut
         if n:
-            yield _grouped(ids, *(np.concatenate(x) for x in zip(*held)))
+            yield _grouped(ids, rows, *(np.concatenate(x) for x in zip(*held)))
 
 
-def _grouped(ids, row, line, h):
+def _grouped(ids, rows, row, line, h):
     new = np.append(True, (row[1:] != row[:-1]) | (line[1:] != line[:-1]))
-    return ids[row[new]], line[new].astype(np.int32), np.cumsum(new) - 1, h
+    return ids[row[new]], line[new] + rows[row[new]], np.cumsum(new) - 1, h
 
 
 def _sorted_sets(line: np.ndarray, h: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +250,7 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
     hi, lo: 128-bit hash of the set; prefix: word hashes, packed; blocks: their
     block counts, packed, empty where all are 1."""
     shared = docs.sparkSession.sparkContext.broadcast(counts.astype(np.float64))  # 2 MB, fixed
-    schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()),
+    schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()),
                         ("size", pa.int32()), ("parity", pa.int64()), ("half", pa.int64()),
                         ("prefix", pa.binary()), ("blocks", pa.binary())])
 
@@ -274,12 +278,12 @@ def lines(docs: DataFrame, id_col: str, text_col: str, counts: np.ndarray, thres
                 [pa.array(doc), pa.array(no), pa.array(hi), pa.array(lo), pa.array(size.astype(np.int32)), pa.array(parity),
                  pa.array(half), _pack(take & WORD, prefix), _pack(blocks[np.repeat(hot, prefix)], np.where(hot, prefix, 0))], schema=schema)
 
-    return map_batches(docs.select(id_col, text_col), run, schema)
+    return map_batches(docs.select(id_col, text_col, "__row"), run, schema)
 
 
 #: shape: size << 16 | position of the word, at most 2^16 - 1 (less only weakens the positional filter)
 POSTING = pa.schema([("unit", pa.int64()), ("word", pa.int64()), ("parity", pa.int64()), ("half", pa.int64()),
-                     ("doc", pa.int64()), ("line", pa.int32()), ("shape", pa.int64())])
+                     ("doc", pa.int64()), ("line", pa.int64()), ("shape", pa.int64())])
 
 
 def postings(classes: DataFrame, words: np.ndarray | None = None, open_lines: np.ndarray | None = None) -> DataFrame:
@@ -335,7 +339,7 @@ def _place(words: np.ndarray) -> np.ndarray:
     return (words >> 24) % FLAGS
 
 
-PAIR = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("e_doc", pa.int64()), ("e_line", pa.int32()), ("more", pa.bool_())])
+PAIR = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("e_doc", pa.int64()), ("e_line", pa.int64()), ("more", pa.bool_())])
 
 
 def _passes(s1, a1, p1, s2, a2, p2, num: int, den: int) -> np.ndarray:
@@ -491,24 +495,24 @@ def verify(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, thresh
     wanted = store(ends, "line-ends")
     flags = docs.sparkSession.sparkContext.broadcast(
         _flags(wanted.select(F.xxhash64("doc", "line").alias("h"))))  # 512 KB, fixed
-    schema = pa.schema([("doc", pa.int64()), ("line", pa.int32()), ("text", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("line", pa.int64()), ("text", pa.binary())])
 
     def texts(rows):
         # Spark's xxhash64(doc, line): the hash of doc seeds that of line
         bits = np.unpackbits(flags.value).tobytes()
-        for doc, text in rows:
-            doc = _NO_ID if doc is None else doc
+        for doc, text, row in rows:
+            doc = NO_ID if doc is None else doc
             seed = xxhash.xxh64_intdigest(doc.to_bytes(8, "little", signed=True), 42)
-            for k, line in enumerate(text.encode().lower().split(b"\n") if text else ()):
-                if bits[xxhash.xxh64_intdigest(k.to_bytes(4, "little"), seed) % FLAGS]:
+            for k, line in enumerate(text.encode().lower().split(b"\n") if text else (), row << LINE_BITS):
+                if bits[xxhash.xxh64_intdigest(k.to_bytes(8, "little"), seed) % FLAGS]:
                     yield doc, k, line
 
-    some = map_rows(docs.select(id_col, text_col), texts, schema)
+    some = map_rows(docs.select(id_col, text_col, "__row"), texts, schema)
     some = store(some.join(wanted, ["doc", "line"], "left_semi"), "line-texts")
     both = pairs.select("doc", "line", "e_doc", "e_line").join(some, ["doc", "line"]).join(
         some.select(F.col("doc").alias("e_doc"), F.col("line").alias("e_line"), F.col("text").alias("e_text")), ["e_doc", "e_line"])
     num, den = threshold.numerator, threshold.denominator
-    key = pa.schema([("doc", pa.int64()), ("line", pa.int32())])
+    key = pa.schema([("doc", pa.int64()), ("line", pa.int64())])
 
     def check(rows):
         for doc, line, a, b in rows:
@@ -520,8 +524,15 @@ def verify(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, thresh
     return map_rows(both.select("doc", "line", "text", "e_text"), check, key).distinct()
 
 
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All rows with ``__row``: 0 for the only row of an id, else a number of the row's own."""
+    single, many = own_rows(docs, id_col, text_col)
+    single = single.withColumn("__row", F.lit(0).cast("long"))
+    return single if many is None else single.unionByName(many)
+
+
 def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str = "0.8") -> tuple[DataFrame, DataFrame]:
-    """(all lines with words (doc, line), the removed ones (doc, line))."""
+    """(all lines with words (doc, line), the removed ones (doc, line)) of ``numbered`` rows."""
     t = Fraction(threshold)
     every = store(lines(docs, id_col, text_col, rarity(docs, text_col), t), "lines")
     # the first line of each class carries on; equal lines are merged before the shuffle
@@ -546,13 +557,23 @@ def later_matches(docs: DataFrame, id_col: str, text_col: str, threshold: str =
     return every.select("doc", "line").distinct(), removed
 
 
+def _row() -> Column:
+    return F.shiftright("line", LINE_BITS).alias("__row")
+
+
+def _number() -> Column:
+    return F.col("line").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+
+
 def report(docs: DataFrame, id_col: str, text_col: str, threshold: str = "0.8") -> DataFrame:
     """(id, n_lines, n_removed, removed_lines) for every row's id; lines counted have words."""
+    docs = numbered(docs, id_col, text_col)
     every, removed = later_matches(docs, id_col, text_col, threshold)
-    total = every.groupBy("doc").agg(F.count("*").alias("n_lines"))
-    gone = removed.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("removed_lines"))
-    key = F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("doc")
-    return docs.select(F.col(id_col).alias("id"), key).join(total, "doc", "left").join(gone, "doc", "left").select(
+    total = every.groupBy("doc", _row()).agg(F.count("*").alias("n_lines"))
+    gone = removed.groupBy("doc", _row()).agg(F.array_sort(F.collect_list(_number())).alias("removed_lines"))
+    key = F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("doc")
+    both = ["doc", "__row"]
+    return docs.select(F.col(id_col).alias("id"), key, "__row").join(total, both, "left").join(gone, both, "left").select(
         "id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines"))
@@ -561,11 +582,12 @@ def report(docs: DataFrame, id_col: str, text_col: str, threshold: str = "0.8")
 def apply(docs: DataFrame, id_col: str, text_col: str, threshold: str = "0.8") -> DataFrame:
     """The documents without their later matches, all columns kept; a document
     that loses every line it had words in is dropped."""
-    every, removed = later_matches(docs, id_col, text_col, threshold)
-    gone = removed.groupBy(F.col("doc").alias("__doc")).agg(F.collect_list("line").alias("__gone"))
-    table = docs.withColumn("__key", F.coalesce(F.col(id_col), F.lit(_NO_ID))).join(
-        gone, F.col("__key") == F.col("__doc"), "left").drop("__key", "__doc")
     at, out = docs.columns.index(text_col), docs.schema
+    docs = numbered(docs, id_col, text_col)
+    _, removed = later_matches(docs, id_col, text_col, threshold)
+    gone = removed.groupBy(F.col("doc").alias("__doc"), _row()).agg(F.collect_list(_number()).alias("__gone"))
+    table = docs.withColumn("__doc", F.coalesce(F.col(id_col), F.lit(NO_ID))).join(
+        gone, ["__doc", "__row"], "left").drop("__doc", "__row")
 
     def run(it):
         for b in it:

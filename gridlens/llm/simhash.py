@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import connected_components, map_batches, map_rows, store
+from .common import connected_components, map_batches, map_rows, own_rows, store
 
 BLOCK = 4096
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -246,19 +246,21 @@ def keep_one(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, radius
     text; in a component without ids, the first by text."""
     rows = store(fingerprints(df, id_col, text_col, shingle, seed), "simhash")
     labels = store(_labelled(rows, radius), "simhash-labels")
+    single, many = own_rows(df, id_col, text_col)
     ids = labels.where("component_id is not null").select(F.col("component_id").alias("__id")).distinct()
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    stays = (df.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
-             .withColumn("__rank", first).where("__rank = 1").drop("__rank"))
-    # rows without an id are found again by their fingerprint
-    at, out = df.columns.index(text_col), StructType([*df.schema, StructField("__fp", LongType())])
+    stays = single.join(ids, F.col(id_col) == F.col("__id"), "left_semi")
+    if many is None:
+        return stays
+    # rows that share an id are found again by their fingerprint
+    many = many.drop("__row")
+    at, out = many.columns.index(text_col), StructType([*many.schema, StructField("__fp", LongType())])
 
     def mark(it):
         for b in it:
             fps = np.array([fingerprint(t, shingle, seed) for t in b.column(at).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, "__fp"])
 
-    loose = map_batches(df.where(F.col(id_col).isNull()), mark, out).join(
-        labels.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("label").alias("__label")), "__fp")
+    of_fp = labels.select(F.col("fp").alias("__fp"), F.col("label").alias("__label"), F.col("component_id").alias("__id"))
+    loose = map_batches(many, mark, out).join(of_fp, "__fp").where(F.col(id_col).eqNullSafe(F.col("__id")))
     one = F.row_number().over(Window.partitionBy("__label").orderBy(text_col))
     return stays.unionByName(loose.withColumn("__rank", one).where("__rank = 1").select(*df.columns))
