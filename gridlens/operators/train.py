@@ -219,6 +219,32 @@ def metrics_row(pred: DataFrame, target: str, task: str, model_file: str) -> Dat
                     F.lit(model_file).alias("model_file"), F.lit(task).alias("task"), "*")
 
 
+#: the metrics of each task
+METRICS = {"classification": ["accuracy", "precision", "recall", "f1_score"], "regression": ["mae", "mse", "rmse", "r2_score"]}
+#: a metric in which all models of a task are equal
+ALL_EQUAL = 0.5
+
+
+def compare(metrics: DataFrame, task: str | None = None) -> DataFrame:
+    """Models side by side: each metric min-max normalised over the models of its
+    task, ``ALL_EQUAL`` where they don't differ, NULL for the other task's metrics.
+
+    With ``task``, its models and metrics alone."""
+    from pyspark.sql import Window
+    if task is not None:
+        metrics = metrics.where(F.col("task") == task)
+    m = metrics.withColumn("display_name", F.concat_ws(" | ", "target", "model_type", "model_file")) \
+        .dropDuplicates(["display_name"])
+    w = Window.partitionBy("task")  # the metrics table has one row per model
+
+    def scaled(c):
+        least, most = F.min(c).over(w), F.max(c).over(w)
+        return F.when((least == most) & F.col(c).isNotNull(), ALL_EQUAL).otherwise(F.try_divide(F.col(c) - least, most - least))
+
+    columns = METRICS[task] if task is not None else [c for cs in METRICS.values() for c in cs]
+    return m.select("display_name", "task", *[scaled(c).alias(c) for c in columns])
+
+
 # ---- registry / logs (K1-K6) --------------------------------------------------
 
 def store_dir(spark: SparkSession) -> str:

@@ -869,14 +869,28 @@ def grid_search(spark, sf):
     return TR.grid_search(P.daily(spark, sf), TARGET, algorithm="logistic")
 
 
+#: (target, algorithm, category) of the store's models: every kind of both tasks
+MODEL_KINDS = [(TARGET, a, "ml") for a in ("logistic", "randomforest", "xgboost", "ensemble")] + [(TARGET, "mlp", "dl")] + [
+    (REG_TARGET, a, "ml") for a in ("linear", "randomforest", "xgboost", "ensemble")]
+
+
+@functools.lru_cache(maxsize=None)
+def _stored_daily(spark, sf: str):
+    """The daily summary written once: all models are trained and evaluated on it."""
+    TR.ensure_checkpoint_dir(spark)
+    return P.daily(spark, sf).checkpoint(eager=True)
+
+
 @functools.lru_cache(maxsize=None)
 def _store_with_runs(spark, sf: str) -> str:
-    """A fresh model store (under the shared checkpoint folder) with two
-    trained models and their training log; cached per session and data dir."""
+    """A fresh model store (under the shared checkpoint folder) with a trained
+    model of every kind and their training log; cached per session and data dir."""
     store = os.path.join(TR.store_dir(spark), f"runs-{uuid.uuid4().hex[:8]}")
-    daily = P.daily(spark, sf)
-    TR.train_pipeline(daily, TARGET, "logistic", store=store)
-    TR.train_pipeline(daily, REG_TARGET, "linear", store=store)
+    daily = _stored_daily(spark, sf)
+    for target, algorithm, category in MODEL_KINDS:
+        ok, message = TR.train_pipeline(daily, target, algorithm, category, store=store)
+        if not ok:
+            raise RuntimeError(f"{target} {algorithm}: {message}")
     TR.train_pipeline(daily, TARGET, "mlp", category="rl", store=store)  # logged as skipped
     return store
 
@@ -891,8 +905,13 @@ def train_pipeline_q(spark, sf):
     return spark.read.parquet(os.path.join(store, "train_log"))
 
 
+def _latest_logistic(spark, sf):
+    return TR.registry_latest(_registry(spark, sf)).where(
+        (F.col("target") == TARGET) & (F.col("algorithm") == "logistic")).first()
+
+
 def _batch_scores(spark, sf):
-    reg = TR.registry_latest(_registry(spark, sf)).where(F.col("target") == TARGET).first()
+    reg = _latest_logistic(spark, sf)
     models = TR.load_models(reg["path"], reg["members"])
     daily = P.daily(spark, sf)
     rows = daily.select(*MP.SPLIT_KEYS, *[F.col(c).cast("double").alias(c) for c in reg["features"]],
@@ -909,7 +928,7 @@ def batch_score(spark, sf):
 
 def _metrics_table(spark, sf):
     """Evaluate every registered model on its test split -> metrics table."""
-    daily = P.daily(spark, sf)
+    daily = _stored_daily(spark, sf)
     tables = []
     for r in _registry(spark, sf).orderBy("run_ts", "path").collect():  # one row per trained model
         task = K.TASKS[r["target"]]
@@ -928,16 +947,8 @@ def evaluate_all(spark, sf):
 
 
 @query("compare_models")
-def compare_models(spark, sf):
-    from pyspark.sql import Window
-    m = _metrics_table(spark, sf)
-    m = m.withColumn("display_name", F.concat_ws(" | ", "target", "model_type", "model_file")) \
-        .dropDuplicates(["display_name"])
-    metric_cols = ["accuracy", "precision", "recall", "f1_score", "mae", "mse", "rmse", "r2_score"]
-    w = Window.partitionBy(F.lit(1))  # the metrics table has one row per model
-    return m.select("display_name", "task", *[
-        F.try_divide(F.col(c) - F.min(c).over(w), F.max(c).over(w) - F.min(c).over(w)).alias(c)
-        for c in metric_cols])
+def compare_models(spark, sf, task: str | None = None):
+    return TR.compare(_metrics_table(spark, sf), task)
 
 
 @query("recent_trainings")
@@ -964,7 +975,7 @@ def registry_latest(spark, sf):
 @query("metrics_for_model")
 def metrics_for_model(spark, sf):
     m = _metrics_table(spark, sf)
-    first = TR.registry_latest(_registry(spark, sf)).where(F.col("target") == TARGET).first()
+    first = _latest_logistic(spark, sf)
     return m.where(F.col("model_file").contains(os.path.basename(first["path"])))
 
 
