@@ -9,9 +9,10 @@ class holds the seed words, smoothed by the corpus distribution, the allow
 class is the corpus distribution.
 
 Distributed form: word counts are a grouped table, never gathered.  Each
-distinct letter run is expanded into its substrings, which are joined with the counts;
-Viterbi then needs only the run's own rows.  Runs over 63 letters
-can't be host labels and stay whole.  Scores are joined back on the run with a salt,
+distinct letter run is expanded into its substrings of up to 24 letters, which are joined
+with the counts; longer counted words are found by their first 24 letters.  Viterbi then
+needs only the run's own rows.  Runs and words of any length are cut and found: a run goes
+through the join in overlapping blocks, under its hash where it is long.  Scores are joined back on the run with a salt,
 since a run such as "com" is in most urls.
 
 Null urls and urls without ``://`` have an empty host and path, no words, and
@@ -29,14 +30,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, store
 
 #: word -> pseudo count in the block class; ambiguous words weigh less
 BLOCK_SEEDS = {w: 4 for w in (
     "ads adult banner bets betting casino clickbait escort gambling hack jackpot malware nude payday phishing pills poker "
     "popup porn sex slots spam torrent tracker viagra warez xxx").split()} | {w: 1 for w in (
         "ad bet bonus cheap click deal farm free loan loans lottery track win").split()}
-LONGEST_RUN, LONGEST_WORD = 63, 24
+#: letters of a word that the join compares; starts of substrings in one block of a run
+WORD, BLOCK = 24, 256
 SALTS = 8
 UNSEEN = 10_000
 _TAGS = re.compile(r"(?s)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;")
@@ -81,16 +83,18 @@ def word_counts(pages: DataFrame, html_col: str) -> DataFrame:
 
 def viterbi(run: str, counts: dict[str, float], total: float) -> list[str]:
     """The most probable split; unknown pieces cost more the longer they are."""
-    def cost(w: str) -> float:
-        n = counts.get(w)
-        return -math.log(n / total) if n else math.log(total) + 2.3 * len(w)
-
+    lengths = sorted({len(w) for w in counts if counts[w]}, reverse=True)
+    # of all unknown pieces that end here, the best begins where best - 2.3 * start is least
+    base, start, least = math.log(total) if total else 0.0, 0, 0.0
     best, back = [0.0] + [math.inf] * len(run), [0] * (len(run) + 1)
     for j in range(1, len(run) + 1):
-        for i in range(max(0, j - LONGEST_WORD), j):
-            c = best[i] + cost(run[i:j])
-            if c < best[j]:
-                best[j], back[j] = c, i
+        best[j], back[j] = best[start] + base + 2.3 * (j - start), start
+        for m in lengths:
+            n = counts.get(run[j - m:j]) if m <= j else None
+            if n and best[j - m] - math.log(n / total) < best[j]:
+                best[j], back[j] = best[j - m] - math.log(n / total), j - m
+        if best[j] - 2.3 * j < least:
+            start, least = j, best[j] - 2.3 * j
     out, j = [], len(run)
     while j:
         out.append(run[back[j]:j])
@@ -108,24 +112,31 @@ def log_ratio(word: str, counts: dict[str, float], total: float, seeds: dict[str
 
 def score_runs(runs: DataFrame, counts: DataFrame, total: int, seeds: dict[str, int], strength: float) -> DataFrame:
     """(run, words, score) for a table of distinct letter runs."""
-    short = runs.where(F.length("run") <= LONGEST_RUN)
-    parts = short.select("run", F.explode(F.expr(
-        f"flatten(transform(sequence(1, length(run)), i -> transform(sequence(1, least({LONGEST_WORD}, length(run) - i + 1)), "
-        "k -> substring(run, i, k))))")).alias("word")).distinct()
-    known = parts.join(counts, "word").groupBy("run").agg(
-        F.collect_list("word").alias("known"), F.collect_list("n").alias("ns"))  # at most 63 x 24 entries
-    table = runs.join(known, "run", "left").select("run", "known", "ns")
+    runs = runs.withColumns({"size": F.length("run"), "key": F.when(F.length("run") <= BLOCK, F.col("run")).otherwise(
+        F.concat(F.lit("#"), F.sha2("run", 256)))})
+    blocks = runs.select("key", "size", "run", F.explode(F.expr(f"sequence(0, (size - 1) div {BLOCK})")).alias("b")).select(
+        "key", "size", F.expr(f"substring(run, b * {BLOCK} + 1, {BLOCK + WORD - 1})").alias("piece"))
+    parts = blocks.select("key", "size", F.explode(F.expr(
+        f"flatten(transform(sequence(1, least({BLOCK}, length(piece))), i -> transform(sequence(1, least({WORD}, length(piece) - i + 1)), "
+        "k -> substring(piece, i, k))))")).alias("word")).distinct()
+    long = counts.where(F.length("word") > WORD).select(
+        F.substring("word", 1, WORD).alias("first"), F.col("word").alias("whole"), "n", F.length("word").alias("m"))
+    found = parts.join(counts.where(F.length("word") <= WORD), "word").select("key", "word", "n").union(
+        parts.where(F.length("word") == WORD).join(long, (F.col("word") == F.col("first")) & (F.col("m") <= F.col("size")))
+        .select("key", F.col("whole").alias("word"), "n"))  # begins alike: whether the run has it is seen below
+    known = found.groupBy("key").agg(F.collect_list("word").alias("known"), F.collect_list("n").alias("ns"))  # of one run
+    table = runs.join(known, "key", "left").select("run", "known", "ns")
     schema = pa.schema([("run", pa.string()), ("words", pa.list_(pa.string())), ("score", pa.float64())])
     whole = total + sum(seeds.values())
 
     def run(rows):
         for text, words, ns in rows:
-            corpus = dict(zip(words or (), ns or ()))
+            corpus = {w: n for w, n in zip(words or (), ns or ()) if len(w) <= WORD or w in text}
             model = Counter(corpus)
             for w, n in seeds.items():
                 if w in text:
                     model[w] += n
-            cut = viterbi(text, model, whole) if len(text) <= LONGEST_RUN else [text]
+            cut = viterbi(text, model, whole)
             yield text, cut, sum(log_ratio(w, corpus, total, seeds, strength) for w in cut)
 
     return map_rows(table, run, schema)
@@ -138,7 +149,7 @@ def judge(pages: DataFrame, id_col: str, url_col: str, html_col: str, rules: lis
     after = F.coalesce(F.regexp_extract(F.col(url_col), r"(?s)^.*?://(.*)$", 1), F.lit(""))
     base = pages.select(F.col(id_col).alias("id"), host_of(after).alias("host"), path_of(after).alias("path"))
     rule, decided = rule_of(rules)
-    counts = word_counts(pages, html_col)
+    counts = store(word_counts(pages, html_col), "url-words")  # asked three times
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     texts = base.where(decided.isNull()).select(F.concat_ws(" ", "host", "path").alias("text")).distinct()
     runs = texts.select("text", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("run")).where("run <> ''")
