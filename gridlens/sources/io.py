@@ -2,11 +2,13 @@
 
 CSV scans always use an explicit schema (no inference pass over the data);
 timestamps are parsed as TIMESTAMP_NTZ like the reference's naive times.
+Nothing malformed becomes NULL: ``scan_csv`` returns the rejected rows beside the
+others, ``read_readings``, ``read_daily`` and ``compact`` fail on them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +30,73 @@ READING_SCHEMA = T.StructType([
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss[.SSSSSS]"
 
 
+CORRUPT = "__corrupt"
+#: what stands for a missing number or time, as pandas reads it
+MISSING = ["", "nan", "-nan", "na", "n/a", "#n/a", "<na>", "null", "none", "nat"]
+
+
+def _parsed(name: str, kind: T.DataType) -> Column:
+    """A text value in its type; NULL if it is missing or can't be read."""
+    text = F.trim(F.col(name))
+    if isinstance(kind, T.StringType):
+        return F.col(name)
+    if isinstance(kind, T.DateType):
+        # ISO, or day first as the reference reads it; a time of day only if it is midnight
+        iso = F.regexp_replace(text, r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})(?!\d)", "$3-$2-$1")
+        day = F.regexp_extract(iso, r"^(\d{4}-\d{1,2}-\d{1,2})(?:[ T]00:00(?::00(?:\.0+)?)?)?$", 1)
+        return day.try_cast("date")
+    if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
+        fits = text.rlike(r"^\d{4}-\d{2}-\d{2}(?:[ T]\d{2}:\d{2}:\d{2}(?:\.\d{1,6})?)?$")
+        return F.when(fits, text).try_cast(kind)
+    if isinstance(kind, T.IntegralType):
+        number = text.try_cast("double")  # pandas writes integers beside missing values as 1.0
+        return F.coalesce(text.try_cast(kind), F.when((number == F.floor(number)) & (F.abs(number) < 2.0 ** 53), number).try_cast(kind))
+    return text.try_cast(kind)
+
+
+def _number(c: Column, kind: T.DataType) -> Column:
+    return F.when(~F.isnan(c), c) if isinstance(kind, (T.DoubleType, T.FloatType)) else c
+
+
+def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """(the rows in their types, the rejected rows as text with a ``reason``) of a CSV with header.
+
+    Rejected: a record with too few or too many fields, or any value that is neither
+    missing nor readable in its column's type.  NaN is missing."""
+    text = T.StructType([*[T.StructField(f.name, S) for f in schema], T.StructField(CORRUPT, S)])
+    # without column pruning, or a count would not see the fields that tell a broken record
+    raw = (spark.read.schema(text).option("header", True).option("columnPruning", False)
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(path))
+    faults = [F.when(~F.lower(F.trim(F.col(f.name))).isin(MISSING) & _parsed(f.name, f.dataType).isNull(), f.name)
+              for f in schema if not isinstance(f.dataType, T.StringType)]
+    reason = F.when(F.col(CORRUPT).isNotNull(), F.concat(F.lit("fields: "), CORRUPT)).otherwise(
+        F.when(F.coalesce(*faults, F.lit(None)).isNotNull(), F.concat(F.lit("unreadable: "), F.concat_ws(", ", *faults))))
+    judged = raw.withColumn("reason", reason)
+    rows = judged.where(F.col("reason").isNull()).select(
+        *[_number(_parsed(f.name, f.dataType), f.dataType).alias(f.name) for f in schema])
+    return rows, judged.where(F.col("reason").isNotNull()).drop(CORRUPT)
+
+
+def _strict(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    """All rows in their types, NaN as NULL; a record that can't be read fails the job."""
+    if fmt == "parquet":
+        df = spark.read.schema(schema).parquet(path)
+        return df.select(*[_number(F.col(f.name), f.dataType).alias(f.name) for f in schema])
+    rows, rejected = scan_csv(spark, path, schema)
+    told = rejected.limit(3).collect()  # asked once, when the scan is made
+    if told:
+        raise ValueError(f"{path} has rows that can't be read (scan_csv gives them all): {[r['reason'] for r in told]}")
+    return rows
+
+
 def read_readings(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A1: raw readings with the fixed schema (CSV with header, or Parquet)."""
-    if fmt == "parquet":
-        return spark.read.schema(READING_SCHEMA).parquet(path)
-    return (spark.read.schema(READING_SCHEMA).option("header", True)
-            .option("timestampNTZFormat", TS_FORMAT).csv(path))
+    return _strict(spark, path, READING_SCHEMA, fmt)
 
 
 def read_daily(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
-    """A2: daily summary with its schema (``date_`` as DATE)."""
-    if fmt == "parquet":
-        return spark.read.schema(schema).parquet(path)
-    return spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    """A2: daily summary with its schema (``date_`` as DATE, ISO or day first)."""
+    return _strict(spark, path, schema, fmt)
 
 
 def read_typed(spark: SparkSession, path: str, types: dict[str, str]) -> DataFrame:
@@ -65,7 +121,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def compact(spark: SparkSession, src: str, dst: str, fmt: str = "gzip", schema: T.StructType = READING_SCHEMA) -> DataFrame:
     """Rewrite a CSV table as gzip CSV or Parquet (one distributed write)."""
-    df = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(src)
+    df = _strict(spark, src, schema, "csv")
     if fmt == "gzip":
         write_table(df, dst, "csv", compression="gzip")
     elif fmt == "parquet":
