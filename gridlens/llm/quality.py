@@ -11,8 +11,9 @@ vocabularies how well a text fits them:
 
 A text is rejected when a measure lies outside the band of its stated language,
 or where that has none, of its script (the script of most of its words).
-Bands are parameters; the defaults come from prose and junk of the sf0.1
-table.  They don't depend on the rest of the corpus, so one pass over the rows
+Bands are parameters; the defaults for Latin, Greek and Cyrillic come from prose and junk
+of the sf0.1 table, those of the other scripts from short prose samples and made-up junk
+(tests/llm/test_quality_bands.py); all remaining scripts share OTHER.  They don't depend on the rest of the corpus, so one pass over the rows
 suffices, nothing is shuffled, and a hot source or group changes nothing.
 
 Null or empty texts have no words and fail the base rules; a null language means
@@ -55,6 +56,15 @@ BANDS = {
     "LATIN": Band((1.6, 8.0), (0.0, 0.15)),
     "GREEK": Band((0.5, 8.0), (0.0, 0.6)),
     "CYRILLIC": Band((0.5, 8.0), (0.0, 0.3)),
+    # between prose and random letters or mojibake; marks are no letters, so scripts with vowel signs get less a token
+    "ARABIC": Band((0.7, 8.0), (0.0, 0.3), (0.3, 1.0)),
+    "HEBREW": Band((0.7, 8.0), (0.0, 0.3), (0.3, 1.0)),
+    "DEVANAGARI": Band((0.2, 8.0), (0.0, 0.35), (0.25, 1.0)),
+    "HANGUL": Band((0.6, 8.0), (0.0, 0.4), (0.3, 1.0)),
+    "HIRAGANA": Band((0.5, 8.0), (0.0, 0.35), (0.25, 1.0)),
+    "KATAKANA": Band((0.5, 8.0), (0.0, 0.2), (0.25, 1.0)),
+    "CJK": Band((0.5, 8.0), (0.0, 0.4), (0.3, 1.0)),
+    "OTHER": Band((0.15, 8.0), (0.0, 0.6), (0.15, 1.0)),  # also rejects scripts that the vocabulary has no pieces for
     "NONE": Band((1.2, 8.0), (0.0, 0.15)),  # no letters at all
 }
 
