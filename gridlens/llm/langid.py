@@ -6,7 +6,7 @@ embedding table.  The text's vector is the mean of all rows of all its words;
 a linear layer and a softmax give language probabilities.
 
 Training is stochastic gradient descent in numpy on a bounded sample of
-labelled rows (``max_train``, the rows with the smallest hash of their id), the only bounded
+labelled rows of every label (``max_train`` in all, by the hash of their id), the only bounded
 part.  One tenth of the sample is held back to calibrate: a temperature
 is fitted there, and the rejection threshold is the largest one up to
 ``strictest`` that still accepts ``accept`` of its texts.  Prediction covers every whole text: since
@@ -26,11 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows
 
+#: rows of each label that are trained on at least, where it has them
+LEAST = 20
 _WORD = regex.compile(r"\p{L}+")
 
 
@@ -123,15 +125,31 @@ def train(rows: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, ep
 
 
 def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, per_text: int) -> list[tuple[str, str]]:
-    """The labelled rows with the smallest id hashes: bounded, and the same on every run.
-
-    Texts over ``per_text`` characters are not sampled (they would not bound
-    the driver's memory); prediction takes every length."""
-    key = F.xxhash64(F.col(id_col))
-    rows = (df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= per_text))
-            .select(F.col(text_col).alias("t"), F.col(label_col).alias("y"), key.alias("k"))
-            .orderBy("k", "t", "y").limit(max_train).collect())
-    return [(r["t"], r["y"]) for r in rows]
+    """A bounded number of labelled rows of every label, the same on every run.
+
+    Rows are taken by turns from the labels, in each by id hash, so that all have
+    as many as they can: ``max_train`` rows, or more if that is less than
+    ``LEAST`` of each label.  Of a text over ``per_text`` characters a span of that length is
+    taken (whole ones would not bound the driver's memory), at a place its hash
+    gives; prediction takes every length."""
+    rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(text_col).alias("t"), F.col(label_col).alias("y"), F.xxhash64(F.col(id_col)).alias("k"), F.xxhash64(text_col).alias("h"))
+    n = max(max_train, LEAST * rows.agg(F.count_distinct("y").alias("n")).first()["n"])
+    # only hashes are ranked, equal rows once, and in parts of a label before the label as a whole
+    first = rows.select("y", "k", "h").distinct().withColumn("part", F.pmod("h", F.lit(8)))
+    for keys in (["y", "part"], ["y"]):
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy("k", "h"))
+        first = first.withColumn("turn", turn).where(F.col("turn") <= max_train)
+    chosen = df.sparkSession.createDataFrame(
+        first.orderBy("turn", "k", "h", "y").limit(n).select("y", "k", "h").collect(), "y string, k long, h long")
+    spare = F.length("t") - per_text
+    start = F.when(spare > 0, F.pmod("h", spare + 1)).otherwise(0).cast("int")
+    span = F.substring("t", start + 1, F.lit(per_text))
+    whole = F.regexp_replace(span, r"^\p{L}+|\p{L}+$", "")  # without the words that are cut, if others are left
+    text = F.when(spare <= 0, F.col("t")).when(whole.rlike(r"\p{L}"), whole).otherwise(span)
+    got = rows.join(F.broadcast(chosen), ["y", "k", "h"], "left_semi").dropDuplicates(["y", "k", "h"]).select(
+        text.alias("t"), "y", "k", "h").collect()
+    return [(r["t"], r["y"]) for r in sorted(got, key=lambda r: (r["k"], r["h"], r["y"]))]
 
 
 def predict(df: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
