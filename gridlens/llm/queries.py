@@ -10,11 +10,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, linededup, quality, sharding, simhash, suffix, tokenbin, urlfilter
+from . import (bpe, decontam, filteraudit, gracededup, langid, linededup, merkle, quality, sharding, simhash, suffix, tokenbin,
+               urlfilter)
 from .common import table
+from .sql import AUDIT_SQL, DEDUP_SQL, MANIFEST_SQL
 
 QUERIES = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_filter_audit": AUDIT_SQL, "op12_exact_dedup": DEDUP_SQL, "op13_merkle_manifest": MANIFEST_SQL}
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/")]
@@ -93,3 +95,28 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), "page_id", "url", "html", RULES).withColumnRenamed("id", "page_id")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filters = {"A": filteraudit.few_words(50), "B": filteraudit.repetitive(65), "C": filteraudit.many_of("A-Z", 5),
+               "D": filteraudit.holds_any("#$%&*|"), "E": filteraudit.EARLIER_COPY}
+    return filteraudit.audit(table(spark, sf_dir, "documents"), "doc_id", "text", "source", filters,
+                             table(spark, sf_dir, "labels"), "doc_id", F.col("quality") == 1, F.col("toxic") == 1)
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gracededup.group(table(spark, sf_dir, "documents"), "doc_id", "text").select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("sha256")).alias("text_sha256"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    cut = F.replace(F.col("text"), F.lit("\n"), F.lit(""))
+    tampered = F.when(even, merkle.leaf([*map(F.col, fields[:-1]), cut]))
+    rows = merkle.verify(merkle.manifest(table(spark, sf_dir, "documents"), "doc_id", "source", fields, tampered))
+    return rows.select(F.col("id").alias("doc_id"), *[F.lower(F.hex(c)).alias(c) for c in ("leaf", "subroot", "root")],
+                       "proof_sha256", F.lower(F.hex("folded_root")).alias("folded_root"), "verified")
