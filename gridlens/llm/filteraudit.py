@@ -90,10 +90,14 @@ def masks(docs: DataFrame, id_col: str, text_col: str, part_col: str, filters: d
     if not late:
         return rows.drop("hash")
     rows = store(rows, "audit-rows")  # narrow; the texts are read once
-    # one row per repeated text, combined before the shuffle; many rows of one text are
-    # a skewed side that the join may split
-    first = rows.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    rows = rows.join(first.select("hash", "first"), "hash", "left")
+    # one row per repeated text, combined before the shuffle
+    first = store(rows.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "audit-copies")
+    # texts with over a thousandth of all rows, at most 1,000, are broadcast; their rows
+    # take no part in the join on the others
+    common = F.col("n") > rows.count() / 1000
+    rows = rows.join(F.broadcast(first.where(common).withColumnRenamed("n", "copies")), "hash", "left")
+    rows = rows.where("copies is not null").drop("copies").unionByName(
+        rows.where("copies is null").drop("first", "copies").join(first.where(~common).drop("n"), "hash", "left"))
     return rows.select("id", "part", (F.col("mask") + F.when(F.col("id") > F.col("first"), sum(late)).otherwise(0)).alias("mask"))
 
 
@@ -102,7 +106,8 @@ def cells(rows: DataFrame, labels: DataFrame, label_id: str, good: Column, toxic
     marks = labels.select(F.col(label_id).alias("id"), F.coalesce(good, F.lit(False)).cast("int").alias("good"),
                           F.coalesce(toxic, F.lit(False)).cast("int").alias("toxic")).where("id is not null")
     marks = marks.groupBy("id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
-    return rows.join(marks, "id", "left").groupBy("part", "mask").agg(
+    rows = rows.where("id is not null").join(marks, "id", "left").unionByName(rows.where("id is null"), allowMissingColumns=True)
+    return rows.groupBy("part", "mask").agg(
         F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("good", "toxic")])
 
 

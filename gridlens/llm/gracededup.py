@@ -107,11 +107,11 @@ class _Groups:
             self.best[k] = max(self.best[k], rank)
 
 
-def _condense(flush: int, fields: list[str], rows_type: pa.DataType | None):
+def _condense(flush: int, fields: list[str]):
     """Rows of a batch at once, records at each flush; the other kind's columns are null."""
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = TaskContext.get().partitionId() << 33
-        groups, reps, shas = _Groups(), [], []
+        groups, reps, shas, carried = _Groups(), [], [], []
 
         def records() -> Iterator[pa.RecordBatch]:
             t = groups.table
@@ -119,12 +119,11 @@ def _condense(flush: int, fields: list[str], rows_type: pa.DataType | None):
                    zip(reps, t.hashes, t.texts, groups.n, groups.best))
             for b in batches(_RECORDS, out):
                 none = [pa.nulls(b.num_rows, t) for t in (pa.int64(), pa.int64(), pa.binary())]
-                extra = [pa.nulls(b.num_rows, rows_type)] if rows_type is not None else []
-                yield pa.RecordBatch.from_arrays([*b.columns, *none, *extra], names=fields)
+                yield pa.RecordBatch.from_arrays([*b.columns, *none, *(pa.nulls(b.num_rows, t) for t in carried)], names=fields)
 
         for batch in it:
             mine, sha = [], []
-            first = at
+            first, carried = at, [c.type for c in batch.columns[3:]]
             for id_, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 text = text.as_py()
                 k = groups.table.find(h, text)
@@ -190,10 +189,8 @@ def group(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = ()
     fields = [T.StructField(n, {"text": T.BinaryType(), "sha": T.BinaryType()}.get(n, T.LongType()))
               for n in [n for n, _ in _RECORD] + ["at", "id", "sha"]]
     if carry:
-        from pyspark.sql.pandas.types import to_arrow_type
         fields.append(given.schema["row"])
-        row_type = to_arrow_type(given.schema["row"].dataType, timezone="UTC")
-    out = store(map_batches(given, _condense(flush, [f.name for f in fields], row_type if carry else None),
+    out = store(map_batches(given, _condense(flush, [f.name for f in fields]),
                             T.StructType([T.StructField(f.name, f.dataType) for f in fields])), "grace-rows")
     left = out.where("text is not null").select(*[n for n, _ in _RECORD])
     found, level = None, 0

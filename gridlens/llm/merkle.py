@@ -57,7 +57,7 @@ def parent(digests: list[bytes]) -> bytes:
 class Frontier:
     """Appends leaves to a tree and extends the witnesses of all open subtrees."""
 
-    def __init__(self, height: int = HEIGHT, arity: int = ARITY):
+    def __init__(self, height: int, arity: int = ARITY):
         self.arity, self.height = arity, height
         self.open: list[list[tuple[bytes, list[int]]]] = [[] for _ in range(height + 1)]
         self.witness: list[bytearray] = []
@@ -116,7 +116,7 @@ def _append(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (key, block) != at:
                 if at:
                     yield from done()
-                at, tree, mine, n = (key, block), Frontier(), [], n_of
+                at, tree, mine, n = (key, block), Frontier(HEIGHT), [], n_of
             mine.append(rest)
             tree.append(rest[3])
         if at:

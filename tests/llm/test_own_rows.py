@@ -35,7 +35,7 @@ def _in_order(rows):
 
 def _line_fates():
     rows = _in_order(ROWS)
-    gone, every = _removed_lines([(k, t, None) for k, (_, t, _) in enumerate(rows)])
+    gone, every, _ = _removed_lines([(k, t, None) for k, (_, t, _) in enumerate(rows)])
     return [(i, t, sum(d == k for d, _ in every), sorted(n for d, n in gone if d == k)) for k, (i, t, _) in enumerate(rows)]
 
 

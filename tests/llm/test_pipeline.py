@@ -43,10 +43,10 @@ def _quality(docs, _):
 
 
 def _lines(docs, _):
-    gone, _ = B._removed_lines(docs)
+    gone, _, place = B._removed_lines(docs)
     out = []
-    for i, t, y in docs:
-        cut = {k for d, k in gone if d == (-1 if i is None else i)}
+    for r, (i, t, y) in enumerate(docs):
+        cut = {k for d, k in gone if d == place[r]}
         if cut and t:
             t = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut)
             if not t.encode().split():

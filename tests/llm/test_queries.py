@@ -48,11 +48,12 @@ def odd_docs():
     return rows + [rows[6], (None, base, "en", None, 1, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
 
 
-def _dir(spark, docs, items, pages):
+def _dir(spark, docs, items, pages, labels=()):
     d = tempfile.mkdtemp(prefix="gridlens-llm-", dir="/tmp")
     spark.createDataFrame(docs, DOCS).repartition(3).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, ITEMS).coalesce(1).write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame(pages, PAGES).coalesce(2).write.parquet(f"{d}/pages.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int, part string").write.parquet(f"{d}/labels.parquet")
     return d
 
 
@@ -69,7 +70,8 @@ def odd(spark):
              (9, "http://example.org/en/12", None, None, None), (9, "http://example.org/en/12", None, None, None),
              (10, "http://" + "z" * 3000 + ".net/" + "q" * 9000, "q", None, None), (11, "a://b://c.org/", None, None, None),
              (12, "http://org/", None, None, None), (13, "", "", None, None), (None, "x://org", None, None, None)]
-    return _dir(spark, rows, items, pages)
+    labels = [(i, i % 2, i % 3 % 2, "p") for i in range(0, 60, 2)] + [(6, 1, 0, None), (6, 0, 1, None), (None, 1, 1, None), (7, None, None, None)]
+    return _dir(spark, rows, items, pages, labels)
 
 
 @pytest.fixture(scope="module")
@@ -244,7 +246,6 @@ def test_op5(spark, where):
 def test_op6(spark, where):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want, seen = [], Counter()
     for i, t, _ in docs_of(where):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -279,25 +280,29 @@ def test_op7(spark, where):
 
 
 def _removed_lines(docs):
+    """Lines of the rows in the order of (id, text hash), each row a document of its own."""
     t = Fraction(4, 5)
-    lines = [(-1 if i is None else i, k, set(x.split())) for i, text, _ in docs if text
+    own = sorted(range(len(docs)), key=lambda r: (docs[r][0] is not None, docs[r][0] or 0, docs[r][1] is not None,
+                                                  hashlib.md5((docs[r][1] or "").encode()).hexdigest()))
+    place = {r: k for k, r in enumerate(own)}
+    lines = [(place[r], k, set(x.split())) for r, (_, text, _) in enumerate(docs) if text
              for k, x in enumerate(text.encode().lower().split(b"\n")) if x.split()]
     out = set()
     for a, b in itertools.combinations(lines, 2):
-        if a[:2] == b[:2] or min(len(a[2]), len(b[2])) < t * max(len(a[2]), len(b[2])):
+        if min(len(a[2]), len(b[2])) < t * max(len(a[2]), len(b[2])):
             continue
         common = len(a[2] & b[2])
         if common >= t * (len(a[2]) + len(b[2]) - common):
             out.add(max(a[:2], b[:2]))
-    return out, {x[:2] for x in lines}
+    return out, {x[:2] for x in lines}, place
 
 
 def test_op8(spark, where):
     docs = docs_of(where)
-    gone, every = _removed_lines(docs)
+    gone, every, place = _removed_lines(docs)
     want = []
-    for i, _, _ in docs:
-        k = -1 if i is None else i
+    for r, (i, _, _) in enumerate(docs):
+        k = place[r]
         mine = sorted(line for d, line in gone if d == k)
         want.append((i, sum(d == k for d, _ in every), len(mine), mine))
     assert keyed(run(spark, "op8_line_dedup", where), "doc_id", "n_lines", "n_removed", "removed_lines") == sorted(want, key=repr)
