@@ -3,7 +3,7 @@
 Every event becomes one hourly-style meter reading.  All measures are built
 with integer arithmetic on event columns and then scaled by powers of two,
 so they are dyadic fractions: sums are exact in any order and Spark agrees
-bit-for-bit with the DuckDB oracle (``plans/oracle.py`` holds the same
+bit-for-bit with the DuckDB oracle (``plans/sql_base.py`` holds the same
 rules as SQL; FIXTURES.md documents them).
 
 Per event:  e = event_id, u = user_id, k = the integer inside ``props``,
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlens import constants as K
+from gridlens.operators import timeline
 
 
 def _arr(values: list) -> str:
@@ -93,15 +94,17 @@ _READING = [
 ]
 
 
-def readings_from_events(events: DataFrame, partition_by_meter_day: bool = False) -> DataFrame:
+def readings_from_events(events: DataFrame, partition_by_meter_day: bool = False,
+                         segment_rows: int = timeline.SEGMENT_ROWS) -> DataFrame:
     """Readings for each event.  With ``partition_by_meter_day`` the narrow
-    event columns are hash-partitioned by ``(meter_id, date)`` first and the
+    event columns are hash-partitioned by the segments of ``timeline`` first and the
     reading columns are derived after the shuffle (a much narrower exchange;
-    the output also carries ``date``)."""
-    base = events.selectExpr(*_BASE, *(["CAST(ts AS DATE) AS date"] if partition_by_meter_day else []))
+    the output also carries ``date`` and, where days are cut, ``__segment``)."""
+    base, extra = events.selectExpr(*_BASE), []
     if partition_by_meter_day:
-        base = base.repartition("meter_id", "date")
-    extra = ["date"] if partition_by_meter_day else []
+        base = timeline.segmented(base, timeline.day_cuts(base, segment_rows))
+        extra = timeline.layout(base)[1:]
+        base = base.repartition("meter_id", *extra)
     staged = base.selectExpr(*_STAGED, *extra).selectExpr(*_BANDED)
     return staged.selectExpr(*_READING, *extra).selectExpr(
         *READING_NAMES, "round(total_vended_amount / tariff_per_kwh, 2) AS expected_energy_from_vend", *extra)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from gridlens.operators import timeline
 from gridlens.operators.features import engineer
 from gridlens.operators.timeline import meter_timeline
 from gridlens.sources import fixtures
@@ -147,3 +148,40 @@ def test_hot_meter_is_split_across_tasks_and_exact(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert parts >= 4  # 8 shuffle partitions, ~30 days of the hot meter
+
+
+@pytest.mark.parametrize("segment_rows", [1, 7, 40])
+def test_hot_meter_day_is_cut_into_segments_and_exact(spark, segment_rows):
+    """One meter-day with a third of all readings: every result equals the row loop, and
+    the day's rows are spread over several tasks."""
+    r = fixtures.readings(spark, SF_SMALL)
+    hot = F.col("event_id") % 3 == 0
+    micros = F.col("event_id") * 61_000_000 % 86_400_000_000
+    r = r.withColumns({"meter_id": F.when(hot, F.lit("MTR_HOT")).otherwise(F.col("meter_id")),
+                       "timestamp": F.when(hot, F.timestamp_add("MICROSECOND", micros, F.lit("2024-01-09 00:00:00").cast("timestamp_ntz")))
+                       .otherwise(F.col("timestamp"))})
+    r = r.checkpoint()
+    cuts = timeline.day_cuts(r, segment_rows)
+    cut = timeline.segmented(r, cuts)
+    n = r.where("meter_id = 'MTR_HOT'").count()
+    sizes = [x["count"] for x in cut.where("meter_id = 'MTR_HOT'").groupBy(timeline.SEGMENT).count().collect()]
+    assert sum(sizes) == n and len(sizes) > 4 and max(sizes) <= max(3 * segment_rows, 3)
+    _check(spark, cut)
+    _check(spark, cut, 2)
+    got = engineer(cut).checkpoint()
+    want = engineer(r)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        parts = (meter_timeline(cut).where(F.col("meter_id") == "MTR_HOT").select(F.spark_partition_id().alias("p")).distinct().count())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert parts >= 4
+
+
+def test_days_within_the_limit_are_not_cut(spark):
+    r = fixtures.readings(spark, SF_SMALL)
+    assert timeline.day_cuts(r) is None
+    assert timeline.day_cuts(r, 999) is None
+    assert timeline.SEGMENT not in timeline.segmented(r, None).columns
