@@ -31,7 +31,12 @@ from gridlens.operators.ranking import positions
 from gridlens.session import ensure_checkpoint_dir
 
 SEED = 42
-KEYS = mlprep.SPLIT_KEYS
+#: the full grain of the daily summary: it orders splits and folds without ties
+KEYS = mlprep.KEYS
+#: Trees of a forest end at this depth and keep this many rows a leaf: a tree of depth d
+#: has up to 2^d nodes, and all trees of a model pass through the driver.
+FOREST_DEPTH = 12
+FOREST_LEAF_ROWS = 2
 CLASSIFIERS = ["logistic", "randomforest", "xgboost", "ensemble", "mlp"]
 REGRESSORS = ["randomforest", "xgboost", "linear", "ensemble"]
 
@@ -45,7 +50,7 @@ def default_features(daily: DataFrame, target: str, k: int = 6) -> list[str]:
 
 def split(daily: DataFrame, target: str, task: str, features: list[str], test_size: float = 0.2) -> DataFrame:
     """Seeded, reproducible split; stratified (exact per class) for classification."""
-    data = daily.select(*KEYS, *[F.col(c).cast("double").alias(c) for c in features],
+    data = daily.select(*[k for k in KEYS if k not in features], *[F.col(c).cast("double").alias(c) for c in features],
                         F.col(target).cast("double").alias("label"))
     order = [F.xxhash64(F.lit(SEED), *KEYS), *KEYS]
     if task == "classification":
@@ -69,8 +74,8 @@ def estimator(task: str, algorithm: str, n_features: int, n_train: int, **kw):
             c = kw.get("C", 1.0)
             return LogisticRegression(maxIter=1000, regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0)
         if algorithm == "randomforest":
-            return RandomForestClassifier(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", 30),
-                                          seed=SEED)
+            return RandomForestClassifier(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", FOREST_DEPTH),
+                                          minInstancesPerNode=FOREST_LEAF_ROWS, seed=SEED)
         if algorithm == "xgboost":
             return GBTClassifier(maxIter=kw.get("maxIter", 100), maxDepth=kw.get("maxDepth", 6),
                                  stepSize=kw.get("stepSize", 0.3), seed=SEED)
@@ -78,9 +83,10 @@ def estimator(task: str, algorithm: str, n_features: int, n_train: int, **kw):
             return MultilayerPerceptronClassifier(layers=[n_features, 128, 64, 2], maxIter=100, seed=SEED)
     else:
         if algorithm == "randomforest":
-            return RandomForestRegressor(numTrees=100, maxDepth=kw.get("maxDepth", 30), seed=SEED)
+            return RandomForestRegressor(numTrees=kw.get("numTrees", 100), maxDepth=kw.get("maxDepth", FOREST_DEPTH),
+                                         minInstancesPerNode=FOREST_LEAF_ROWS, seed=SEED)
         if algorithm == "xgboost":
-            return GBTRegressor(maxIter=100, maxDepth=kw.get("maxDepth", 6), stepSize=0.3, seed=SEED)
+            return GBTRegressor(maxIter=kw.get("maxIter", 100), maxDepth=kw.get("maxDepth", 6), stepSize=0.3, seed=SEED)
         if algorithm == "linear":
             return LinearRegression(regParam=0.0, solver="normal")
     raise ValueError(f"unsupported {task} algorithm: {algorithm}")
@@ -109,16 +115,22 @@ def fit(train: DataFrame, task: str, algorithm: str, features: list[str]) -> lis
     return models
 
 
-def predict(models: list[PipelineModel], df: DataFrame, task: str) -> DataFrame:
-    """Soft vote (classification) / mean (regression) over the member models."""
-    # chained transforms on the same rows: one pass, no join, one row out per row in
+def _add_score(models: list[PipelineModel], df: DataFrame, task: str, name: str) -> DataFrame:
+    """``df`` and the mean score of the member models: chained transforms on the same rows,
+    one pass, no join."""
     out = df
     for i, m in enumerate(models):
         scored = m.transform(out)
         added = [c for c in scored.columns if c not in out.columns]
         out = scored.withColumn(f"__s{i}", _score_col(task)).drop(*added)
-    avg = sum(F.col(f"__s{i}") for i in range(len(models))) / len(models)
-    out = out.select(*KEYS, "label", avg.alias("probability" if task == "classification" else "prediction"))
+    parts = [f"__s{i}" for i in range(len(models))]
+    return out.withColumn(name, sum(F.col(c) for c in parts) / len(models)).drop(*parts)
+
+
+def predict(models: list[PipelineModel], df: DataFrame, task: str) -> DataFrame:
+    """Soft vote (classification) / mean (regression) over the member models."""
+    score = "probability" if task == "classification" else "prediction"
+    out = _add_score(models, df, task, "__score").select(*KEYS, "label", F.col("__score").alias(score))
     if task == "classification":
         out = out.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
     return out
@@ -144,7 +156,7 @@ def train_and_predict(daily: DataFrame, target: str, algorithm: str, features: l
 
 def grid_search(daily: DataFrame, target: str = "tamper_detected", features: list[str] | None = None,
                 algorithm: str = "logistic", parallelism: int = 4) -> DataFrame:
-    """3-fold CrossValidator; returns one row per grid point with its mean
+    """CrossValidator over three stratified folds; returns one row per grid point with its mean
     CV metric (accuracy for classifiers, R2 for regressors) and the winner."""
     rows, _, _, _ = tune_model(daily, target, features, algorithm, parallelism)
     return daily.sparkSession.createDataFrame(
@@ -155,13 +167,22 @@ def has_grid(task: str, algorithm: str) -> bool:
     return algorithm in ("randomforest", "xgboost") or (task == "classification" and algorithm == "logistic")
 
 
+def folds(rows: DataFrame, label: str | None, n: int, order: list) -> DataFrame:
+    """``rows`` with an int ``fold`` from 0: the position within the class (all rows without
+    ``label``) modulo n, so that the folds of a class differ by at most one row; rows whose
+    label is NULL are in none."""
+    ranked = positions(rows, order, [label] if label else None, name="__pos")
+    return ranked.withColumn("fold", ((F.col("__pos") - 1) % n).cast("int")).drop("__pos")
+
+
 def tune_model(daily: DataFrame, target: str, features: list[str] | None, algorithm: str, parallelism: int = 4):
     """Run the grid; returns (grid rows, best model refitted on the train split, features, split rows)."""
     task = K.TASKS[target]
     daily = training_input(daily, target, features)
     feats = features or default_features(daily, target)
     sp = split(daily, target, task, feats)
-    train = sp.where(F.col("split") == "train")
+    train = folds(sp.where(F.col("split") == "train"), "label" if task == "classification" else None, 3,
+                  [F.xxhash64(F.lit(SEED + 1), *KEYS), *KEYS])
     n_train = train.count()
     est = estimator(task, algorithm, len(feats), n_train)
     pb = ParamGridBuilder()
@@ -170,7 +191,7 @@ def tune_model(daily: DataFrame, target: str, features: list[str] | None, algori
         pb = pb.addGrid(est.regParam, [1.0 / (c * n_train) for c in cs])
         labels = [f"C={c}" for c in cs]
     elif algorithm == "randomforest" and task == "classification":
-        pb = pb.addGrid(est.numTrees, [50, 100, 150]).addGrid(est.maxDepth, [30, 10, 20])
+        pb = pb.addGrid(est.numTrees, [50, 100, 150]).addGrid(est.maxDepth, [FOREST_DEPTH, 10, 20])
         labels = [f"n_estimators={t},max_depth={d}" for t in (50, 100, 150) for d in ("None", 10, 20)]
     elif algorithm == "xgboost" and task == "classification":
         pb = pb.addGrid(est.maxIter, [50, 100]).addGrid(est.maxDepth, [3, 5, 7]).addGrid(est.stepSize, [0.05, 0.1])
@@ -189,7 +210,7 @@ def tune_model(daily: DataFrame, target: str, features: list[str] | None, algori
                  else RegressionEvaluator(metricName="r2"))
     pipe = Pipeline(stages=_prep_stages(feats) + [est])
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=evaluator, numFolds=3,
-                        seed=SEED, parallelism=parallelism)
+                        foldCol="fold", parallelism=parallelism)
     model = cv.fit(train)
     metrics = list(model.avgMetrics)
     best = max(range(len(metrics)), key=lambda i: metrics[i])
@@ -207,16 +228,43 @@ def score_predictions(pred: DataFrame, task: str) -> float:
     return RegressionEvaluator(metricName="r2", labelCol="label", predictionCol="prediction").evaluate(pred)
 
 
-def metrics_row(pred: DataFrame, target: str, task: str, model_file: str) -> DataFrame:
-    """One metrics row: accuracy/precision/recall/f1 (weighted) or mae/mse/rmse/r2."""
-    if task == "classification":
-        from gridlens.operators.evaluate import weighted_metrics
-        m = weighted_metrics(pred.withColumn("label", F.col("label").cast("int")))
-    else:
-        from gridlens.operators.evaluate import regression_metrics
-        m = regression_metrics(pred)
-    return m.select(F.lit(target).alias("target"), F.lit("ML").alias("model_type"),
-                    F.lit(model_file).alias("model_file"), F.lit(task).alias("task"), "*")
+def _metrics(pred: DataFrame, task: str, by: list[str]) -> DataFrame:
+    """accuracy/precision/recall/f1 (weighted) or mae/mse/rmse/r2."""
+    from gridlens.operators.evaluate import regression_metrics, weighted_metrics
+    return weighted_metrics(pred, by=by) if task == "classification" else regression_metrics(pred, by=by)
+
+
+def metrics_row(pred: DataFrame, target: str, task: str, model_file: str, category: str = "ml") -> DataFrame:
+    return _metrics(pred, task, []).select(F.lit(target).alias("target"), F.lit(category.upper()).alias("model_type"),
+                                           F.lit(model_file).alias("model_file"), F.lit(task).alias("task"), "*")
+
+
+def evaluate_models(daily: DataFrame, models: list, sample: int | None = None) -> DataFrame:
+    """Metrics of registered models (rows of the registry), one row each.
+
+    The models of a target are evaluated together: one split, rows with a NULL feature or
+    label dropped, at most ``sample`` of the rest (by hash) if asked for, one pass that adds every model's
+    score, and one aggregate.  The loops are over targets and models."""
+    tables = []
+    for target in sorted({r["target"] for r in models}):
+        task, mine = K.TASKS[target], [r for r in models if r["target"] == target]
+        features = sorted({c for r in mine for c in r["features"]})
+        rows = split(daily, target, task, features).where("split = 'test'").dropna(subset=[*features, "label"])
+        if sample is not None:
+            rows = mlprep.sample_rows(rows, sample, KEYS)
+        for i, r in enumerate(mine):
+            rows = _add_score(load_models(r["path"], r["members"]), rows, task, f"__m{i}")
+        each = rows.select("label", F.explode(F.array(*[
+            F.struct(F.lit(os.path.basename(r["path"])).alias("model_file"), F.lit(r["category"].upper()).alias("model_type"),
+                     F.col(f"__m{i}").alias("score")) for i, r in enumerate(mine)])).alias("m")).select("label", "m.*")
+        pred = (F.col("score") > 0.5).cast("int") if task == "classification" else F.col("score")
+        by = ["model_type", "model_file"]
+        tables.append(_metrics(each.withColumn("prediction", pred), task, by).select(
+            F.lit(target).alias("target"), *by, F.lit(task).alias("task"), *METRICS[task]))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
 
 
 #: the metrics of each task

@@ -822,7 +822,6 @@ def forecast_summary(spark, sf):
 
 # ---- H: MLlib training (rows-only checks; seeded, reproducible) ---------------
 
-import functools  # noqa: E402
 import os  # noqa: E402
 import uuid  # noqa: E402
 
@@ -874,71 +873,65 @@ MODEL_KINDS = [(TARGET, a, "ml") for a in ("logistic", "randomforest", "xgboost"
     (REG_TARGET, a, "ml") for a in ("linear", "randomforest", "xgboost", "ensemble")]
 
 
-@functools.lru_cache(maxsize=None)
+#: what a query trains that needs a model or a log only
+ONE_OF_EACH = [(TARGET, "logistic", "ml"), (REG_TARGET, "linear", "ml")]
+
+
 def _stored_daily(spark, sf: str):
-    """The daily summary written once: all models are trained and evaluated on it."""
+    """The daily summary written once: models are trained and evaluated on it."""
     TR.ensure_checkpoint_dir(spark)
     return P.daily(spark, sf).checkpoint(eager=True)
 
 
-@functools.lru_cache(maxsize=None)
-def _store_with_runs(spark, sf: str) -> str:
+def model_store(spark, daily, kinds: list[tuple[str, str, str]]) -> str:
     """A fresh model store (under the shared checkpoint folder) with a trained
-    model of every kind and their training log; cached per session and data dir."""
+    model of each kind and their training log."""
     store = os.path.join(TR.store_dir(spark), f"runs-{uuid.uuid4().hex[:8]}")
-    daily = _stored_daily(spark, sf)
-    for target, algorithm, category in MODEL_KINDS:
+    for target, algorithm, category in kinds:
         ok, message = TR.train_pipeline(daily, target, algorithm, category, store=store)
         if not ok:
             raise RuntimeError(f"{target} {algorithm}: {message}")
-    TR.train_pipeline(daily, TARGET, "mlp", category="rl", store=store)  # logged as skipped
     return store
 
 
-def _registry(spark, sf):
-    return spark.read.parquet(os.path.join(_store_with_runs(spark, sf), "registry"))
+def _registry(spark, store: str):
+    return spark.read.parquet(os.path.join(store, "registry"))
 
 
-@query("train_pipeline")
-def train_pipeline_q(spark, sf):
-    store = _store_with_runs(spark, sf)
+def _train_log(spark, sf):
+    daily = _stored_daily(spark, sf)
+    store = model_store(spark, daily, ONE_OF_EACH)
+    TR.train_pipeline(daily, TARGET, "mlp", category="rl", store=store)  # logged as skipped
     return spark.read.parquet(os.path.join(store, "train_log"))
 
 
-def _latest_logistic(spark, sf):
-    return TR.registry_latest(_registry(spark, sf)).where(
-        (F.col("target") == TARGET) & (F.col("algorithm") == "logistic")).first()
+@query("train_pipeline")
+def train_pipeline_q(spark, sf):
+    return _train_log(spark, sf)
 
 
 def _batch_scores(spark, sf):
-    reg = _latest_logistic(spark, sf)
+    """(scores of every daily row by the newest logistic model, its path, the store)."""
+    daily = _stored_daily(spark, sf)
+    store = model_store(spark, daily, ONE_OF_EACH[:1])
+    reg = TR.registry_latest(_registry(spark, store)).where(
+        (F.col("target") == TARGET) & (F.col("algorithm") == "logistic")).first()
     models = TR.load_models(reg["path"], reg["members"])
-    daily = P.daily(spark, sf)
-    rows = daily.select(*MP.SPLIT_KEYS, *[F.col(c).cast("double").alias(c) for c in reg["features"]],
+    rows = daily.select(*[k for k in MP.KEYS if k not in reg["features"]], *[F.col(c).cast("double").alias(c) for c in reg["features"]],
                         F.col(TARGET).cast("double").alias("label"))
-    return TR.batch_score(models, rows, "classification"), reg["path"]
+    return TR.batch_score(models, rows, "classification"), reg["path"], store
 
 
 @query("batch_score")
 def batch_score(spark, sf):
-    scored, path = _batch_scores(spark, sf)
-    out = SC.risk_scores(scored)
-    return out
+    return SC.risk_scores(_batch_scores(spark, sf)[0])
 
 
-def _metrics_table(spark, sf):
-    """Evaluate every registered model on its test split -> metrics table."""
+def _metrics_table(spark, sf, kinds=MODEL_KINDS):
+    """Train the kinds and evaluate each on the test split of its target."""
     daily = _stored_daily(spark, sf)
-    tables = []
-    for r in _registry(spark, sf).orderBy("run_ts", "path").collect():  # one row per trained model
-        task = K.TASKS[r["target"]]
-        sp = TR.split(daily, r["target"], task, list(r["features"]))
-        pred = TR.predict(TR.load_models(r["path"], r["members"]), sp.where(F.col("split") == "test"), task)
-        tables.append(TR.metrics_row(pred, r["target"], task, os.path.basename(r["path"])))
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t, allowMissingColumns=True)
-    return out
+    models = _registry(spark, model_store(spark, daily, kinds)).orderBy("run_ts", "path").collect()  # one row per trained model
+    return TR.evaluate_models(daily, models)
 
 
 @query("evaluate_all")
@@ -953,15 +946,13 @@ def compare_models(spark, sf, task: str | None = None):
 
 @query("recent_trainings")
 def recent_trainings(spark, sf):
-    log = spark.read.parquet(os.path.join(_store_with_runs(spark, sf), "train_log"))
-    return log.orderBy(F.col("timestamp").desc(), "target", "algorithm").limit(5) \
+    return _train_log(spark, sf).orderBy(F.col("timestamp").desc(), "target", "algorithm").limit(5) \
         .select("timestamp", "target", "algorithm", "model_type", "status", "score")
 
 
 @query("recent_predictions")
 def recent_predictions(spark, sf):
-    scored, path = _batch_scores(spark, sf)
-    store = _store_with_runs(spark, sf)
+    scored, path, store = _batch_scores(spark, sf)
     TR.log_prediction(spark, os.path.basename(path), scored.count(), "daily_summary", store)
     log = spark.read.parquet(os.path.join(store, "predict_log"))
     return log.orderBy(F.col("timestamp").desc(), "model_used").limit(5)
@@ -969,14 +960,22 @@ def recent_predictions(spark, sf):
 
 @query("registry_latest")
 def registry_latest(spark, sf):
-    return TR.registry_latest(_registry(spark, sf)).select("target", "algorithm", "category", "tuned", "run_ts", "path")
+    store = model_store(spark, _stored_daily(spark, sf), ONE_OF_EACH)
+    return TR.registry_latest(_registry(spark, store)).select("target", "algorithm", "category", "tuned", "run_ts", "path")
 
 
 @query("metrics_for_model")
 def metrics_for_model(spark, sf):
-    m = _metrics_table(spark, sf)
-    first = _latest_logistic(spark, sf)
-    return m.where(F.col("model_file").contains(os.path.basename(first["path"])))
+    return _metrics_table(spark, sf, ONE_OF_EACH[:1])
+
+
+@query("stratified_folds", S.BASE_DAILY + f"""
+, r AS (SELECT {", ".join(MP.KEYS)}, {TARGET}, row_number() OVER (PARTITION BY {TARGET} ORDER BY
+          md5(concat_ws('|', {", ".join(f"CAST({k} AS VARCHAR)" for k in MP.KEYS)})), {", ".join(MP.KEYS)}) AS pos FROM daily)
+SELECT {", ".join(MP.KEYS)}, {TARGET}, CAST((pos - 1) % 3 AS INTEGER) AS fold FROM r""")
+def stratified_folds(spark, sf):
+    mark = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in MP.KEYS]).cast("binary"))
+    return TR.folds(P.daily(spark, sf).select(*MP.KEYS, TARGET), TARGET, 3, [mark, *MP.KEYS])
 
 
 @query("profile_quartiles_exact", S.BASE_DAILY + "\n" + "\nUNION ALL\n".join(

@@ -25,11 +25,15 @@ def test_normalised_by_task(spark):
     assert only.count() == 3 and TR.compare(table, "classification").count() == 2
 
 
-def test_every_kind_is_evaluated_and_compared(spark):
-    every = Q._metrics_table(spark, SF_SMALL).collect()
+def test_every_kind_is_evaluated_and_compared(spark, monkeypatch):
+    real = TR.estimator  # small ensembles
+    monkeypatch.setattr(TR, "estimator", lambda *a, **kw: real(*a, **{**kw, "maxIter": 3, "numTrees": 5}))
+    table = Q._metrics_table(spark, SF_SMALL).checkpoint()
+    every = table.collect()
     assert sorted((r["task"], sum(r[c] is not None for c in TR.METRICS[r["task"]])) for r in every) == [
         ("classification", 4)] * 5 + [("regression", 4)] * 4
-    rows = [r.asDict() for r in Q.compare_models(spark, SF_SMALL).collect()]
+    assert sorted(r["model_type"] for r in every) == ["DL"] + ["ML"] * 8
+    rows = [r.asDict() for r in TR.compare(table).collect()]
     assert len(rows) == len(Q.MODEL_KINDS) == 9
     for task, names in TR.METRICS.items():
         mine = [r for r in rows if r["task"] == task]
@@ -37,4 +41,31 @@ def test_every_kind_is_evaluated_and_compared(spark):
             values = [r[c] for r in mine]
             assert None not in values
             assert set(values) == {TR.ALL_EQUAL} or (min(values), max(values)) == (0.0, 1.0)
-    assert Q.metrics_for_model(spark, SF_SMALL).count() == 1
+
+
+def test_models_evaluated_together_equal_each_alone(spark, tmpdir_path):
+    """One pass over all models of a target gives the metrics of one pass per model; rows with a
+    NULL feature are left out, and a sample bounds the rest."""
+    daily = Q._stored_daily(spark, SF_SMALL)
+    features = ["customer_risk_score_mean", "energy_loss_ratio", "power_factor_mean"]
+    for algorithm, category in (("logistic", "ml"), ("mlp", "dl")):
+        ok, message = TR.train_pipeline(daily, "tamper_detected", algorithm, category, features=features, store=tmpdir_path)
+        assert ok, message
+    registry = spark.read.parquet(f"{tmpdir_path}/registry").collect()
+    got = {r["model_file"]: r for r in TR.evaluate_models(daily, registry).collect()}
+    sp = TR.split(daily, "tamper_detected", "classification", features).where("split = 'test'").dropna(subset=features)
+    for r in registry:
+        pred = TR.predict(TR.load_models(r["path"], r["members"]), sp, "classification")
+        name = r["path"].rsplit("/", 1)[1]
+        alone = TR.metrics_row(pred, "tamper_detected", "classification", name, r["category"]).first().asDict()
+        assert {k: got[name][k] for k in alone} == alone
+    few = TR.evaluate_models(daily, registry, sample=25)
+    assert few.count() == 2 and all((r["accuracy"] * 25) % 1 < 1e-6 or (r["accuracy"] * 25) % 1 > 1 - 1e-6 for r in few.collect())
+
+
+def test_folds_of_a_class_differ_by_at_most_one_row(spark):
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id % 50 = 0 THEN NULL WHEN id % 7 = 0 THEN 1 ELSE 0 END AS label")
+    sizes = TR.folds(rows, "label", 3, ["id"]).groupBy("label", "fold").count().collect()
+    for label in (0, 1):
+        mine = [r["count"] for r in sizes if r["label"] == label]
+        assert len(mine) == 3 and max(mine) - min(mine) <= 1
