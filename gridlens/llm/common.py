@@ -123,7 +123,9 @@ def own_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
         return df, None
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.join(many, key == F.col("__many"), "left_semi").withColumns({"__id": key, "__hash": F.md5(text_col)})
-    rows = rows.repartitionByRange(n, "__id", "__hash").sortWithinPartitions("__id", "__hash").drop("__id", "__hash")
+    # rows that agree in both may lie in several ranges
+    rows = rows.withColumn("__any", F.monotonically_increasing_id()).repartitionByRange(n, "__id", "__hash", "__any")
+    rows = rows.sortWithinPartitions("__id", "__hash").drop("__id", "__hash", "__any")
     rows = store(rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "shared-id-rows")
     before, offsets = 0, []
     for r in sorted(rows.groupBy("__part").count().collect()):  # one row per partition
@@ -136,19 +138,19 @@ def own_rows(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     return df.join(many, key == F.col("__many"), "left_anti"), rows
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph of long vertices.
 
     ``edges`` (a, b).  Returns (v, label): label is the least vertex of the
     component.  Each round gives a vertex the least label among itself and its
     neighbours, then jumps to that label's own label; both are shuffles
     on vertex keys, so nothing is gathered in one place.  Stops when a round
-    changes nothing.  Labels are stored between rounds.
+    changes nothing: labels only ever fall.  Labels are stored between rounds.
     """
     both = store(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
                  .where("a <> b").distinct(), "cc-edges")
     labels = store(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "cc")
-    for _ in range(max_rounds):
+    while True:
         near = (both.join(labels, both.b == labels.v).groupBy(both.a.alias("v"))
                 .agg(F.min("label").alias("m")))
         new = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "m").alias("label"))
@@ -160,4 +162,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = new.select("v", "label")
         if not changed:
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

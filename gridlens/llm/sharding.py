@@ -9,8 +9,8 @@ driver.  A group larger than ``1 / heavy`` of the whole in any measure is an
 item by itself (there are at most 3 x ``heavy`` such groups); all others
 are hashed into ``bins`` bins, and a bin is an item.  The list of items is bounded by
 these two parameters whatever the input.  A group larger than ``1 / shards`` of
-the whole in any measure can't fit a shard: it is dealt by id hash into as few
-pieces as fit.
+the whole in any measure can't fit a shard: its rows, which have one size, are dealt by
+turns into as few pieces as fit, whatever their ids.
 
 Slots number a shard's rows from 0 in (id, size, checksum) order through a range partition
 and per-partition counts, not a one-task window.
@@ -60,7 +60,7 @@ def assign(df: DataFrame, id_col: str, text_col: str, shards: int = 16, bins: in
         F.crc32(text.cast("binary")).alias("crc"), _tokens(text).cast("long").alias("tokens"),
         F.xxhash64(text).alias("g"))  # a collision only keeps two groups together
     # the table that both passes below read: small columns, no texts
-    rows = store(rows, "shard-rows")
+    rows = store(rows.withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "shard-rows")
     sums = [F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")]
     groups = rows.groupBy("g").agg(*sums)
     total = rows.agg(*sums).first()
@@ -72,12 +72,20 @@ def assign(df: DataFrame, id_col: str, text_col: str, shards: int = 16, bins: in
     pieces = {g: max(1, math.ceil(max(x / w for x, w in zip(v, whole)) * shards)) for g, v in big.items()}
     spark = df.sparkSession
     table = spark.createDataFrame([(g, pieces[g]) for g in big], "g long, pieces int")
-    placed = F.when(F.col("pieces") > 1, F.pmod(F.xxhash64("id", F.lit(7)), F.col("pieces"))).otherwise(0)
-    keyed = rows.join(F.broadcast(table), "g", "left").select(
+    known = rows.join(F.broadcast(table), "g", "left")
+    whole_groups = known.where("pieces is null or pieces = 1").select(
         "id", "size", "crc", "tokens",
         F.when(F.col("pieces").isNull(), F.pmod("g", F.lit(bins))).otherwise(F.col("g")).alias("item"),
-        F.col("pieces").isNotNull().alias("alone"),
-        F.when(F.col("pieces").isNull(), F.lit(0)).otherwise(placed).cast("int").alias("piece"))
+        F.col("pieces").isNotNull().alias("alone"), F.lit(0).alias("piece"))
+    # the place of a row within its group: its place among those of its part, after the earlier parts
+    split = known.where("pieces > 1")
+    counts = split.groupBy("g", "part").agg(F.count("*").alias("n"))
+    before = counts.select("g", "part", (F.sum("n").over(Window.partitionBy("g").orderBy("part")) - F.col("n")).alias("before"))
+    place = F.row_number().over(Window.partitionBy("g", "part").orderBy("at")) - 1 + F.col("before")
+    dealt_groups = split.join(before, ["g", "part"]).select(
+        "id", "size", "crc", "tokens", F.col("g").alias("item"), F.lit(True).alias("alone"),
+        F.pmod(place, F.col("pieces")).cast("int").alias("piece"))
+    keyed = whole_groups.unionAll(dealt_groups)
     items = keyed.groupBy("item", "alone", "piece").agg(*sums).collect()  # at most bins + pieces
     items.sort(key=lambda r: (r["alone"], r["item"], r["piece"]))
     where = pack([(r["b"], r["t"], r["n"]) for r in items], shards)

@@ -154,17 +154,26 @@ def test_op2(spark, where):
     assert sum(w[5] for w in want) >= 2
 
 
+def _own_keys(docs):
+    """(id or number, tag) of each row, as the operator's docstring states."""
+    many = Counter(d[0] for d in docs)
+    shared = sorted((k for k, d in enumerate(docs) if d[0] is None or many[d[0]] > 1),
+                    key=lambda k: (docs[k][0] is not None, docs[k][0] or 0, docs[k][1] is not None, hashlib.md5((docs[k][1] or "").encode()).hexdigest()))
+    keys, start = {k: (d[0], 0) for k, d in enumerate(docs)}, {}
+    for n, k in enumerate(shared):
+        i = docs[k][0]
+        keys[k] = (n, 1 << 23) if i is None else (i, n - start.setdefault(i, n) + 1)
+    return keys
+
+
 def _repeats(docs):
-    firsts = {}
-    order = sorted(range(len(docs)), key=lambda k: (-1 if docs[k][0] is None else docs[k][0]))
-    out = []
-    for k in order:
+    firsts, out = {}, []
+    keys = _own_keys(docs)
+    for k in sorted(keys, key=keys.get):
         raw = (docs[k][1] or "").encode()
         cover = np.zeros(len(raw) + 1, int)
         for x in range(len(raw) - 99):
-            w = raw[x:x + 100]
-            # rows with equal id and text are one document
-            if firsts.setdefault(w, (docs[k][0], raw, x)) != (docs[k][0], raw, x):
+            if firsts.setdefault(raw[x:x + 100], (k, x)) != (k, x):
                 cover[x] += 1
                 cover[x + 100] -= 1
         hit = np.cumsum(cover[:-1]) > 0
@@ -174,20 +183,30 @@ def _repeats(docs):
 
 
 def test_op3(spark, where):
-    docs = docs_of(where)
-    if where != SF:  # two texts share the null id: their order is a hash's
-        docs = [d for d in docs if d[0] is not None or not d[1]]
-    want = _repeats(docs)
-    got = [r for r in run(spark, "op3_repeats", where) if where == SF or r["doc_id"] is not None or not r["n_bytes"]]
-    if where != SF:  # the first document by the null id's rows holds the base text
-        got = [r for r in got if r["doc_id"] not in (6, 7)]
-        want = [r for r in want if r[0] not in (6, 7)]
+    want = _repeats(docs_of(where))
     cols = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    a, b = keyed(got, *cols), sorted(want, key=repr)
+    a, b = keyed(run(spark, "op3_repeats", where), *cols), sorted(want, key=repr)
     assert [x for x in a if x not in b][:3] == [x for x in b if x not in a][:3] == []
     assert len(a) == len(b) and sum(r[2] for r in want) > 0
 
 
+def test_op3_rows_that_share_ids_or_have_none(spark):
+    """Thousands of texts without an id, and texts that share one: no row takes another's spans."""
+    from gridlens.llm import suffix
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    common = [text(130) for _ in range(20)]
+    docs = [(None, text(120), None) for _ in range(3000)]
+    docs += [(None, text(30) + rng.choice(common) + text(30), None) for _ in range(300)]
+    docs += [(k % 7, text(20) + rng.choice(common), None) for k in range(150)] + [(1000 + k, common[k], None) for k in range(5)]
+    docs += [docs[3005]] * 3 + [docs[3310]] * 2 + [(-(1 << 63), common[6], None), (None, None, None), (None, "", None)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string").repartition(5)
+    got = [(r["id"], r["n_bytes"], r["n_removed"], len(r["spans"]) // 2, sha(bytes(r["kept"]))) for r in
+           suffix.remove_repeats(frame, "doc_id", "text").collect()]
+    assert sorted(got, key=repr) == sorted(_repeats(docs), key=repr)
+
+
 def test_op4(spark, where):
     docs = {i: (t, y) for i, t, y in docs_of(where)}
     got = run(spark, "op4_language", where)
@@ -327,6 +346,21 @@ def test_op9(spark, where):
         assert all(len(s) == 1 for c, s in group.items() if sum(r["size"] for r in got if r["text_crc32"] == c) * 16 < total)
 
 
+def test_op9_deals_one_hot_text_without_ids(spark):
+    """60 % of the rows are one text and have no id: all shards stay near equal."""
+    from gridlens.llm import sharding
+    hot = [(None, "the same long text " * 10)] * 600
+    frame = spark.createDataFrame(hot + [(k, f"text {k} " * 24) for k in range(400)], "doc_id long, text string").repartition(7)
+    got = sharding.assign(frame, "doc_id", "text").collect()
+    load, rows = Counter(), Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        rows[r["shard"]] += 1
+    assert len(got) == 1000 and len(load) == 16
+    assert max(load.values()) <= 1.1 * sum(load.values()) / 16
+    assert sorted((r["shard"], r["slot"]) for r in got) == [(k, x) for k in range(16) for x in range(rows[k])]
+
+
 def _split(url):
     if url is None or "://" not in url:
         return "", ""
