@@ -78,12 +78,23 @@ def scalar_features(df: DataFrame) -> DataFrame:
     return df.withColumns(scalar_exprs())
 
 
+def day_sums() -> dict:
+    """What ``derive`` needs of a reading's meter-day: name -> (``sum`` or ``min``, column)."""
+    x = scalar_exprs()
+    return {"__day_supply": ("sum", x["supply_voltage_flag"]), "__day_uptime": ("sum", x["uptime_flag"]),
+            "__day_sla": ("min", F.coalesce(C.sla_hours(F.col("band")), F.lit(0)))}
+
+
 def engineer(readings: DataFrame, prepartitioned: bool = False) -> DataFrame:
     """Fully engineered reading table (B4, C1-C12, D1-D10 on held readings)."""
+    return derive(meter_timeline(readings, prepartitioned=prepartitioned, day_sums=day_sums()))
+
+
+def derive(df: DataFrame, extra: tuple = ()) -> DataFrame:
+    """The engineered columns of readings that carry their timeline values
+    (``__prev_*``, ``__day_*``, ``unresolved_fault_days``); ``extra`` columns pass through."""
     t, x = time_exprs(), scalar_exprs()
     sla = F.coalesce(C.sla_hours(F.col("band")), F.lit(0))
-    df = meter_timeline(readings, prepartitioned=prepartitioned, day_sums={
-        "__day_supply": ("sum", x["supply_voltage_flag"]), "__day_uptime": ("sum", x["uptime_flag"]), "__day_sla": ("min", sla)})
     fault_edge = (F.col("fault_flag") == 1) & (F.coalesce(F.col("__prev_fault_flag"), F.lit(0)) == 0)
     tamper_edge = (F.col("tamper_flag") == 1) & (F.coalesce(F.col("__prev_tamper_flag"), F.lit(0)) == 0)
     fault, tamper = F.col("fault_flag"), F.col("tamper_flag")
@@ -112,4 +123,4 @@ def engineer(readings: DataFrame, prepartitioned: bool = False) -> DataFrame:
     # a band of the day is met where the least demanding one is
     derived["band_compliance_max"] = C.flag(counter >= F.col("__day_sla"))
     return df.select(*[derived[c].alias(c) if c in derived else F.col(c)
-                       for c in READING_COLUMNS + ["event_id"] + ENGINEERED_EXTRA])
+                       for c in READING_COLUMNS + ["event_id"] + ENGINEERED_EXTRA + list(extra)])

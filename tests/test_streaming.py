@@ -1,9 +1,14 @@
 """Structured Streaming jobs equal the batch operators on closed days."""
 import os
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from gridlens.operators.daily import daily_summary
+from gridlens.operators.features import engineer
 from gridlens.operators.timeline import apply_holds
 from gridlens.sources import fixtures
 from gridlens.streaming import jobs as J
@@ -59,19 +64,66 @@ def test_daily_stream_closed_days_equal_batch_and_alerts(spark, tmpdir_path):
         assert spark.read.parquet(alerts).where(F.col("alert") == "burnt_meter").count() == n_burnt
 
 
-def test_hold_stream_equals_batch_holds(spark, tmpdir_path):
+def _out_of_order_files(spark, path):
+    """Readings in files of two weeks, each day split over both and the later half of a
+    week first; then one reading far in the future, which closes every day."""
+    r = fixtures.readings(spark, SF_SMALL).checkpoint()
+    part = F.floor(F.dayofyear("timestamp") / 7) * 2 + F.col("event_id") % 2
+    for (k,) in r.select(part.alias("k")).distinct().orderBy("k").collect():
+        r.where(part == k).orderBy(F.desc("timestamp")).coalesce(1).write.mode("append").parquet(path)
+    end = r.limit(1).withColumns({"meter_id": F.lit("MTR_END"), "timestamp": F.lit("2030-01-01 00:00:00").cast("timestamp_ntz")})
+    end.coalesce(1).write.mode("append").parquet(path)
+    return r
+
+
+def _rocks(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    src = os.path.join(tmpdir_path, "src")
-    batch = _files_by_week(spark, src)
-    held = J.hold_stream(J.read_stream(spark, src, max_files=1))
-    out = os.path.join(tmpdir_path, "held")
+
+
+def test_hold_stream_equals_batch_holds(spark, tmpdir_path):
+    """Rows of a day come in several files and out of order."""
+    _rocks(spark)
+    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "held")
+    batch = _out_of_order_files(spark, src)
+    held = J.hold_stream(J.read_stream(spark, src, max_files=1), watermark="20 days")
     _run(held.writeStream.format("parquet").option("path", out).outputMode("append"), tmpdir_path, "s4")
-    got = sorted(map(tuple, spark.read.parquet(out).select(
-        "event_id", "fault_flag", "fault_type", "tamper_flag", "meter_status").collect()))
-    exp = sorted(map(tuple, apply_holds(batch).select(
-        "event_id", "fault_flag", "fault_type", "tamper_flag", "meter_status").collect()))
-    assert got == exp
+    cols = ["event_id", "fault_flag", "fault_type", "tamper_flag", "meter_status"]
+    edges = ["status_change", "fault_start", "tamper_start"]
+    got = spark.read.parquet(out).where("meter_id <> 'MTR_END'").select(*cols, *edges)
+    exp = engineer(batch).select("event_id", *edges).join(apply_holds(batch).select(*cols), "event_id").select(*cols, *edges)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, exp.collect()), key=repr)
+
+
+def test_daily_summary_stream_equals_the_batch_on_every_column(spark, tmpdir_path):
+    _rocks(spark)
+    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "daily")
+    batch = _out_of_order_files(spark, src)
+    daily = J.daily_summary_stream(J.read_stream(spark, src, max_files=2), watermark="20 days")
+    _run(daily.writeStream.format("parquet").option("path", out).outputMode("append"), tmpdir_path, "de")
+    got, exp = spark.read.parquet(out).where("meter_id_ <> 'MTR_END'"), daily_summary(engineer(batch))
+    assert got.columns == exp.columns
+    rounded = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+    assert rounded(got) == rounded(exp)
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [3, 4, 9], list(range(1, 14))])
+def test_scan_does_not_depend_on_where_a_meter_is_cut(cuts):
+    rows = pd.DataFrame({
+        "us": np.arange(14) * 3_600_000_000, "event_id": range(14), "power_factor": [0.1 * k for k in range(14)],
+        "fault_flag": [0, 1, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0, 0, 0], "fault_type": [None, "a", None, None, None, None, *[None] * 8],
+        "fault_duration_hours": [0, 2, 0, 0, 0, 3, 0, 0, 0, 0, 0, 0, 0, 0], "tamper_flag": [0] * 8 + [1] + [0] * 5,
+        "tamper_duration_hours": [0] * 8 + [1] + [0] * 5, "data_transmitted": [1, 1, 1, 1, 0] + [1] * 9})
+    whole, past = J.scan_rows(rows, None, 3)
+    assert whole["fault_flag"].tolist() == [0, 1, 1, 1, 0, 1, 1, 1, 1, 0, 0, 0, 0, 0]
+    assert whole["meter_status"].tolist()[8:11] == ["faulty", "tampered", "healthy"]
+    assert whole["unresolved_fault_days"].tolist() == [0, 1, 2, 3, 2, 2, 2, 3, 3, 2, 1, 0, 0, 0]
+    parts, state = [], None
+    for lo, hi in zip([0, *cuts], [*cuts, 14]):
+        out, state = J.scan_rows(rows.iloc[lo:hi].reset_index(drop=True), state, 3)
+        parts.append(out)
+    assert pd.concat(parts, ignore_index=True).astype(object).where(lambda x: x.notna(), None).equals(
+        whole.astype(object).where(lambda x: x.notna(), None)) and state == past
 
 
 def test_late_rows_beyond_watermark_are_dropped(spark, tmpdir_path):
@@ -126,27 +178,3 @@ def test_daily_stream_drops_null_keys(spark):
     hole = rows.withColumn("band", F.when(F.col("event_id") % 2 == 0, F.col("band")))
     got = J.daily_stream(hole).agg(F.sum("n_readings"), F.count_if(F.col("band_").isNull())).first()
     assert tuple(got) == (rows.where("event_id % 2 = 0").dropna(subset=J.STREAM_KEYS).count(), 0)
-
-
-def test_late_row_neither_takes_nor_replaces_a_newer_record(spark, tmpdir_path):
-    """A fault on day 2, then a healthy and a faulty row of day 1, then day 2 again."""
-    cols = "event_id, timestamp, fault_flag, fault_type, fault_duration_hours"
-    batches = [[(1, "2024-01-02 10:00:00", 1, "burnt_meter", 5)],
-               [(2, "2024-01-01 10:00:00", 0, None, 0), (3, "2024-01-01 12:00:00", 1, "broken_seal", 500)],
-               [(4, "2024-01-02 14:00:00", 0, None, 0), (5, "2024-01-02 16:00:00", 0, None, 0)]]
-    src, out = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "out")
-    names = [c.strip() for c in cols.split(",")]
-    kinds = "event_id bigint, timestamp string, fault_flag int, fault_type string, fault_duration_hours int"
-    template = fixtures.readings(spark, SF_SMALL)
-    for rows in batches:
-        part = spark.createDataFrame(rows, kinds)
-        full = part.select(*[F.col(f.name).cast(f.dataType) if f.name in names else
-                             F.lit("m1" if f.name == "meter_id" else 1 if f.name == "data_transmitted" else
-                                   0 if f.name.startswith("tamper") else None).cast(f.dataType).alias(f.name)
-                             for f in template.schema])
-        full.coalesce(1).write.mode("append").parquet(src)
-        held = J.hold_stream(J.read_stream(spark, src))
-        _run(held.writeStream.format("parquet").option("path", out).outputMode("append"), tmpdir_path, "late")
-    got = {r.event_id: (r.fault_flag, r.fault_type, r.fault_start) for r in spark.read.parquet(out).collect()}
-    assert got == {1: (1, "burnt_meter", 1), 2: (0, None, 0), 3: (1, "broken_seal", 0),
-                   4: (1, "burnt_meter", 0), 5: (0, None, 0)}
