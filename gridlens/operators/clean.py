@@ -62,16 +62,15 @@ def raw_fault(df: DataFrame) -> DataFrame:
 def topology_violations(df: DataFrame) -> DataFrame:
     """Feeders serving more than one band; meters seen with more than one
     (location, feeder, transformer) or phase type."""
-    feeders = df.groupBy("feeder_id").agg(F.count_distinct("band").alias("n_distinct")) \
-        .where(F.col("n_distinct") > 1) \
-        .select(F.lit("feeder_multiple_bands").alias("rule"), F.col("feeder_id").alias("entity_id"), "n_distinct")
-    meters = df.groupBy("meter_id").agg(
-        F.count_distinct(F.struct("location_id", "feeder_id", "transformer_id")).alias("n_topo"),
-        F.count_distinct("phase_type").alias("n_phase"))
-    topo = meters.where(F.col("n_topo") > 1).select(
-        F.lit("meter_multiple_topology").alias("rule"), F.col("meter_id").alias("entity_id"),
-        F.col("n_topo").alias("n_distinct"))
-    phase = meters.where(F.col("n_phase") > 1).select(
-        F.lit("meter_multiple_phase_types").alias("rule"), F.col("meter_id").alias("entity_id"),
-        F.col("n_phase").alias("n_distinct"))
-    return feeders.unionByName(topo).unionByName(phase)
+    none = F.lit(None).cast("string")
+
+    def seen(rule, entity, a, b=none, c=none):
+        return F.struct(F.lit(rule).alias("rule"), F.col(entity).alias("entity_id"), a.alias("a"), b.alias("b"), c.alias("c"))
+
+    # one scan: every reading says what it has seen; equal sayings collapse before the shuffle
+    said = df.select(F.explode(F.array(
+        seen("feeder_multiple_bands", "feeder_id", F.col("band")),
+        seen("meter_multiple_topology", "meter_id", *map(F.col, ("location_id", "feeder_id", "transformer_id"))),
+        seen("meter_multiple_phase_types", "meter_id", F.col("phase_type")))).alias("s")).select("s.*")
+    said = said.where("a IS NOT NULL OR rule = 'meter_multiple_topology'").distinct()
+    return said.groupBy("rule", "entity_id").agg(F.count("*").alias("n_distinct")).where("n_distinct > 1")

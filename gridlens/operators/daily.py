@@ -42,6 +42,41 @@ def rollup(engineered: DataFrame) -> DataFrame:
     return out
 
 
+# ---- E6: partial aggregates that merge ---------------------------------------
+
+_MEANS = MEANS + MEANS_2 + ["power_factor", "v_agg", "i_agg", "tariff_per_kwh"]
+_TOTALS = SUMS + FLAG_SUMS + ["load_gap_flag"]
+_LEAST, _MOST = ["power_factor", "v_agg", "i_agg"], ["v_agg", "i_agg", "band_compliance"]
+
+
+def partials(engineered: DataFrame, *tags: str) -> DataFrame:
+    """One row per group of the rollup (and ``tags``) with what merges: sums and counts,
+    minima and maxima.  Partials of any split of the readings give the rollup of them all."""
+    keys = [F.col(k).alias(k + "_") for k in K.DAILY_KEYS]
+    return engineered.dropna(subset=K.DAILY_KEYS).groupBy(*keys, *tags).agg(
+        *[F.sum(c).alias(f"{c}__sum") for c in _TOTALS + _MEANS], *[F.count(c).alias(f"{c}__n") for c in _MEANS],
+        *[F.min(c).alias(f"{c}__min") for c in _LEAST], *[F.max(c).alias(f"{c}__max") for c in _MOST])
+
+
+def merge(parts: DataFrame) -> DataFrame:
+    """Partials with one row per group: associative, so merged partials merge again."""
+    keys = [k + "_" for k in K.DAILY_KEYS]
+    how = {"sum": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+    return parts.groupBy(*keys).agg(*[how[c.rpartition("__")[2]](c).alias(c) for c in parts.columns if "__" in c])
+
+
+def finish(parts: DataFrame) -> DataFrame:
+    """The rollup's columns from merged partials."""
+    total = lambda c: F.coalesce(F.col(f"{c}__sum"), F.lit(0.0 if c in SUMS else 0)).alias(f"{c}_sum")
+    mean = lambda c: F.try_divide(F.col(f"{c}__sum").cast("double"), F.col(f"{c}__n")).alias(f"{c}_mean")
+    at = lambda c, end: F.col(f"{c}__{end}").alias(f"{c}_{end}")
+    return parts.select(
+        *[k + "_" for k in K.DAILY_KEYS], *map(total, SUMS + FLAG_SUMS), *map(mean, MEANS), total("load_gap_flag"),
+        *map(mean, MEANS_2), mean("power_factor"), at("power_factor", "min"),
+        *[e for c in ("v_agg", "i_agg") for e in (mean(c), at(c, "min"), at(c, "max"))], mean("tariff_per_kwh"),
+        at("band_compliance", "max"))
+
+
 def kpi_exprs() -> dict:
     """E7-E11 derived columns as composed expressions."""
     fault_d = C.flag(F.col("fault_flag_sum") > 0)

@@ -42,19 +42,17 @@ def filter_options(daily: DataFrame, dates: tuple | None = None, bands: list | N
     """Distinct non-null values offered by each filter (long form).  Options
     cascade: each list reflects the selections made in the filters before it
     (dates -> band -> location -> meter -> anomaly)."""
-    base = filter_daily(daily, dates=dates)
-    parts = []
+    rows, offered, open_ = filter_daily(daily, dates=dates), [], F.lit(True)
     # (offered field, the selection applied after offering it)
     for field, selected in (("band_", bands), ("location_id_", locations),
                             ("meter_id_", meters), ("anomaly_category", None)):
-        parts.append(base.select(F.lit(field).alias("field"), F.col(field).cast("string").alias("value"))
-                     .where(F.col(field).isNotNull()).distinct())
+        value = F.when(open_, F.col(field).cast("string"))
+        offered.append(F.struct(F.lit(field).alias("field"), value.alias("value")))
         if selected is not None:
-            base = base.where(F.col(field).isin(*selected))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("field", "value")
+            open_ = open_ & F.col(field).isin(*selected)
+    # one scan: every row offers its four values
+    return rows.select(F.explode(F.array(*offered)).alias("o")).select("o.*").where("value IS NOT NULL") \
+        .distinct().orderBy("field", "value")
 
 
 # ---- F4-F10 KPIs and rankings -----------------------------------------------
@@ -129,13 +127,13 @@ def burnt_cond() -> Column:
 
 
 def alert_summary(daily: DataFrame) -> DataFrame:
-    """Unique meters and summed revenue loss per alert subset, one scan."""
-    aggs = []
-    for name, cond in (("high_loss", high_loss_cond()), ("sla_fail", sla_fail_cond()),
-                       ("burnt", burnt_cond())):
-        aggs += [F.count_distinct(F.when(cond, F.col("meter_id_"))).alias(f"{name}_meters"),
-                 F.coalesce(F.sum(F.when(cond, F.col("revenue_loss_sum"))), F.lit(0.0)).alias(f"{name}_loss")]
-    return daily.agg(*aggs)
+    """Unique meters and summed revenue loss per alert subset: one row per meter, then one."""
+    alerts = {"high_loss": high_loss_cond(), "sla_fail": sla_fail_cond(), "burnt": burnt_cond()}
+    meters = daily.groupBy("meter_id_").agg(
+        *[F.max(F.when(cond & F.col("meter_id_").isNotNull(), 1)).alias(name) for name, cond in alerts.items()],
+        *[F.sum(F.when(cond, F.col("revenue_loss_sum"))).alias(f"{name}_loss") for name, cond in alerts.items()])
+    return meters.agg(*[e for name in alerts for e in (
+        F.count(name).alias(f"{name}_meters"), F.coalesce(F.sum(f"{name}_loss"), F.lit(0.0)).alias(f"{name}_loss"))])
 
 
 # ---- F16-F20 SLA, map, series ---------------------------------------------------

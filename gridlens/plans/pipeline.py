@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlens.operators.daily import daily_summary
+from gridlens.operators.daily import daily_summary, finish, merge, partials, with_kpis
 from gridlens.operators.features import engineer
 from gridlens.operators.timeline import apply_holds
 from gridlens.sources import fixtures
@@ -38,3 +38,24 @@ def write_daily(spark: SparkSession, sf_dir: str, path: str, mode: str = "overwr
 
 def read_daily(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
+
+
+def append_partials(engineered: DataFrame, path: str, increment: str) -> None:
+    """Add readings to a stored summary without reading it: their partial aggregates are written
+    under (increment, date_).  Writing an increment again replaces it, so a retry adds nothing twice."""
+    (partials(engineered).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy("date_").parquet(f"{path}/increment={increment}"))
+
+
+def stored_daily(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
+    """The daily summary of everything that was appended; ``where`` on the group's keys is applied
+    before the increments are merged, and prunes days."""
+    parts = spark.read.option("basePath", path).parquet(path)
+    parts = parts.where(where) if where else parts
+    return with_kpis(finish(merge(parts.drop("increment"))))
+
+
+def compact_partials(spark: SparkSession, path: str, dst: str) -> None:
+    """Merge the increments of a stored summary into one increment of a new one."""
+    merge(spark.read.option("basePath", path).parquet(path).drop("increment")).write.partitionBy("date_") \
+        .parquet(f"{dst}/increment=0")

@@ -210,13 +210,12 @@ DAILY_SPLIT = "2024-01-16"
 
 @query("daily_union", S.BASE_DAILY + "\nSELECT * FROM daily")
 def daily_union(spark, sf):
-    """Rollups of two date ranges combined with unionByName (each group lies
-    in one range because the date is a key) = the single global rollup."""
-    from gridlens.operators.daily import rollup, with_kpis
-    eng = P.engineered(spark, sf)
-    early = rollup(eng.where(F.col("date") < F.lit(DAILY_SPLIT).cast("date")))
-    late = rollup(eng.where(F.col("date") >= F.lit(DAILY_SPLIT).cast("date")))
-    return with_kpis(early.unionByName(late))
+    """Partial aggregates of three increments, which share days and groups, merged:
+    base plus increments equals the one full rollup."""
+    from gridlens.operators.daily import finish, merge, partials, with_kpis
+    eng = P.engineered(spark, sf).withColumn("increment", F.when(F.col("date") < F.lit(DAILY_SPLIT).cast("date"), 0)
+                                             .otherwise(1 + F.col("event_id") % 2))
+    return with_kpis(finish(merge(partials(eng, "increment").drop("increment"))))
 
 
 # ---- F: dashboard queries over the daily summary ---------------------------

@@ -58,3 +58,36 @@ def test_compaction_and_size_report(spark, tmpdir_path):
     gz = IO.read_readings(spark, os.path.join(tmpdir_path, "out_gzip"))
     pq = spark.read.parquet(os.path.join(tmpdir_path, "out_parquet"))
     assert gz.count() == pq.count() == r.count()
+
+
+def test_compacted_files_are_narrow_and_lose_nothing(spark, tmpdir_path):
+    r = fixtures.readings(spark, SF_SMALL).select(*IO.READING_SCHEMA.names)
+    edge = r.limit(2).withColumns({"tamper_duration_hours": F.lit(-(2 ** 15)), "v1": F.lit(float("nan")), "event_id": F.lit(2 ** 31)})
+    r = r.unionByName(edge).checkpoint()
+    src = os.path.join(tmpdir_path, "raw")
+    IO.write_table(r, src, "csv")
+    for fmt, read in (("parquet", "parquet"), ("gzip", "csv")):
+        IO.compact(spark, src, os.path.join(tmpdir_path, fmt), fmt)
+        back = IO.read_readings(spark, os.path.join(tmpdir_path, fmt), read)
+        want = r.withColumn("v1", F.when(~F.isnan("v1"), F.col("v1")))
+        assert back.schema == IO.READING_SCHEMA
+        assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    kinds = dict(spark.read.parquet(os.path.join(tmpdir_path, "parquet")).dtypes)
+    assert kinds["tamper_flag"] == "tinyint" and kinds["tamper_duration_hours"] == "smallint" and kinds["event_id"] == "bigint"
+    assert kinds["v_agg"] == "float" and kinds["expected_energy_from_vend"] == "double"
+
+
+def test_increments_of_a_stored_summary_merge_to_the_full_rollup(spark, tmpdir_path):
+    """Late readings of stored days, a retried increment, and a compacted table."""
+    eng, path = P.engineered(spark, SF_SMALL).checkpoint(), os.path.join(tmpdir_path, "summary")
+    for k in (0, 1, 2, 1):
+        P.append_partials(eng.where(F.col("event_id") % 3 == k), path, str(k))
+    rounded = lambda df: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect()), key=repr)
+    full = P.daily(spark, SF_SMALL)
+    got = P.stored_daily(spark, path).select(*full.columns)
+    assert got.dtypes == full.dtypes and rounded(got) == rounded(full)
+    day = P.stored_daily(spark, path, "date_ = DATE'2024-01-05'")
+    assert "PartitionFilters: [isnotnull(date_" in day._jdf.queryExecution().executedPlan().toString()
+    assert rounded(day.select(*full.columns)) == rounded(full.where("date_ = DATE'2024-01-05'"))
+    P.compact_partials(spark, path, path + "-compact")
+    assert rounded(P.stored_daily(spark, path + "-compact").select(*full.columns)) == rounded(full)
