@@ -45,20 +45,6 @@ def profile_describe(df: DataFrame, digits: int = 6, std_digits: int = 4) -> Dat
     return _long(df.agg(*aggs), cols, ["count", "mean", "std", "min", "max"])
 
 
-def profile_quartiles(df: DataFrame, accuracy: int = 100_000) -> DataFrame:
-    """25/50/75% per numeric column with ``percentile_approx`` (bounded
-    memory per task; rank error <= n/accuracy).  An exact ``percentile``
-    would hold every value of a column in one task."""
-    cols = numeric_columns(df)
-    aggs = [F.percentile_approx(F.col(c).cast("double"), [0.25, 0.5, 0.75], accuracy).alias(f"q__{c}")
-            for c in cols]
-    wide = df.agg(*aggs)
-    for c in cols:
-        wide = wide.withColumns({f"p25__{c}": F.col(f"q__{c}")[0], f"p50__{c}": F.col(f"q__{c}")[1],
-                                 f"p75__{c}": F.col(f"q__{c}")[2]})
-    return _long(wide, cols, ["p25", "p50", "p75"])
-
-
 def column_stats(df: DataFrame, digits: int = 6) -> DataFrame:
     cols = numeric_columns(df)
     aggs = []
@@ -113,31 +99,3 @@ def type_plan(df: DataFrame) -> DataFrame:
                              nd.alias("n_distinct"), F.col("__n").alias("n_rows"),
                              planned.alias("planned_type")))
     return wide.select(F.explode(F.array(*rows)).alias("s")).select("s.*")
-
-
-def exact_quartiles(df, cols: list[str], keys: list[str], probs=(0.25, 0.5, 0.75), digits: int = 9):
-    """Exact linear-interpolated quantiles per column (pandas ``describe`` /
-    SQL ``quantile_cont``), distributed: the table is unpivoted to
-    (column, value), exact ranks come from ``ranking.positions`` (range
-    partitioning, no single-task window), and only the two neighbouring ranks
-    of each requested quantile are picked through a broadcast of the tiny
-    (column x quantile) target table."""
-    from gridlens.operators.ranking import positions
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in cols])).alias("s")) \
-        .select(*keys, "s.*").where(F.col("value").isNotNull())
-    ranked = positions(long, ["value", *keys], ["column"], name="pos")
-    counts = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
-    targets = counts.select("column", F.explode(F.array(*[F.lit(p) for p in probs])).alias("p"), "n") \
-        .withColumn("h", (F.col("n") - 1) * F.col("p")) \
-        .withColumns({"lo": F.floor("h") + 1, "hi": F.ceil("h") + 1})
-    picked = ranked.join(F.broadcast(targets), "column") \
-        .where((F.col("pos") == F.col("lo")) | (F.col("pos") == F.col("hi")))
-    q = picked.groupBy("column", "p").agg(
-        F.max(F.when(F.col("pos") == F.col("lo"), F.col("value"))).alias("v_lo"),
-        F.max(F.when(F.col("pos") == F.col("hi"), F.col("value"))).alias("v_hi"),
-        F.first("h").alias("h"))
-    q = q.withColumn("q", F.round(F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.floor("h")),
-                                  digits))
-    return q.groupBy("column").pivot("p", list(probs)).agg(F.first("q")) \
-        .withColumnsRenamed({str(p): f"p{int(p * 100)}" for p in probs})

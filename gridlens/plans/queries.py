@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from gridlens import constants as K
 from gridlens.operators import insights as I
+from gridlens.operators.quantiles import exact_quantiles
 from gridlens.plans import pipeline as P
 from gridlens.plans import sql_base as S
-from gridlens.plans.registry import query
+from gridlens.plans.registry import ORACLE, query
 
 # --------------------------------------------------------------------------
 # Holds, engineered readings, daily summary
@@ -821,9 +822,11 @@ def forecast_summary(spark, sf):
 
 # ---- H: MLlib training (rows-only checks; seeded, reproducible) ---------------
 
+import datetime as dt  # noqa: E402
 import os  # noqa: E402
 import uuid  # noqa: E402
 
+from gridlens.operators import runs as RN  # noqa: E402
 from gridlens.operators import train as TR  # noqa: E402
 
 REG_TARGET = "energy_loss_kwh_sum"
@@ -926,6 +929,27 @@ def batch_score(spark, sf):
     return SC.risk_scores(_batch_scores(spark, sf)[0])
 
 
+@query("batch_run", f"""
+SELECT {", ".join(SK + SC.DERIVED)}, probability, risk AS risk_score_pct, CAST(probability > 0.5 AS INTEGER) AS prediction,
+       CASE WHEN probability > 0.5 THEN 'anomaly' ELSE 'normal' END AS risk_text, CAST(risk > 80 AS INTEGER) AS risk_alert
+FROM (SELECT *, least(greatest(probability * 100, CAST(0 AS DOUBLE)), CAST(100 AS DOUBLE)) AS risk
+      FROM (SELECT *, least(greatest(energy_loss_ratio, CAST(0 AS DOUBLE)), CAST(1 AS DOUBLE)) AS probability
+            FROM ({ORACLE["derive_features"]})))""")
+def batch_run(spark, sf):
+    """Validate, derive, score by the rule on derived features, store as a run, log, and read
+    the newest run back."""
+    base = os.path.join(TR.store_dir(spark), f"batch-{uuid.uuid4().hex[:8]}")
+    batch = SC.batch_from_daily(P.daily(spark, sf)).drop("direct__anomaly_summary_note")
+    template = [c for c in batch.columns if c.startswith("base__")]
+
+    def score(rows):
+        return rows.withColumn("probability", F.least(F.greatest(F.col("energy_loss_ratio"), F.lit(0.0)), F.lit(1.0)))
+
+    scores, _ = RN.run_batch(batch, template, score, base, dt.datetime.now(), source="daily_summary", model="loss_ratio",
+                             log=lambda n: TR.log_prediction(spark, "loss_ratio", n, "daily_summary", base))
+    return scores.select(*SK, *SC.DERIVED, "probability", "risk_score_pct", "prediction", "risk_text", "risk_alert")
+
+
 def _metrics_table(spark, sf, kinds=MODEL_KINDS):
     """Train the kinds and evaluate each on the test split of its target."""
     daily = _stored_daily(spark, sf)
@@ -982,7 +1006,8 @@ def stratified_folds(spark, sf):
   round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 9) AS p50, round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 9) AS p75
 FROM daily""" for c in DAILY_NUMERIC))
 def profile_quartiles_exact(spark, sf):
-    return PR.exact_quartiles(P.daily(spark, sf), DAILY_NUMERIC, MP.SPLIT_KEYS)
+    out = exact_quantiles(P.daily(spark, sf), DAILY_NUMERIC)
+    return out.select("column", *[F.round(c, 9).alias(c) for c in ("p25", "p50", "p75")])
 
 
 FILTER_METERS = ["MTR_000001", "MTR_000002", "MTR_000007", "MTR_000012"]

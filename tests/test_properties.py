@@ -1,4 +1,5 @@
 """Invariants: partition invariance, totals, split, risk, ROC."""
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -80,21 +81,45 @@ def test_prefix_sums_match_pandas(spark):
         assert got[(g, k)] == c
 
 
-def test_quartiles_close_to_exact(spark):
+def test_exact_quantiles_equal_pandas_and_move_few_values(spark):
+    """Ties, constants, NULLs, one value, no value; and brackets that a coarse sketch misses."""
     import numpy as np
-    from gridlens.operators.profile import profile_quartiles
-    daily = P.daily(spark, SF_SMALL)
-    q = {r["column"]: r for r in profile_quartiles(daily).collect()}
-    pdf = daily.select("revenue_loss_sum", "v_agg_mean").toPandas()
-    for c in ("revenue_loss_sum", "v_agg_mean"):
-        vals = np.sort(pdf[c].dropna().to_numpy())
-        n = len(vals)
-        for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
-            # a value with ties occupies the rank interval [lo, hi]
-            lo = np.searchsorted(vals, q[c][name], side="left")
-            hi = np.searchsorted(vals, q[c][name], side="right")
-            tol = max(1, n / 100_000) + 1
-            assert lo - tol <= p * n <= hi + tol
+
+    from gridlens.operators.quantiles import exact_quantiles
+    rng = np.random.default_rng(5)
+    n = 3000
+    pdf = pd.DataFrame({"normal": rng.normal(size=n), "ties": rng.integers(0, 4, n).astype(float), "constant": 7.0,
+                        "holes": np.where(rng.random(n) < 0.3, np.nan, rng.exponential(size=n)), "one": [1.5] + [np.nan] * (n - 1)})
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) + (None,) for r in pdf.itertuples(index=False)]
+    cols = [*pdf.columns, "none"]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(5)
+    for accuracy in (10_000, 3):
+        got = {r["column"]: (r["p25"], r["p50"], r["p75"]) for r in exact_quantiles(df, cols, accuracy=accuracy).collect()}
+        for c in pdf.columns:
+            assert np.allclose(got[c], pdf[c].quantile([0.25, 0.5, 0.75]).tolist(), rtol=1e-12, atol=0)
+        assert got["none"] == (None, None, None) and len(got) == len(cols)
+
+
+def test_runs_are_seen_only_when_whole(spark, tmpdir_path):
+    import datetime as dt
+
+    from gridlens.operators import runs as RN
+    first, second = dt.datetime(2024, 1, 2, 3), dt.datetime(2024, 1, 2, 4)
+    rows = spark.range(5).withColumn("probability", F.col("id") / 5)
+    assert RN.write_run(rows, tmpdir_path, RN.stamp_of(first), "a", "m") == 5
+    # a run whose scores were written, but that was never announced
+    rows.limit(1).write.parquet(f"{tmpdir_path}/runs/run={RN.stamp_of(second)}")
+    got = RN.latest_run(spark, tmpdir_path)
+    assert got.count() == 5 and {r.run for r in got.collect()} == {RN.stamp_of(first)}
+    RN.write_run(rows.limit(2), tmpdir_path, RN.stamp_of(second))
+    assert RN.latest_run(spark, tmpdir_path).count() == 2 and RN.manifest(spark, tmpdir_path).count() == 2
+    assert "run=" + RN.stamp_of(first) not in " ".join(RN.latest_run(spark, tmpdir_path).inputFiles())
+    # a batch with errors is neither scored nor stored
+    bad = spark.createDataFrame([("m", "x")], "meter_id_ string, base__expected string")
+    told = []
+    scores, errors = RN.run_batch(bad, ["base__expected", "base__consumed"], lambda d: d, tmpdir_path, second, log=told.append)
+    assert scores is None and not told
+    assert sorted(map(tuple, errors.collect())) == [("missing_column", "base__consumed", 0), ("non_numeric", "base__expected", 1)]
 
 
 def test_materialized_daily_serves_dashboards(spark, tmpdir_path):
