@@ -47,21 +47,19 @@ def greedy(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     if n < 2:
         return [piece] if n else []
     if n <= 40:
-        parts = [piece[i:i + 1] for i in range(n)]
-        get = ranks.get
-        rank = [get(parts[i] + parts[i + 1], _INF) for i in range(n - 1)]
+        at, get = list(range(n + 1)), ranks.get  # where the parts begin
+        rank = [get(piece[i:i + 2], _INF) for i in range(n - 1)]
         while rank:
             low = min(rank)
             if low == _INF:
                 break
             i = rank.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del rank[i]
+            del at[i + 1], rank[i]
             if i:
-                rank[i - 1] = get(parts[i - 1] + parts[i], _INF)
+                rank[i - 1] = get(piece[at[i - 1]:at[i + 1]], _INF)
             if i < len(rank):
-                rank[i] = get(parts[i] + parts[i + 1], _INF)
-        return parts
+                rank[i] = get(piece[at[i]:at[i + 2]], _INF)
+        return [piece[a:b] for a, b in zip(at, at[1:])]
     nxt, prev, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
     heap = [(r, i) for i in range(n - 1) if (r := ranks.get(piece[i:i + 2])) is not None]
     heapq.heapify(heap)
@@ -155,7 +153,7 @@ class Codec:
 
     def split(self, unit: str) -> list[str]:
         """The matches of the pattern, with the letters and numbers the tiktoken library knows."""
-        if self.newer is None or not self.newer.search(unit):
+        if self.newer is None or unit.isascii() or not self.newer.search(unit):
             return self.pattern.findall(unit)
         known = self.newer.sub("\ue000", unit)  # a private-use character is no letter for either
         return [unit[m.start():m.end()] for m in self.pattern.finditer(known)]
@@ -163,8 +161,10 @@ class Codec:
     def encode_units(self, units: list[str]) -> list[bytes]:
         out, pieces = [], self.pieces
         for u in units:
-            got = []
-            for p in self.split(u):
+            got, parts = [], self.split(u)
+            if len(parts) == len(units) == 1:  # the caller keeps it
+                return [self.piece(parts[0])]
+            for p in parts:
                 ids = pieces.get(p)
                 if ids is None:
                     ids = self.piece(p)

@@ -20,23 +20,29 @@ class _Ragged(Exception):
 class ChunkEncoder(dict):
     """word (without its leading space) -> packed ids of " word".
 
-    ``encode_units(list[str]) -> list[bytes]`` does the real work.
+    ``encode_units(list[str]) -> list[bytes]`` does the real work.  When ``limit`` words
+    are held they become the older generation, which replaces the one before; words met
+    again move back from there.
     """
 
     def __init__(self, encode_units, limit: int = 150_000, longest: int = 64):
         super().__init__()
         self.encode_units, self.limit, self.longest = encode_units, limit, longest
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[-1].isspace():
-            raise _Ragged
-        out = self.encode_units([" " + word])[0]
+        out = self.older.get(word)
+        if out is None:
+            if not word or word[-1].isspace():
+                raise _Ragged
+            out = self.encode_units([" " + word])[0]
         self._keep(word, out)
         return out
 
     def _keep(self, word: str, out: bytes) -> None:
         if len(word) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
             self[word] = out
 
@@ -45,7 +51,7 @@ class ChunkEncoder(dict):
         new: set[str] = set()
         for t in texts:
             new.update(t.split(" ")[1:-1])
-        new = [w for w in new.difference(self) if w and len(w) <= self.longest and not w[-1].isspace()]
+        new = [w for w in new.difference(self, self.older) if w and len(w) <= self.longest and not w[-1].isspace()]
         for i in range(0, len(new), 20_000):
             part = new[i:i + 20_000]
             for w, out in zip(part, self.encode_units([" " + w for w in part])):
