@@ -6,8 +6,8 @@ control bits a rank give its length (1 to 4 bytes); control bytes and data
 bytes are kept apart, so the reader finds lengths and byte positions of four ranks
 at a time in a table indexed by the control byte.
 
-A file is a Parquet file whose rows are blocks: (part, block, doc_ids,
-lengths, n_ids, control, data), documents in ascending id order; the Spark
+A file is a Parquet file whose rows are blocks: (part, block, first, doc_ids,
+lengths, n_ids, control, data), first = ids of its part before it, documents in ascending id order; the Spark
 committer makes a lost task harmless.  ``id_of_rank`` is a small table beside the
 blocks, bounded by the vocabulary.
 
@@ -200,18 +200,18 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = encoded.repartitionByRange(n, "doc").sortWithinPartitions("doc").withColumn("part", F.spark_partition_id())
-    blocks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
+    blocks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
                         ("control", pa.binary()), ("data", pa.binary())])
 
     def block(rows):
         k, part, docs, lens, vals = 0, 0, [], [], []
+        first = size = 0
 
         def done():
             control, data = pack(np.concatenate(vals)) if vals else (b"", b"")
-            return part, k, docs, lens, sum(lens), control, data
+            return part, k, first, docs, lens, size, control, data
 
-        size = 0
         for doc, n, ids, part in rows:
             docs.append(doc)
             lens.append(n)
@@ -219,7 +219,7 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
             size += n
             if size >= BLOCK_IDS or len(lens) >= 1 << 16:
                 yield done()
-                k, docs, lens, vals, size = k + 1, [], [], [], 0
+                k, first, docs, lens, vals, size = k + 1, first + size, [], [], [], 0
         if docs:
             yield done()
 
@@ -232,22 +232,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     as little-endian unsigned 32-bit integers, start = ids of all before it."""
     blocks = spark.read.parquet(f"{folder}/blocks")
     id_of = np.array([r["id"] for r in spark.read.parquet(f"{folder}/id_of_rank").orderBy("rank").collect()], np.uint32)
-    docs = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc", pa.int64()), ("local", pa.int64()),
+    docs = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("local", pa.int64()),
                       ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(rows):
-        for part, k, ids_of_docs, lens, n, control, data in rows:
+        for part, at, ids_of_docs, lens, n, control, data in rows:
             ids = id_of[unpack(control, data, n)].astype("<u4").tobytes()
-            at = 0
+            k = 0
             for doc, m in zip(ids_of_docs, lens):
-                yield part, k, doc, at, m, ids[4 * at:4 * (at + m)]
-                at += m
+                yield part, doc, at + k, m, ids[4 * k:4 * (k + m)]
+                k += m
 
-    sizes = blocks.select("part", "block", "n_ids")
-    # one row per part, then one per block of a part: neither holds documents
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
+    # one row per part, that is, per writing task: its size does not follow the rows, so documents stay in place
+    parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    starts = sizes.join(parts, "part").select("part", "block", (
-        F.col("before") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("block")) - F.col("n_ids")).alias("first"))
-    return map_rows(blocks.select("part", "block", "doc_ids", "lengths", "n_ids", "control", "data"), run, docs).join(
-        starts, ["part", "block"]).select("doc", (F.col("first") + F.col("local")).alias("start"), "n_tokens", "ids")
+    return map_rows(blocks.select("part", "first", "doc_ids", "lengths", "n_ids", "control", "data"), run, docs).join(
+        F.broadcast(parts), "part").select("doc", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")
