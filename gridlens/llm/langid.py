@@ -11,7 +11,7 @@ part.  One tenth of the sample is held back to calibrate: a temperature
 is fitted there, and the rejection threshold is the largest one up to
 ``strictest`` that still accepts ``accept`` of its texts.  Prediction covers every whole text: since
 the layers are linear, a word's summed embedding times the layer is one small vector, kept
-per worker for words seen before.
+per worker for words seen before; words and texts are summed column-wise, many at a time.
 
 Null texts and texts without letters get ``und`` and score 0.  Repeated rows get
 equal predictions.  Null labels are never trained on; with no labelled rows every text is
@@ -42,6 +42,83 @@ def subwords(word: str, buckets: int, low: int = 2, high: int = 5) -> list[int]:
     return [zlib.crc32(g.encode()) % buckets for g in grams]
 
 
+_CRC = np.arange(256, dtype=np.uint32)  # checksum of one byte, for many n-grams at once
+for _ in range(8):
+    _CRC = np.where(_CRC & 1, _CRC >> 1 ^ np.uint32(0xEDB88320), _CRC >> 1)
+
+
+def subwords_of(words: list[str], buckets: int, low: int = 2, high: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its word, bucket) of all subwords of some words, column-wise; as ``subwords`` a word."""
+    marked = [f"<{w}>" for w in words]
+    text = "".join(marked)
+    code, raw = np.frombuffer(text.encode("utf-32-le"), "<u4"), np.frombuffer(text.encode(), np.uint8)
+    width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64)
+    start = np.cumsum(width) - width
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(marked)), length)
+    left = np.repeat(np.cumsum(length), length) - np.arange(len(code))  # characters up to the word's end
+    places = [np.arange(len(marked))]
+    found = [np.fromiter((zlib.crc32(w.encode()) % buckets for w in marked), np.int64, len(marked))]
+    at, state = np.arange(len(code)), np.full(len(code), 0xFFFFFFFF, np.uint32)
+    for n in range(1, high + 1):
+        go = left[at] >= n
+        at, state = at[go], state[go]
+        last = at + n - 1
+        for k in range(4):
+            more = slice(None) if k == 0 else np.flatnonzero(width[last] > k)
+            s = state[more]
+            state[more] = _CRC[(s ^ raw[start[last[more]] + k]) & 0xFF] ^ s >> 8
+        if n >= low:
+            places.append(word[at])
+            found.append((~state).astype(np.int64) % buckets)
+    return np.concatenate(places), np.concatenate(found)
+
+
+class WordScores:
+    """Summed scores and number of subwords of each word, kept for words seen before."""
+
+    def __init__(self, scores: np.ndarray, held_bytes: int = 16 << 20):
+        self.scores, self.columns = scores, scores.shape[1] + 1
+        self.limit = max(1000, held_bytes // (8 * self.columns))
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((0, self.columns))
+
+    def learn(self, words: set[str]) -> None:
+        new = words.difference(self.place)
+        if len(self.place) + len(new) > self.limit:
+            self.place.clear()
+            new = words
+        rows, part, size = [self.rows[:len(self.place)]], [], 0
+        for w in new:
+            self.place[w] = len(self.place)
+            part.append(w)
+            size += len(w)
+            if size >= 1 << 16:
+                rows.append(self.measure(part))
+                part, size = [], 0
+        if part:
+            rows.append(self.measure(part))
+        self.rows = np.concatenate(rows)
+
+    def measure(self, words: list[str]) -> np.ndarray:
+        place, bucket = subwords_of(words, len(self.scores))
+        return np.stack([*(np.bincount(place, self.scores[bucket, c], len(words)) for c in range(self.columns - 1)),
+                         np.bincount(place, minlength=len(words))], 1)
+
+    def totals(self, texts: list[list[str]], step: int = 1 << 19) -> np.ndarray:
+        """One row per text: the sum over its words."""
+        flat = [w for words in texts for w in words]
+        of = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+        out = np.zeros((len(texts), self.columns))
+        for k in range(0, len(flat), step):
+            part = flat[k:k + step]
+            self.learn(set(part))
+            rows = self.rows[np.fromiter(map(self.place.__getitem__, part), np.int64, len(part))]
+            for c in range(self.columns):
+                out[:, c] += np.bincount(of[k:k + step], rows[:, c], len(texts))
+        return out
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -170,26 +247,26 @@ def predict(df: DataFrame, id_col: str, text_col: str, model: Model | None) -> D
                 yield i, "und", 0.0, True
             return
         labels, scores, bias, temperature, low = shared.value
-        memo: dict[str, tuple] = {}
+        known = WordScores(scores)
+
+        def judged(ids, texts):
+            total = known.totals(texts)
+            p = _softmax((total[:, :-1] / np.maximum(total[:, -1:], 1) + bias) / temperature)
+            best = p.argmax(1)
+            for i, words, k, x in zip(ids, texts, best.tolist(), p.max(1).tolist()):
+                yield (i, labels[k], x, x < low) if words else (i, "und", 0.0, True)
+
+        # texts are judged together up to a size, a longer one alone: equal texts get equal sums
+        ids, texts, size = [], [], 0
         for i, text in rows:
-            words = words_of(text)
-            if not words:
-                yield i, "und", 0.0, True
-                continue
-            got = []
-            for w in words:
-                v = memo.get(w)
-                if v is None:
-                    ids = subwords(w, len(scores))
-                    v = (*scores[ids].sum(0).tolist(), len(ids))
-                    if len(w) <= 40:
-                        if len(memo) >= 300_000:
-                            memo.clear()
-                        memo[w] = v
-                got.append(v)
-            total = np.array(got).sum(0)
-            p = _softmax((total[:-1] / total[-1] + bias) / temperature)
-            k = int(p.argmax())
-            yield i, labels[k], float(p[k]), bool(p[k] < low)
+            n = len(text or "")
+            if ids and size + n > 1 << 20:
+                yield from judged(ids, texts)
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(words_of(text))
+            size += n
+        if ids:
+            yield from judged(ids, texts)
 
     return map_rows(df.select(id_col, text_col), run, schema)
