@@ -3,6 +3,7 @@ distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -54,10 +55,36 @@ def kept(key, make: Callable):
     return _kept[key]
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: pa.Schema | StructType) -> DataFrame:
-    """``mapInArrow`` with the package at hand."""
+def _give_back() -> None:
+    """Return freed memory to the system: idle workers of earlier stages stay alive."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_owner: list[str] = [""]
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: pa.Schema | StructType, owner: str | None = None) -> DataFrame:
+    """``mapInArrow`` with the package at hand.
+
+    What a worker kept for the steps of another module goes before ``fn`` starts, and
+    each task gives its freed memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(fn, from_arrow_schema(schema) if isinstance(schema, pa.Schema) else schema)
+    owner = owner or fn.__module__
+
+    def run(it):
+        if _owner[0] != owner:
+            _kept.clear()
+            _owner[0] = owner
+        try:
+            yield from fn(it)
+        finally:
+            _give_back()
+
+    return df.mapInArrow(run, from_arrow_schema(schema) if isinstance(schema, pa.Schema) else schema)
 
 
 def batches(schema: pa.Schema, rows: Iterable[tuple], max_rows: int = 4096,
@@ -91,7 +118,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterator[tuple]], sc
                 yield from zip(*(c.to_pylist() for c in b.columns))
         yield from batches(schema, fn(rows()))
 
-    return map_batches(df, run, schema)
+    return map_batches(df, run, schema, fn.__module__)
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
