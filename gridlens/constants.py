@@ -57,6 +57,15 @@ TASKS = {
     "customer_risk_score_mean": "regression",
 }
 
+# Daily columns that a task's target is computed from: features to exclude where leakage matters.
+LEAKS = {
+    "tamper_detected": ["tamper_flag_sum", "tamper_cost_estimate_sum", "anomaly_severity_score"],
+    "fault_detected": ["fault_flag_sum", "unresolved_fault_days_mean", "anomaly_severity_score"],
+    "energy_loss_kwh_sum": ["energy_loss_flag_sum", "energy_loss_ratio", "revenue_loss_sum", "tamper_cost_estimate_sum"],
+    "band_compliance_max": ["supply_hours", "supply_voltage_flag_sum", "service_availability_ratio_mean"],
+    "customer_risk_score_mean": ["tamper_flag_sum", "fault_flag_sum", "energy_loss_flag_sum"],
+}
+
 # Identifier / text columns dropped before modelling.
 NON_FEATURE_COLUMNS = ["meter_id_", "location_id_", "feeder_id_", "transformer_id_",
                        "date_", "anomaly_category", "anomaly_summary_note"]

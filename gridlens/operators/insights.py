@@ -16,8 +16,8 @@ from gridlens.functions import columns as C
 ROUND = 9
 
 
-def rmean(c: str) -> Column:
-    return F.round(F.avg(c), ROUND)
+def rmean(c: str, digits: int = ROUND) -> Column:
+    return F.round(F.avg(c), digits)
 
 
 # ---- F1-F3 filters --------------------------------------------------------
@@ -72,16 +72,18 @@ def kpi_formatted(daily: DataFrame) -> DataFrame:
                     F.format_string("%.2f%%", F.bround("efficiency_pct", 2)).alias("efficiency_fmt"))
 
 
-def top_efficiency(daily: DataFrame, n: int = 20) -> DataFrame:
-    """Top-n meters by mean efficiency (ties by meter id); a TakeOrdered."""
-    return daily.groupBy("meter_id_").agg(rmean("energy_efficiency_ratio").alias("energy_efficiency_ratio")) \
+def top_efficiency(daily: DataFrame, n: int = 20, digits: int | None = None) -> DataFrame:
+    """Top-n meters by mean efficiency (ties by meter id); a TakeOrdered.  ``digits`` rounds the mean
+    before ranking, for results that must not depend on the order of summation."""
+    mean = F.avg("energy_efficiency_ratio") if digits is None else rmean("energy_efficiency_ratio", digits)
+    return daily.groupBy("meter_id_").agg(mean.alias("energy_efficiency_ratio")) \
         .where(F.col("energy_efficiency_ratio").isNotNull()) \
         .orderBy(F.col("energy_efficiency_ratio").desc(), "meter_id_").limit(n)
 
 
-def top_efficiency_trend(daily: DataFrame, n: int = 20) -> DataFrame:
+def top_efficiency_trend(daily: DataFrame, n: int = 20, digits: int | None = None) -> DataFrame:
     # the top-n table holds at most n rows, so broadcasting it is bounded
-    top = F.broadcast(top_efficiency(daily, n).select("meter_id_"))
+    top = F.broadcast(top_efficiency(daily, n, digits).select("meter_id_"))
     return daily.join(top, "meter_id_", "left_semi") \
         .select("meter_id_", "date_", "fault_type_", "energy_efficiency_ratio")
 

@@ -16,6 +16,8 @@ from gridlens.operators.ranking import positions
 
 KEYS = [k + "_" for k in K.DAILY_KEYS]
 SPLIT_KEYS = ["meter_id_", "date_", "fault_type_"]
+#: the full grain with the split keys first: rows of a meter that changes band on a day have an order too
+SPLIT_ORDER = [*SPLIT_KEYS, *[k for k in KEYS if k not in SPLIT_KEYS]]
 
 
 def feature_columns(daily: DataFrame, target: str, selected: list[str] | None = None) -> list[str]:
@@ -39,26 +41,27 @@ def ml_matrix(daily: DataFrame, target: str, selected: list[str] | None = None)
     return daily.select(*feature_columns(daily, target, selected), target)
 
 
-def impute_mean(daily: DataFrame, cols: list[str], digits: int = 9) -> DataFrame:
-    means = daily.agg(F.struct(*[F.round(F.avg(c), digits).alias(c) for c in cols]).alias("m")).scalar()
+def impute_mean(daily: DataFrame, cols: list[str], digits: int | None = None) -> DataFrame:
+    """NULLs become the column's mean, rounded to ``digits`` where given."""
+    mean = (lambda c: F.avg(c)) if digits is None else (lambda c: F.round(F.avg(c), digits))
+    means = daily.agg(F.struct(*[mean(c).alias(c) for c in cols]).alias("m")).scalar()
     return daily.select(*[c for c in daily.columns if c not in cols],
                         *[F.coalesce(F.col(c).cast("double"), means[c]).alias(c) for c in cols])
 
 
-def standardize(df: DataFrame, cols: list[str], digits: int = 6) -> DataFrame:
+def standardize(df: DataFrame, cols: list[str]) -> DataFrame:
     """(x - mean) / population std; a zero-variance column maps to 0."""
     st = df.agg(F.struct(*[F.avg(c).alias(f"m_{c}") for c in cols],
                          *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).alias("st")).scalar()
-    z = {c: F.round(F.when(st[f"s_{c}"] == 0, F.lit(0.0))
-                    .otherwise((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]), digits) for c in cols}
+    z = {c: F.when(st[f"s_{c}"] == 0, F.lit(0.0)).otherwise((F.col(c) - st[f"m_{c}"]) / st[f"s_{c}"]) for c in cols}
     return df.select(*[z[c].alias(c) if c in z else F.col(c) for c in df.columns])
 
 
 def stratified_split(daily: DataFrame, label: str, test_size: float = 0.2,
                      order: list[str] | None = None) -> DataFrame:
     """Exact per-class split: within each class the first
-    ``n_c - ceil(test_size * n_c)`` rows in ``order`` go to train."""
-    order = order or SPLIT_KEYS
+    ``n_c - ceil(test_size * n_c)`` rows in ``order`` (the full grain) go to train."""
+    order = order or SPLIT_ORDER
     ranked = positions(daily, order, [label], name="__pos")
     # counted from the checkpointed ranking, not by re-deriving the input
     counts = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("__n_class"))

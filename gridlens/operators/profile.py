@@ -55,6 +55,35 @@ def column_stats(df: DataFrame, digits: int = 6) -> DataFrame:
     return _long(df.agg(*aggs), cols, ["min", "max", "mean"])
 
 
+def type_decisions(df: DataFrame, share: float = 0.5, error: float = 0.02, margin: float = 5.0) -> DataFrame:
+    """(column, kind, planned_type, n_rows): the types of ``type_plan`` without counting distinct values.
+
+    One aggregate row: ranges, float round trips and a HyperLogLog++ sketch per string column, each of bounded
+    size.  Distinct values are counted exactly only for a column whose estimate lies within ``margin``
+    standard errors of ``share``."""
+    strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    whole = [f.name for f in df.schema.fields if isinstance(f.dataType, INTEGRAL)]
+    real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    lossy = lambda c: F.col(c).cast("float").cast("double") != F.col(c).cast("double")
+    found = df.agg(F.count(F.lit(1)).alias("rows"),
+                   *[e for c in whole for e in (F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"))],
+                   *[F.count_if(lossy(c)).alias(f"lossy_{c}") for c in real],
+                   *[F.approx_count_distinct(c, error).alias(f"nd_{c}") for c in strings]).first()
+    rows, plan = found["rows"], []
+    for c in whole:
+        lo, hi = found[f"min_{c}"], found[f"max_{c}"]
+        fits = (b for b in (8, 16, 32) if lo is not None and -2 ** (b - 1) <= lo and hi < 2 ** (b - 1))
+        plan.append((c, "integer", f"int{next(fits, 64)}", rows))
+    for c in real:
+        plan.append((c, "float", "float64" if found[f"lossy_{c}"] else "float32", rows))
+    for c in strings:
+        distinct = found[f"nd_{c}"]
+        if rows and abs(distinct / rows - share) <= margin * error * distinct / rows:
+            distinct = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).count()
+        plan.append((c, "string", "category" if rows and distinct / rows < share else "string", rows))
+    return df.sparkSession.createDataFrame(plan, "column string, kind string, planned_type string, n_rows long")
+
+
 def type_plan(df: DataFrame) -> DataFrame:
     """Narrowest lossless type per column.
 

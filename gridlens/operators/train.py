@@ -11,8 +11,11 @@ time).  XGBoost is not available; gradient-boosted trees are MLlib GBTs.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import os
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -39,11 +42,28 @@ FOREST_DEPTH = 12
 FOREST_LEAF_ROWS = 2
 CLASSIFIERS = ["logistic", "randomforest", "xgboost", "ensemble", "mlp"]
 REGRESSORS = ["randomforest", "xgboost", "linear", "ensemble"]
-
-
-def default_features(daily: DataFrame, target: str, k: int = 6) -> list[str]:
-    """Top-k features by |correlation| with the target (the UI default)."""
-    cols = mlprep.feature_columns(daily, target)
+#: the points that tuning tries; a depth of None is FOREST_DEPTH
+GRIDS = {
+    ("classification", "logistic"): {"C": [0.01, 0.1, 1.0, 10.0]},
+    ("classification", "randomforest"): {"n_estimators": [50, 100, 150], "max_depth": [None, 10, 20]},
+    ("classification", "xgboost"): {"n_estimators": [50, 100], "max_depth": [3, 5, 7], "learning_rate": [0.05, 0.1]},
+    ("regression", "randomforest"): {"max_depth": [5, 10, 15]},
+    ("regression", "xgboost"): {"max_depth": [3, 6, 10]},
+}
+#: A reduced grid for sweeps over many targets: fewer points, fewer and shallower trees.
+REDUCED_GRIDS = {
+    ("classification", "logistic"): {"C": [0.1, 1.0]},
+    ("classification", "randomforest"): {"n_estimators": [5, 10], "max_depth": [3, 5]},
+    ("classification", "xgboost"): {"n_estimators": [3], "max_depth": [3], "learning_rate": [0.05, 0.1]},
+    ("regression", "randomforest"): {"n_estimators": [10], "max_depth": [3, 5]},
+    ("regression", "xgboost"): {"n_estimators": [3], "max_depth": [3, 5]},
+}
+
+
+def default_features(daily: DataFrame, target: str, k: int = 6, exclude: list[str] | tuple = ()) -> list[str]:
+    """Top-k features by |correlation| with the target (the UI default), without those of
+    ``exclude`` (``constants.LEAKS`` has the columns each target is computed from)."""
+    cols = [c for c in mlprep.feature_columns(daily, target) if c not in exclude]
     top = mlprep.top_features(mlprep.target_correlation(daily, target, cols), k)
     return [r["feature"] for r in top.collect()]  # k rows
 
@@ -145,26 +165,32 @@ def training_input(daily: DataFrame, target: str, features: list[str] | None = N
     return daily.select(*KEYS, *[c for c in cols if c not in KEYS], target).checkpoint(eager=True)
 
 
-def train_and_predict(daily: DataFrame, target: str, algorithm: str, features: list[str] | None = None):
-    task = K.TASKS[target]
+def prepare(daily: DataFrame, target: str, features: list[str] | None = None, exclude: list[str] | tuple = ()):
+    """(features, split rows) of a target: what all its fits share."""
     daily = training_input(daily, target, features)
-    feats = features or default_features(daily, target)
-    sp = split(daily, target, task, feats)
+    feats = features or default_features(daily, target, exclude=exclude)
+    return feats, split(daily, target, K.TASKS[target], feats)
+
+
+def train_and_predict(daily: DataFrame, target: str, algorithm: str, features: list[str] | None = None,
+                      exclude: list[str] | tuple = (), prepared=None):
+    task = K.TASKS[target]
+    feats, sp = prepared or prepare(daily, target, features, exclude)
     models = fit(sp.where(F.col("split") == "train"), task, algorithm, feats)
     return models, predict(models, sp.where(F.col("split") == "test"), task), feats
 
 
 def grid_search(daily: DataFrame, target: str = "tamper_detected", features: list[str] | None = None,
-                algorithm: str = "logistic", parallelism: int = 4) -> DataFrame:
+                algorithm: str = "logistic", parallelism: int = 4, grid: dict | None = None) -> DataFrame:
     """CrossValidator over three stratified folds; returns one row per grid point with its mean
     CV metric (accuracy for classifiers, R2 for regressors) and the winner."""
-    rows, _, _, _ = tune_model(daily, target, features, algorithm, parallelism)
+    rows, _, _, _ = tune_model(daily, target, features, algorithm, parallelism, grid)
     return daily.sparkSession.createDataFrame(
         rows, "target string, algorithm string, params string, cv_metric double, best boolean")
 
 
 def has_grid(task: str, algorithm: str) -> bool:
-    return algorithm in ("randomforest", "xgboost") or (task == "classification" and algorithm == "logistic")
+    return (task, algorithm) in GRIDS
 
 
 def folds(rows: DataFrame, label: str | None, n: int, order: list) -> DataFrame:
@@ -175,37 +201,37 @@ def folds(rows: DataFrame, label: str | None, n: int, order: list) -> DataFrame:
     return ranked.withColumn("fold", ((F.col("__pos") - 1) % n).cast("int")).drop("__pos")
 
 
-def tune_model(daily: DataFrame, target: str, features: list[str] | None, algorithm: str, parallelism: int = 4):
-    """Run the grid; returns (grid rows, best model refitted on the train split, features, split rows)."""
+def _param_maps(est, grid: dict, n_train: int) -> tuple[list[dict], list[str]]:
+    """The points of a grid as parameter maps of ``est``, and their names."""
+    def setting(name, value):
+        if name == "C":
+            return est.regParam, 1.0 / (value * max(n_train, 1))
+        if name == "n_estimators":
+            return est.numTrees if est.hasParam("numTrees") else est.maxIter, value
+        if name == "max_depth":
+            return est.maxDepth, FOREST_DEPTH if value is None else value
+        if name == "learning_rate":
+            return est.stepSize, value
+        raise ValueError(f"unknown grid parameter {name}")
+
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    return ([dict(setting(k, v) for k, v in p.items()) for p in points],
+            [",".join(f"{k}={v}" for k, v in p.items()) for p in points])
+
+
+def tune_model(daily: DataFrame, target: str, features: list[str] | None, algorithm: str, parallelism: int = 4,
+               grid: dict | None = None, exclude: list[str] | tuple = (), prepared=None):
+    """Run the grid (``GRIDS`` unless given); returns (grid rows, best model refitted on the train split,
+    features, split rows)."""
     task = K.TASKS[target]
-    daily = training_input(daily, target, features)
-    feats = features or default_features(daily, target)
-    sp = split(daily, target, task, feats)
+    if not has_grid(task, algorithm):
+        raise ValueError(f"no grid for {task}/{algorithm}")
+    feats, sp = prepared or prepare(daily, target, features, exclude)
     train = folds(sp.where(F.col("split") == "train"), "label" if task == "classification" else None, 3,
                   [F.xxhash64(F.lit(SEED + 1), *KEYS), *KEYS])
     n_train = train.count()
     est = estimator(task, algorithm, len(feats), n_train)
-    pb = ParamGridBuilder()
-    if algorithm == "logistic":
-        cs = [0.01, 0.1, 1.0, 10.0]
-        pb = pb.addGrid(est.regParam, [1.0 / (c * n_train) for c in cs])
-        labels = [f"C={c}" for c in cs]
-    elif algorithm == "randomforest" and task == "classification":
-        pb = pb.addGrid(est.numTrees, [50, 100, 150]).addGrid(est.maxDepth, [FOREST_DEPTH, 10, 20])
-        labels = [f"n_estimators={t},max_depth={d}" for t in (50, 100, 150) for d in ("None", 10, 20)]
-    elif algorithm == "xgboost" and task == "classification":
-        pb = pb.addGrid(est.maxIter, [50, 100]).addGrid(est.maxDepth, [3, 5, 7]).addGrid(est.stepSize, [0.05, 0.1])
-        labels = [f"n_estimators={t},max_depth={d},learning_rate={r}" for t in (50, 100) for d in (3, 5, 7)
-                  for r in (0.05, 0.1)]
-    elif algorithm == "randomforest":
-        pb = pb.addGrid(est.maxDepth, [5, 10, 15])
-        labels = [f"max_depth={d}" for d in (5, 10, 15)]
-    elif algorithm == "xgboost":
-        pb = pb.addGrid(est.maxDepth, [3, 6, 10])
-        labels = [f"max_depth={d}" for d in (3, 6, 10)]
-    else:
-        raise ValueError(f"no grid for {task}/{algorithm}")
-    grid = pb.build()
+    grid, labels = _param_maps(est, grid or GRIDS[task, algorithm], n_train)
     evaluator = (MulticlassClassificationEvaluator(metricName="accuracy") if task == "classification"
                  else RegressionEvaluator(metricName="r2"))
     pipe = Pipeline(stages=_prep_stages(feats) + [est])
@@ -301,13 +327,25 @@ def store_dir(spark: SparkSession) -> str:
     return os.environ.get("GRIDLENS_STORE") or os.path.join(ensure_checkpoint_dir(spark), "gridlens-store")
 
 
+TRAIN_LOG = ("timestamp timestamp_ntz, target string, model_type string, algorithm string, status string, "
+             "score double, error string")
+REGISTRY = ("target string, algorithm string, category string, tuned boolean, run_ts timestamp_ntz, "
+            "features array<string>, path string, members int")
+
+
+def _append(spark: SparkSession, rows: list[tuple], schema: str, path: str) -> None:
+    if rows:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now().replace(microsecond=0)
+
+
 def log_training(spark: SparkSession, target: str, algorithm: str, model_type: str, status: str,
                  score: float | None, error: str | None, store: str | None = None) -> None:
-    row = [(dt.datetime.now().replace(microsecond=0), target, model_type, algorithm, status,
-            None if score is None else round(float(score), 4), error)]
-    spark.createDataFrame(row, "timestamp timestamp_ntz, target string, model_type string, algorithm string, "
-                               "status string, score double, error string") \
-        .write.mode("append").parquet(os.path.join(store or store_dir(spark), "train_log"))
+    row = (_now(), target, model_type, algorithm, status, None if score is None else round(float(score), 4), error)
+    _append(spark, [row], TRAIN_LOG, os.path.join(store or store_dir(spark), "train_log"))
 
 
 def log_prediction(spark: SparkSession, model_used: str, num_predictions: int, input_source: str,
@@ -318,24 +356,15 @@ def log_prediction(spark: SparkSession, model_used: str, num_predictions: int, i
         .write.mode("append").parquet(os.path.join(store or store_dir(spark), "predict_log"))
 
 
-def register_model(spark: SparkSession, target: str, algorithm: str, category: str, tuned: bool,
-                   features: list[str], path: str, members: int, store: str | None = None) -> None:
-    row = [(target, algorithm, category, tuned, dt.datetime.now().replace(microsecond=0), features, path, members)]
-    spark.createDataFrame(row, "target string, algorithm string, category string, tuned boolean, "
-                               "run_ts timestamp_ntz, features array<string>, path string, members int") \
-        .write.mode("append").parquet(os.path.join(store or store_dir(spark), "registry"))
-
-
-def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str = "ml", tune: bool = False,
-                   features: list[str] | None = None, store: str | None = None) -> tuple[bool, str]:
-    """load -> split -> fit -> score -> save -> register -> log; returns (ok, message)."""
-    spark = daily.sparkSession
-    store = store or store_dir(spark)
+def _train(daily: DataFrame, target: str, algorithm: str, category: str, tune: bool, features: list[str] | None,
+           store: str, exclude: list[str] | tuple = (), prepared=None, grids: dict | None = None):
+    """load -> split -> fit -> score -> save; returns (log row, registry row or None, message).  Writes
+    nothing but the model's own folder, so that several may run at once."""
     task = K.TASKS.get(target)
     tune = tune and has_grid(task, algorithm)  # others have no grid: trained and registered as default
     stamp = dt.datetime.now().strftime("%Y%m%d_%H%M%S_%f")
     name = f"{target}_{algorithm}_{category}_{'tuned' if tune else 'default'}_{stamp}"
-    status, score, err = "failed", None, None
+    status, score, err, entry, message = "failed", None, None, None, None
     try:
         if category == "rl":
             raise NotImplementedError("reinforcement learning is not implemented")
@@ -346,29 +375,40 @@ def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str
         if category == "dl" and task != "classification":
             raise ValueError("mlp regression is not supported")
         if tune:
-            _, best, feats, sp = tune_model(daily, target, features, algorithm)
+            grid = (grids or GRIDS).get((task, algorithm))
+            _, best, feats, sp = tune_model(daily, target, features, algorithm, grid=grid, exclude=exclude, prepared=prepared)
             models = [best]
             pred = predict(models, sp.where(F.col("split") == "test"), task)
         else:
-            models, pred, feats = train_and_predict(daily, target, algorithm, features)
-        score = score_predictions(pred, task)
-        paths = []
+            models, pred, feats = train_and_predict(daily, target, algorithm, features, exclude, prepared)
+        score = round(float(score_predictions(pred, task)), 4)
+        path = os.path.join(store, "models", name)
         for i, m in enumerate(models):
-            p = os.path.join(store, "models", name, f"member_{i}")
-            m.write().overwrite().save(p)
-            paths.append(p)
-        register_model(spark, target, algorithm, category, tune, feats, os.path.join(store, "models", name),
-                       len(models), store)
-        status = "completed"
-        return True, f"trained {name} score={score:.4f}"
+            m.write().overwrite().save(os.path.join(path, f"member_{i}"))
+        entry = (target, algorithm, category, tune, _now(), feats, path, len(models))
+        status, message = "completed", f"trained {name} score={score:.4f}"
     except NotImplementedError as ex:
-        status, err = "skipped", str(ex)
-        return False, "Training skipped."
+        status, err, message = "skipped", str(ex), "Training skipped."
     except Exception as ex:  # noqa: BLE001 - reported as a failed run, like the reference
-        err = str(ex)
-        return False, err
-    finally:
-        log_training(spark, target, algorithm, category.upper(), status, score, err, store)
+        err = message = str(ex)
+    return (_now(), target, category.upper(), algorithm, status, score, err), entry, message
+
+
+def _record(spark: SparkSession, store: str, outcomes: list[tuple]) -> None:
+    """Registry and log rows of finished runs, one append each: appends to one folder must not
+    overlap.  The registry comes first, so that a logged run can be loaded."""
+    _append(spark, [entry for _, entry, _ in outcomes if entry], REGISTRY, os.path.join(store, "registry"))
+    _append(spark, [row for row, _, _ in outcomes], TRAIN_LOG, os.path.join(store, "train_log"))
+
+
+def train_pipeline(daily: DataFrame, target: str, algorithm: str, category: str = "ml", tune: bool = False,
+                   features: list[str] | None = None, store: str | None = None,
+                   exclude: list[str] | tuple = ()) -> tuple[bool, str]:
+    """load -> split -> fit -> score -> save -> register -> log; returns (ok, message)."""
+    store = store or store_dir(daily.sparkSession)
+    outcome = _train(daily, target, algorithm, category, tune, features, store, exclude)
+    _record(daily.sparkSession, store, [outcome])
+    return outcome[0][4] == "completed", outcome[2]
 
 
 def load_models(path: str, members: int) -> list[PipelineModel]:
@@ -388,21 +428,30 @@ def registry_latest(registry: DataFrame) -> DataFrame:
 
 
 def train_sweep(daily: DataFrame, tasks: dict[str, str] | None = None, ml_algorithms: list[str] | None = None,
-                dl_algorithms: list[str] | None = None, tune: bool = True,
-                store: str | None = None) -> DataFrame:
-    """Task x algorithm sweep (H11): every target with every ML algorithm
-    (tuned) and the DL algorithm; pairs that do not apply to a task (e.g.
-    logistic on a regression target) are logged as failed runs.  Each fit is
-    a distributed MLlib job; the loop runs over models only.  Returns the
-    training log rows written by this sweep."""
+                dl_algorithms: list[str] | None = None, tune: bool = True, store: str | None = None,
+                grids: dict | None = None, parallelism: int = 4, exclude: dict[str, list[str]] | None = None) -> DataFrame:
+    """Task x algorithm sweep (H11): every target with every ML algorithm (tuned over ``grids``, by default
+    ``GRIDS``) and the DL algorithm; pairs that do not apply to a task (e.g. logistic on a
+    regression target) are logged as failed runs.
+
+    The features and the split of a target are made once and stored; its fits share them.  ``parallelism``
+    fits run at a time, each in a scheduler pool of its own (pools share the executors evenly where
+    ``spark.scheduler.mode`` is FAIR).  Returns the training log rows of the store."""
     spark = daily.sparkSession
     store = store or store_dir(spark)
-    tasks = tasks or K.TASKS
     ml_algorithms = ml_algorithms if ml_algorithms is not None else ["logistic", "randomforest", "xgboost", "ensemble"]
     dl_algorithms = dl_algorithms if dl_algorithms is not None else ["mlp"]
-    for target in tasks:
-        for algo in ml_algorithms:
-            train_pipeline(daily, target, algo, "ml", tune=tune, store=store)
-        for algo in dl_algorithms:
-            train_pipeline(daily, target, algo, "dl", tune=False, store=store)
+    runs = []
+    for target in tasks or K.TASKS:
+        feats, sp = prepare(daily, target, exclude=(exclude or {}).get(target, ()))
+        shared = feats, sp.checkpoint(eager=True)
+        runs += [(target, a, "ml", tune, shared) for a in ml_algorithms] + [(target, a, "dl", False, shared) for a in dl_algorithms]
+
+    def run(target, algorithm, category, tuned, shared):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{target}-{algorithm}")
+        return _train(daily, target, algorithm, category, tuned, None, store, prepared=shared, grids=grids)
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        fits = [pool.submit(inheritable_thread_target(spark)(run), *r) for r in runs]
+        _record(spark, store, [f.result() for f in fits])
     return spark.read.parquet(os.path.join(store, "train_log"))

@@ -271,14 +271,14 @@ ORDER BY energy_efficiency_ratio DESC, meter_id_ LIMIT 20"""
 
 @query("top_efficiency", S.BASE_DAILY + TOP_EFF_SQL)
 def top_efficiency(spark, sf):
-    return I.top_efficiency(P.daily(spark, sf))
+    return I.top_efficiency(P.daily(spark, sf), digits=9)
 
 
 @query("top_efficiency_trend", S.BASE_DAILY + ", t AS (" + TOP_EFF_SQL + """)
 SELECT meter_id_, date_, fault_type_, energy_efficiency_ratio FROM daily
 WHERE meter_id_ IN (SELECT meter_id_ FROM t)""")
 def top_efficiency_trend(spark, sf):
-    return I.top_efficiency_trend(P.daily(spark, sf))
+    return I.top_efficiency_trend(P.daily(spark, sf), digits=9)
 
 
 @query("location_kpis", S.BASE_DAILY + """
@@ -444,6 +444,11 @@ def type_plan(spark, sf):
     return PR.type_plan(P.readings(spark, sf))
 
 
+@query("type_decisions", 'SELECT "column", kind, planned_type, n_rows FROM (' + _type_plan_sql() + ")")
+def type_decisions(spark, sf):
+    return PR.type_decisions(P.readings(spark, sf))
+
+
 @query("profile_counts", S.BASE_READINGS + "\n" + "\nUNION ALL\n".join(
     f"SELECT '{c}' AS \"column\", count({_q(c)}) AS non_null, count(*) AS n_rows FROM readings"
     for c in READING_TYPES))
@@ -499,7 +504,7 @@ IMPUTE_SQL = (", im AS (SELECT " + ", ".join(SK) + ", " +
 
 @query("impute_mean", S.BASE_DAILY + IMPUTE_SQL + "\nSELECT " + ", ".join(SK + IMPUTE_COLS) + " FROM im")
 def impute_mean(spark, sf):
-    return MP.impute_mean(P.daily(spark, sf).select(*SK, *IMPUTE_COLS), IMPUTE_COLS)
+    return MP.impute_mean(P.daily(spark, sf).select(*SK, *IMPUTE_COLS), IMPUTE_COLS, digits=9)
 
 
 @query("standardize", S.BASE_DAILY + IMPUTE_SQL + ", st AS (SELECT " + ", ".join(
@@ -509,20 +514,21 @@ def impute_mean(spark, sf):
         for c in SCALE_COLS) + " FROM im, st")
 def standardize(spark, sf):
     d = P.daily(spark, sf).select(*SK, *SCALE_COLS)
-    return MP.standardize(MP.impute_mean(d, IMPUTE_COLS), SCALE_COLS).select(*SK, *SCALE_COLS)
+    z = MP.standardize(MP.impute_mean(d, IMPUTE_COLS, digits=9), SCALE_COLS)
+    return z.select(*SK, *[F.round(c, 6).alias(c) for c in SCALE_COLS])
 
 
 @query("stratified_split", S.BASE_DAILY + f"""
 , r AS (SELECT {", ".join(SK)}, {TARGET},
-          row_number() OVER (PARTITION BY {TARGET} ORDER BY {", ".join(SK)}) AS pos,
+          row_number() OVER (PARTITION BY {TARGET} ORDER BY {", ".join(MP.SPLIT_ORDER)}) AS pos,
           count(*) OVER (PARTITION BY {TARGET}) AS n
         FROM daily)
 SELECT {", ".join(SK)}, {TARGET},
        CASE WHEN pos <= n - ceil(n * CAST(0.2 AS DOUBLE)) THEN 'train' ELSE 'test' END AS split
 FROM r""")
 def stratified_split(spark, sf):
-    d = P.daily(spark, sf).select(*SK, TARGET)
-    return MP.stratified_split(d, TARGET)
+    d = P.daily(spark, sf).select(*MP.SPLIT_ORDER, TARGET)
+    return MP.stratified_split(d, TARGET).select(*SK, TARGET, "split")
 
 
 @query("eval_rows", S.BASE_DAILY + "\nSELECT " + ", ".join(SK + EVAL_FEATURES + [TARGET]) +
@@ -772,6 +778,13 @@ def top_risk(spark, sf):
     return SC.top_risk(_risk(spark, sf)).select(*SK, "risk_score_pct")
 
 
+@query("top_risk_meters", RISK_SQL + """
+SELECT meter_id_, max(risk_score_pct) AS risk_score_pct, CAST(sum(risk_alert) AS BIGINT) AS n_alerts, count(*) AS n_rows
+FROM risk2 GROUP BY meter_id_ HAVING max(risk_score_pct) IS NOT NULL ORDER BY risk_score_pct DESC, n_alerts DESC, meter_id_ LIMIT 20""")
+def top_risk_meters(spark, sf):
+    return SC.top_risk_meters(_risk(spark, sf))
+
+
 @query("high_risk", SCORED + "\nSELECT " + ", ".join(SK) + ", probability FROM scored WHERE probability > CAST(0.8 AS DOUBLE)")
 def high_risk(spark, sf):
     return _scored(spark, sf).where(F.col("probability") > K.HIGH_RISK_PROB).select(*SK, "probability")
@@ -870,6 +883,30 @@ def grid_search(spark, sf):
     return TR.grid_search(P.daily(spark, sf), TARGET, algorithm="logistic")
 
 
+def _grid_query(name: str, target: str, algorithm: str):
+    @query(name)
+    def fn(spark, sf):
+        grid = TR.REDUCED_GRIDS[K.TASKS[target], algorithm]
+        return TR.grid_search(P.daily(spark, sf), target, algorithm=algorithm, grid=grid)
+    return fn
+
+
+_grid_query("grid_search_rf_cls", TARGET, "randomforest")
+_grid_query("grid_search_gbt_cls", TARGET, "xgboost")
+_grid_query("grid_search_rf_reg", REG_TARGET, "randomforest")
+_grid_query("grid_search_gbt_reg", REG_TARGET, "xgboost")
+
+
+@query("train_sweep")
+def train_sweep_q(spark, sf):
+    """Two tasks by all algorithms, without the columns a target is computed from, on the reduced grids."""
+    store = os.path.join(TR.store_dir(spark), f"sweep-{uuid.uuid4().hex[:8]}")
+    log = TR.train_sweep(_stored_daily(spark, sf), {t: K.TASKS[t] for t in (TARGET, REG_TARGET)},
+                         ml_algorithms=["logistic", "randomforest", "xgboost", "linear"], store=store,
+                         grids=TR.REDUCED_GRIDS, exclude=K.LEAKS)
+    return log.select("target", "algorithm", "model_type", "status", "score")
+
+
 #: (target, algorithm, category) of the store's models: every kind of both tasks
 MODEL_KINDS = [(TARGET, a, "ml") for a in ("logistic", "randomforest", "xgboost", "ensemble")] + [(TARGET, "mlp", "dl")] + [
     (REG_TARGET, a, "ml") for a in ("linear", "randomforest", "xgboost", "ensemble")]
@@ -1035,3 +1072,42 @@ UNION ALL SELECT DISTINCT 'anomaly_category', anomaly_category FROM f2 WHERE ano
 def filter_options_cascade(spark, sf):
     return I.filter_options(P.daily(spark, sf), dates=("2024-01-03", "2024-01-28"), bands=["A", "B"],
                             locations=["Lekki", "Ojo", "Island"])
+
+
+# ---- dashboards from the served table ------------------------------------------
+
+from gridlens.plans import serving as SV  # noqa: E402
+
+
+def _served(spark, sf, buckets: int = 8) -> str:
+    """The daily summary stored once, by day and meter; returns the table's name."""
+    name = f"gridlens_daily_{uuid.uuid4().hex[:8]}"
+    SV.write_served(P.daily(spark, sf), name, os.path.join(TR.store_dir(spark), name), buckets)
+    return name
+
+
+@query("served_filter_daily", ORACLE["filter_daily_all"])
+def served_filter_daily(spark, sf):
+    return I.filter_daily(spark.table(_served(spark, sf)), dates=("2024-01-03", "2024-01-28"), bands=["A", "B", "E"],
+                          locations=["Lekki", "Ojo", "Ajah", "Orile"], meters=FILTER_METERS,
+                          anomalies=["fault", "loss", "fault,loss", "fault,mismatch", "normal"])
+
+
+@query("served_top_efficiency_trend", ORACLE["top_efficiency_trend"])
+def served_top_efficiency_trend(spark, sf):
+    return I.top_efficiency_trend(spark.table(_served(spark, sf)), digits=9)
+
+
+@query("served_meter_series", ORACLE["meter_series"])
+def served_meter_series(spark, sf):
+    return SV.meter_series(spark, _served(spark, sf))
+
+
+@query("served_latest_run", ORACLE["latest_run"])
+def served_latest_run(spark, sf):
+    return SV.newest(spark, _served(spark, sf))
+
+
+@query("served_alert_summary", ORACLE["alert_summary"])
+def served_alert_summary(spark, sf):
+    return I.alert_summary(spark.table(_served(spark, sf)))

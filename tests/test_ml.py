@@ -47,6 +47,32 @@ def test_invalid_pairs_are_logged(spark, tmpdir_path):
     assert statuses == ["failed", "skipped"]
 
 
+def test_sweep_shares_a_split_and_tunes(spark, tmpdir_path, monkeypatch):
+    from gridlens import constants as K
+    daily = P.daily(spark, SF_SMALL).checkpoint()
+    made = []
+    split = TR.split
+    monkeypatch.setattr(TR, "split", lambda *a, **kw: made.append(a[1]) or split(*a, **kw))
+    grids = {("classification", "logistic"): {"C": [0.1, 1.0]}, ("classification", "randomforest"): {"n_estimators": [2], "max_depth": [2, 3]}}
+    log = TR.train_sweep(daily, {"tamper_detected": "classification"}, ml_algorithms=["logistic", "randomforest"], dl_algorithms=[],
+                         store=tmpdir_path, grids=grids, exclude=K.LEAKS)
+    assert made == ["tamper_detected"]
+    assert {(r["algorithm"], r["status"]) for r in log.collect()} == {("logistic", "completed"), ("randomforest", "completed")}
+    models = spark.read.parquet(os.path.join(tmpdir_path, "registry")).collect()
+    assert len(models) == 2 and all(r["tuned"] for r in models)
+    assert not any(set(r["features"]) & set(K.LEAKS["tamper_detected"]) for r in models)
+
+
+def test_grid_points(spark):
+    est = TR.estimator("classification", "xgboost", 2, 10)
+    maps, labels = TR._param_maps(est, TR.GRIDS["classification", "xgboost"], 10)
+    assert len(maps) == 12 and labels[0] == "n_estimators=50,max_depth=3,learning_rate=0.05"
+    assert maps[0] == {est.maxIter: 50, est.maxDepth: 3, est.stepSize: 0.05}
+    est = TR.estimator("classification", "randomforest", 2, 10)
+    maps, labels = TR._param_maps(est, TR.GRIDS["classification", "randomforest"], 10)
+    assert len(maps) == 9 and labels[0] == "n_estimators=50,max_depth=None" and maps[0][est.maxDepth] == TR.FOREST_DEPTH
+
+
 def test_train_sweep_logs_every_pair(spark, tmpdir_path):
     daily = P.daily(spark, SF_SMALL)
     log = TR.train_sweep(daily, {"tamper_detected": "classification", "energy_loss_kwh_sum": "regression"},

@@ -39,7 +39,7 @@ def test_rollup_totals_equal_reading_totals(spark):
 
 def test_split_disjoint_complete_stratified(spark):
     daily = P.daily(spark, SF_SMALL)
-    sp = MP.stratified_split(daily.select(*MP.SPLIT_KEYS, "tamper_detected"), "tamper_detected")
+    sp = MP.stratified_split(daily.select(*MP.SPLIT_ORDER, "tamper_detected"), "tamper_detected")
     assert sp.count() == daily.count()
     assert sp.select(*MP.SPLIT_KEYS).distinct().count() == daily.count()
     for r in sp.groupBy("tamper_detected").agg(
