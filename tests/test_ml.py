@@ -85,3 +85,40 @@ def test_train_sweep_logs_every_pair(spark, tmpdir_path):
     assert rows[("tamper_detected", "linear")] == "failed"       # invalid pair
     assert rows[("energy_loss_kwh_sum", "logistic")] == "failed"
     assert rows[("energy_loss_kwh_sum", "mlp")] == "failed"
+
+
+def test_models_of_a_target_share_preparation_and_members(spark, tmpdir_path, monkeypatch):
+    """One split, one imputer and scaler a target; an ensemble's member of the same settings is not fitted again."""
+    daily = P.daily(spark, SF_SMALL).checkpoint()
+    splits, fits = [], []
+    split, estimator = TR.split, TR.estimator
+    monkeypatch.setattr(TR, "split", lambda *a, **kw: splits.append(a[1]) or split(*a, **kw))
+    monkeypatch.setattr(TR, "estimator", lambda task, algorithm, *a, **kw: fits.append(algorithm) or estimator(
+        task, algorithm, *a, **{**kw, "maxIter": 2, "numTrees": 2}))
+    kinds = [("energy_loss_kwh_sum", a, "ml", False) for a in ("linear", "randomforest", "xgboost", "ensemble")]
+    done = TR.train_all(daily, kinds, tmpdir_path)
+    assert [status for status, _ in done] == ["completed"] * 4
+    assert splits == ["energy_loss_kwh_sum"] and sorted(fits) == ["linear", "randomforest", "xgboost"]
+    found = {r["algorithm"]: r for r in spark.read.parquet(os.path.join(tmpdir_path, "registry")).collect()}
+    assert {a: r["members"] for a, r in found.items()} == {"linear": 1, "randomforest": 1, "xgboost": 1, "ensemble": 3}
+    alone, voting = TR.load_models(found["linear"]["path"], 1)[0], TR.load_models(found["ensemble"]["path"], 3)[0]
+    assert alone.stages[-1].coefficients == voting.stages[-1].coefficients
+
+
+def test_folds_are_cut_into_few_tasks(spark, monkeypatch):
+    mine = TR.prepare(P.daily(spark, SF_SMALL), "tamper_detected")
+    monkeypatch.setattr(TR, "FOLD_TASKS", 2)
+    rows, pairs = mine.folded()
+    assert rows.rdd.getNumPartitions() <= 2 and rows.count() == mine.train.count()
+    assert sum(judged.count() for _, judged in pairs) == rows.count()
+    assert all(fitted.count() + judged.count() == rows.count() for fitted, judged in pairs)
+    mine.release()
+
+
+def test_grid_search_prepares_each_fold_once(spark, monkeypatch):
+    daily = P.daily(spark, SF_SMALL).checkpoint()
+    made, prep = [], TR._prep
+    monkeypatch.setattr(TR, "_prep", lambda *a: made.append(a) or prep(*a))
+    rows = TR.grid_search(daily, algorithm="logistic", grid={"C": [0.01, 0.1, 1.0]}).collect()
+    assert len(rows) == 3 and sum(r["best"] for r in rows) == 1
+    assert len(made) == TR.FOLDS + 1  # the folds, and the train rows for the winner
