@@ -11,7 +11,8 @@ lengths, n_ids, control, data), first = ids of its part before it, documents in
 committer makes a lost task harmless.  ``id_of_rank`` is a small table beside the
 blocks, bounded by the vocabulary.
 
-Texts are tokenised once; the ids are stored, counted (one row per id and
+Texts are tokenised once, by the library, each distinct pre-token once as long as the
+worker remembers it; the ids are stored, counted (one row per id and
 task), then coded and written.  Order comes from a range partition on the id, so a hot source
 or text plays no part.  Null texts are empty; a null id sorts first; rows with
 equal ids keep no particular order among themselves beyond their coded bytes.
@@ -21,6 +22,7 @@ in a text, as in the library's own ``encode``.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -31,9 +33,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
-from .common import kept, map_rows, shared_path, store
+from .common import kept, map_batches, map_rows, shared_path, store
 
 BLOCK_IDS = 1 << 20
+#: characters of text that are encoded together
+STEP = 1 << 19
+#: pre-tokens of one of the two generations that a worker keeps
+KEPT = 500_000
+#: Texts of these characters only are cut into the pre-tokens of ``BYTE_LEVEL`` by ``_PIECES``, its pattern: what is
+#: letter, digit, white space or none of them is the same for these in all Unicode tables.
+_LETTERS = ("A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff"
+            "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3")
+_PLAIN = re.compile(rf"[\t\n\r -~\u2010-\u2027\u3001\u3002{_LETTERS}]+")
+_PIECES = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
 class Library:
@@ -55,6 +68,11 @@ class Library:
         for t, i in self.tok.get_vocab().items():
             lengths[i] = len(t)  # the byte alphabet has one character a byte
         self.lengths = lengths
+        with open(path, encoding="utf-8") as f:
+            cut = json.load(f).get("pre_tokenizer") or {}
+        self.byte_level = {k: cut.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chunks = ChunkEncoder(self.encode_units)
 
     @classmethod
@@ -65,16 +83,59 @@ class Library:
         """Plain text and added tokens by turns, plain text first and last."""
         return self.cut.split(text) if self.cut else [text]
 
-    def warm(self, texts: list[str]) -> None:
-        if not self.whole:
-            self.chunks.warm([p for t in texts for p in self.parts(t)[::2]])
-
     def encode(self, text: str) -> bytes:
         if self.whole:
             return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.added[p] if k % 2 else self.chunks.encode(p) for k, p in enumerate(self.parts(text)))
 
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text: texts of plain characters by their pre-tokens, each distinct one encoded once."""
+        plain = [self.byte_level and not self.whole and _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added)
+                 for t in texts]
+        cut = [_PIECES.findall(t) for t, ok in zip(texts, plain) if ok]
+        if not all(plain) and not self.whole:
+            self.chunks.warm([p for t, ok in zip(texts, plain) if not ok for p in self.parts(t)[::2]])
+        others = [self.encode(t) for t, ok in zip(texts, plain) if not ok]
+        known, other = iter(self._join(cut)), iter(others)
+        return [next(known) if ok else next(other) for ok in plain]
+
+    def _join(self, cut: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pre-tokens."""
+        got = [list(map(self.pieces.get, ps)) for ps in cut]
+        holes = [[k for k, ids in enumerate(each) if ids is None] for each in got]
+        long = self._learn({ps[k] for ps, ks in zip(cut, holes) for k in ks})
+        for ps, each, ks in zip(cut, got, holes):
+            for k in ks:
+                each[k] = self.pieces[ps[k]]
+        for p in long:
+            del self.pieces[p]
+        return [b"".join(each) for each in got]
+
+    def _learn(self, wanted: set[str]) -> list[str]:
+        """Put the ids of pre-tokens into ``pieces``, unseen ones encoded in few calls; returns
+        those too long to be kept."""
+        if len(self.pieces) >= KEPT:
+            self.older, self.pieces = self.pieces, {}
+        new = []
+        for p in wanted.difference(self.pieces):
+            ids = self.older.get(p)
+            if ids is None:
+                new.append(p)
+            else:
+                self.pieces[p] = ids
+        spaced = [p for p in new if p[0] == " " and not p[-1].isspace()]
+        for part in (spaced, [p for p in new if p[0] != " " or p[-1].isspace()]):
+            if part:
+                self.pieces.update(zip(part, self._library(part)))
+        return [p for p in new if len(p) > 64]
+
     def encode_units(self, units: list[str]) -> list[bytes]:
+        """The ids of each unit; pre-tokens met before are not encoded again."""
+        if not self.byte_level:
+            return self._library(units)
+        return self._join([_PIECES.findall(u) if _PLAIN.fullmatch(u) else [u] for u in units])
+
+    def _library(self, units: list[str]) -> list[bytes]:
         """Units are encoded together, then cut where their bytes end.
 
         Each unit must begin where the one before ends a pre-token: with white
@@ -87,28 +148,43 @@ class Library:
             part = units[k:k + 500]
             ids = np.array(self.tok.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.cumsum(self.lengths[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(u.encode()) for u in part]), side="left") + 1
-            raw, at = ids.tobytes(), 0
-            for c in cut.tolist():
-                out.append(raw[4 * at:4 * c])
-                at = c
+            cut = [0, *(4 * (np.searchsorted(ends, np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in part])) + 1)).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:])]
         return out
 
 
 def _encoded(rows, path: str, end_id: int | None):
-    """(key, packed ids) for each row; words not seen before are encoded together."""
+    """(key, packed ids) for each row; pre-tokens not seen before are encoded together."""
     lib = Library.of(path)
     tail = b"" if end_id is None else array("I", (end_id,)).tobytes()
     group, size = [], 0
+
+    def done():
+        return zip([k for k, _ in group], [ids + tail for ids in lib.encode_many([t for _, t in group])])
+
     for key, text in rows:
         group.append((key, text or ""))
         size += len(text or "")
-        if size > 1 << 20:
-            lib.warm([t for _, t in group])
-            yield from ((k, lib.encode(t) + tail) for k, t in group)
+        if size > STEP:
+            yield from done()
             group, size = [], 0
-    lib.warm([t for _, t in group])
-    yield from ((k, lib.encode(t) + tail) for k, t in group)
+    yield from done()
+
+
+def _binary(values: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A binary column of runs of values, n in each."""
+    offsets = (np.append(0, np.cumsum(n)) * values.itemsize).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind: str) -> np.ndarray:
+    """All values of a column of ``_binary``, one row after the other."""
+    _, offsets, data = column.buffers()
+    if not len(column) or data is None:
+        return np.zeros(0, kind)
+    at = np.frombuffer(offsets, "<i8" if pa.types.is_large_binary(column.type) else "<i4")[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]].view(kind)
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
@@ -132,43 +208,46 @@ def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
     """(id, n) over all texts; ids that never occur are not listed."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
-    def run(rows):
+    def run(it):
         total = np.zeros(0, np.int64)
-        for raw, in rows:
-            got = np.bincount(np.frombuffer(raw, kind))
+        for b in it:
+            got = np.bincount(_values(b.column(0), kind))
             if len(got) > len(total):
                 total = np.pad(total, (0, len(got) - len(total)))
             total[:len(got)] += got
-        for i in np.flatnonzero(total).tolist():
-            yield i, int(total[i])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], schema=schema)
 
-    return map_rows(encoded.select("ids"), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(encoded.select("ids"), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data bytes) of unsigned 32-bit values."""
     v = np.ascontiguousarray(values, "<u4")
-    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    width = 4 if v.max(initial=0) > 0xFFFF else 2  # no value has more bytes
+    code = (v > 0xFF).astype(np.uint8)
+    if width > 2:
+        code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[:len(v)] = code
     q = padded.reshape(-1, 4)
     control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    keep = np.arange(4)[None, :] <= code[:, None]
-    return control.astype(np.uint8).tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    keep = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
+    return control.astype(np.uint8).tobytes(), v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[keep].tobytes()
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each control byte: the bytes of its four values, and for each of
-    16 output bytes its place in the data (16: no such byte)."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each control byte: the bytes of its four values, for each of 16 output
+    bytes its place in the data (16: no such byte), and the bytes of its longest value."""
     control = np.arange(256)
     lengths = np.stack([(control >> 2 * k & 3) + 1 for k in range(4)], 1)
     starts = np.cumsum(lengths, 1) - lengths
     byte = np.arange(4)
     place = np.where(byte[None, None, :] < lengths[:, :, None], starts[:, :, None] + byte[None, None, :], 16)
-    return lengths.sum(1), place.reshape(256, 16)
+    return lengths.sum(1), place.reshape(256, 16), lengths.max(1)
 
 
-_TOTAL, _PLACE = _tables()
+_TOTAL, _PLACE, _LONGEST = _tables()
 
 
 def unpack(control: bytes, data: bytes, n: int, step: int = 1 << 16) -> np.ndarray:
@@ -176,13 +255,15 @@ def unpack(control: bytes, data: bytes, n: int, step: int = 1 << 16) -> np.ndarr
     c = np.frombuffer(control, np.uint8)
     d = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(17, np.uint8)])
     starts = np.cumsum(_TOTAL[c]) - _TOTAL[c]
-    out = np.empty((len(c), 16), np.uint8)
+    width = 4 if (_LONGEST[c] > 2).any() else 2  # no byte beyond is read
+    table = _PLACE.reshape(256, 4, 4)[:, :, :width].reshape(256, 4 * width)
+    out = np.empty((len(c), 4 * width), np.uint8)
     for k in range(0, len(c), step):
-        place = _PLACE[c[k:k + step]]
+        place = table[c[k:k + step]]
         got = d[np.minimum(starts[k:k + step, None] + place, len(d) - 1)]
         got[place == 16] = 0
         out[k:k + step] = got
-    return out.view("<u4").reshape(-1)[:n]
+    return out.view(f"<u{width}").reshape(-1)[:n]
 
 
 def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None = None,
@@ -204,26 +285,40 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
                         ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
                         ("control", pa.binary()), ("data", pa.binary())])
 
-    def block(rows):
+    def block(it):
         k, part, docs, lens, vals = 0, 0, [], [], []
-        first = size = 0
+        first = size = held = 0
 
         def done():
-            control, data = pack(np.concatenate(vals)) if vals else (b"", b"")
-            return part, k, first, docs, lens, size, control, data
-
-        for doc, n, ids, part in rows:
-            docs.append(doc)
-            lens.append(n)
-            vals.append(rank_of[np.frombuffer(ids, kind)])
-            size += n
-            if size >= BLOCK_IDS or len(lens) >= 1 << 16:
-                yield done()
-                k, first, docs, lens, vals, size = k + 1, first + size, [], [], [], 0
+            control, data = pack(np.concatenate(vals))
+            each = pa.array([0, held], pa.int32())
+            return pa.RecordBatch.from_arrays([
+                pa.array([part], pa.int32()), pa.array([k]), pa.array([first]),
+                pa.ListArray.from_arrays(each, pa.concat_arrays(docs)),
+                pa.ListArray.from_arrays(each, pa.array(np.concatenate(lens))),
+                pa.array([size]), pa.array([control], pa.binary()), pa.array([data], pa.binary())], schema=blocks)
+
+        for b in it:
+            if not b.num_rows:
+                continue
+            n, part = b.column(1).to_numpy(), b.column(3)[0].as_py()
+            ranks, ends = rank_of[_values(b.column(2), kind)], np.cumsum(n)
+            at = taken = 0
+            while at < len(n):
+                # to the row that fills the block
+                m = min(int(np.searchsorted(ends, taken + BLOCK_IDS - size)) + 1, at + (1 << 16) - held, len(n))
+                docs.append(b.column(0).slice(at, m - at))
+                lens.append(n[at:m])
+                vals.append(ranks[taken:ends[m - 1]])
+                held, size = held + m - at, size + int(ends[m - 1]) - taken
+                at, taken = m, int(ends[m - 1])
+                if size >= BLOCK_IDS or held >= 1 << 16:
+                    yield done()
+                    k, first, docs, lens, vals, size, held = k + 1, first + size, [], [], [], 0, 0
         if docs:
             yield done()
 
-    map_rows(ordered, block, blocks).write.parquet(f"{out}/blocks")
+    map_batches(ordered, block, blocks).write.parquet(f"{out}/blocks")
     return out
 
 
@@ -235,16 +330,18 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     docs = pa.schema([("part", pa.int32()), ("doc", pa.int64()), ("local", pa.int64()),
                       ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
-    def run(rows):
-        for part, at, ids_of_docs, lens, n, control, data in rows:
-            ids = id_of[unpack(control, data, n)].astype("<u4").tobytes()
-            k = 0
-            for doc, m in zip(ids_of_docs, lens):
-                yield part, doc, at + k, m, ids[4 * k:4 * (k + m)]
-                k += m
+    def run(it):
+        for b in it:
+            for i in range(b.num_rows):
+                part, at, n, control, data = (b.column(c)[i].as_py() for c in ("part", "first", "n_ids", "control", "data"))
+                own, lens = b.column("doc_ids")[i].values, b.column("lengths")[i].values.to_numpy()
+                ids = id_of[unpack(control, data, n)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(lens), part, np.int32)), own, pa.array(at + np.cumsum(lens) - lens),
+                    pa.array(lens), _binary(ids, lens)], schema=docs)
 
     # one row per part, that is, per writing task: its size does not follow the rows, so documents stay in place
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return map_rows(blocks.select("part", "first", "doc_ids", "lengths", "n_ids", "control", "data"), run, docs).join(
+    return map_batches(blocks.select("part", "first", "doc_ids", "lengths", "n_ids", "control", "data"), run, docs).join(
         F.broadcast(parts), "part").select("doc", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids")

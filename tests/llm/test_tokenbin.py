@@ -47,3 +47,31 @@ def test_query_rows(spark):
     want = [tok.encode(t, add_special_tokens=False).ids + [2] for t in texts]
     assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == want
     assert [r["start"] for r in got] == np.cumsum([0] + [len(w) for w in want[:-1]]).tolist()
+
+
+def test_texts_of_plain_characters_by_pre_tokens():
+    rng = random.Random(6)
+    pieces = ["'", "'s", "'ll", "'LL", "can't", " ", "  ", "\n", "\r\n", "\t", "word", "Wörter", "naïve", "×", "µ", "ª", "12", "3",
+              ".", ",", "$$", "…", "—", "слово", "и", "Ελλάς", "東京", "の", "한국", "。", "\u0301", "\u2028", "😀", "½", "\x00", "\xa0", "\x85"]
+    few = pieces[:30]  # plain characters
+    texts = ["".join(rng.choice(few if k % 2 else pieces) for _ in range(rng.randint(1, 40))) for k in range(600)]
+    _same(PATH, texts + ["x" * 5000 + " y", "x" * 5000, " ", "\n\n ", "a \n", " a", "a  "])
+
+
+def test_pre_tokens_are_encoded_once():
+    lib, seen = tokenbin.Library(PATH), []
+    plain = lib._library
+    lib._library = lambda units: seen.extend(units) or plain(units)
+    words = [f"{a}{b}" for a in ("grün", "blau", "rot", "gelb") for b in "qxyz"]
+    texts = [" ".join(w + rng for w in words for rng in (",", ".", "!?", "\n\nund", "'s")) for _ in range(3)]
+    tok = Tokenizer.from_file(PATH)
+    for _ in range(2):
+        got = lib.encode_many(texts)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) == len(set(seen)) <= len(words) + 10
+
+
+@pytest.mark.parametrize("top", [0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF])
+def test_pack_by_longest_value(top):
+    v = np.random.default_rng(top).integers(0, top, 1003, endpoint=True).astype(np.uint32)
+    assert (tokenbin.unpack(*tokenbin.pack(v), len(v)) == v).all()
