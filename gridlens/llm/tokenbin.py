@@ -12,7 +12,8 @@ committer makes a lost task harmless.  ``id_of_rank`` is a small table beside th
 blocks, bounded by the vocabulary.
 
 Texts are tokenised once, by the library, each distinct pre-token once as long as the
-worker remembers it; the ids are stored, counted (one row per id and
+worker remembers it; plain texts are cut at their spaces, and only their distinct units are
+cut further.  The ids are stored, counted (one row per id and
 task), then coded and written.  Order comes from a range partition on the id, so a hot source
 or text plays no part.  Null texts are empty; a null id sorts first; rows with
 equal ids keep no particular order among themselves beyond their coded bytes.
@@ -29,6 +30,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,20 +39,56 @@ from .common import kept, map_batches, map_rows, shared_path, store
 
 BLOCK_IDS = 1 << 20
 #: characters of text that are encoded together
-STEP = 1 << 19
+STEP = 1 << 24
 #: pre-tokens of one of the two generations that a worker keeps
-KEPT = 500_000
+KEPT = 700_000
 #: Texts of these characters only are cut into the pre-tokens of ``BYTE_LEVEL`` by ``_PIECES``, its pattern: what is
 #: letter, digit, white space or none of them is the same for these in all Unicode tables.
 _LETTERS = ("A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03ce\u0400-\u0481\u048a-\u04ff"
             "\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3")
 _PLAIN = re.compile(rf"[\t\n\r -~\u2010-\u2027\u3001\u3002{_LETTERS}]+")
 _PIECES = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+#: A plain text without these, and without a space at its end, has a pre-token begin at each space.
+_RAGGED = ("  ", " \n", " \r", " \t")
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
+def _alphabet() -> dict[int, int]:
+    """Byte -> the character that stands for it in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: b for b in shown}, **{b: 256 + k for k, b in enumerate(hidden)}}
+
+
+class PreTokens(dict):
+    """pre-token of ``BYTE_LEVEL`` -> packed ids, by the library's model.
+
+    When ``KEPT`` are held they become the older generation, which replaces the one before;
+    those met again move back from there."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokenize, self.older, self.alphabet = model.tokenize, {}, _alphabet()
+        self.space = chr(self.alphabet[32])
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            if piece.isascii() and piece[1:].isalnum():
+                word = piece.replace(" ", self.space)
+            else:
+                word = piece.encode().decode("latin-1").translate(self.alphabet)
+            ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        if len(piece) <= 64:
+            if len(self) >= KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Library:
-    """The tokenizers library behind a cache of white-space delimited units."""
+    """The tokenizers library behind a cache of pre-tokens or of white-space delimited units."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -71,8 +109,7 @@ class Library:
         with open(path, encoding="utf-8") as f:
             cut = json.load(f).get("pre_tokenizer") or {}
         self.byte_level = {k: cut.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.pieces = PreTokens(self.tok.model)
         self.chunks = ChunkEncoder(self.encode_units)
 
     @classmethod
@@ -89,51 +126,57 @@ class Library:
         return b"".join(self.added[p] if k % 2 else self.chunks.encode(p) for k, p in enumerate(self.parts(text)))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text: texts of plain characters by their pre-tokens, each distinct one encoded once."""
+        """The ids of each text: texts of plain characters by their units or pre-tokens, each distinct one encoded once."""
         plain = [self.byte_level and not self.whole and _PLAIN.fullmatch(t) is not None and not any(a in t for a in self.added)
                  for t in texts]
-        cut = [_PIECES.findall(t) for t, ok in zip(texts, plain) if ok]
+        even = [ok and " " in t and t[-1] != " " and not any(r in t for r in _RAGGED) for t, ok in zip(texts, plain)]
+        by_units = iter(self._by_units([t for t, ok in zip(texts, even) if ok]))
+        by_pieces = iter(self._join([_PIECES.findall(t) for t, ok, unit in zip(texts, plain, even) if ok and not unit]))
         if not all(plain) and not self.whole:
             self.chunks.warm([p for t, ok in zip(texts, plain) if not ok for p in self.parts(t)[::2]])
-        others = [self.encode(t) for t, ok in zip(texts, plain) if not ok]
-        known, other = iter(self._join(cut)), iter(others)
-        return [next(known) if ok else next(other) for ok in plain]
+        return [next(by_units) if unit else next(by_pieces) if ok else self.encode(t) for t, ok, unit in zip(texts, plain, even)]
+
+    def _by_units(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that are cut at their spaces; each distinct unit (a space and all up to the next) is
+        looked up once, and a column of its ids spread over the places where it stands."""
+        if not texts:
+            return []
+        heads, _, rests = zip(*[t.partition(" ") for t in texts])
+        cut = pc.split_pattern(pa.array(rests, pa.large_string()), " ")
+        coded = cut.values.dictionary_encode()
+        words, at = coded.dictionary, cut.offsets.to_numpy()
+        # the first of a text has no space before it
+        place = np.insert(coded.indices.to_numpy(), at[:-1], np.arange(len(words), len(words) + len(texts), dtype=np.int32))
+        starts = np.frombuffer(words.buffers()[1], "<i8")[:len(words)]
+        spaced = np.insert(np.frombuffer(words.buffers()[2], np.uint8), starts, 32)  # they start with no white space
+        pieces = _PIECES.findall(spaced.tobytes().decode())
+        ends = np.cumsum(pc.utf8_length(words).to_numpy() + 1)
+        units = np.append(0, np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), ends) + 1)
+        firsts = list(map(_PIECES.findall, heads))
+        units = np.append(units, len(pieces) + np.cumsum([*map(len, firsts)]))
+        for each in firsts:
+            pieces += each
+        ids = pa.array(self._ids(pieces), pa.large_binary())
+        starts = np.frombuffer(ids.buffers()[1], "<i8")[units]
+        ids = pa.Array.from_buffers(pa.large_binary(), len(units) - 1, [None, pa.py_buffer(starts), ids.buffers()[2]])
+        ids = ids.take(pa.array(place))
+        ends = np.frombuffer(ids.buffers()[1], "<i8")[at + np.arange(len(at))].tolist()
+        raw = memoryview(ids.buffers()[2])
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each pre-token."""
+        return list(map(self.pieces.__getitem__, pieces))
 
     def _join(self, cut: list[list[str]]) -> list[bytes]:
         """The ids of each list of pre-tokens."""
-        got = [list(map(self.pieces.get, ps)) for ps in cut]
-        holes = [[k for k, ids in enumerate(each) if ids is None] for each in got]
-        long = self._learn({ps[k] for ps, ks in zip(cut, holes) for k in ks})
-        for ps, each, ks in zip(cut, got, holes):
-            for k in ks:
-                each[k] = self.pieces[ps[k]]
-        for p in long:
-            del self.pieces[p]
-        return [b"".join(each) for each in got]
-
-    def _learn(self, wanted: set[str]) -> list[str]:
-        """Put the ids of pre-tokens into ``pieces``, unseen ones encoded in few calls; returns
-        those too long to be kept."""
-        if len(self.pieces) >= KEPT:
-            self.older, self.pieces = self.pieces, {}
-        new = []
-        for p in wanted.difference(self.pieces):
-            ids = self.older.get(p)
-            if ids is None:
-                new.append(p)
-            else:
-                self.pieces[p] = ids
-        spaced = [p for p in new if p[0] == " " and not p[-1].isspace()]
-        for part in (spaced, [p for p in new if p[0] != " " or p[-1].isspace()]):
-            if part:
-                self.pieces.update(zip(part, self._library(part)))
-        return [p for p in new if len(p) > 64]
+        return [b"".join(self._ids(ps)) for ps in cut]
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit; pre-tokens met before are not encoded again."""
-        if not self.byte_level:
-            return self._library(units)
-        return self._join([_PIECES.findall(u) if _PLAIN.fullmatch(u) else [u] for u in units])
+        plain = [self.byte_level and _PLAIN.fullmatch(u) is not None for u in units]
+        others = iter(self._library([u for u, ok in zip(units, plain) if not ok]))
+        return [b"".join(self._ids(_PIECES.findall(u))) if ok else next(others) for u, ok in zip(units, plain)]
 
     def _library(self, units: list[str]) -> list[bytes]:
         """Units are encoded together, then cut where their bytes end.
@@ -230,10 +273,12 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
         code += (v > 0xFFFF).astype(np.uint8) + (v > 0xFFFFFF)
     padded = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     padded[:len(v)] = code
-    q = padded.reshape(-1, 4)
-    control = q[:, 0] | q[:, 1] << 2 | q[:, 2] << 4 | q[:, 3] << 6
-    keep = np.arange(width, dtype=np.uint8)[None, :] <= code[:, None]
-    return control.astype(np.uint8).tobytes(), v.astype(f"<u{width}").view(np.uint8).reshape(-1, width)[keep].tobytes()
+    # four codes, a byte each, come together in the upper byte of a product
+    control = (padded.view("<u4") * np.uint32(0x01041040) >> np.uint32(24)).astype(np.uint8)
+    keep = np.ones((len(v), width), bool)
+    for k in range(1, width):
+        np.greater_equal(code, k, out=keep[:, k])
+    return control.tobytes(), v.astype(f"<u{width}").view(np.uint8)[keep.reshape(-1)].tobytes()
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,19 +295,20 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _TOTAL, _PLACE, _LONGEST = _tables()
 
 
-def unpack(control: bytes, data: bytes, n: int, step: int = 1 << 16) -> np.ndarray:
+def unpack(control: bytes, data: bytes, n: int, step: int = 1 << 13) -> np.ndarray:
     """The values again, by table lookup on the control bytes."""
     c = np.frombuffer(control, np.uint8)
     d = np.concatenate([np.frombuffer(data, np.uint8), np.zeros(17, np.uint8)])
-    starts = np.cumsum(_TOTAL[c]) - _TOTAL[c]
+    total = _TOTAL[c]
+    starts = np.cumsum(total) - total
     width = 4 if (_LONGEST[c] > 2).any() else 2  # no byte beyond is read
     table = _PLACE.reshape(256, 4, 4)[:, :, :width].reshape(256, 4 * width)
+    some = np.where(table < 16, 0xFF, 0).astype(np.uint8)
+    table = np.where(table < 16, table, 0)
     out = np.empty((len(c), 4 * width), np.uint8)
     for k in range(0, len(c), step):
-        place = table[c[k:k + step]]
-        got = d[np.minimum(starts[k:k + step, None] + place, len(d) - 1)]
-        got[place == 16] = 0
-        out[k:k + step] = got
+        group = c[k:k + step]
+        np.bitwise_and(d.take(starts[k:k + step, None] + table[group], mode="clip"), some[group], out=out[k:k + step])
     return out.view(f"<u{width}").reshape(-1)[:n]
 
 

@@ -71,6 +71,39 @@ def test_pre_tokens_are_encoded_once():
     assert len(seen) == len(set(seen)) <= len(words) + 10
 
 
+def test_only_distinct_units_are_cut_into_pre_tokens(monkeypatch):
+    class Cut:
+        chars, pattern = 0, tokenbin._PIECES
+
+        def findall(self, text):
+            Cut.chars += len(text)
+            return self.pattern.findall(text)
+
+    monkeypatch.setattr(tokenbin, "_PIECES", Cut())
+    lib, seen = tokenbin.Library(PATH), []
+    plain = lib.pieces.tokenize
+    lib.pieces.tokenize = lambda word: seen.append(word) or plain(word)
+    words = [f"{a}{b}" for a in ("grün", "blau", "rot", "don't", "x1") for b in ("q", ",", "...", "!\n\nund", "\n", "\r\ny\n")]
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(words, k=200)) + "." for _ in range(50)]
+    texts += ["", " ", "a", " a", "\na b", "\n a", " \na b", "x\n yz", "ends here\n", "one  two", "one \ntwo", "a "] + ["one\n\n two"] * 3
+    tok = Tokenizer.from_file(PATH)
+    got = lib.encode_many(texts)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(seen) == len(set(seen)) and Cut.chars < 2000 < sum(map(len, texts)) / 10
+    assert lib.encode_many(["", ""]) == [b"", b""] and lib.encode_many([]) == []
+
+
+def test_pre_tokens_in_two_generations(monkeypatch):
+    monkeypatch.setattr(tokenbin, "KEPT", 5)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(["ab", "cd", "ef,", "grün", "東京", "g1", "hi", "x" * 70], k=9)) for _ in range(40)]
+    lib, tok = tokenbin.Library(PATH), Tokenizer.from_file(PATH)
+    got = [ids for t in texts for ids in lib.encode_many([t])]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(lib.pieces) <= 5 and len(lib.pieces.older) <= 5
+
+
 @pytest.mark.parametrize("top", [0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF])
 def test_pack_by_longest_value(top):
     v = np.random.default_rng(top).integers(0, top, 1003, endpoint=True).astype(np.uint32)
