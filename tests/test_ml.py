@@ -122,3 +122,27 @@ def test_grid_search_prepares_each_fold_once(spark, monkeypatch):
     rows = TR.grid_search(daily, algorithm="logistic", grid={"C": [0.01, 0.1, 1.0]}).collect()
     assert len(rows) == 3 and sum(r["best"] for r in rows) == 1
     assert len(made) == TR.FOLDS + 1  # the folds, and the train rows for the winner
+
+
+def test_mlp_rows_are_dealt_evenly(spark, monkeypatch):
+    rows = spark.range(900).select(F.lit("train").alias("split"), (F.col("id") % 7).cast("double").alias("a"),
+                                   (F.col("id") % 2).cast("double").alias("label")).coalesce(1)
+    seen = []
+
+    class Estimator:
+        def fit(self, vectors):
+            seen.append(vectors)
+
+    monkeypatch.setattr(TR, "estimator", lambda *a, **kw: Estimator())
+    monkeypatch.setattr(TR, "MLP_TASK_ROWS", 100)
+    mine = TR.Prepared("tamper_detected", ["a"], rows)
+    mine.member("mlp", {})
+    mine.member("logistic", {})
+    monkeypatch.setattr(TR, "MLP_TASK_ROWS", 900)
+    few = TR.Prepared("tamper_detected", ["a"], rows)
+    few.member("mlp", {})
+    assert [v.rdd.getNumPartitions() for v in seen] == [9, 1, 1]
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 9 and sum(sizes) == 900 and max(sizes) < 110
+    assert seen[0].exceptAll(seen[1]).count() == 0
+    mine.release(), few.release()
