@@ -12,9 +12,9 @@ committer makes a lost task harmless.  ``id_of_rank`` is a small table beside th
 blocks, bounded by the vocabulary.
 
 Texts are tokenised once, by the library, each distinct pre-token once as long as the
-worker remembers it; plain texts are cut at their spaces, and only their distinct units are
-cut further.  The ids are stored, counted (one row per id and
-task), then coded and written.  Order comes from a range partition on the id, so a hot source
+worker remembers it; plain texts are cut at their spaces, only their distinct units are
+cut further, and unseen pre-tokens are encoded many at a time.  The ids are counted by the task that
+makes them, stored, then coded and written.  Order comes from a range partition on the id, so a hot source
 or text plays no part.  Null texts are empty; a null id sorts first; rows with
 equal ids keep no particular order among themselves beyond their coded bytes.
 The tokenizer's added tokens (``<|endoftext|>``) become their ids where they stand
@@ -40,6 +40,8 @@ from .common import kept, map_batches, map_rows, shared_path, store
 BLOCK_IDS = 1 << 20
 #: characters of text that are encoded together
 STEP = 1 << 24
+#: unseen pre-tokens that are encoded together
+BATCH = 10_000
 #: pre-tokens of one of the two generations that a worker keeps
 KEPT = 700_000
 #: Texts of these characters only are cut into the pre-tokens of ``BYTE_LEVEL`` by ``_PIECES``, its pattern: what is
@@ -79,12 +81,15 @@ class PreTokens(dict):
             else:
                 word = piece.encode().decode("latin-1").translate(self.alphabet)
             ids = array("I", [t.id for t in self.tokenize(word)]).tobytes()
+        self.keep(piece, ids)
+        return ids
+
+    def keep(self, piece: str, ids: bytes) -> None:
         if len(piece) <= 64:
             if len(self) >= KEPT:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
-        return ids
 
 
 class Library:
@@ -93,6 +98,7 @@ class Library:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
         self.tok = Tokenizer.from_file(path)
         self.size = self.tok.get_vocab_size()
         added = list(self.tok.get_added_tokens_decoder().values())
@@ -110,6 +116,9 @@ class Library:
             cut = json.load(f).get("pre_tokenizer") or {}
         self.byte_level = {k: cut.get(k) for k in BYTE_LEVEL} == BYTE_LEVEL
         self.pieces = PreTokens(self.tok.model)
+        # the model alone, for pre-tokens in the byte alphabet, which has no raw line feed
+        self.model = Tokenizer(self.tok.model)
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.chunks = ChunkEncoder(self.encode_units)
 
     @classmethod
@@ -165,7 +174,16 @@ class Library:
         return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each pre-token."""
+        """The ids of each pre-token; unseen ones are encoded together."""
+        new = [p for p in set(pieces) if p not in self.pieces and p not in self.pieces.older] if len(pieces) >= BATCH else []
+        for k in range(0, len(new), BATCH):
+            part = new[k:k + BATCH]
+            words = "\0".join(part).encode().decode("latin-1").translate(self.pieces.alphabet | {0: "\n"})  # plain ones have no zero byte
+            ids = np.array(self.model.encode_batch_fast([words], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(list(map(len, words.split("\n")))))
+            cut, raw = [0, *(4 * (ends + 1)).tolist()], ids.tobytes()
+            for piece, a, b in zip(part, cut, cut[1:]):
+                self.pieces.keep(piece, raw[a:b])
         return list(map(self.pieces.__getitem__, pieces))
 
     def _join(self, cut: list[list[str]]) -> list[bytes]:
@@ -231,14 +249,30 @@ def _values(column: pa.Array, kind: str) -> np.ndarray:
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, path: str, end_id: int | None) -> DataFrame:
-    """(doc, n, ids): ids packed in two bytes each where the vocabulary allows it, else four."""
-    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    """(doc, n, ids, counts): ids packed in two bytes each where the vocabulary allows it, else four.
+
+    counts: null but for one more row a task, which has nothing else: how often each id occurs in the task, packed."""
+    schema = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
     kind = _kind(path, end_id)
 
     def run(rows):
+        total, held, size = np.zeros(0, np.int64), [], 0
+
+        def counted():
+            got = np.bincount(np.concatenate(held))
+            wide = max(len(got), len(total))
+            return np.pad(got, (0, wide - len(got))) + np.pad(total, (0, wide - len(total)))
+
         for i, ids in _encoded(rows, path, end_id):
-            v = np.frombuffer(ids, "<u4")
-            yield i, len(v), v.astype(kind).tobytes()
+            v = np.frombuffer(ids, "<u4").astype(kind)
+            held.append(v)
+            size += len(v)
+            if size >= BLOCK_IDS:
+                total, held, size = counted(), [], 0
+            yield i, len(v), v.tobytes(), None
+        if held:
+            total = counted()
+        yield None, None, None, total.astype("<i8").tobytes()
 
     return map_rows(df.select(id_col, text_col), run, schema)
 
@@ -247,21 +281,22 @@ def _kind(path: str, end_id: int | None) -> str:
     return "<u2" if max(Library.of(path).size, end_id or 0) < 1 << 16 else "<u4"
 
 
-def count_ids(encoded: DataFrame, kind: str) -> DataFrame:
-    """(id, n) over all texts; ids that never occur are not listed."""
+def count_ids(encoded: DataFrame) -> DataFrame:
+    """(id, n) over all texts, from the tasks' counts; ids that never occur are not listed."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(it):
         total = np.zeros(0, np.int64)
         for b in it:
-            got = np.bincount(_values(b.column(0), kind))
-            if len(got) > len(total):
-                total = np.pad(total, (0, len(got) - len(total)))
-            total[:len(got)] += got
+            for raw in b.column(0):
+                got = np.frombuffer(raw.as_buffer(), "<i8")
+                if len(got) > len(total):
+                    total = np.pad(total, (0, len(got) - len(total)))
+                total[:len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], schema=schema)
 
-    return map_batches(encoded.select("ids"), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
+    return map_batches(encoded.where("counts is not null").select("counts"), run, schema).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -318,15 +353,15 @@ def write(df: DataFrame, id_col: str, text_col: str, path: str, out: str | None
     spark = df.sparkSession
     out = out or shared_path(spark, "tokens")
     kind = _kind(path, end_id)
-    encoded = store(encode(df, id_col, text_col, path, end_id), "token-ids")  # texts are tokenised once
-    counts = count_ids(encoded, kind).collect()  # at most one row per vocabulary entry
+    encoded = store(encode(df, id_col, text_col, path, end_id), "token-ids")  # texts are tokenised and counted once
+    counts = count_ids(encoded).collect()  # at most one row per vocabulary entry
     ranked = [r["id"] for r in sorted(counts, key=lambda r: (-r["n"], r["id"]))]
     spark.createDataFrame(list(enumerate(ranked)), "rank long, id long").coalesce(1).write.parquet(f"{out}/id_of_rank")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[np.array(ranked, np.int64)] = np.arange(len(ranked), dtype=np.uint32)
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = encoded.repartitionByRange(n, "doc").sortWithinPartitions("doc").withColumn("part", F.spark_partition_id())
+    ordered = encoded.where("counts is null").drop("counts").repartitionByRange(n, "doc").sortWithinPartitions("doc").withColumn("part", F.spark_partition_id())
     blocks = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
                         ("lengths", pa.list_(pa.int64())), ("n_ids", pa.int64()),
                         ("control", pa.binary()), ("data", pa.binary())])

@@ -108,3 +108,27 @@ def test_pre_tokens_in_two_generations(monkeypatch):
 def test_pack_by_longest_value(top):
     v = np.random.default_rng(top).integers(0, top, 1003, endpoint=True).astype(np.uint32)
     assert (tokenbin.unpack(*tokenbin.pack(v), len(v)) == v).all()
+
+
+def test_unseen_pre_tokens_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(tokenbin, "BATCH", 7)
+    lib, alone = tokenbin.Library(PATH), []
+    plain = lib.pieces.tokenize
+    lib.pieces.tokenize = lambda word: alone.append(word) or plain(word)
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdeäößжи東京19.,'!") for _ in range(rng.randint(1, 12))) for _ in range(500)] + ["x" * 80, "don't"]
+    texts = [" ".join(rng.choices(words, k=40)) for _ in range(60)]
+    tok = Tokenizer.from_file(PATH)
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in lib.encode_many(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(alone) <= {"Ġ" + "x" * 80, "x" * 80}  # too long to be kept
+
+
+def test_counts_come_with_the_ids(spark):
+    texts = _texts()
+    df = spark.createDataFrame([(k if k % 5 else None, t if k % 7 else None) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    rows = tokenbin.encode(df, "doc_id", "text", PATH, 2).cache()
+    tok = Tokenizer.from_file(PATH)
+    ids = [i for k, t in enumerate(texts) for i in [*(tok.encode(t, add_special_tokens=False).ids if k % 7 else []), 2]]
+    assert {r["id"]: r["n"] for r in tokenbin.count_ids(rows.select("counts")).collect()} == {i: ids.count(i) for i in set(ids)}
+    assert rows.where("counts is null").count() == len(texts)
