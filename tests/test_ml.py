@@ -1,6 +1,7 @@
 """MLlib training sanity: separable labels, reproducibility, save/load."""
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -146,3 +147,55 @@ def test_mlp_rows_are_dealt_evenly(spark, monkeypatch):
     assert len(sizes) == 9 and sum(sizes) == 900 and max(sizes) < 110
     assert seen[0].exceptAll(seen[1]).count() == 0
     mine.release(), few.release()
+
+
+def test_fewer_rounds_are_cut_from_one_fit(spark):
+    """A grid fits boosted trees once for all numbers of rounds; each point is judged as if fitted alone."""
+    from gridlens import constants as K
+    daily = P.daily(spark, SF_SMALL).checkpoint()
+    for target in ("tamper_detected", "energy_loss_kwh_sum"):
+        mine = TR.prepare(daily, target, exclude=K.LEAKS[target], store=False)
+        grid = {"n_estimators": [1, 3], "max_depth": [2]}
+        together, _, _, _ = TR.tune_model(daily, target, None, "xgboost", grid=grid, prepared=mine)
+        alone = [TR.tune_model(daily, target, None, "xgboost", grid={"n_estimators": [n], "max_depth": [2]}, prepared=mine)[0][0]
+                 for n in grid["n_estimators"]]
+        assert [r[:4] for r in together] == [r[:4] for r in alone]
+        mine.release()
+
+
+def test_rows_of_tree_fits_are_dealt_evenly_and_ordered(spark, monkeypatch):
+    """Beyond FOLD_TASK_ROWS, whatever tasks the split left them in; the model of few rows stays as it was."""
+    mine = TR.prepare(P.daily(spark, SF_SMALL), "energy_loss_kwh_sum")
+    n = mine.train.count()
+    seen, vectors = [], TR._vectors
+    monkeypatch.setattr(TR, "_vectors", lambda prep, rows: seen.append(rows) or vectors(prep, rows))
+    monkeypatch.setattr(TR, "FOLD_TASK_ROWS", n // 3)
+    mine.member("randomforest", {"numTrees": 2, "maxDepth": 2})
+    sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and len(sizes) == 4 and max(sizes) - min(sizes) < n / 20
+    first = mine.features[0]
+    for part in seen[0].select(first).rdd.mapPartitions(lambda it: [[r[0] for r in it]]).collect():
+        assert part == sorted(part, key=lambda x: (x is not None, x))
+    assert seen[0].select(*mine.features, "label").exceptAll(mine.train.select(*mine.features, "label")).isEmpty()
+    to_score = TR._to_score(mine.test, mine.features, ["ensemble"])
+    assert to_score.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert to_score.count() == mine.test.count() and TR._to_score(mine.test, mine.features, ["linear"]) is mine.test
+    mine.release()
+
+
+def test_an_ensemble_takes_its_boosted_trees_from_the_longer_fit(spark, tmpdir_path, monkeypatch):
+    from gridlens import constants as K
+    fits, estimator = [], TR.estimator
+    monkeypatch.setattr(TR, "BOOST_ROUNDS", 3)
+    monkeypatch.setattr(TR, "_members", lambda task, algorithm: [("xgboost", {"maxIter": 2})] if algorithm == "ensemble" else [(algorithm, {})])
+    monkeypatch.setattr(TR, "estimator", lambda task, algorithm, *a, **kw: fits.append(kw) or estimator(task, algorithm, *a, **kw))
+    daily = P.daily(spark, SF_SMALL).checkpoint()
+    target = "tamper_detected"
+    TR.train_all(daily, [(target, a, "ml", False) for a in ("ensemble", "xgboost")], tmpdir_path, exclude=K.LEAKS)
+    assert fits == [{}]
+    found = {r["algorithm"]: TR.load_models(r["path"], r["members"])[0].stages[-1]
+             for r in spark.read.parquet(os.path.join(tmpdir_path, "registry")).collect()}
+    alone = TR.prepare(daily, target, exclude=K.LEAKS[target]).member("xgboost", {"maxIter": 2}).stages[-1]
+    assert {a: m.getNumTrees for a, m in found.items()} == {"ensemble": 2, "xgboost": 3} and len(fits) == 2
+    trees = [t.toDebugString.partition("\n")[2] for t in alone.trees]
+    assert [t.toDebugString.partition("\n")[2] for t in found["ensemble"].trees] == trees
