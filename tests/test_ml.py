@@ -149,7 +149,7 @@ def test_mlp_rows_are_dealt_evenly(spark, monkeypatch):
     mine.release(), few.release()
 
 
-WHOLE_GRIDS = {"grid_search_gbt_cls": ("classification", "xgboost")}
+WHOLE_GRIDS = {"grid_search_gbt_cls": ("classification", "xgboost"), "grid_search_gbt_reg": ("regression", "xgboost")}
 
 
 @pytest.mark.parametrize("name", WHOLE_GRIDS)
