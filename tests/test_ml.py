@@ -149,7 +149,8 @@ def test_mlp_rows_are_dealt_evenly(spark, monkeypatch):
     mine.release(), few.release()
 
 
-WHOLE_GRIDS = {"grid_search_gbt_cls": ("classification", "xgboost"), "grid_search_gbt_reg": ("regression", "xgboost")}
+WHOLE_GRIDS = {"grid_search_gbt_cls": ("classification", "xgboost"), "grid_search_gbt_reg": ("regression", "xgboost"),
+               "grid_search_rf_reg": ("regression", "randomforest")}
 
 
 @pytest.mark.parametrize("name", WHOLE_GRIDS)
