@@ -214,3 +214,22 @@ def test_an_ensemble_takes_its_boosted_trees_from_the_longer_fit(spark, tmpdir_p
     assert {a: m.getNumTrees for a, m in found.items()} == {"ensemble": 2, "xgboost": 3} and len(fits) == 2
     trees = [t.toDebugString.partition("\n")[2] for t in alone.trees]
     assert [t.toDebugString.partition("\n")[2] for t in found["ensemble"].trees] == trees
+
+
+def test_sweep_query_covers_every_task_and_grid(spark, monkeypatch):
+    import gridlens.plans.queries as Q
+    from gridlens.plans.registry import QUERIES
+    from gridlens import constants as K
+    asked = []
+    monkeypatch.setattr(Q, "_stored_daily", lambda spark, sf: P.daily(spark, sf))
+
+    def train_all(daily, kinds, store, grids=None, parallelism=4, exclude=None):
+        asked.extend([kinds, grids or TR.GRIDS, exclude])
+        TR._record(spark, store, [((TR._now(), "t", "ML", "a", "completed", 1.0, None), None, "")])
+
+    monkeypatch.setattr(TR, "train_all", train_all)
+    QUERIES["train_sweep"](spark, SF_SMALL)
+    kinds, grids, exclude = asked
+    ml = {"logistic", "randomforest", "xgboost", "ensemble", "linear"}
+    assert {*kinds} == {(t, a, "ml", True) for t in K.TASKS for a in ml} | {(t, "mlp", "dl", False) for t in K.TASKS}
+    assert grids == TR.GRIDS and exclude == K.LEAKS
